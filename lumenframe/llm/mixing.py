@@ -125,9 +125,9 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
         joined = parts.join(slots, ["number", "block"], "left")
     else:
         joined = parts.withColumn("take", F.lit(0).cast("long"))
-    overlap = F.expr(f"greatest(0, least(start + size, block * {block} + take) - greatest(start, block * {block}))")
+    overlap = F.expr(f"greatest(0, least(start + size, block * {block} + coalesce(take, 0)) - greatest(start, block * {block}))")
     keys = ["number", "bucket", "nth", "id", "source", "size", "source_size", "target"]
-    summed = joined.groupBy(*keys).agg(F.sum(F.coalesce(overlap, F.lit(0))).cast("long").alias("taken"))
+    summed = joined.groupBy(*keys).agg(F.sum(overlap).cast("long").alias("taken"))
     return summed.select("id", "source", "size", "source_size", "target", "taken")
 
 
