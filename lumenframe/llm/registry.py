@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import language, lines, mixing, packing, toxicity
+from lumenframe.llm import language, lines, mixing, near, packing, toxicity
 from lumenframe.llm.shared import crc_mod, table
 
 QUERIES: dict = {}
@@ -82,3 +82,9 @@ WITH each AS (
 SELECT d.doc_id, CAST(coalesce(k.n_dropped, 0) AS BIGINT) AS n_dropped, CAST(length(k.text) AS BIGINT) AS n_kept_chars, md5(k.text) AS kept_md5
 FROM documents AS d LEFT JOIN kept AS k ON k.doc_id = d.doc_id
 """
+
+
+@query
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return near.near_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
