@@ -1,8 +1,60 @@
-"""From raw documents to packed sequences."""
+"""From raw documents to packed sequences: toxicity, line dedup, near-duplicates, mixing, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return
+the columns of documents; n_chars follows the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenframe.llm import lines, mixing, near, packing, toxicity
+from lumenframe.llm.registry import tokenizer_files
+from lumenframe.llm.shared import crc_mod, table, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones outside the held-out fifth, does not reject."""
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
+    return toxicity.reject_toxic(docs, toxicity.fit(docs, labels))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that over a tenth of their source's documents hold."""
+    return lines.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, and all others."""
+    return near.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.repeat_taken(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 1024 tokens."""
+    return packing.pack(docs, tokenizer_files()).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("near_dedup", keep_one_of_each),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+#: SQL cannot express the classifier of the first stage; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what each returns is written to the shared folder and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

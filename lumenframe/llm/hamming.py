@@ -28,7 +28,7 @@ def sign_code(embedding: str | Column) -> Column:
     Null for a null or empty array; missing elements give 0 bits.
     """
     x = F.col(embedding) if isinstance(embedding, str) else embedding
-    bit = lambda v, i: F.when((v > 0) & ~F.isnan(v), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    bit = lambda v, i: F.when((v > 0) & ~F.isnan(v), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
     code = F.aggregate(F.transform(F.slice(x, 1, BITS), bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
     return F.when(F.size(x) > 0, code)
 
@@ -61,7 +61,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     n = entries.count()
     segments = _segments(n)
     m = len(segments)
-    index = entries.select("code", F.posexplode(F.array(*[_value(F.col("code"), *s) for s in segments])).alias("segment", "value"))
+    index = entries.select("code", F.col("ids")[0].alias("low"), F.posexplode(F.array(*[_value(F.col("code"), *s) for s in segments])).alias("segment", "value"))
     index = written(index, "hamming-index")
     wanted = queries.where("code is not null and id is not null").select("code").distinct()
     active, found, distance = written(wanted.withColumnRenamed("code", "query"), "hamming-queries"), None, 0
@@ -74,19 +74,17 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         own = active.select("query", F.posexplode(F.array(*[_value(F.col("query"), *s) for s in segments])).alias("segment", "own"))
         probes = own.join(F.broadcast(masks), F.col("segment") == F.col("of")).select("query", "segment", F.explode("masks").alias("mask"), "own")
         probes = probes.select("query", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(index, ["segment", "value"]).select("query", "code", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
+        met = probes.join(index, ["segment", "value"]).select("query", "code", "low", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
         found = met if found is None else found.unionByName(met)
-        found = found.groupBy("query", "code").agg(F.first("distance").alias("distance"))
-        best = Window.partitionBy("query").orderBy("distance", "code")
+        found = found.groupBy("query", "code").agg(F.first("low").alias("low"), F.first("distance").alias("distance"))
+        # a code with k others before it, by distance and smallest id, holds none of the k nearest ids
+        best = Window.partitionBy("query").orderBy("distance", "low")
         found = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).drop("nth")
-        # k nearest codes hold the k nearest ids, but equal distances must stay whole for ties by id
         found = written(found, "hamming-found")
         covered = m * (distance + 1) - 1
         inside = found.join(entries, "code").where(F.col("distance") <= covered).groupBy("query").agg(F.sum(F.size("ids")).alias("n"))
         distance += 1
-        total = BITS if covered >= BITS else None
-        done = inside.where(F.col("n") >= k).select("query") if total is None else active
-        active = written(active.join(done, "query", "left_anti"), "hamming-queries")
+        active = written(active.join(inside.where(F.col("n") >= k), "query", "left_anti"), "hamming-queries")
     asked = queries.where("code is not null and id is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query"))
     if found is None:
         return asked.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("id"), F.lit(0).alias("distance")).limit(0)

@@ -132,18 +132,16 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def repeat_taken(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """The rows of df, each as often as the mix takes it whole (to the nearest number of times), with df's columns."""
-    times, key_id, key_source, key_size, nth = fresh(df, "mix_times", "mix_id", "mix_source", "mix_size", "mix_nth")
-    mixed = mix(df, id_col=id_col, text_col=text_col, source_col=source_col, **settings)
-    counted = mixed.where("taken > 0").select(F.col("id").alias(key_id), F.col("source").alias(key_source), F.col("size").alias(key_size), F.round(F.col("taken") / F.col("size")).cast("int").alias(times))
-    # rows equal in id, source and size: as many of them as the mix has, dealt by their number
-    same = lambda i, s, n: Window.partitionBy(i, s, n).orderBy(F.lit(0))
-    counted = counted.where(F.col(times) > 0).withColumn(nth, F.row_number().over(same(key_id, key_source, key_size)))
-    rows = df.withColumn("mix_own_size" if "mix_own_size" not in df.columns else "_mix_own_size", words_of(text_col))
-    own = rows.columns[-1]
-    n_own = fresh(rows, "mix_own_nth")[0]
-    rows = rows.withColumn(n_own, F.row_number().over(same(F.col(id_col), F.col(source_col), F.col(own))))
-    on = rows[id_col].eqNullSafe(counted[key_id]) & rows[source_col].eqNullSafe(counted[key_source]) & (rows[own] == counted[key_size]) & (rows[n_own] == counted[nth])
-    joined = rows.join(counted, on)
-    copies = fresh(joined, "mix_copy")[0]
-    return joined.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[f"`{c}`" for c in df.columns])
+    """The rows of df, each as often as the mix takes it whole (to the nearest number of times), with df's columns.
+
+    Rows equal in id, source and size share what the mix takes of them evenly. Texts without words are not taken.
+    """
+    key_id, key_source, key_size, times, own, copy = fresh(df, "mix_id", "mix_source", "mix_size", "mix_times", "mix_own", "mix_copy")
+    mixed = mix(df, id_col=id_col, text_col=text_col, source_col=source_col, **settings).where("size > 0")
+    each = mixed.groupBy(F.col("id").alias(key_id), F.col("source").alias(key_source), F.col("size").alias(key_size))
+    counted = each.agg(F.round(F.sum("taken") / (F.count("*") * F.first("size"))).cast("int").alias(times)).where(F.col(times) > 0)
+    counted = written(counted, "mix-times")
+    rows = df.withColumn(own, words_of(text_col))
+    on = rows[id_col].eqNullSafe(counted[key_id]) & rows[source_col].eqNullSafe(counted[key_source]) & (rows[own] == counted[key_size])
+    taken = rows.join(counted, on).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return taken.select(*[f"`{c}`" for c in df.columns])

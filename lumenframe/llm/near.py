@@ -206,8 +206,17 @@ def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
 
 
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df with one document of each group, that of the smallest id, and all rows without a group."""
+    """The rows of df with one document of each group, that of the smallest id, and all rows without a group.
+
+    Rows that repeat an id and its text are one document and stay once.
+    """
     found = near_groups(df, id_col=id_col, text_col=text_col)
-    mark, count = fresh(df, "near_id", "near_rows")
-    kept = found.where("kept").groupBy(F.col("id").alias(mark)).agg(F.count("*").alias(count))
-    return df.join(kept, df[id_col].eqNullSafe(kept[mark]), "left_semi").dropDuplicates([id_col])
+    name = fresh(df, "near_id")[0]
+    by_id = written(found.groupBy(F.col("id").alias(name)).agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "near-kept")
+    gone, again = by_id.where("not kept").select(name), by_id.where("kept and rows > 1").select(name)
+    rest = df.join(gone, df[id_col].eqNullSafe(gone[name]), "left_anti")
+    if not again.limit(1).count():
+        return rest
+    again = written(again, "near-again")
+    same = rest[id_col].eqNullSafe(again[name])
+    return rest.join(again, same, "left_anti").unionByName(rest.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RATE = 8_000
@@ -174,7 +174,7 @@ def padded(text: str | None) -> tuple[int, bytes]:
 _REPORT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def stored(df: DataFrame, text: str | Column = "text") -> Column:
+def stored(text: str | Column = "text") -> Column:
     """Binary column with the Ogg file of each text; null texts are stored as empty ones."""
 
     @F.pandas_udf("binary")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import language, lines, mixing, near, packing, toxicity
+from lumenframe.llm import hamming, language, lines, mixing, near, ogg, packing, toxicity
 from lumenframe.llm.shared import crc_mod, table
 
 QUERIES: dict = {}
@@ -88,3 +88,32 @@ FROM documents AS d LEFT JOIN kept AS k ON k.doc_id = d.doc_id
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return near.near_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op5_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes to every twentieth embedding, itself included."""
+    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code("embedding").alias("code"))
+    return hamming.top_k(codes, codes.where("id % 20 = 0"), 10)
+
+
+ORACLES["op5_hamming_search"] = """
+WITH bits AS (
+  SELECT vec_id AS id, string_agg(CASE WHEN x > 0 THEN '1' ELSE '0' END, '' ORDER BY pos) AS code
+  FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings)
+  GROUP BY vec_id
+), pairs AS (
+  SELECT q.id AS query_id, c.id, hamming(q.code, c.code) AS distance
+  FROM (SELECT * FROM bits WHERE id % 20 = 0) AS q CROSS JOIN bits AS c
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM pairs
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, CAST(distance AS INTEGER) AS distance FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an Ogg file, read back from its bytes."""
+    files = table(spark, sf_dir, "documents").select("doc_id", ogg.stored("text").alias("media"))
+    return files.select("doc_id", ogg.inspected("media").alias("r")).select("doc_id", "r.*")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.shared import unit_hash
+from lumenframe.llm.shared import unit_hash, written
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
@@ -137,19 +137,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"f": np.append(used, -1), "d0": np.append(seen[0, used], docs_of[0]), "d1": np.append(seen[1, used], docs_of[1])})
 
     summed = rows.select("_text", "_y").mapInPandas(count, "f long, d0 long, d1 long").groupBy("f").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
-    counts = summed.where(f"d0 + d1 >= {MIN_DF} or f = -1").toPandas()  # at most 2 ** BITS rows of three numbers
-    total = counts[counts.f == -1]
-    n0, n1 = (int(total.d0.sum()), int(total.d1.sum()))
-    counts = counts[counts.f >= 0]
-    if not n0 or not n1 or counts.empty:
+    summed = written(summed, "toxicity-counts")
+    total = summed.where("f = -1").collect()
+    n0, n1 = (int(total[0]["d0"]), int(total[0]["d1"])) if total else (0, 0)
+    if not n0 or not n1:
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((n1 + 0.01) / (n0 + 0.01))))
-    f, d0, d1 = (counts[c].to_numpy() for c in ("f", "d0", "d1"))
-    n, both = n0 + n1, d0 + d1
-    chi2 = n * (d1 * (n0 - d0) - d0 * (n1 - d1)).astype(float) ** 2 / np.maximum(1.0, both.astype(float) * (n - both) * n0 * n1)
-    best = np.lexsort((f, -chi2))[:MAX_FEATURES]
-    best = best[: max(32, int((chi2 >= MIN_CHI2).sum()))]
-    f = f[best]
-    ratio = log_count_ratios(d1[best], d0[best], n1, n0)
+    n, both = n0 + n1, F.col("d0") + F.col("d1")
+    gap = F.col("d1").cast("double") * (n0 - F.col("d0")) - F.col("d0").cast("double") * (n1 - F.col("d1"))
+    chi2 = n * gap * gap / F.greatest(F.lit(1.0), both.cast("double") * (n - both) * float(n0 * n1))
+    top = summed.where(f"f >= 0 and d0 + d1 >= {MIN_DF}").withColumn("chi2", chi2).orderBy(F.desc("chi2"), "f").limit(MAX_FEATURES).toPandas()
+    top = top[: max(32, int((top.chi2 >= MIN_CHI2).sum()))]
+    f, d0, d1 = (top[c].to_numpy() for c in ("f", "d0", "d1"))
+    ratio = log_count_ratios(d1, d0, n1, n0)
     column_of = np.full(1 << BITS, -1, np.int64)
     column_of[f] = np.arange(len(f))
     shared = spark.sparkContext.broadcast(column_of.astype(np.int32))
