@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import hamming, language, lines, mixing, near, ogg, packing, toxicity
+from lumenframe.llm import hamming, language, lines, mixing, near, ogg, packing, repeats, toxicity
 from lumenframe.llm.shared import crc_mod, table
 
 QUERIES: dict = {}
@@ -117,3 +117,9 @@ def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an Ogg file, read back from its bytes."""
     files = table(spark, sf_dir, "documents").select("doc_id", ogg.stored("text").alias("media"))
     return files.select("doc_id", ogg.inspected("media").alias("r")).select("doc_id", "r.*")
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a smaller document has too, in strings of 50."""
+    return repeats.drop_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
