@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import hamming, language, lines, mixing, near, ogg, packing, repeats, toxicity
+from lumenframe.llm import extract, hamming, language, lines, mixing, near, ogg, packing, repeats, toxicity
 from lumenframe.llm.shared import crc_mod, table
 
 QUERIES: dict = {}
@@ -123,3 +123,10 @@ def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that a smaller document has too, in strings of 50."""
     return repeats.drop_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = extract.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
