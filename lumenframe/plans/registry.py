@@ -1,4 +1,6 @@
 """Name -> query callable, and name -> equivalent SQL for the oracle engine."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lumenframe.plans import relational
+
+QUERIES: dict = dict(relational.QUERIES)
+ORACLES: dict = dict(relational.ORACLES)
