@@ -704,3 +704,94 @@ def g23_lognormal_density(spark, sf):
     from lumenframe.functions.sql import lognormal_pdf
 
     return rounded(read(spark, sf, "part").select(F.col("p_partkey").alias("k"), lognormal_pdf(F.col("p_size"), 2.0, 0.7).alias("density")), "density", digits=8)
+
+
+# ---------------------------------------------------------------- suggestions and grids
+
+
+@query("SELECT CAST(3 AS INTEGER) AS ssub, CAST(1 AS INTEGER) AS tsub UNION ALL SELECT CAST(1 AS INTEGER), CAST(1 AS INTEGER) WHERE (SELECT count(*) FROM region) < 0")
+def h3_downsample(spark, sf):
+    from lumenframe.operators import tune
+
+    return tune.downsampling(spark, 6.0, 20.0, 180.0)
+
+
+@query("""WITH g AS (SELECT unnest(range(0, 21)) * 100.0 AS thr), v AS (SELECT p_retailprice AS v, p_size > 25 AS is_cell FROM part),
+j AS (SELECT thr, avg(CASE WHEN is_cell THEN CASE WHEN v >= thr THEN 1.0 ELSE 0 END END) - avg(CASE WHEN NOT is_cell THEN CASE WHEN v >= thr THEN 1.0 ELSE 0 END END) AS j FROM g, v GROUP BY thr)
+SELECT thr, round(j, 6) + 0.0 AS j FROM j ORDER BY round(j, 9) DESC, thr LIMIT 1""")
+def h6_youden_threshold(spark, sf):
+    from lumenframe.operators import tune
+
+    values = read(spark, sf, "part").select(F.col("p_retailprice").alias("v"), (F.col("p_size") > 25).alias("is_cell"))
+    return rounded(tune.youden(values, [i * 100.0 for i in range(21)]), "thr", "j")
+
+
+@query("SELECT CASE WHEN count(*) < 5 OR quantile_cont(p_retailprice, 0.25) <= 0.4 THEN 0.8 ELSE round(quantile_cont(p_retailprice, 0.25), 6) END AS thr, quantile_cont(p_retailprice, 0.25) <= 0.4 AS edge FROM part")
+def h7_percentile_threshold(spark, sf):
+    from lumenframe.operators import tune
+
+    return rounded(tune.threshold_at_percentile(read(spark, sf, "part").select(F.col("p_retailprice").alias("v"))), "thr")
+
+
+@query(with_views("evt_traces") + f",\n{_G}\nSELECT round(median(-1000.0 / (20 * ln(least(greatest(g, 1e-6), 0.9999)))), 4) AS tau FROM g")
+def h9_decay_time(spark, sf):
+    from lumenframe.operators import tune
+
+    return rounded(tune.decay_time(components.yule_walker(evt_traces(spark, sf)), 20.0), "tau", digits=4)
+
+
+@query(with_views("evt_traces") + f",\n{_G},\ns AS (SELECT median(abs((g - exp(-1000.0 / 3600)) / exp(-1000.0 / 3600))) AS s FROM g)\nSELECT round(s, 6) AS spread, CASE WHEN s < 0.05 THEN 0.3 WHEN s < 0.15 THEN 0.5 ELSE 0.7 END AS weight FROM s")
+def h10_prior_weight(spark, sf):
+    from lumenframe.operators import tune
+
+    return rounded(tune.prior_weight(components.yule_walker(evt_traces(spark, sf)), 20.0, 180.0), "spread", "weight")
+
+
+@query(with_views("evt_traces") + ",\nr AS (SELECT coalesce(corr(a.v, b.v), 0) AS r FROM evt_traces AS a JOIN evt_traces AS b ON b.t = a.t AND a.k < b.k GROUP BY a.k, b.k)\nSELECT round(quantile_cont(r, 0.99), 6) AS p99, round(least(0.85, greatest(quantile_cont(r, 0.99), 0.7)), 6) AS thr FROM r")
+def h11_merge_threshold(spark, sf):
+    from lumenframe.operators import tune
+
+    return rounded(tune.merge_threshold(evt_traces(spark, sf)), "p99", "thr")
+
+
+@query("""WITH v AS (SELECT s_acctbal / 1000.0 AS snr FROM supplier), g AS (SELECT snr AS a, lead(snr) OVER (ORDER BY snr) AS b FROM v WHERE snr < 10)
+SELECT round_even((a + b) / 2, 1) AS thr FROM g WHERE b IS NOT NULL ORDER BY b - a DESC, a LIMIT 1""")
+def h12_snr_gap(spark, sf):
+    from lumenframe.operators import tune
+
+    return tune.snr_gap(read(spark, sf, "supplier").select((F.col("s_acctbal") / 1000.0).alias("snr_amp")))
+
+
+@query("SELECT CAST(i AS INTEGER) AS idx, [2.0, 3.0, 4.0][i // 4 % 3 + 1] AS sigma, [0.7, 0.85][i // 2 % 2 + 1] AS merge_thr_corr, CAST([0, 1][i % 2 + 1] AS INTEGER) AS global_bg_rank FROM (SELECT unnest(range(12)) AS i)")
+def w2_candidate_grid(spark, sf):
+    from lumenframe.operators import tune
+
+    return tune.candidate_grid(spark, {"sigma": [2.0, 3.0, 4.0], "merge_thr_corr": [0.7, 0.85], "global_bg_rank": [0, 1]})
+
+
+@query("SELECT k, CAST(string_agg(CAST(CAST(v AS INTEGER) AS VARCHAR), ',' ORDER BY v) AS VARCHAR) AS grid FROM (SELECT DISTINCT p_partkey AS k, least(greatest(greatest(p_size, 5) + o, 5), 45) AS v FROM part, (SELECT unnest([-3, 0, 3, 10]) AS o)) GROUP BY k")
+def w3_offset_grid(spark, sf):
+    from lumenframe.operators import tune
+
+    anchors = read(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("anchor"))
+    return tune.offset_grids(anchors, [-3, 0, 3, 10], 5.0, 45.0).select("k", F.array_join(F.transform("grid", lambda v: v.cast("int").cast("string")), ",").alias("grid"))
+
+
+@query("""WITH t AS (SELECT p_partkey AS idx, p_retailprice AS score, p_partkey % 5 = 0 AS failed, p_partkey % 3 = 0 AS saturated, p_size > 10 AS beats FROM part)
+SELECT idx, round(score, 2) AS score FROM t ORDER BY CASE WHEN NOT failed AND NOT saturated AND beats THEN 0 WHEN NOT failed THEN 1 ELSE 2 END, score DESC, idx LIMIT 1""")
+def w10_pick(spark, sf):
+    from lumenframe.operators import tune
+
+    k = F.col("p_partkey")
+    rows = read(spark, sf, "part").select(k.alias("idx"), F.col("p_retailprice").alias("score"), F.when(k % 5 == 0, "failed").alias("error"), (k % 3 == 0).alias("saturated"), (F.col("p_size") > 10).alias("beats_raw"))
+    return rounded(tune.pick(rows).select("idx", "score"), "score", digits=2)
+
+
+@query("""WITH t AS (SELECT p_partkey AS idx, p_retailprice AS score, p_partkey % 5 = 0 AS failed FROM part)
+SELECT idx, CAST(row_number() OVER (ORDER BY CASE WHEN failed THEN 1 ELSE 0 END, score DESC, idx) AS INTEGER) AS rank FROM t WHERE NOT failed""")
+def w1_ranked(spark, sf):
+    from lumenframe.operators import tune
+
+    k = F.col("p_partkey")
+    rows = read(spark, sf, "part").select(k.alias("idx"), F.col("p_retailprice").alias("score"), F.when(k % 5 == 0, "failed").alias("error"))
+    return tune.ranked(rows).where("error is null").select("idx", "rank")
