@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -63,10 +63,41 @@ def gauge(footprints: DataFrame, traces: DataFrame, values: Sequence[str] = ("c"
     return unit, traces.join(n, "k").select("k", "t", *[(F.col(v) * F.col("a_norm")).alias(v) for v in values])
 
 
-def overlaps(footprints: DataFrame) -> DataFrame:
-    """(i, j, dot), i < j, of all pairs of components that share a pixel, by an equi-join on the pixel."""
-    a, b = footprints.select(F.col("k").alias("i"), "p", F.col("a").alias("ai")), footprints.select(F.col("k").alias("j"), "p", F.col("a").alias("aj"))
-    return a.join(b, "p").where("i < j").groupBy("i", "j").agg(F.sum(F.col("ai") * F.col("aj")).alias("dot"), F.count("*").alias("shared"))
+def overlaps(footprints: DataFrame, block: int = 2_048) -> DataFrame:
+    """(i, j, dot, shared), i < j, of all pairs of components that share a pixel.
+
+    A pixel's components are gathered once; products of incidence matrices then give many pairs at a time, so
+    that no row is made for each pair and pixel. Matrices are at most block columns wide.
+    """
+    rows = footprints.groupBy("p").agg(F.collect_list(F.struct("k", "a")).alias("cs")).where(F.size("cs") > 1)
+    rows = rows.select(F.col("cs.k").alias("ks"), F.col("cs.a").alias("as"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            owner = np.repeat(np.arange(len(batch)), batch["ks"].map(len))
+            names, column = np.unique(np.concatenate(batch["ks"].to_list()), return_inverse=True)
+            value = np.concatenate(batch["as"].to_list()).astype(float)
+
+            def part(lo: int) -> np.ndarray:
+                on = (column >= lo) & (column < lo + block)
+                x = np.zeros((len(batch), min(block, len(names) - lo)))
+                np.add.at(x, (owner[on], column[on] - lo), value[on])
+                return x
+
+            for lo in range(0, len(names), block):
+                x = part(lo)
+                for hi in range(lo, len(names), block):
+                    y = x if hi == lo else part(hi)
+                    dot, shared = x.T @ y, (x != 0).astype(float).T @ (y != 0)
+                    i, j = np.nonzero(shared)
+                    on = i + lo < j + hi
+                    i, j = i[on], j[on]
+                    yield pd.DataFrame({"i": names[i + lo], "j": names[j + hi], "dot": dot[i, j], "shared": shared[i, j].astype(np.int64)})
+
+    kind = dict(footprints.dtypes)["k"]
+    return rows.mapInPandas(run, f"i {kind}, j {kind}, dot double, shared long").groupBy("i", "j").agg(F.sum("dot").alias("dot"), F.sum("shared").alias("shared"))
 
 
 def tanimoto(footprints: DataFrame) -> DataFrame:
@@ -86,13 +117,29 @@ def binary_jaccard(footprints: DataFrame) -> DataFrame:
 def trace_correlations(traces: DataFrame, value: str = "v", pairs: DataFrame | None = None) -> DataFrame:
     """(i, j, r), i < j: correlations of traces; of the given pairs (i, j) only, if there are any.
 
-    Traces are gathered as unit arrays once; a pair is one array product.
+    Traces are gathered as unit arrays once, and never joined value by value.
     """
     rows = traces.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", value))), lambda s: s[value]).alias("tr"), F.avg(value).alias("m"), F.stddev_pop(value).alias("sd"))
     unit = rows.select("k", F.when(F.col("sd") > 0, F.transform("tr", lambda v: (v - F.col("m")) / F.col("sd"))).otherwise(F.transform("tr", lambda v: v * 0.0)).alias("tr"))
-    a, b = unit.toDF("i", "u"), unit.toDF("j", "w")
-    joined = a.join(pairs.select("i", "j"), "i").join(b, "j") if pairs is not None else a.join(b, F.col("i") < F.col("j"))
-    return joined.select("i", "j", (F.aggregate(F.zip_with("u", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / F.size("u")).alias("r"))
+    if pairs is not None:
+        joined = unit.toDF("i", "u").join(pairs.select("i", "j"), "i").join(unit.toDF("j", "w"), "j")
+        return joined.select("i", "j", (F.aggregate(F.zip_with("u", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / F.size("u")).alias("r"))
+    # all pairs: blocks of traces meet, and a matrix product gives their correlations
+    blocks = max(1, -(-traces.select("k").distinct().count() // 1_024))
+    own = unit.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    dealt = own.select("k", "tr", "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")).select("k", "tr", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
+    kind = dict(traces.dtypes)["k"]
+
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        z, k, b = np.stack(part["tr"].to_list()).astype(float), part["k"].to_numpy(), part["b"].to_numpy()
+        i, j = np.flatnonzero(b == part["x"].iloc[0]), np.flatnonzero(b == part["y"].iloc[0])
+        r = z[i] @ z[j].T / z.shape[1]
+        on = k[i][:, None] < k[j][None, :] if part["x"].iloc[0] == part["y"].iloc[0] else np.ones(r.shape, bool)
+        m, n = np.nonzero(on)
+        a, c = k[i[m]], k[j[n]]
+        return pd.DataFrame({"i": np.minimum(a, c), "j": np.maximum(a, c), "r": r[m, n]})
+
+    return dealt.groupBy("x", "y").applyInPandas(meet, f"i {kind}, j {kind}, r double")
 
 
 def label_groups(pairs: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:

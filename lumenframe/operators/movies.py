@@ -7,10 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenframe.functions import arrays
+
 
 def with_pixel(movie: DataFrame, width: int) -> DataFrame:
     """Adds p = y * width + x."""
@@ -148,23 +152,29 @@ def reject_outliers(movie: DataFrame, k_mad: float = 5.0, by: Sequence[str] = ()
     return kept.unionByName(parts.groupBy(*by, F.col("to").alias("t"), "y", "x").agg(F.sum(F.col("w") * F.col("v")).alias("v")))
 
 
-def rolling_detrend(movie: DataFrame, window: int, percentile: float = 10.0, stride: int | None = None, n_t: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+def rolling_detrend(movie: DataFrame, window: int, percentile: float = 10.0, stride: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(by, t, y, x, v, base): each pixel less its rolling percentile, interpolated between anchors.
 
-    Windows run over one pixel's frames, so partitions are as many as pixels.
+    A pixel is one row of arrays; percentiles are taken at the anchors only, for a batch of pixels at once.
     """
-    half, stride = window // 2, stride or max(1, window // 10)
-    pixel = Window.partitionBy(*by, "y", "x").orderBy("t")
-    last = F.max("t").over(Window.partitionBy(*by, "y", "x")) if n_t is None else F.lit(n_t - 1)
-    low = F.percentile("v", F.lit(percentile / 100)).over(pixel.rowsBetween(-half, half))
-    anchor = (F.col("t") % stride == 0) | (F.col("t") == last)
-    a = movie.withColumn("low", low).withColumn("anchor", F.when(anchor, F.struct("t", "low")))
-    before = F.last("anchor", True).over(pixel.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("anchor", True).over(pixel.rowsBetween(0, Window.unboundedFollowing))
-    a = a.withColumn("l", before).withColumn("r", after)
-    share = F.when(F.col("r.t") == F.col("l.t"), 0.0).otherwise((F.col("t") - F.col("l.t")) / (F.col("r.t") - F.col("l.t")))
-    base = F.col("l.low") + share * (F.col("r.low") - F.col("l.low"))
-    return a.withColumn("base", base).select(*by, "t", "y", "x", (F.col("v") - F.col("base")).alias("v"), "base")
+    if window < 2:
+        raise ValueError("the window is at least 2 frames")
+
+    @F.pandas_udf("array<double>")
+    def baseline(traces: pd.Series) -> pd.Series:
+        out: list = [None] * len(traces)
+        lengths = traces.map(len).to_numpy()
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            found = arrays.rolling_baseline(np.stack(traces.iloc[at].to_list()).astype(float), window, percentile, stride)
+            for i, row in zip(at, found):
+                out[i] = row
+        return pd.Series(out, dtype=object)
+
+    pixels = movie.groupBy(*by, "y", "x").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("s")).select(*by, "y", "x", F.col("s.t").alias("ts"), F.col("s.v").alias("vs"))
+    rows = pixels.withColumn("bs", baseline("vs"))
+    each = F.explode(F.arrays_zip("ts", "vs", "bs")).alias("e")
+    return rows.select(*by, "y", "x", each).select(*by, F.col("e.ts").alias("t"), "y", "x", (F.col("e.vs") - F.col("e.bs")).alias("v"), F.col("e.bs").alias("base"))
 
 
 def linear_detrend(traces: DataFrame, value: str = "v", by: Sequence[str] = ("k",)) -> DataFrame:
