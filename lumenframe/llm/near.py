@@ -3,8 +3,9 @@
 Equal shingle sets are one node from the start, so copies of a text cost nothing later. Bands of register
 values put nodes into buckets. Every bucket is first linked as a star: each member with the bucket's smallest
 node, so a bucket of any size gives as many pairs as members. Pairs whose likelihood estimate is far under the
-threshold go; the rest are compared on full sets. Where a bucket still holds members of different groups, all
-their pairs across groups are estimated in blocks of bounded size, and those in reach are compared as well.
+threshold go; the rest are compared on full sets. Where a bucket still holds members of different groups, their
+full sets meet in blocks of bounded size, whose products give all sizes of intersections at once; of the links
+found there only as many leave the task as it takes to connect the groups.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ PERCENT = 75
 #: Pairs with an estimate below are not compared: over five standard deviations under the threshold.
 ESTIMATE = 0.55
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 1_024
+BLOCK = 4_096
 #: Ids that may be sent to all executors; beyond, they are joined by key.
 MAX_SENT = 1_000_000
 _GROUP_BYTES = 4_000_000
@@ -139,8 +140,7 @@ def near_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     stars = shared.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     edges = written(_verified(_close(stars, nodes), df, id_col, text_col, nodes), "near-links")
     labels = components(edges)
-    across = _across(shared, labels, nodes)
-    more = written(_verified(across, df, id_col, text_col, nodes), "near-links")
+    more = written(_across(shared, labels, nodes, df, id_col, text_col), "near-links")
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
     ids = labels.join(nodes.select("node", "id"), "node")
@@ -171,40 +171,78 @@ def _verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, nodes
     return pairs.join(side("b"), "b").join(side("a"), "a").where(_linked("sa", "sb")).select("a", "b")
 
 
-def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a bucket, lie in different groups so far, and are in reach of a link."""
+def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) of nodes that share a bucket and lie in different groups so far: enough to connect the groups."""
     named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     counts = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members")).where("x != y").select("key", "members")
-    left = written(named.where("node != center").join(counts, "key").where("members > 2"), "near-across")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = left.join(nodes.select("node", "n", "sketch"), "node").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = written(named.where("node != center").join(counts, "key").where("members > 2").select("key", "node", "label", "members"), "near-across")
+    wanted = written(left.select("node").distinct().join(nodes.select("node", "id"), "node"), "near-wanted")
+    sets = full_sets(df, id_col, text_col, wanted).join(wanted.select(F.col("node").alias("end")), F.col("node") == F.col("end"), "left_semi").dropDuplicates(["node"])
+    own = left.join(sets.select("node", "shingles"), "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a block meets itself and every other block once: its rows go to all pairs of blocks that it is in
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = own.select("key", "node", "label", "n", "sketch", "block", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "n", "sketch", "block")
+    dealt = own.select("key", "node", "label", "shingles", "block", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "shingles", "block")
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
-        i, j = part["i"].iloc[0], part["j"].iloc[0]
-        regs = np.frombuffer(b"".join(part["sketch"]), np.uint16).reshape(len(part), -1)
-        n, block = part["n"].to_numpy(np.int64), part["block"].to_numpy()
-        label, node = pd.factorize(part["label"])[0], part["node"].to_numpy()
-        mine, theirs = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        for x in mine:
-            others = theirs[theirs > x] if i == j else theirs
-            others = others[(label[others] != label[x]) & (100 * np.minimum(n[others], n[x]) >= PERCENT * np.maximum(n[others], n[x]))]
-            if len(others):
-                same = (regs[others] == regs[x]).mean(1)
-                others = others[same >= ESTIMATE - 0.1]
-            if len(others):
-                est = shingles.joint_estimate(np.broadcast_to(regs[x], (len(others), regs.shape[1])), regs[others], np.full(len(others), float(n[x])), n[others].astype(float))
-                others = others[est >= ESTIMATE]
-                a += [node[x]] * len(others)
-                b += list(node[others])
-        return pd.DataFrame({"a": a, "b": b})
+        a, b = connecting_links([np.frombuffer(x, np.uint64) for x in part["shingles"]], pd.factorize(part["label"])[0], part["block"].to_numpy())
+        node = part["node"].to_numpy()
+        return pd.DataFrame({"a": node[a], "b": node[b]})
 
     return dealt.groupBy("key", "i", "j").applyInPandas(meet, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def connecting_links(sets: list[np.ndarray], label: np.ndarray, block: np.ndarray, columns: int = 2_048) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of different labels, as few as connect all labels that any such pair connects.
+
+    With two blocks only pairs between them are looked at. Sizes of intersections are products of incidence
+    matrices over the shingles that several sets have, a bounded number of columns at a time. Members of the
+    most frequent label are not compared among themselves.
+    """
+    none = np.empty(0, np.int64)
+    size = np.array([len(x) for x in sets], np.int64)
+    most = np.bincount(label).argmax()
+    few, many = np.flatnonzero(label != most), np.arange(len(sets))
+    if not len(few):
+        return none, none
+    owner = np.repeat(many, size)
+    every, where = np.unique(np.concatenate(sets), return_inverse=True)
+    common = np.bincount(where, minlength=len(every)) > 1
+    column = np.where(common, np.cumsum(common) - 1, -1)[where]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(few), len(sets)), np.float32)
+    for start in range(0, int(common.sum()), columns):
+        lo, hi = np.searchsorted(column, [start, start + columns])
+        x = np.zeros((len(sets), columns), np.float32)
+        x[owner[lo:hi], column[lo:hi] - start] = 1
+        both += x[few] @ x.T
+    union = size[few][:, None] + size[None, :] - both
+    hit = (100 * both >= PERCENT * union) & (label[few][:, None] != label[None, :])
+    if len(np.unique(block)) > 1:
+        hit &= block[few][:, None] != block[None, :]
+    i, j = np.nonzero(hit)
+    i = few[i]
+    _, first = np.unique(np.minimum(label[i], label[j]) * (label.max() + 1) + np.maximum(label[i], label[j]), return_index=True)
+    root = np.arange(label.max() + 1)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return int(x)
+
+    a, b = [], []
+    for x, y in zip(i[first].tolist(), j[first].tolist()):
+        p, q = find(label[x]), find(label[y])
+        if p != q:
+            root[p] = q
+            a.append(x)
+            b.append(y)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df with one document of each group, that of the smallest id, and all rows without a group.
 
@@ -214,6 +252,8 @@ def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     name = fresh(df, "near_id")[0]
     by_id = written(found.groupBy(F.col("id").alias(name)).agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "near-kept")
     gone, again = by_id.where("not kept").select(name), by_id.where("kept and rows > 1").select(name)
+    if gone.count() <= MAX_SENT:
+        gone = F.broadcast(gone)
     rest = df.join(gone, df[id_col].eqNullSafe(gone[name]), "left_anti")
     if not again.limit(1).count():
         return rest
