@@ -134,14 +134,18 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
 def repeat_taken(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """The rows of df, each as often as the mix takes it whole (to the nearest number of times), with df's columns.
 
-    Rows equal in id, source and size share what the mix takes of them evenly. Texts without words are not taken.
+    A source's slots take its shuffled documents in their order, over and over, so what is taken of it is some
+    whole passes and then all documents up to one place in that order. A row for each source tells both, and
+    the texts stay where they are. Texts without words are not taken.
     """
-    key_id, key_source, key_size, times, own, copy = fresh(df, "mix_id", "mix_source", "mix_size", "mix_times", "mix_own", "mix_copy")
-    mixed = mix(df, id_col=id_col, text_col=text_col, source_col=source_col, **settings).where("size > 0")
-    each = mixed.groupBy(F.col("id").alias(key_id), F.col("source").alias(key_source), F.col("size").alias(key_size))
-    counted = each.agg(F.round(F.sum("taken") / (F.count("*") * F.first("size"))).cast("int").alias(times)).where(F.col(times) > 0)
-    counted = written(counted, "mix-times")
-    rows = df.withColumn(own, words_of(text_col))
-    on = rows[id_col].eqNullSafe(counted[key_id]) & rows[source_col].eqNullSafe(counted[key_source]) & (rows[own] == counted[key_size])
-    taken = rows.join(counted, on).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
-    return taken.select(*[f"`{c}`" for c in df.columns])
+    of, passes, cut, size, spot, copy = fresh(df, "mix_source", "mix_passes", "mix_cut", "mix_size", "mix_spot", "mix_copy")
+    mixed = written(mix(df, id_col=id_col, text_col=text_col, source_col=source_col, **settings).where("size > 0"), "mix-taken")
+    whole = mixed.groupBy(F.col("source").alias(of)).agg(F.floor(F.sum("taken") / F.sum("size")).cast("int").alias(passes))
+    each = mixed.join(F.broadcast(whole), F.col("source").eqNullSafe(F.col(of)))  # a row for each source, at most MAX_SOURCES
+    more = F.when(F.round(F.col("taken") / F.col("size")) > F.col(passes), unit_hash("id", "size"))
+    cuts = written(each.groupBy(of, passes).agg(F.coalesce(F.max(more), F.lit(-1.0)).alias(cut)), "mix-cuts")
+    rows = df.withColumn(size, words_of(text_col))
+    rows = rows.join(F.broadcast(cuts), rows[source_col].eqNullSafe(cuts[of])).where(F.col(size) > 0)
+    rows = rows.withColumn(spot, unit_hash(id_col, size))
+    times = F.col(passes) + (F.col(spot) <= F.col(cut)).cast("int")
+    return rows.where(times > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*[f"`{c}`" for c in df.columns])
