@@ -61,8 +61,7 @@ def surround_kernel(sigma: float) -> np.ndarray:
 
 def highpass_kernel(sigma: float) -> np.ndarray:
     """Separable Gaussian window, less its mean over the support where it is at least its value at the middle of an edge."""
-    size = 2 * int(round(sigma * 2)) + 1 if sigma < 1 else (int(3 * sigma * 2) // 2) * 2 + 1
-    half = size // 2
+    half = int(3 * sigma // 2)
     g1 = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
     g1 /= g1.sum()
     g = np.outer(g1, g1)
@@ -139,8 +138,8 @@ def label(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
             b = (slice(dy, h), slice(max(0, dx), w + min(0, dx)))
             both = mask[a] & mask[b]
             least = np.minimum(new[a], new[b])
-            new[a] = np.where(both, least, new[a])
-            new[b] = np.where(both, least, new[b])
+            new[a] = np.where(both, np.minimum(new[a], least), new[a])
+            new[b] = np.where(both, np.minimum(new[b], least), new[b])
         flat = new.ravel()
         inside = flat > 0
         flat[inside] = flat[flat[inside] - 1]  # follow the smallest pixel found so far
