@@ -1,9 +1,10 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 Codes are cut into segments and indexed by (segment, value). A query searches all segment values at distance 0
-of its own, then at distance 1, and so on. By the pigeonhole principle all codes within m * (a + 1) - 1 bits
-have been met once distance a is done in all m segments, so a query stops as soon as its k-th verified distance
-is within that. Equal codes are one entry with their k smallest ids, so copies cost nothing.
+of its own, then at distance 1, and so on. By the pigeonhole principle all codes within m * a + j bits have been
+met once distance a is done in segments 0 to j of m, so a query stops as soon as its k-th verified distance is
+within that; until then what it meets is verified against the k-th so far. Equal codes are one entry with their
+k smallest ids, so copies cost nothing.
 """
 
 from __future__ import annotations
@@ -64,27 +65,34 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     index = entries.select("code", F.col("ids")[0].alias("low"), F.posexplode(F.array(*[_value(F.col("code"), *s) for s in segments])).alias("segment", "value"))
     index = written(index, "hamming-index")
     wanted = queries.where("code is not null and id is not null").select("code").distinct()
-    active, found, distance = written(wanted.withColumnRenamed("code", "query"), "hamming-queries"), None, 0
-    while n and active.limit(1).count():
-        flips = [(s, int(sum(1 << b for b in bits))) for s, (_, width) in enumerate(segments) for bits in combinations(range(width), distance)]
-        if not flips:
+    active = written(wanted.select(F.col("code").alias("query"), F.lit(BITS).alias("bound")), "hamming-queries")
+    found = None
+    # short distances in all segments at once; later ones segment by segment, since queries end inside them
+    widest = max(width for _, width in segments)
+    steps = [(a, list(range(m))) if a < 3 else (a, [j]) for a in range(widest + 1) for j in (range(m) if a >= 3 else [0])]
+    for distance, searched in steps:
+        if not n or not active.limit(1).count():
             break
-        # a list of bit patterns that depends on the segment widths alone
-        masks = spark.createDataFrame(pd.DataFrame(flips, columns=["of", "mask"]), "of int, mask long").groupBy("of").agg(F.collect_list("mask").alias("masks"))
-        own = active.select("query", F.posexplode(F.array(*[_value(F.col("query"), *s) for s in segments])).alias("segment", "own"))
-        probes = own.join(F.broadcast(masks), F.col("segment") == F.col("of")).select("query", "segment", F.explode("masks").alias("mask"), "own")
-        probes = probes.select("query", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(index, ["segment", "value"]).select("query", "code", "low", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
-        found = met if found is None else found.unionByName(met)
-        found = found.groupBy("query", "code").agg(F.first("low").alias("low"), F.first("distance").alias("distance"))
-        # a code with k others before it, by distance and smallest id, holds none of the k nearest ids
-        best = Window.partitionBy("query").orderBy("distance", "low")
-        found = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).drop("nth")
-        found = written(found, "hamming-found")
-        covered = m * (distance + 1) - 1
-        inside = found.join(entries, "code").where(F.col("distance") <= covered).groupBy("query").agg(F.sum(F.size("ids")).alias("n"))
-        distance += 1
-        active = written(active.join(inside.where(F.col("n") >= k), "query", "left_anti"), "hamming-queries")
+        flips = [(s, int(sum(1 << b for b in bits))) for s in searched for bits in combinations(range(segments[s][1]), distance)]
+        if flips:
+            # a list of bit patterns that depends on the segment widths alone
+            masks = spark.createDataFrame(pd.DataFrame(flips, columns=["of", "mask"]), "of int, mask long").groupBy("of").agg(F.collect_list("mask").alias("masks"))
+            own = active.select("query", "bound", F.posexplode(F.array(*[_value(F.col("query"), *s) for s in segments])).alias("segment", "own"))
+            probes = own.join(F.broadcast(masks), F.col("segment") == F.col("of")).select("query", "bound", "segment", F.explode("masks").alias("mask"), "own")
+            probes = probes.select("query", "bound", F.col("segment").alias("s"), F.col("own").bitwiseXOR(F.col("mask")).alias("v"))
+            apart = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
+            met = probes.join(index, (F.col("s") == F.col("segment")) & (F.col("v") == F.col("value")) & (apart <= F.col("bound")))
+            met = met.select("query", "code", "low", apart.alias("distance"))
+            found = met if found is None else found.unionByName(met)
+            found = found.groupBy("query", "code").agg(F.first("low").alias("low"), F.first("distance").alias("distance"))
+            # a code with k others before it, by distance and smallest id, holds none of the k nearest ids
+            best = Window.partitionBy("query").orderBy("distance", "low")
+            found = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).drop("nth")
+            found = written(found, "hamming-found")
+        covered = m * distance + searched[-1]
+        sizes = found.join(entries, "code").groupBy("query").agg(F.sum(F.when(F.col("distance") <= covered, F.size("ids")).otherwise(0)).alias("near"), F.sum(F.size("ids")).alias("n"), F.max("distance").alias("far"))
+        left = active.drop("bound").join(sizes, "query", "left").where(f"near is null or near < {k}")
+        active = written(left.select("query", F.when(F.col("n") >= k, F.col("far")).otherwise(BITS).alias("bound")), "hamming-queries")
     asked = queries.where("code is not null and id is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query"))
     if found is None:
         return asked.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("id"), F.lit(0).alias("distance")).limit(0)
