@@ -57,7 +57,7 @@ def shingle_sets(texts: list[bytes], size: int = WORDS) -> list[np.ndarray]:
     words, counts = word_hashes(texts)
     rolled = np.zeros(max(0, len(words) - size + 1), np.uint64)
     for i in range(size):
-        rolled = rolled * np.uint64(0xD6E8FEB86659FD93) + words[i : len(words) - size + 1 + i]
+        rolled = rolled * np.uint64(0xD6E8FEB86659FD93) + words[i : i + len(rolled)]
     rolled = mix(rolled)
     out, at = [], 0
     for n in counts.tolist():
