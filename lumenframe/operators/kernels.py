@@ -57,7 +57,7 @@ def per_recording(movie: DataFrame, solve, schema: str, by: Sequence[str] = ())
     frames = movie if "px" in movie.columns else frames_of(movie, by).join(movie.groupBy(*by).agg((F.max("x") + 1).alias("width")), list(by)) if by else frames_of(movie).crossJoin(F.broadcast(movie.agg((F.max("x") + 1).alias("width"))))
     keyed = frames if by else frames.withColumn("one", F.lit(0))
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("t")
         x = _stack(part["px"])
         return solve(key, x.reshape(len(x), -1, int(part["width"].iloc[0])))
@@ -68,7 +68,7 @@ def per_recording(movie: DataFrame, solve, schema: str, by: Sequence[str] = ())
 def corr_pnr(movie: DataFrame, sigma: float | None, stride: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """(by, y, x, sn, cn, pnr) of each recording or tile: filter, centre, noise, peak-to-noise, correlation."""
 
-    def solve(key, m: np.ndarray) -> pd.DataFrame:
+    def solve(key: tuple, m: np.ndarray) -> pd.DataFrame:
         cn, pnr, sn, _ = arrays.corr_pnr(m, sigma, stride)
         y, x = np.indices(cn.shape)
         out = {"y": y.ravel(), "x": x.ravel(), "sn": sn.ravel(), "cn": cn.ravel(), "pnr": pnr.ravel()}

@@ -90,7 +90,7 @@ def _ring_apply(pixels: DataFrame, ring: DataFrame, height: int, width: int, rad
     dealt = pixels.select("p", "tr", F.explode(span(y, height)).alias("i"), x.alias("x0")).select("p", "tr", "i", F.explode(span(F.col("x0"), width)).alias("j"))
     edges = ring.select("p", "q", "w", F.floor(y / tile).alias("i"), F.floor(x / tile).alias("j"))
 
-    def run(key, part: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
         i, j = key
         ps = part["p"].to_numpy()
         if not len(ps):
