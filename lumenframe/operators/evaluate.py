@@ -163,3 +163,51 @@ def verdict(q: DataFrame, recall: float = 0.8, precision: float = 0.8, cproj: fl
     missed = F.concat_ws(",", F.when(bad("recall", F.col("recall") < recall), "recall"), F.when(bad("precision", F.col("precision") < precision), "precision"),
                          F.when(bad("cproj", F.col("cproj") < cproj), "cproj"), F.when(bad("trace_corr", F.col("trace_corr") > trace), "trace_corr"))
     return q.withColumn("missed", missed).withColumn("verdict", F.when(F.col("missed") == "", "PASS").otherwise("WARN"))
+
+
+def smoothed_peaks(footprints: DataFrame, height: int, width: int, sigma: float = 1.0) -> DataFrame:
+    """(k, y, x): brightest pixel of each footprint after a Gaussian, the first of equals."""
+
+    def peak(part: pd.DataFrame) -> pd.DataFrame:
+        p = part["p"].to_numpy()
+        y, x = p // width, p % width
+        m = int(4 * sigma + 1)
+        y0, x0 = max(0, y.min() - m), max(0, x.min() - m)
+        image = np.zeros((min(height, y.max() + m + 1) - y0, min(width, x.max() + m + 1) - x0))
+        image[y - y0, x - x0] = part["a"]
+        i, j = np.unravel_index(np.argmax(np.round(arrays.gaussian(image, sigma), 12)), image.shape)
+        return pd.DataFrame({"k": part["k"].iloc[:1], "y": [i + y0], "x": [j + x0]})
+
+    return footprints.groupBy("k").applyInPandas(peak, f"k {dict(footprints.dtypes)['k']}, y int, x int")
+
+
+def blob_coverage(peaks: DataFrame, blobs: DataFrame, radius: float) -> DataFrame:
+    """(recall, precision) of blobs and footprint peaks (k, cy, cx) within the radius; NaN without any."""
+    m = two_way_matches(blobs, peaks, radius)
+    share = lambda a, n: F.when(F.col(n) > 0, F.col(a) / F.col(n)).otherwise(float("nan"))
+    return m.select(share("a_hit", "n_a").alias("recall"), share("b_hit", "n_b").alias("precision"))
+
+
+def model_quality(footprints: DataFrame, traces: DataFrame, metrics: DataFrame, image: DataFrame | None, height: int, width: int, sigma: float, circle: float = 1.5) -> DataFrame:
+    """One row of proxies of a fitted model: counts, trace fidelity, footprint sizes, merging, noise, fidelity in space.
+
+    traces: (k, t, c, yra); metrics: (k, snr_amp, keep); image: (p, cn) or None.
+    """
+    from lumenframe.operators.components import trace_correlations
+
+    three = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    nan = F.lit(float("nan"))
+    k = metrics.agg(F.count("*").alias("K"), F.sum(F.col("keep").cast("int")).alias("K_accepted"), F.avg("snr_amp").alias("snr_mean"), F.median("snr_amp").alias("snr_median"))
+    proj = correlation_by(traces.withColumn("cy", F.col("c") + F.col("yra")), "c", "cy").agg(F.avg("r").alias("cprojcorr_mean"), F.median("r").alias("cprojcorr_median"))
+    kept = traces.join(metrics.where("keep").select("k"), "k", "left_semi")
+    pair = trace_correlations(kept, "c").agg(F.median(F.abs("r")).alias("trace_corr_median"))
+    size = footprints.where("a > 0").groupBy("k").agg(F.count("*").alias("npix")).agg(three("npix").alias("q"))
+    size = size.select(F.col("q")[1].alias("npix_median"), (F.col("q")[2] - F.col("q")[0]).alias("npix_iqr"), F.col("q")[0].alias("npix_p25"))
+    own = footprints.join(metrics.where("keep").select("k"), "k", "left_semi")
+    peaks = multipeak_share(own, width, max(1, round(sigma))).withColumnRenamed("share", "multipeak_frac")
+    space = spatial_correlation(footprints, image, height, width).agg(F.median("cn_corr").alias("spatialcorr_median")) if image is not None else k.select(nan.alias("spatialcorr_median"))
+    row = k
+    for part in (proj, pair, size, peaks, space):  # one row each
+        row = row.crossJoin(part)
+    area = np.pi * (circle * sigma) ** 2
+    return row.withColumn("accepted_frac", F.when(F.col("K") > 0, F.col("K_accepted") / F.col("K")).otherwise(0.0)).withColumn("npix_oversize", F.col("npix_median") / area)

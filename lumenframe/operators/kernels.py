@@ -148,3 +148,14 @@ def blobs(image: pd.DataFrame, shape: tuple[int, int], value: str, low: float, h
     a[image["y"], image["x"]] = image[value]
     a = (a - a.min()) / max(a.max() - a.min(), 1e-12)
     return arrays.blobs(a, low, high, steps, threshold)
+
+
+def registration_quality(movie: DataFrame, height: int, width: int) -> DataFrame:
+    """(corr_mean, corr_p99, mean_crispness, std_crispness) of a movie (t, y, x, v)."""
+    from lumenframe.operators import images
+
+    cn = images.wrapped_correlation_image(movie, height, width).agg(F.avg("cn").alias("corr_mean"), F.percentile("cn", F.lit(0.99)).alias("corr_p99"))
+    flat = movie.groupBy("y", "x").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    mean = images.crispness(flat, "m").withColumnRenamed("crispness", "mean_crispness")
+    std = images.crispness(flat, "s").withColumnRenamed("crispness", "std_crispness")
+    return cn.crossJoin(mean).crossJoin(std)  # one row each

@@ -156,3 +156,18 @@ def greedy_tiles(pixels: DataFrame, height: int, width: int, sigma: float, *, si
         return pd.DataFrame(rows_, columns=["tile", "k", "cy", "cx", "ps", "as", "c"])
 
     return rows.groupBy("tile").applyInPandas(solve, "tile string, k int, cy int, cx int, ps array<int>, `as` array<double>, c array<double>")
+
+
+def product_blobs(cn: np.ndarray, pnr: np.ndarray, sigma: float, threshold: float = 0.05, min_corr: float | None = None, min_pnr: float | None = None) -> np.ndarray:
+    """(row, column) of blobs of the normalised product of two images; those over both thresholds if they are given."""
+    product = np.asarray(cn, float) * np.asarray(pnr, float)
+    span = product.max() - product.min()
+    if span <= 0:
+        return np.zeros((0, 2), int)
+    low = max(1.0, 0.5 * sigma)
+    at = arrays.blobs((product - product.min()) / span, low, max(low + 1, 3 * sigma), 10, threshold)[:, :2].astype(int)
+    on = np.ones(len(at), bool)
+    for image, least in ((cn, min_corr), (pnr, min_pnr)):
+        if least is not None and len(at):
+            on &= np.asarray(image)[at[:, 0], at[:, 1]] >= least
+    return at[on]

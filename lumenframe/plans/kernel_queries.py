@@ -210,3 +210,22 @@ def w8_motion_search(spark, sf):
 def h6_cells_and_background(spark, sf):
     image = kernels.corr_pnr(evt_movie(spark, sf), 1.0).toPandas()
     return spark.createDataFrame(tune.cells_and_background(image, 1.0, (12, 12)))
+
+
+@query
+def p13_smoothed_peaks(spark, sf):
+    return evaluate.smoothed_peaks(li_footprints(spark, sf), 32, 32)
+
+
+@query
+def e12_model_quality(spark, sf):
+    f = li_footprints(spark, sf)
+    traces = evt_traces(spark, sf).select("k", "t", F.col("v").alias("c"), (F.col("v") * 0.1 - F.col("t")).alias("yra"))
+    noise = spark.range(1024).select(F.col("id").cast("int").alias("p"), F.lit(2.0).alias("sn"))
+    image = spark.range(1024).select(F.col("id").cast("int").alias("p"), F.sin("id").alias("cn"))
+    return evaluate.model_quality(f, traces, evaluate.component_snr(f, noise, 100, 100.0), image, 32, 32, 2.0)
+
+
+@query
+def m26_registration_quality(spark, sf):
+    return kernels.registration_quality(emb_movie(spark, sf), 8, 8)

@@ -76,3 +76,20 @@ def correct(frames: DataFrame, shape: tuple[int, int], params: Params, template:
         if stop:
             break
     return moved, total, template
+
+
+def correct_folder(spark, folder: str, params: Params, *, template_files: int = 10, ssub: int = 1, tsub: int = 1, crop: tuple[int, int, int, int] | None = None, pattern: str = "*.avi") -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Files of a folder decoded, cropped, binned and registered in one narrow stage, without a table in between.
+
+    The template comes from evenly spaced frames of the same plan; passes after the first run on what the one
+    before has left.
+    """
+    from lumenframe.sources import avi
+
+    frames = avi.read_folder(spark, folder, pattern, ssub=ssub, tsub=tsub, crop=crop)
+    height, width = frames.select("height", "width").limit(1).collect()[0]
+    small = params.downscaled(ssub, tsub)
+    most = min(params.mc_template_max_frames, template_files * 200)
+    n_t = frames.agg(F.max("t") + 1).collect()[0][0]
+    template = template_of(sample(frames, n_t, most, (height, width)), small, small.mc_gSig_filt or 2 * small.sigma)
+    return correct(frames.select("t", "px"), (height, width), small, template)

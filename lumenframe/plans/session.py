@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -137,6 +137,34 @@ def _gram(footprints: pd.DataFrame, k: int) -> np.ndarray:
     return out
 
 
+def _less_global(pixels: DataFrame, spatial: DataFrame, temporal: DataFrame) -> DataFrame:
+    """(p, tr) less the global background: its time courses are few, its loads go with their pixels."""
+    rows = temporal.toPandas()
+    f = rows.pivot(index="r", columns="t", values="v").to_numpy()
+    shared = pixels.sparkSession.sparkContext.broadcast(f)
+    loads = spatial.groupBy("p").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda s: s["v"]).alias("bs"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"p": batch["p"], "tr": [np.asarray(t, float) - np.asarray(b, float) @ shared.value for t, b in zip(batch["tr"], batch["bs"])]})
+
+    return pixels.join(loads, "p").select("p", "tr", "bs").mapInPandas(run, "p int, tr array<double>")
+
+
+def placed(model: Model, box: tuple[int, int, int, int], native: tuple[int, int], t0: int = 0, n_t: int | None = None) -> Model:
+    """The model of a crop (y0, y1, x0, x1) from frame t0 on, on the full field and timeline; zeros elsewhere."""
+    y0, _, x0, x1 = box
+    p = model.footprints["p"].to_numpy()
+    moved = model.footprints.assign(p=(p // (x1 - x0) + y0) * native[1] + p % (x1 - x0) + x0)
+
+    def whole(m: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(m), n_t or m.shape[1]))
+        out[:, t0 : t0 + m.shape[1]] = m
+        return out
+
+    return replace(model, shape=native, footprints=moved, traces=whole(model.traces), spikes=whole(model.spikes), rest=whole(model.rest), ring=None, baseline=None)
+
+
 def _numbered(footprints: pd.DataFrame, kept: list[int]) -> pd.DataFrame:
     number = {k: n for n, k in enumerate(kept)}
     f = footprints[footprints["k"].isin(number)].copy()
@@ -218,7 +246,14 @@ def fit(movie: DataFrame, shape: tuple[int, int], params: Params = Params(), *,
 
     def without_background() -> DataFrame:
         centred = pixels.join(b0, "p").select("p", F.expr("transform(tr, v -> v - b0)").alias("tr"))
-        return _ring_apply(centred, ring, height, width, params.ring_radius).checkpoint()
+        out = _ring_apply(centred, ring, height, width, params.ring_radius)
+        return (out if slow is None else _less_global(out, *slow)).checkpoint()
+
+    slow = None
+    if params.global_bg_rank:
+        left = _ring_apply(rest.select("p", "tr"), ring, height, width, params.ring_radius).checkpoint()
+        slow = background.global_background(left, params.global_bg_rank)
+        mark("global")
 
     clean = without_background()
     spikes = np.zeros_like(c)

@@ -228,3 +228,43 @@ def test_streamed_frames_are_registered_once(spark, tmp_path):
         landing.register_landed(landing.landed(spark, str(tmp_path / "in")), base, str(tmp_path / "out"), str(tmp_path / "log"), gsig=None, max_shift=(5, 5)).awaitTermination()
     got = {r.t: (r.dy, r.dx) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: (0.0, 0.0), 1: (-2.0, 0.0)} and spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_global_background_and_placing(spark):
+    movie, *_ = synthetic(t=120)
+    params = Params(sigma=2.5, min_corr=0.5, min_pnr=4.0, border_px=0, seed_method="threshold", global_bg_rank=1, n_iter_main=1)
+    model = session.fit(frames_of(spark, movie), (32, 32), params)
+    assert model.count >= 2
+    full = session.placed(model, (4, 36, 6, 38), (50, 60), 10, 200)
+    p, q = model.footprints["p"].to_numpy(), full.footprints["p"].to_numpy()
+    assert ((q // 60 == p // 32 + 4) & (q % 60 == p % 32 + 6)).all() and full.traces.shape == (model.count, 200) and not full.traces[:, :10].any()
+    big = session.upsampled(model, (64, 64), 240)
+    assert big.traces.shape == (model.count, 240) and big.footprints["p"].max() < 64 * 64
+
+
+def test_tuning_finds_settings_and_reports(spark, tmp_path):
+    from lumenframe.plans import report, tuning
+
+    movie, *_ = synthetic(t=120)
+    frames = frames_of(spark, movie).cache()
+    found = tuning.run_tuning(frames, (32, 32), Params(seed_method="threshold", border_px=0, n_iter_main=1, frame_rate_hz=20.0), spec=tune.SweepSpec(sigma=[2.5]), budget=2)
+    assert found.sweep["score"].is_monotonic_decreasing and found.sweep["K"].max() >= 2 and 0.7 <= found.params.merge_thr_corr <= 0.85
+    report.write(str(tmp_path), "session", {"sweep": found.sweep}, found.params)
+    assert "<table>" in (tmp_path / "report.html").read_text() and "| idx |" in (tmp_path / "report.md").read_text()
+
+
+def test_batch_keeps_going():
+    from lumenframe.plans import tuning
+
+    rows = tuning.run_batch(["a", "b"], lambda n: 1 / (n == "a"))
+    assert rows["ok"].tolist() == [True, False] and "ZeroDivisionError" in rows["result"].iloc[1]
+
+
+def test_folder_is_registered_in_one_go(spark, tmp_path):
+    base = np.random.default_rng(9).random((24, 24))
+    base = (arrays.gaussian(base, 0.5) * 255).astype(np.uint8)
+    for i in range(2):
+        (tmp_path / f"{i}.avi").write_bytes(avi.encode(np.stack([np.roll(base, m, 0) for m in (0, 1, -1, 0)])))
+    moved, shifts, _ = motion.correct_folder(spark, str(tmp_path), Params(max_shift=(4, 4), mc_n_iter=1, mc_gSig_filt=3.0, mc_sharpen_template=False))
+    dy = shifts.toPandas().sort_values("t")["dy"].to_numpy()
+    assert moved.count() == 8 and np.allclose(dy[1] - dy[0], -1, atol=0.3) and np.allclose(dy[2] - dy[0], 1, atol=0.3)
