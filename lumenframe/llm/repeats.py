@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.shared import written
+from lumenframe.llm.shared import tidy, written
 from lumenframe.llm.shingles import mix
 
 LENGTH = 50
@@ -176,6 +176,7 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
 def _shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
     """(key, anchor) of the anchors that several keys have."""
 
+    @tidy
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in _grouped(batches):
             found = [anchors(raw)[0] for _, raw in some]
@@ -190,8 +191,8 @@ def _shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
             heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             many = np.diff(np.append(heads, len(h)))
             local = np.repeat(many > 1, many)
-            if local.any():
-                yield pd.DataFrame({"bucket": -1, "key": key[local], "anchor": h[local].view(np.int64), "packed": None})
+            if local.any():  # known here already: passed on as they are
+                yield pd.DataFrame({"bucket": [int(h[local][0] >> np.uint64(20)) % buckets], "known": True, "packed": [key[local].tobytes() + h[local].tobytes()]})
             # to the others goes one key of each anchor, with a mark if it has several here
             h, key, several = h[heads], key[heads], many > 1
             bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
@@ -201,13 +202,16 @@ def _shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
                 own, short = np.unique(where[part], return_inverse=True)
                 kind = np.uint16 if len(own) <= 1 << 16 else np.uint32
                 packed = b"".join([np.array([len(own), len(part)], np.int64).tobytes(), names[own].tobytes(), h[part].tobytes(), short.astype(kind).tobytes(), several[part].tobytes()])
-                yield pd.DataFrame({"bucket": [bucket[part[0]]], "key": [0], "anchor": [0], "packed": [packed]})
-
-    sent = written(texts.select("key", "z").mapInPandas(scan, "bucket long, key long, anchor long, packed binary"), "repeat-anchors")
+                yield pd.DataFrame({"bucket": [bucket[part[0]]], "known": False, "packed": [packed]})
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
-        hs, keys, marks = [], [], []
-        for data in part["packed"]:
+        hs, keys, marks, out_keys, out_anchors = [], [], [], [], []
+        for data, known in zip(part["packed"], part["known"]):
+            if known:
+                n = len(data) // 16
+                out_keys.append(np.frombuffer(data, np.int64, n))
+                out_anchors.append(np.frombuffer(data, np.int64, n, 8 * n))
+                continue
             n_keys, n = np.frombuffer(data, np.int64, 2)
             at = 16 + 8 * n_keys
             names = np.frombuffer(data, np.int64, n_keys, 16)
@@ -215,17 +219,20 @@ def _shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
             kind = np.uint16 if n_keys <= 1 << 16 else np.uint32
             keys.append(names[np.frombuffer(data, kind, n, at + 8 * n)])
             marks.append(np.frombuffer(data, bool, n, at + (8 + np.dtype(kind).itemsize) * n))
-        h, key, mark = (np.concatenate(x) for x in (hs, keys, marks))
-        order = np.lexsort((key, h))
-        h, key, mark = h[order], key[order], mark[order]
-        heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        many = np.diff(np.append(heads, len(h)))
-        ends = heads + many - 1
-        on = np.repeat(key[heads] != key[ends], many) & ~mark  # marked ones were named where they are
-        return pd.DataFrame({"key": key[on], "anchor": h[on].view(np.int64)})
+        if hs:
+            h, key, mark = (np.concatenate(x) for x in (hs, keys, marks))
+            order = np.lexsort((key, h))
+            h, key, mark = h[order], key[order], mark[order]
+            heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            many = np.diff(np.append(heads, len(h)))
+            ends = heads + many - 1
+            on = np.repeat(key[heads] != key[ends], many) & ~mark  # marked ones are known where they are
+            out_keys.append(key[on])
+            out_anchors.append(h[on].view(np.int64))
+        return pd.DataFrame({"key": np.concatenate(out_keys), "anchor": np.concatenate(out_anchors)})
 
-    far = sent.where("bucket >= 0").select("bucket", "packed").groupBy("bucket").applyInPandas(meet, "key long, anchor long")
-    return sent.where("bucket = -1").select("key", "anchor").unionByName(far)
+    sent = texts.select("key", "z").mapInPandas(scan, "bucket long, known boolean, packed binary")
+    return sent.groupBy("bucket").applyInPandas(meet, "key long, anchor long")
 
 
 def _spans(texts: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
@@ -233,6 +240,7 @@ def _spans(texts: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     each = shared.groupBy(F.col("key").alias("of")).agg(F.collect_set("anchor").alias("marks"))
     rows = texts.join(each, texts["key"] == each["of"]).select("key", "tag", "marks", "z")
 
+    @tidy
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         press = zstandard.ZstdCompressor(level=3)
         for some in _grouped(batches):
@@ -264,39 +272,42 @@ def _spans(texts: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
             least = np.repeat(key[order][heads], many)
             later = order[key[order] > least]
             if len(later):  # the same surroundings in a smaller key of this group: covered whatever else there is
-                yield pd.DataFrame({"bucket": -1, "key": key[later], "tag": tag[later], "first": p[later] - left[later], "past": p[later] + ANCHOR + right[later], "packed": None})
+                known = np.stack([key[later], tag[later], p[later] - left[later], p[later] + ANCHOR + right[later]]).astype(np.int64)
+                yield pd.DataFrame({"bucket": [int(h[later[0]] >> np.uint64(20)) % buckets], "known": True, "packed": [press.compress(known.tobytes())]})
             rest = np.sort(order[key[order] == least])
             bucket = ((h[rest] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
                 x = rest[part]
                 packed = b"".join([h[x].tobytes(), key[x].tobytes(), tag[x].tobytes(), p[x].astype(np.int64).tobytes(), left[x].astype(np.uint8).tobytes(), right[x].astype(np.uint8).tobytes(), mat[x].tobytes()])
-                yield pd.DataFrame({"bucket": [bucket[part[0]]], "key": [0], "tag": [0], "first": [0], "past": [0], "packed": [press.compress(packed)]})
-
-    sent = written(rows.mapInPandas(contexts, "bucket long, key long, tag long, first long, past long, packed binary"), "repeat-contexts", "none")
+                yield pd.DataFrame({"bucket": [bucket[part[0]]], "known": False, "packed": [press.compress(packed)]})
 
     def resolve(part: pd.DataFrame) -> pd.DataFrame:
         got: list[list[np.ndarray]] = [[] for _ in range(7)]
+        out = [np.empty((4, 0), np.int64)]
         width = LENGTH + REACH
-        for z in part["packed"]:
+        for z, known in zip(part["packed"], part["known"]):
             data = _unzipped(z)
+            if known:
+                out.append(np.frombuffer(data, np.int64).reshape(4, -1))
+                continue
             n, start = len(data) // (34 + width), 0
             for column, kind in zip(got, (np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8)):
                 column.append(np.frombuffer(data, kind, n, start))
                 start += n * np.dtype(kind).itemsize
             got[6].append(np.frombuffer(data, np.uint8, n * width, start).reshape(n, width))
-        h, key, tag, p, left, right, mat = (np.concatenate(x) for x in got)
-        on = covered_offsets(h, mat, left.astype(np.int64), right.astype(np.int64), key)
-        row, o = np.nonzero(on)
-        # runs of neighbouring offsets are one span
-        heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (o[1:] != o[:-1] + 1)])[: len(row)])
-        last = np.append(heads[1:], len(row)) - 1 if len(row) else heads
-        first, past = p[row[last]] - o[last], p[row[heads]] - o[heads] + LENGTH
-        return pd.DataFrame({"key": key[row[heads]], "tag": tag[row[heads]], "first": first, "past": past})
+        if got[0]:
+            h, key, tag, p, left, right, mat = (np.concatenate(x) for x in got)
+            on = covered_offsets(h, mat, left.astype(np.int64), right.astype(np.int64), key)
+            row, o = np.nonzero(on)
+            # runs of neighbouring offsets are one span
+            heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (o[1:] != o[:-1] + 1)])[: len(row)])
+            last = np.append(heads[1:], len(row)) - 1 if len(row) else heads
+            out.append(np.stack([key[row[heads]], tag[row[heads]], p[row[last]] - o[last], p[row[heads]] - o[heads] + LENGTH]))
+        return pd.DataFrame(dict(zip(("key", "tag", "first", "past"), np.concatenate(out, 1))))
 
-    names = "key long, tag long, first long, past long"
-    far = sent.where("bucket >= 0").select("bucket", "packed").groupBy("bucket").applyInPandas(resolve, names)
-    return sent.where("bucket = -1").select("key", "tag", "first", "past").unionByName(far)
+    sent = rows.mapInPandas(contexts, "bucket long, known boolean, packed binary")
+    return sent.groupBy("bucket").applyInPandas(resolve, "key long, tag long, first long, past long")
 
 
 def drop_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -329,10 +340,11 @@ def drop_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     texts = spark.table(name)
     size = known.agg(F.sum("n")).collect()[0][0] or 0
     shares = max(1, -(-int(size) // PER_BUCKET))
-    spans = _spans(texts, written(_shared_anchors(texts, shares), "repeat-shared"), shares)
+    spans = _spans(texts, _shared_anchors(texts, shares), shares)
     merged = written(spans.groupBy(F.col("key").alias("of"), F.col("tag").alias("of_tag")).agg(F.collect_list(F.struct("first", "past")).alias("spans")), "repeat-spans")
     found = texts.join(merged, (texts["key"] == merged["of"]) & (texts["tag"] == merged["of_tag"]), "left").select("key", "tag", "spans", "z")
 
+    @tidy
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in _grouped(batches):
             out = []
@@ -354,6 +366,13 @@ def drop_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return joined.select("id", F.col("n").alias("n_bytes"), *out)
 
 
+def drop_texts(spark) -> None:
+    """Removes the tables that earlier calls have left in the warehouse; results that are not read yet need theirs."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("repeat_texts_"):
+            spark.sql(f"drop table `{t.name}`")
+
+
 def _cut(data: bytes, spans) -> tuple[bytes, int]:
     """What is left of the bytes, and the number of maximal runs removed."""
     if spans is None or not len(spans):
