@@ -5,7 +5,7 @@ Every function takes `by`, the columns that tell recordings apart (none: one rec
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -36,6 +36,28 @@ def pixels_of(movie: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return movie.groupBy(*by, "y", "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda s: s["v"]).alias("tr"))
 
 
+def transposed(frames: DataFrame, block: int = 256, kind: str = "float64") -> DataFrame:
+    """(p, tr) of frames (t, px): the physical transpose, moved as packed blocks and never as single values.
+
+    A batch of frames is cut into blocks of pixels; a block's parts meet in one task and are ordered by time.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x, t = np.stack(batch["px"].to_list()).astype(kind), batch["t"].to_numpy(np.int64).tobytes()
+                starts = range(0, x.shape[1], block)
+                yield pd.DataFrame({"b": list(starts), "t": [t] * len(starts), "v": [np.ascontiguousarray(x[:, s : s + block]).tobytes() for s in starts]})
+
+    def join(part: pd.DataFrame) -> pd.DataFrame:
+        times = [np.frombuffer(t, np.int64) for t in part["t"]]
+        x = np.concatenate([np.frombuffer(v, kind).reshape(len(t), -1) for v, t in zip(part["v"], times)])
+        x = x[np.argsort(np.concatenate(times), kind="stable")].T.astype(float)
+        return pd.DataFrame({"p": part["b"].iloc[0] + np.arange(len(x)), "tr": list(x)})
+
+    return frames.select("t", "px").mapInPandas(cut, "b int, t binary, v binary").groupBy("b").applyInPandas(join, "p int, tr array<double>")
+
+
 def long_of_frames(frames: DataFrame, width: int, by: Sequence[str] = ()) -> DataFrame:
     """Back from frames to (by, t, y, x, v)."""
     return with_coordinates(frames.select(*by, "t", F.posexplode("px").alias("p", "v")), width).select(*by, "t", "y", "x", F.col("v").cast("double").alias("v"))

@@ -172,19 +172,35 @@ def _numbered(footprints: pd.DataFrame, kept: list[int]) -> pd.DataFrame:
     return f
 
 
-def _merged(spark, footprints: pd.DataFrame, traces: np.ndarray, width: int, params: Params) -> tuple[pd.DataFrame, list[list[int]]]:
-    """Footprints after merging, and the members of each new component."""
+def _merged(footprints: pd.DataFrame, traces: np.ndarray, width: int, params: Params) -> tuple[pd.DataFrame, list[list[int]]]:
+    """Footprints after merging, and the members of each new component.
+
+    The rule of `components.merge_pairs`, on what the driver holds anyway: pairs with |r| over the threshold,
+    and weighted Jaccard or nearness of centroids; connected pairs are one component.
+    """
     k = len(traces)
     if k < 2:
         return footprints, [[i] for i in range(k)]
-    f = spark.createDataFrame(footprints, "k int, p int, a double")
-    t = spark.createDataFrame(pd.DataFrame({"k": np.repeat(np.arange(k), traces.shape[1]), "t": np.tile(np.arange(traces.shape[1]), k), "v": traces.ravel()}), "k int, t int, v double")
-    pairs = components.merge_pairs(f, t, corr=params.merge_thr_corr, overlap=params.merge_thr_overlap, near=params.merge_centre_dist_factor * params.sigma, width=width)
-    labels = components.label_groups(pairs, f.select("k")).toPandas()  # a row for each component
-    groups = [sorted(g["k"].tolist()) for _, g in labels.groupby("label")]
+    gram = _gram(footprints, k)
+    energy = np.diag(gram)
+    jaccard = gram / np.maximum(energy[:, None] + energy[None, :] - gram, 1e-12)
+    sums = footprints.assign(y=footprints["p"] // width * footprints["a"], x=footprints["p"] % width * footprints["a"]).groupby("k")[["a", "y", "x"]].sum().reindex(range(k), fill_value=np.nan)
+    at = sums[["y", "x"]].to_numpy() / sums[["a"]].to_numpy()
+    apart = np.hypot(at[:, None, 0] - at[None, :, 0], at[:, None, 1] - at[None, :, 1])
+    z = traces - traces.mean(1, keepdims=True)
+    z /= np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-12)
+    near = (jaccard > params.merge_thr_overlap) | (apart <= params.merge_centre_dist_factor * params.sigma)
+    link = (np.abs(z @ z.T) > params.merge_thr_corr) & near
+    label = np.arange(k)
+    while True:  # smallest label around, then the label of that label
+        new = np.minimum(label, np.where(link, label[None, :], k).min(1))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    groups = [np.flatnonzero(label == m).tolist() for m in np.unique(label)]
     number = {m: n for n, g in enumerate(groups) for m in g}
-    merged = footprints.assign(k=footprints["k"].map(number)).groupby(["k", "p"], as_index=False)["a"].sum()
-    return merged, groups
+    return footprints.assign(k=footprints["k"].map(number)).groupby(["k", "p"], as_index=False)["a"].sum(), groups
 
 
 def fit(movie: DataFrame, shape: tuple[int, int], params: Params = Params(), *, correct_motion: bool = False, evaluate_: bool = True) -> Model:
@@ -201,8 +217,7 @@ def fit(movie: DataFrame, shape: tuple[int, int], params: Params = Params(), *,
         if correct_motion:
             movie, _, _ = motion.correct(movie, shape, params)
             mark("motion")
-        long = movie.select("t", F.posexplode("px").alias("p", "v"))
-        movie = long.groupBy("p").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda s: s["v"]).alias("tr"))
+        movie = movies.transposed(movie)
     pixels = movie.select(F.col("p").cast("int").alias("p"), "tr").checkpoint()
     noise = kernels.noise_of(pixels).select("p", "sn").checkpoint()
     sn = np.zeros(height * width)
@@ -224,7 +239,7 @@ def fit(movie: DataFrame, shape: tuple[int, int], params: Params = Params(), *,
     f = pd.DataFrame({"k": np.repeat(found.index, found["ps"].map(len)), "p": np.concatenate(found["ps"].to_list()), "a": np.concatenate(found["as"].to_list())})
     c = np.stack(found["c"].to_list()).astype(float)
     if size < max(shape):  # tiles overlap: components that two of them found become one
-        f, groups = _merged(spark, f, c, width, params)
+        f, groups = _merged(f, c, width, params)
         c = np.stack([np.maximum(c[g].mean(0), 0) for g in groups])
     if params.max_neurons and len(c) > params.max_neurons:
         energy = (c**2).sum(1) * f.groupby("k")["a"].apply(lambda a: (a**2).sum()).reindex(range(len(c)), fill_value=0).to_numpy()
@@ -271,7 +286,7 @@ def fit(movie: DataFrame, shape: tuple[int, int], params: Params = Params(), *,
         noise_k = _footprint_noise(f, sn, len(c))
         c, spikes = components.temporal_update(_project(clean, f, len(c)), _gram(f, len(c)), c, g, noise_k, rounds=params.n_iter_temporal, deconvolve=not (i == 0 and params.skip_first_deconv))
         mark(f"temporal{i}")
-        f, groups = _merged(spark, f, c, width, params)
+        f, groups = _merged(f, c, width, params)
         if len(groups) < len(c):
             c, g = np.stack([np.maximum(c[m].mean(0), 0) for m in groups]), np.array([g[m[0]] for m in groups])
         b0 = _residual(pixels, f, c).select("p", "b0").checkpoint()

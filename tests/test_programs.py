@@ -184,6 +184,34 @@ def test_overlaps_in_blocks_equal_whole(spark):
     assert one.keys() == two.keys() and all(abs(one[q] - g[q]) < 1e-9 and abs(two[q] - g[q]) < 1e-9 for q in one)
 
 
+def test_transpose_equals_numpy(spark):
+    x = np.random.default_rng(8).random((37, 30))
+    df = spark.createDataFrame(pd.DataFrame({"t": np.arange(37), "px": x.tolist()}), "t int, px array<double>").repartition(4)
+    got = movies.transposed(df, block=7).toPandas().sort_values("p")
+    assert got["p"].tolist() == list(range(30)) and np.allclose(np.stack(got["tr"]), x.T)
+
+
+def test_driver_merge_equals_relational_merge(spark):
+    r = np.random.default_rng(10)
+    base = r.random((4, 60))
+    rows, traces = [], []
+    for k in range(9):
+        cy, cx = [(8, 8), (8, 9), (20, 20), (21, 20), (30, 5)][k % 5]
+        y, x = np.mgrid[:40, :40]
+        a = np.exp(-((y - cy) ** 2 + (x - cx) ** 2) / 8.0).ravel()
+        p = np.flatnonzero(a > 0.1)
+        rows.append(pd.DataFrame({"k": k, "p": p, "a": a[p]}))
+        traces.append(base[k % 4] + 0.1 * r.random(60))
+    f, c = pd.concat(rows, ignore_index=True), np.stack(traces)
+    params = Params(sigma=1.0, merge_thr_corr=0.7)
+    _, groups = session._merged(f, c, 40, params)
+    t = spark.createDataFrame(pd.DataFrame({"k": np.repeat(np.arange(9), 60), "t": np.tile(np.arange(60), 9), "v": c.ravel()}), "k int, t int, v double")
+    df = spark.createDataFrame(f, "k int, p int, a double")
+    pairs = components.merge_pairs(df, t, corr=0.7, overlap=params.merge_thr_overlap, near=2.0, width=40)
+    labels = components.label_groups(pairs, df.select("k")).toPandas()
+    assert sorted(groups) == sorted(sorted(g["k"].tolist()) for _, g in labels.groupby("label")) and len(groups) < 9
+
+
 def test_empty_tables_give_empty_results(spark):
     movie = spark.createDataFrame([], "t int, y int, x int, v double")
     assert movies.reject_outliers(movie).count() == 0
