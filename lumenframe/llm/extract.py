@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.shared import fresh, written
+from lumenframe.llm.shared import fresh, tidy, written
 
 DEPTH = 8
 
@@ -165,6 +165,7 @@ def extract(df: DataFrame, *, html_col: str = "html", url_col: str = "url", text
     parsed, host, windows, page, repeated = fresh(df, "extract_blocks", "extract_host", "extract_windows", "extract_page", "extract_repeated")
 
     @F.pandas_udf("texts array<string>, done boolean, windows array<long>, page long")
+    @tidy
     def parse(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in pages:
             rows = []

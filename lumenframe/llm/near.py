@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.llm import shingles
-from lumenframe.llm.shared import fresh, written
+from lumenframe.llm.shared import fresh, tidy, written
 
 BANDS, ROWS = 36, 4
 PERCENT = 75
@@ -50,6 +50,7 @@ def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, node, n, sketch): the digest of the shingle set, its size and registers; null where it is empty."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at, group in _batches(list(batch["text"])):
@@ -68,6 +69,7 @@ def full_sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> D
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(wanted, rows["id"].eqNullSafe(wanted["wanted_id"]), "left_semi").select("text")
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, group in _batches(list(batch["text"])):
@@ -123,6 +125,7 @@ def near_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     own = each.where("n > 0").select("id", "node", "sketch").join(reps.withColumnRenamed("id", "rep"), "node").where(F.col("id").eqNullSafe(F.col("rep")))
     nodes = written(own.dropDuplicates(["node"]).select("node", "n", "sketch", F.col("rep").alias("id")), "near-nodes")
 
+    @tidy
     def band(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         salt = shingles.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         for batch in batches:

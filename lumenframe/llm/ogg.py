@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenframe.llm.shared import tidy
+
 RATE = 8_000
 PACKET = 4_096
 MAGIC = b"PCM8\x00\x00\x00\x01"
@@ -188,6 +190,7 @@ def inspected(media: str | Column) -> Column:
     """Struct column about an Ogg file that `stored` made, read back from its bytes; damage raises OggError."""
 
     @F.pandas_udf(_REPORT)
+    @tidy
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in _REPORT.split(", ")]
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenframe.llm.shared import written
+from lumenframe.llm.shared import tidy, written
 
 WINDOW = 1024
 QUANTUM = 128
@@ -88,6 +88,7 @@ def tokenized(df: DataFrame, encoder_args: tuple, *, id_col: str, text_col: str,
     """(id, source, part, before, n, ids): a document's tokens, and those of its source before it in its partition."""
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
 
+    @tidy
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, before, part = Encoder(*encoder_args), {}, TaskContext.get().partitionId()
         for batch in batches:
@@ -136,6 +137,7 @@ def pack(df: DataFrame, encoder_args: tuple, *, id_col: str = "doc_id", text_col
     joined = tokens.join(bases, (tokens["part"] == bases["of_part"]) & tokens["source"].eqNullSafe(bases["named"]))
     rows = joined.select("id", "number", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
 
+    @tidy
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), 1_000):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -12,6 +14,26 @@ from pyspark.sql import functions as F
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
 
+def tidy(f):
+    """A function over batches that hands its worker's free memory back when its partition ends.
+
+    Workers are used again and would otherwise keep the most that any stage has needed.
+    """
+
+    @functools.wraps(f)
+    def run(batches):
+        yield from f(batches)
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir.
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.shared import unit_hash, written
+from lumenframe.llm.shared import tidy, unit_hash, written
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
@@ -125,6 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     pairs = spark.createDataFrame(pd.DataFrame({"_id": list(chosen), "_y": list(chosen.values())}), "_id long, _y int")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(pairs), "_id")
 
+    @tidy
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros((2, 1 << BITS), np.int64)
         docs_of = np.zeros(2, np.int64)
@@ -153,6 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     column_of[f] = np.arange(len(f))
     shared = spark.sparkContext.broadcast(column_of.astype(np.int32))
 
+    @tidy
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [shared.value[np.unique(ngram_buckets(text))] for text in batch["_text"]]
@@ -173,6 +175,7 @@ def score(df: DataFrame, model: Model, text: str | Column = "text") -> Column:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
+    @tidy
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([shared.value.score(t) for t in batch], dtype="float64")
