@@ -130,3 +130,64 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     found = extract.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+ORACLES["op7_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), each AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END) AS s FROM w
+), size AS (
+  SELECT doc_id, count(*) AS n FROM each GROUP BY doc_id
+), link AS (
+  SELECT a.doc_id AS i, b.doc_id AS j FROM each AS a JOIN each AS b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN size AS p ON p.doc_id = a.doc_id JOIN size AS q ON q.doc_id = b.doc_id
+  WHERE 100 * least(p.n, q.n) >= 75 * greatest(p.n, q.n)
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))
+), reach(k, label) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT l.j, r.label FROM reach AS r JOIN link AS l ON l.i = r.k
+), best AS (
+  SELECT k, min(label) AS component_id FROM reach GROUP BY k
+)
+SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, b.component_id, b.component_id = d.doc_id AS kept
+FROM documents AS d JOIN best AS b ON b.k = d.doc_id LEFT JOIN size AS z ON z.doc_id = d.doc_id
+"""
+
+
+ORACLES["op8_suffix_dedup"] = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), part AS (
+  SELECT doc_id, "at", n, substring(h, 2 * "at" + 1, 610) AS h FROM (SELECT doc_id, h, length(h) // 2 AS n, unnest(range(0, length(h) // 2, 256)) AS "at" FROM d)
+), b AS (
+  SELECT doc_id, "at" + j AS s, substring(h, 2 * j + 1, 2) AS byte, CASE WHEN "at" + j + 50 <= n THEN substring(h, 2 * j + 1, 100) END AS w
+  FROM (SELECT doc_id, "at", n, h, unnest(range(least(256, n - "at"))) AS j FROM part)
+), least_of AS (
+  SELECT w, min(doc_id) AS lo FROM b WHERE w IS NOT NULL GROUP BY w
+), hit AS (
+  SELECT b.doc_id, b.s, b.byte, max(CASE WHEN l.lo < b.doc_id THEN b.s END) OVER (PARTITION BY b.doc_id ORDER BY b.s) AS last
+  FROM b LEFT JOIN least_of AS l ON l.w = b.w
+), marked AS (
+  SELECT doc_id, s, byte, coalesce(s - last < 50, false) AS gone FROM hit
+), edged AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY s), false) AS starts FROM marked
+), found AS (
+  SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE starts) AS n_spans,
+    coalesce(string_agg(byte, '' ORDER BY s) FILTER (WHERE NOT gone), '') AS kept FROM edged GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(f.n_bytes, 0) AS BIGINT) AS n_bytes, CAST(coalesce(f.n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(f.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(f.kept, ''))) AS kept_sha256
+FROM documents AS d LEFT JOIN found AS f ON f.doc_id = d.doc_id
+"""
+
+
+#: For pages whose article is one element without furniture in it, as all pages of the given tables are.
+ORACLES["op2_html_text"] = r"""
+WITH block AS (
+  SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h1|br)>'),
+    lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))),
+    lambda x: x <> '') AS bs FROM pages
+)
+SELECT page_id, url, array_to_string(bs, chr(10)) AS text, CAST(length(array_to_string(bs, chr(10))) AS BIGINT) AS n_chars FROM block
+"""

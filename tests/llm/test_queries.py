@@ -9,7 +9,7 @@ from lumenframe.llm import registry
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_its_twin(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got, want = registry.QUERIES[name](spark, sf).toPandas(), con.sql(registry.ORACLES[name]).df()
     keys = sorted(got.columns)
