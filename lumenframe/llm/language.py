@@ -10,7 +10,7 @@ cost over all words of the whole text wins, ties go to the first in alphabetical
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.shared import unit_hash, written
+from lumenframe.llm.shared import tidy, unit_hash, written
 
 #: Labelled documents of each language that a fit uses, about (chosen by a hash of their id).
 MAX_FIT = 1_000
@@ -30,28 +30,31 @@ LENGTHS = (5, 4, 3, 2, 1)
 PENALTY = 7.0
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 200_000
+_CACHE = 400_000
 
 
 @dataclass
 class Model:
     languages: list[str]
-    #: entry -> cost by language; words as they are, n-grams with their length in front
-    costs: dict[str, np.ndarray]
+    #: length (0: whole words) -> entry -> row of costs
+    entries: dict[int, dict[str, int]]
+    #: cost of each entry in each language
+    costs: np.ndarray
     cache: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self):
         self._rows = np.zeros((1024, max(1, len(self.languages))), np.float32)
 
     def word_cost(self, word: str) -> np.ndarray:
-        known = self.costs.get(word)
-        if known is not None:
-            return known
+        at = self.entries.get(0, {}).get(word)
+        if at is not None:
+            return self.costs[at]
         padded = f" {word} "
         for n in LENGTHS:
-            found = [c for i in range(len(padded) - n + 1) if (c := self.costs.get(f"{n}{padded[i : i + n]}")) is not None]
+            get = self.entries.get(n, {}).get
+            found = [r for i in range(len(padded) - n + 1) if (r := get(padded[i : i + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.costs[found].sum(0) / len(found)
         return np.full(len(self.languages), PENALTY, np.float32)
 
     def _row(self, word: str) -> int:
@@ -104,18 +107,25 @@ def count_entries(texts: list[str | None]) -> Counter:
 def build(counts: dict[str, dict[str, int]]) -> Model:
     """counts: language -> entry -> count."""
     languages = sorted(counts)
-    total = {lang: defaultdict(int) for lang in languages}
-    entries: dict[str, np.ndarray] = {}
+    kind = lambda e: int(e[0]) if e[0].isdigit() else 0
+    entries: dict[int, dict[str, int]] = {n: {} for n in (0, *LENGTHS)}
+    for lang in languages:
+        for e in counts[lang]:
+            own = entries[kind(e)]
+            own.setdefault(e[1:] if kind(e) else e, -1)
+    at = 0
+    for own in entries.values():
+        for e in own:
+            own[e] = at
+            at += 1
+    costs = np.full((at, len(languages)), PENALTY, np.float32)
     for i, lang in enumerate(languages):
-        for entry, c in counts[lang].items():
-            total[lang][entry[0] if entry[0].isdigit() else "w"] += c
-    for i, lang in enumerate(languages):
-        for entry, c in counts[lang].items():
-            row = entries.get(entry)
-            if row is None:
-                row = entries[entry] = np.full(len(languages), PENALTY, np.float32)
-            row[i] = min(PENALTY, -np.log10(c / total[lang][entry[0] if entry[0].isdigit() else "w"]))
-    return Model(languages, entries)
+        total: Counter = Counter()
+        for e, c in counts[lang].items():
+            total[kind(e)] += c
+        for e, c in counts[lang].items():
+            costs[entries[kind(e)][e[1:] if kind(e) else e], i] = min(PENALTY, -np.log10(c / total[kind(e)]))
+    return Model(languages, entries, costs)
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_FIT) -> Model:
@@ -126,12 +136,13 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
     if not sizes:
-        return Model([], {})
+        return Model([], {}, np.zeros((0, 0), np.float32))
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, max_rows / n)])
     rows = labelled.where(unit_hash(id_col) < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
+    @tidy
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, part in batch.groupby("lang"):
@@ -153,9 +164,10 @@ def predict(df: DataFrame, model: Model, text: str | Column = "text") -> Column:
 
     `und` with score 0 for null texts and texts without a letter.
     """
-    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.costs))
+    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.entries, model.costs))
 
     @F.pandas_udf("lang_pred string, score double")
+    @tidy
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Model(*shared.value)
         for batch in batches:

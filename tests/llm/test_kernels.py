@@ -178,7 +178,7 @@ def test_language_backs_off_from_words_to_ngrams():
     assert model.predict(None) == ("und", 0.0) and model.predict("123 !?")[0] == "und" and model.predict("")[0] == "und"
     lang, score = model.predict("日本")
     assert lang in ("de", "en") and 0 <= score <= 1  # only the padding is known
-    assert language.Model([], {}).predict("abc")[0] == "und"
+    assert language.Model([], {}, np.zeros((0, 0))).predict("abc")[0] == "und"
     long = model.predict("the sun " * 300_000)
     assert long[0] == "en"
 
