@@ -29,7 +29,7 @@ ANCHOR = 16
 REACH = LENGTH - ANCHOR
 #: Documents' bytes that a task looks at together, and bytes of text for each bucket of anchors.
 FLUSH = 16_000_000
-PER_BUCKET = 16_000_000
+PER_BUCKET = 4_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LAST_ID = (1 << 63) - 1
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import tempfile
@@ -10,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = 2_000
+
 #: Words of a text: runs of anything but ASCII white space.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -50,11 +53,24 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Workers get at most BATCH rows at a time from plans that start inside: texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(min(BATCH, int(before)) if before and int(before) > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage is cut and its size is known to the planner."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
