@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency: lines that a large share of a host's pages contain are boilerplate.
 
 Every host's pages are counted, and for every line the pages of that host that contain it; a line on more than
-`ratio` of them (and on `min_pages` at least) is dropped from all pages of that host. DataFrame functions only.
+`ratio` of them (and on `min_pages` at least) is dropped from all pages of that host. Pages with equal texts count
+as one, so that copies do not make each other boilerplate. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -15,21 +16,26 @@ RATIO = 0.1
 MIN_PAGES = 5
 
 
-def boilerplate(df: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(df: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = False) -> DataFrame:
     """Columns (host, lines): for each host with any, the pairs of hashes of its boilerplate lines.
 
     A list has at most (mean lines of the host's pages) / ratio entries, since each entry is on more than
-    ratio of the pages. A null host is a host of its own; empty lines never count.
+    ratio of the pages. A null host is a host of its own; empty lines never count. With copies, every row is a
+    page, otherwise every text that the host has (null texts are one).
     """
-    keyed = df.select(F.col(host_col).alias("host"), F.array_distinct(F.split(text_col, "\n", -1)).alias("lines"))
-    each = keyed.select("host", F.explode("lines").alias("line")).where("line != ''")
-    on = each.select("host", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).groupBy("host", "a", "b").agg(F.count("*").alias("on"))
-    pages = df.select(F.col(host_col).alias("of")).groupBy("of").agg(F.count("*").alias("pages"))
+    keyed = df.select(F.col(host_col).alias("host"), F.xxhash64(text_col).alias("page"), F.array_distinct(F.split(text_col, "\n", -1)).alias("lines"))
+    each = keyed.select("host", "page", F.explode("lines").alias("line")).where("line != ''")
+    each = each.select("host", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), "page")
+    rows = df.select(F.col(host_col).alias("of"), F.xxhash64(text_col).alias("page"))
+    if not copies:
+        each, rows = each.distinct(), rows.distinct()
+    on = each.groupBy("host", "a", "b").agg(F.count("*").alias("on"))
+    pages = rows.groupBy("of").agg(F.count("*").alias("pages"))
     often = on.where(F.col("on") >= min_pages).join(pages, F.col("host").eqNullSafe(F.col("of"))).where(F.col("on") > F.lit(float(ratio)) * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("lines"))
 
 
-def drop_boilerplate(df: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, count_col: str | None = None) -> DataFrame:
+def drop_boilerplate(df: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = False, count_col: str | None = None) -> DataFrame:
     """df with the text of every row freed from its host's boilerplate lines; all rows stay.
 
     The other lines keep their order and repeats. A text of boilerplate only becomes empty; null and empty
@@ -37,7 +43,7 @@ def drop_boilerplate(df: DataFrame, *, host_col: str = "source", text_col: str =
     """
     host, flags = fresh(df, "host_of_lines", "boilerplate_lines")
     # written first: the planner then knows its size and broadcasts it only if it is small
-    found = written(boilerplate(df, host_col=host_col, text_col=text_col, ratio=ratio, min_pages=min_pages), "line-dedup").toDF(host, flags)
+    found = written(boilerplate(df, host_col=host_col, text_col=text_col, ratio=ratio, min_pages=min_pages, copies=copies), "line-dedup").toDF(host, flags)
     joined = df.join(found, df[host_col].eqNullSafe(found[host]), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(lines, lambda x: (x == "") | ~F.array_contains(F.col(flags), F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))))

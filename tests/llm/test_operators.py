@@ -150,6 +150,18 @@ def test_lines_equal_brute_force(docs, none):
     assert lines.drop_boilerplate(docs).columns == docs.columns and lines.drop_boilerplate(none).count() == 0
 
 
+def test_copies_of_a_document_do_not_make_its_lines_boilerplate(spark):
+    r = random.Random(11)
+    copied = f"{prose(30, r)}\n{prose(30, r)}"
+    rows = [(i, f"menu home\n{copied}", "s") for i in range(10)] + [(10 + i, f"menu home\n{prose(40, r)}", "s") for i in range(20)]
+    df = spark.createDataFrame([(*x, "en", len(x[1])) for x in rows], "doc_id long, text string, source string, lang string, n_chars long").repartition(3)
+    found = corpus_pipeline.drop_lines(spark, df, "")
+    got = {x.doc_id: x.text for x in found.collect()}
+    assert got == {i: text.removeprefix("menu home\n") for i, text, _ in rows}
+    left = [x.text for x in corpus_pipeline.keep_one_of_each(spark, found, "").collect()]
+    assert left.count(copied) == 1 and len(left) == 21
+
+
 def test_mix_meets_targets_and_repeats(docs, none):
     one, two = (mixing.mix(d, block=16).collect() for d in (docs, docs.repartition(3)))
     assert Counter(one) == Counter(two) and len(one) == len(corpus())
