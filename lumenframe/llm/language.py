@@ -18,14 +18,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumenframe.llm.shared import tidy, unit_hash, written
 
 #: Labelled documents of each language that a fit uses, about (chosen by a hash of their id).
 MAX_FIT = 1_000
-#: Entries of the model for each length (0: whole words), the most frequent ones.
+#: Entries of each language and length (0: whole words), the most frequent ones; fewer for many languages, equally
+#: many for each, so that the costs of all stay within MAX_CELLS for each length (met from 23 languages on).
 MAX_ENTRIES = 60_000
+MAX_CELLS = 30_000_000
 MAX_LANGUAGES = 500
+#: Entries seen once are kept in languages with fewer words than this.
+LITTLE = 100_000
 LENGTHS = (5, 4, 3, 2, 1)
 PENALTY = 7.0
 UNKNOWN = "und"
@@ -104,10 +109,10 @@ def count_entries(texts: list[str | None]) -> Counter:
     return out
 
 
-def build(counts: dict[str, dict[str, int]]) -> Model:
-    """counts: language -> entry -> count."""
+def build(counts: dict[str, dict[str, int]], totals: dict[str, dict[int, int]] | None = None) -> Model:
+    """counts: language -> entry -> count; totals: language -> length -> count of all entries, also of those left out."""
     languages = sorted(counts)
-    kind = lambda e: int(e[0]) if e[0].isdigit() else 0
+    kind = lambda e: int(e[0]) if e[0] in "12345" else 0
     entries: dict[int, dict[str, int]] = {n: {} for n in (0, *LENGTHS)}
     for lang in languages:
         for e in counts[lang]:
@@ -123,6 +128,7 @@ def build(counts: dict[str, dict[str, int]]) -> Model:
         total: Counter = Counter()
         for e, c in counts[lang].items():
             total[kind(e)] += c
+        total.update({n: c - total[n] for n, c in (totals or {}).get(lang, {}).items()})
         for e, c in counts[lang].items():
             costs[entries[kind(e)][e[1:] if kind(e) else e], i] = min(PENALTY, -np.log10(c / total[kind(e)]))
     return Model(languages, entries, costs)
@@ -150,13 +156,24 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
                 yield pd.DataFrame({"lang": lang, "entry": list(found), "n": list(found.values())})
 
     summed = rows.mapInPandas(count, "lang string, entry string, n long").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
-    kinds = written(summed.where("n >= 2"), "language-entries").withColumn("kind", F.when(F.col("entry").rlike("^[1-5]"), F.substring("entry", 1, 1)).otherwise("w"))
+    kind = F.when(F.col("entry").rlike("^[1-5]"), F.substring("entry", 1, 1)).otherwise("0").cast("int")
+    kinds = written(summed.withColumn("kind", kind), "language-entries")
+    totals: dict[str, dict[int, int]] = {lang: {} for lang in sizes}
+    for r in kinds.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect():  # at most 6 rows for each language
+        totals[r["lang"]][r["kind"]] = int(r["n"])
+    little = [lang for lang in sizes if totals[lang].get(0, 0) < LITTLE]
+    kept = kinds.where((F.col("n") >= 2) | F.col("lang").isin(little))
+    most = max(1, min(MAX_ENTRIES, MAX_CELLS // len(sizes) ** 2))
+    first = lambda *keys: F.row_number().over(Window.partitionBy("lang", "kind", *keys).orderBy(F.desc("n"), "entry"))
+    # first inside shares of a language and length, so that no task ranks all of its entries
+    kept = kept.withColumn("share", F.pmod(F.xxhash64("entry"), F.lit(64))).withColumn("nth", first("share")).where(F.col("nth") <= most)
+    kept = written(kept.withColumn("nth", first()).where(F.col("nth") <= most).select("lang", "kind", "entry", "n"), "language-top")
     counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
-    for kind in ("w", *map(str, LENGTHS)):  # each at most MAX_ENTRIES rows: the model's bound
-        top = kinds.where(F.col("kind") == kind).orderBy(F.desc("n"), "entry", "lang").limit(MAX_ENTRIES).select("lang", "entry", "n").toPandas()
-        for lang, entry, n in zip(top["lang"], top["entry"], top["n"]):
-            counts[lang][entry] = int(n)
-    return build(counts)
+    for n in (0, *LENGTHS):  # each at most `most` rows for each language: the model's bound
+        top = kept.where(F.col("kind") == n).orderBy("lang", F.desc("n"), "entry").select("lang", "entry", "n").toPandas()
+        for lang, entry, c in zip(top["lang"], top["entry"], top["n"]):
+            counts[lang][entry] = int(c)
+    return build(counts, totals)
 
 
 def predict(df: DataFrame, model: Model, text: str | Column = "text") -> Column:

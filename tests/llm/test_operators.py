@@ -247,6 +247,20 @@ def test_language_over_rows(docs, none):
     assert docs.select(language.predict(docs, empty).alias("p")).where("p.lang_pred <> 'und'").count() == 0
 
 
+def test_a_rare_language_keeps_its_words_beside_a_frequent_one(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_ENTRIES", 300)
+    r = random.Random(12)
+    rare = ["".join(r.choice("klmnopqrst") for _ in range(6)) for _ in range(60)]
+    rows = [(i, prose(200, r), "aa") for i in range(60)] + [(100 + i, " ".join(rare[i * 30 : i * 30 + 30]), "zz") for i in range(2)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.predict(" ".join(rare[10:50]))[0] == "zz" and model.predict(prose(40, r))[0] == "aa"
+    # each seen once among the 60 words of its language, and the words of the other are of all its 12,000
+    assert all(model.costs[model.entries[0][w], 1] == pytest.approx(np.log10(60), abs=1e-5) for w in rare)
+    n = Counter(w for _, text, lang in rows if lang == "aa" for w in text.split())
+    word = n.most_common(1)[0][0]
+    assert model.costs[model.entries[0][word], 0] == pytest.approx(-np.log10(n[word] / 12_000), abs=1e-5)
+
+
 def test_toxicity_learns_planted_words(spark, none):
     r = random.Random(3)
     rows = [(i, prose(40, r) + (" vileword zzqx " if i % 4 == 0 else " ") + prose(40, r), int(i % 4 == 0)) for i in range(160)]
