@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that over a tenth of their source's documents hold."""
-    return lines.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    """All documents, without the lines that over a fiftieth, and two, of their source's documents hold (copies count once)."""
+    return lines.drop_boilerplate(docs, ratio=lines.LOW_RATIO, min_pages=lines.LOW_PAGES).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,18 +2,37 @@
 
 Every host's pages are counted, and for every line the pages of that host that contain it; a line on more than
 `ratio` of them (and on `min_pages` at least) is dropped from all pages of that host. Pages with equal texts count
-as one, so that copies do not make each other boilerplate. DataFrame functions only.
+as one, and pages that share nearly all of their text with others do not count, so that copies do not make each
+other boilerplate. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.shared import fresh, written
 
+#: Of op 9 and its SQL twin.
 RATIO = 0.1
 MIN_PAGES = 5
+#: Of the pipeline: under the rate of lines that really repeat (1 to 5 % of a source's documents).
+LOW_RATIO = 0.02
+LOW_PAGES = 2
+#: Pages of whose characters a smaller share is on no often repeated line are near copies (as similar as op 7 asks).
+OWN = 0.25
+
+
+def _pair(line: str | Column) -> Column:
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
+
+
+def _lists(each: DataFrame, pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
+    """(host, lines) from a row for each line of each page (host, pair) and a row for each page (host)."""
+    on = each.groupBy("host", "pair.a", "pair.b").agg(F.count("*").alias("on"))
+    pages = pages.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("pages"))
+    often = on.where(F.col("on") >= min_pages).join(pages, F.col("host").eqNullSafe(F.col("of"))).where(F.col("on") > F.lit(float(ratio)) * F.col("pages"))
+    return often.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("lines"))
 
 
 def boilerplate(df: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = False) -> DataFrame:
@@ -21,18 +40,21 @@ def boilerplate(df: DataFrame, *, host_col: str = "source", text_col: str = "tex
 
     A list has at most (mean lines of the host's pages) / ratio entries, since each entry is on more than
     ratio of the pages. A null host is a host of its own; empty lines never count. With copies, every row is a
-    page, otherwise every text that the host has (null texts are one).
+    page. Otherwise every text that the host has is one (null texts are one), and what is found so is counted
+    again on the pages that are no near copies: those with OWN of their text, by characters, on other lines.
     """
-    keyed = df.select(F.col(host_col).alias("host"), F.xxhash64(text_col).alias("page"), F.array_distinct(F.split(text_col, "\n", -1)).alias("lines"))
-    each = keyed.select("host", "page", F.explode("lines").alias("line")).where("line != ''")
-    each = each.select("host", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), "page")
-    rows = df.select(F.col(host_col).alias("of"), F.xxhash64(text_col).alias("page"))
-    if not copies:
-        each, rows = each.distinct(), rows.distinct()
-    on = each.groupBy("host", "a", "b").agg(F.count("*").alias("on"))
-    pages = rows.groupBy("of").agg(F.count("*").alias("pages"))
-    often = on.where(F.col("on") >= min_pages).join(pages, F.col("host").eqNullSafe(F.col("of"))).where(F.col("on") > F.lit(float(ratio)) * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("lines"))
+    texts = F.filter(F.array_distinct(F.split(text_col, "\n", -1)), lambda x: x != "")
+    keyed = df.select(F.col(host_col).alias("host"), F.xxhash64(text_col).alias("page"), texts.alias("lines"))
+    each = keyed.select("host", "page", F.explode("lines").alias("line")).select("host", "page", _pair("line").alias("pair"))
+    if copies:
+        return _lists(each, keyed, ratio, min_pages)
+    found = written(_lists(each.distinct(), keyed.select("host", "page").distinct(), ratio, min_pages), "line-candidates").toDF("of", "often")
+    joined = keyed.join(found, F.col("host").eqNullSafe(F.col("of")), "left")
+    shared = F.when(F.col("often").isNull(), F.array().cast("array<string>")).otherwise(F.filter("lines", lambda x: F.array_contains("often", _pair(x))))
+    length = lambda texts: F.aggregate(texts, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    sized = joined.select("host", "page", F.transform(shared, _pair).alias("pairs"), length(shared).alias("n"), length(F.col("lines")).alias("of_n"))
+    own = written(sized.where(F.col("of_n").isNull() | (F.col("of_n") - F.col("n") >= OWN * F.col("of_n"))).drop("n", "of_n").dropDuplicates(["host", "page"]), "line-pages")
+    return _lists(own.select("host", F.explode("pairs").alias("pair")), own, ratio, min_pages)
 
 
 def drop_boilerplate(df: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = False, count_col: str | None = None) -> DataFrame:
@@ -46,7 +68,7 @@ def drop_boilerplate(df: DataFrame, *, host_col: str = "source", text_col: str =
     found = written(boilerplate(df, host_col=host_col, text_col=text_col, ratio=ratio, min_pages=min_pages, copies=copies), "line-dedup").toDF(host, flags)
     joined = df.join(found, df[host_col].eqNullSafe(found[host]), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x: (x == "") | ~F.array_contains(F.col(flags), F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))))
+    kept = F.filter(lines, lambda x: (x == "") | ~F.array_contains(flags, _pair(x)))
     text = F.when(F.col(flags).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
     if count_col:

@@ -162,6 +162,17 @@ def test_copies_of_a_document_do_not_make_its_lines_boilerplate(spark):
     assert left.count(copied) == 1 and len(left) == 21
 
 
+def test_the_pipeline_drops_lines_of_a_few_hundredths_and_of_small_hosts(spark):
+    r = random.Random(13)
+    rows = [(i, ("license line\n" if i % 25 == 0 else "") + ("once\n" if i == 7 else "") + prose(40, r), "big") for i in range(200)]
+    rows += [(300 + i, f"menu\n{prose(40, r)}", "small") for i in range(3)]
+    base = [prose(30, r) for _ in range(12)]
+    near_ = [(400 + i, "\n".join([*base[:5], prose(30, r), *base[6:]]), "big") for i in range(20)]
+    df = spark.createDataFrame([(*x, "en", len(x[1])) for x in rows + near_], "doc_id long, text string, source string, lang string, n_chars long").repartition(3)
+    got = {x.doc_id: x.text for x in corpus_pipeline.drop_lines(spark, df, "").collect()}
+    assert got == {i: text.removeprefix("license line\n").removeprefix("menu\n") for i, text, _ in rows + near_}
+
+
 def test_mix_meets_targets_and_repeats(docs, none):
     one, two = (mixing.mix(d, block=16).collect() for d in (docs, docs.repartition(3)))
     assert Counter(one) == Counter(two) and len(one) == len(corpus())
