@@ -1,10 +1,11 @@
-"""Main text of HTML pages: page structure where it decides, a host's suffix array where it does not.
+"""Main text of HTML pages: page structure where it decides, a host's repeated strings where it does not.
 
 A page is cut into blocks of text. Blocks in page furniture (menus, forms, adverts, comments and the like, told
 by elements, roles and class names) go; blocks of an article, or else of the main region, are the text. Pages
-without either leave blocks undecided. The token streams of a host's undecided pages go into one suffix array,
-cut at a depth of DEPTH tokens: a common prefix of that depth in distinct pages is boilerplate, all tokens that
-such strings cover go, and the unique runs between them stay. Blocks of articles are not searched for repeats,
+without either leave blocks undecided. The token streams of a host's undecided pages are searched for strings of
+DEPTH tokens, told by digests (no suffix array is built): a string in distinct pages is boilerplate, all tokens
+that such strings cover go, and the unique runs between them stay. Pages that share nearly all of their strings
+with others are near copies and make nothing boilerplate. Blocks of articles are not searched for repeats,
 since a host may hold an article twice.
 """
 
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from lumenframe.llm.shared import fresh, tidy, written
 
 DEPTH = 8
+#: Pages with a smaller share of strings of their own are near copies.
+OWN = 0.25
 
 #: Elements whose content is no text of the page.
 UNSEEN = {"script", "style", "template", "title", "textarea", "iframe", "svg", "math", "object", "noscript", "head", "canvas", "audio", "video"}
@@ -158,8 +161,8 @@ def unique_runs(texts: list[str], repeated: set[int], depth: int = DEPTH) -> lis
 def extract(df: DataFrame, *, html_col: str = "html", url_col: str = "url", text_name: str = "text", depth: int = DEPTH) -> DataFrame:
     """df with a column of the main text: blocks in page order, joined by newlines; empty where there is none.
 
-    Null pages are empty. Pages of one host with equal undecided blocks count as one page, so that copies do
-    not make each other boilerplate; a null url, or one without a host, is a host of its own. df has to give
+    Null pages are empty. Pages of one host with equal undecided blocks count as one page, and near copies
+    (under OWN of their strings on no other page) do not count, so that copies do not make each other boilerplate; a null url, or one without a host, is a host of its own. df has to give
     its rows again unchanged, as a table does.
     """
     parsed, host, windows, page, repeated = fresh(df, "extract_blocks", "extract_host", "extract_windows", "extract_page", "extract_repeated")
@@ -188,9 +191,12 @@ def extract(df: DataFrame, *, html_col: str = "html", url_col: str = "url", text
     own_host = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     rows = df.withColumn(parsed, parse(F.col(html_col))).withColumn(host, F.lower(own_host))
     open_ = rows.where(~F.col(f"{parsed}.done"))
-    # min and max are enough to tell several pages from one, and are summed up before the shuffle
     each = written(open_.select(host, F.col(f"{parsed}.page").alias(page), F.explode(f"{parsed}.windows").alias(windows)), "extract-windows")
-    several = each.groupBy(host, windows).agg(F.min(page).alias("lo"), F.max(page).alias("hi")).where("lo != hi").select(host, windows)
+    # min and max are enough to tell several pages from one, and are summed up before the shuffle
+    repeats = lambda rows: rows.groupBy(host, windows).agg(F.min(page).alias("lo"), F.max(page).alias("hi")).where("lo != hi").select(host, windows)
+    marked = each.join(repeats(each).withColumn("seen", F.lit(1)), [host, windows], "left")
+    own = marked.groupBy(host, page).agg(F.avg(F.col("seen").isNull().cast("int")).alias("own")).where(F.col("own") >= OWN).select(host, page)
+    several = repeats(each.join(written(own, "extract-own"), [host, page]))
     found = each.join(several, [host, windows]).groupBy(F.col(host).alias("of_host"), F.col(page).alias("of_page")).agg(F.collect_set(windows).alias(repeated))
     found = written(found, "extract-repeated")  # of known size: the planner sends it to all only if it is small
     key = F.when(~F.col(f"{parsed}.done"), F.col(f"{parsed}.page"))

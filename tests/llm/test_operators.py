@@ -329,6 +329,16 @@ def test_pages_of_a_host_lose_what_they_share(spark):
     assert extract.extract(df.limit(0)).count() == 0
 
 
+def test_near_copies_of_a_page_keep_their_text(spark):
+    r = random.Random(14)
+    chrome, article = prose(12, r), prose(120, r)
+    rows = [(i, "http://a.example/x", f"<p>{chrome}</p><p>{article}</p><p>read {i} times</p>") for i in range(3)]
+    rows += [(10 + i, "http://a.example/y", f"<p>{chrome}</p><p>{prose(40, r)}</p>") for i in range(3)]
+    got = {x.page_id: x.text for x in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{article}\nread {i} times" for i in range(3))
+    assert all(got[10 + i] and chrome not in got[10 + i] for i in range(3))
+
+
 def test_pipeline_keeps_columns_and_ends_in_sequences(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found, n = docs, [docs.count()]
