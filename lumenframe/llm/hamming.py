@@ -24,14 +24,15 @@ K = 10
 
 
 def sign_code(embedding: str | Column) -> Column:
-    """64 bits, one for each of the first 64 elements: whether it is over 0 (null and NaN elements: no).
+    """64 bits, one for each element: whether it is over 0 (null and NaN elements: no).
 
-    Null for a null or empty array; missing elements give 0 bits.
+    Null for a null or empty array; missing elements give 0 bits. More than 64 elements are an error.
     """
     x = F.col(embedding) if isinstance(embedding, str) else embedding
     bit = lambda v, i: F.when((v > 0) & ~F.isnan(v), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
     code = F.aggregate(F.transform(F.slice(x, 1, BITS), bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return F.when(F.size(x) > 0, code)
+    long = F.raise_error(F.concat(F.lit(f"sign_code: more than {BITS} elements: "), F.size(x).cast("string")))
+    return F.when(F.size(x) > BITS, long.cast("long")).when(F.size(x) > 0, code)
 
 
 def _segments(n: int) -> list[tuple[int, int]]:

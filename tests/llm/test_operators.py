@@ -315,6 +315,12 @@ def test_top_k_equals_brute_force(spark):
     assert hamming.top_k(two, two, 5).count() == 4
 
 
+def test_sign_codes_of_longer_vectors_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1.0] * 64 + [-1.0])], "id long, e array<double>")
+    with pytest.raises(Exception, match="more than 64 elements: 65"):
+        df.select(hamming.sign_code("e").alias("code")).collect()
+
+
 def test_pages_of_a_host_lose_what_they_share(spark):
     r = random.Random(6)
     chrome = prose(14, r)
