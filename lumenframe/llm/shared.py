@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
 import functools
 import tempfile
@@ -11,7 +10,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes that a Python worker gets at a time.
 BATCH = 2_000
+BATCH_BYTES = 4_000_000
 
 #: Words of a text: runs of anything but ASCII white space.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -40,38 +41,52 @@ def tidy(f):
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir.
 
-    Where no folder is named (tests, local runs) a temporary one is made and set as the session's
-    checkpoint folder, so that later calls find the same.
+    Where no folder is named, a local session (tests) gets a temporary one, set as its checkpoint folder, so that
+    later calls find the same; on a cluster that is an error, since executors could not read one another's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        found = context._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='lumenframe-')}"
-        spark.sparkContext.setCheckpointDir(named)
+        context.setCheckpointDir(named)
     return named
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession):
-    """Workers get at most BATCH rows at a time from plans that start inside: texts can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(min(BATCH, int(before)) if before and int(before) > 0 else BATCH))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+def bounded(spark: SparkSession) -> None:
+    """Python workers get at most BATCH rows and BATCH_BYTES at a time: texts can be long.
+
+    A setting of the session, since plans that an operator returns run after it; smaller values stay.
+    """
+    for key, most in (("maxRecordsPerBatch", str(BATCH)), ("maxBytesPerBatch", str(BATCH_BYTES))):
+        key = f"spark.sql.execution.arrow.{key}"
+        before = spark.conf.get(key, None)
+        if not (before and before.isdigit() and 0 < int(before) <= int(most)):
+            spark.conf.set(key, most)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage is cut and its size is known to the planner."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    with small_batches(spark):
-        df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    bounded(spark)
+    df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that `written` has made and that no plan reads any more; other frames stay as they are."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
