@@ -159,7 +159,7 @@ def near_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     bands = nodes.select("node", "sketch").mapInPandas(band, "node long, key long")
     centers = bands.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center != last").select("key", "center")
-    shared = written(bands.join(centers, "key").select("key", "node", "center"), "near-buckets")
+    shared = written(bands.join(centers, "key").select("key", "node", "center"), "near-buckets", spread=True)
     stars = shared.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     edges = _verified(_close(stars, nodes), df, id_col, text_col, reps)
     labels = components(edges)
@@ -188,10 +188,10 @@ def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked, by their full sets."""
-    pairs = written(pairs, "near-pairs")
+    pairs = written(pairs, "near-pairs", spread=True)
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = written(ends.join(reps, "node"), "near-wanted")
-    sets = written(full_sets(df, id_col, text_col, wanted), "near-sets")
+    sets = written(full_sets(df, id_col, text_col, wanted), "near-sets", spread=True)
     # the centre of a large star is dealt out in several copies, each for about STAR of its members
     hot = pairs.groupBy(F.col("a").alias("hot")).agg(F.count("*").alias("members")).where(f"members > {STAR}")
     hot = written(hot.select("hot", F.ceil(F.col("members") / STAR).cast("int").alias("copies")), "near-hot")
@@ -200,7 +200,7 @@ def _verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, reps:
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
     centers = side("a").join(pairs.select("a").distinct(), "a", "left_semi").join(hot, F.col("a") == F.col("hot"), "left")
     centers = centers.select("a", "sa", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
-    found = written(salted.join(side("b"), "b").join(centers, ["a", "copy"]).where(_linked("sa", "sb")).select("a", "b"), "near-links")
+    found = written(salted.join(side("b"), "b").join(centers, ["a", "copy"]).where(_linked("sa", "sb")).select("a", "b"), "near-links", spread=True)
     discard(pairs, wanted, sets, hot)
     return found
 
@@ -224,11 +224,11 @@ def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, df: DataFram
 
     known = _dealt(left.join(nodes, "node"), "blocks")
     hits = known.groupBy("key", "i", "j").applyInPandas(possible, "key long, node long, label long, n long").distinct()
-    hits = written(hits, "near-possible")
+    hits = written(hits, "near-possible", spread=True)
     sizes = hits.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("members"), F.sum("n").alias("total"))
     sizes = sizes.select("of", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
     wanted = written(hits.select("node").distinct().join(reps, "node"), "near-wanted")
-    sets = written(full_sets(df, id_col, text_col, wanted), "near-sets")
+    sets = written(full_sets(df, id_col, text_col, wanted), "near-sets", spread=True)
     dealt = _dealt(hits.join(sizes, F.col("key") == F.col("of")).select("key", "node", "label", "blocks"), "blocks").join(sets, "node")
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
@@ -237,7 +237,7 @@ def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, df: DataFram
         return pd.DataFrame({"a": node[a], "b": node[b]})
 
     links = dealt.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = written(links, "near-links")
+    links = written(links, "near-links", spread=True)
     discard(left, hits, wanted, sets)
     return links
 

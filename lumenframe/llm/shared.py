@@ -69,12 +69,22 @@ def bounded(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage is cut and its size is known to the planner."""
+def written(df: DataFrame, name: str, codec: str = "zstd", spread: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage is cut and its size is known to the planner.
+
+    Partitions that a shuffle leaves are put together up to the session's advisory size, so that small tables are
+    few files, unless the last stage is to be spread over all cores.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     bounded(spark)
-    df.write.option("compression", codec).parquet(path)
+    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true" if spread else "false")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
