@@ -1,12 +1,15 @@
-"""Main text of HTML pages: page structure where it decides, a host's repeated strings where it does not.
-
-A page is cut into blocks of text. Blocks in page furniture (menus, forms, adverts, comments and the like, told
-by elements, roles and class names) go; blocks of an article, or else of the main region, are the text. Pages
-without either leave blocks undecided. The token streams of a host's undecided pages are searched for strings of
-DEPTH tokens, told by digests (no suffix array is built): a string in distinct pages is boilerplate, all tokens
-that such strings cover go, and the unique runs between them stay. Pages that share nearly all of their strings
-with others are near copies and make nothing boilerplate. Blocks of articles are not searched for repeats,
-since a host may hold an article twice.
+"""Main text of HTML pages: a host's suffix array finds what its pages repeat, and unique runs are the text.
+
+A page is cut into blocks of text; structure marks them. Blocks of page furniture (menus, forms, adverts,
+comments and the like, told by elements, roles and class names) go; the others belong to regions: each article,
+the main element, and the rest. The token streams of the regions of a host's pages are laid end to end, and
+their suffixes sorted, in buckets of equal first tokens: common prefixes of neighbours form intervals, and an
+interval of DEPTH tokens or more whose occurrences lie in distinct streams is a repeat. Only suffixes at
+anchors are sorted (positions that every string of DEPTH tokens holds one of, chosen by content), and intervals
+are told apart by the tokens before the anchor, so all repeats are found. Streams with under OWN of their tokens
+outside repeats are near copies of others and make nothing boilerplate. What over SHARE of a host's remaining
+streams hold (and two at least) is boilerplate: its tokens are covered, the region with most uncovered tokens
+holds the text, and covered boilerplate goes from it.
 """
 
 from __future__ import annotations
@@ -21,11 +24,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.shared import fresh, tidy, written
+from lumenframe.llm.repeats import lcp_intervals, minimizers
+from lumenframe.llm.shared import bounded, discard, fresh, tidy, written
+from lumenframe.llm.shingles import mix, word_hashes
 
-DEPTH = 8
-#: Pages with a smaller share of strings of their own are near copies.
+#: Tokens of the shortest repeat, and of an anchor.
+DEPTH, ANCHOR = 8, 4
+REACH = DEPTH - ANCHOR
+#: Streams with a smaller share of tokens outside repeats are near copies.
 OWN = 0.25
+#: Repeats are boilerplate if a larger share of a host's streams holds them.
+SHARE = 0.1
+#: Uncovered tokens of a marked region count as often as this beside those of the rest of the page.
+MARKED = 2
+#: Contexts of anchors that a task sorts together, about.
+PER_BUCKET = 20_000
 
 #: Elements whose content is no text of the page.
 UNSEEN = {"script", "style", "template", "title", "textarea", "iframe", "svg", "math", "object", "noscript", "head", "canvas", "audio", "video"}
@@ -40,6 +53,12 @@ NAMES = set(
     "commentlist reply replies respond disqus discussion share sharing social related recommended recommendations newsletter subscribe "
     "subscription signup login search pagination pager widget copyright disclaimer skip".split()
 )
+#: Words that say nothing beside those.
+PLAIN = set(
+    "site page main global primary secondary top bottom left right upper lower inner outer header body box container wrapper wrap list section area "
+    "block item items slot unit group bar panel row col column buttons button icons icon links link form title text label post posts article articles "
+    "stories user reader visitor mobile desktop sticky fixed js is has the of and by us this".split()
+)
 #: Elements that begin and end a block.
 BLOCKS = set(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -52,34 +71,44 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 
-Block = tuple[str, str]
+#: kind (article, main, open), texts of its blocks, and of each whether its name is weak evidence of furniture.
+Region = tuple[str, list[str], list[bool]]
 
 
-def _furniture(name: str, attributes: dict[str, str], in_article: bool) -> bool:
+def _furniture(name: str, attributes: dict[str, str], in_article: bool) -> bool | None:
+    """True: page furniture; None: a name that holds such a word beside others, as in `share-price`."""
     if name in FURNITURE or (name == "header" and not in_article):
         return True
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in ROLES:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
         return True
-    if name in ("html", "body", "main"):
+    if name in ("html", "body", "main", "article"):
         return False
-    words = {w.lower() for key in ("class", "id") for w in _NAME_PARTS.findall(attributes.get(key, ""))}
-    return bool(words & NAMES) or ("header" in words and not in_article)
+    weak = False
+    for compound in (c for key in ("class", "id") for c in attributes.get(key, "").split()):
+        words = {w.lower() for w in _NAME_PARTS.findall(compound)}
+        if words & NAMES or ("header" in words and not in_article):
+            if all(w in NAMES or w in PLAIN or w.isdigit() for w in words):
+                return True
+            weak = True
+    return None if weak else False
 
 
-def blocks(page: str | None) -> list[Block]:
-    """(kind, text) of the page's non-empty blocks in order; kind: article, main, open or furniture."""
-    out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # element, kind of what it holds
+def regions(page: str | None) -> list[Region]:
+    """The page's regions with text, in the order of their beginnings; blocks of furniture are left out."""
+    found: list[Region] = [("open", [], [])]
+    stack: list[tuple[str, int, bool]] = []  # element, region of what it holds (-1: furniture), weak name
     parts: list[str] = []
 
     def flush():
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
-            if text:
-                out.append((stack[-1][1] if stack else "open", text))
+            _, at, weak = stack[-1] if stack else ("", 0, False)
+            if text and at >= 0:
+                found[at][1].append(text)
+                found[at][2].append(weak)
 
     at, page = 0, page or ""
     while (m := _TOKEN.match(page, at)) is not None:
@@ -93,7 +122,7 @@ def blocks(page: str | None) -> list[Block]:
         if m["end"]:
             if name in BLOCKS:
                 flush()
-            if any(e == name for e, _ in stack):
+            if any(e == name for e, *_ in stack):
                 while stack.pop()[0] != name:
                     pass
             continue
@@ -111,94 +140,249 @@ def blocks(page: str | None) -> list[Block]:
                 stack.pop()
         elif name == "li" and stack and stack[-1][0] == "li":
             stack.pop()
-        kind = stack[-1][1] if stack else "open"
-        if kind != "furniture":
+        _, region, weak = stack[-1] if stack else ("", 0, False)
+        if region >= 0:
             attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m["rest"])} if m["rest"].strip(" /\n\t") else {}
-            if _furniture(name, attributes, kind == "article"):
-                kind = "furniture"
-            elif name == "article" or attributes.get("itemprop", "").lower() == "articlebody":
+            seen = _furniture(name, attributes, found[region][0] == "article")
+            if name == "article" or (attributes.get("itemprop", "").lower() == "articlebody" and found[region][0] != "article"):
                 kind = "article"
-            elif kind == "open" and (name == "main" or attributes.get("role", "").lower() == "main"):
-                kind = "main"
+            else:
+                kind = "main" if found[region][0] == "open" and (name == "main" or attributes.get("role", "").lower() == "main") else None
+            if seen:
+                region = -1
+            elif kind:
+                region = len(found)
+                found.append((kind, [], []))
+            weak = weak or seen is None
         if not m["rest"].endswith("/") or name in BLOCKS:
-            stack.append((name, kind))
+            stack.append((name, region, weak))
     flush()
-    return out
+    return [r for r in found if r[1]]
 
 
-def decided(found: list[Block]) -> tuple[list[str], bool]:
-    """Blocks of the text, and whether the page's structure has decided about them."""
-    for kind in ("article", "main"):
-        if own := [text for k, text in found if k == kind]:
-            return own, True
-    return [text for k, text in found if k == "open"], False
+def main_text(found: list[Region], covered: list[np.ndarray | None]) -> str:
+    """The text of a page from its regions, and of each the tokens that boilerplate covers (None: none).
 
+    The region with the most uncovered tokens, those of articles and the main element counted MARKED times, is
+    the text; the first marked one in a tie. In it a block that is covered as a whole goes; of blocks of the rest
+    and of those with a weak name all covered tokens go. A marked region that would be left empty stays as it is,
+    since something else repeats it. Empty without regions.
+    """
+    best, most = None, -1
+    for i, (kind, texts, _) in enumerate(found):
+        n = sum(len(t.split()) for t in texts) - (int(covered[i].sum()) if covered[i] is not None else 0)
+        score = (n * (1 if kind == "open" else MARKED), kind != "open")
+        if best is None or score > most:
+            best, most = i, score
+    if best is None:
+        return ""
+    kind, texts, weak = found[best]
+    if covered[best] is None or (kind != "open" and covered[best].all()):
+        return "\n".join(texts)
+    out, at = [], 0
+    for text, name in zip(texts, weak):
+        tokens = text.split()
+        gone = covered[best][at : at + len(tokens)]
+        at += len(tokens)
+        if kind == "open" or name:
+            text = " ".join(t for t, g in zip(tokens, gone) if not g)
+        elif gone.all():
+            text = ""
+        if text:
+            out.append(text)
+    return "\n".join(out)
 
-def _windows(tokens: list[str], depth: int) -> np.ndarray:
-    """64-bit digests of the suffixes of a token stream, cut at depth; those that are shorter are left out."""
-    return np.array([int.from_bytes(hashlib.blake2b("\0".join(tokens[i : i + depth]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for i in range(len(tokens) - depth + 1)], np.int64)
 
+def _long(*parts: str) -> int:
+    """A 64-bit number for the strings."""
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-def unique_runs(texts: list[str], repeated: set[int], depth: int = DEPTH) -> list[str]:
-    """The blocks without the tokens that repeated strings cover; emptied blocks go."""
-    tokens = [t.split() for t in texts]
-    stream = [w for t in tokens for w in t]
-    covered = np.zeros(len(stream) + 1, np.int64)
-    for i, w in enumerate(_windows(stream, depth).tolist()):
-        if w in repeated:
-            covered[i] += 1
-            covered[min(i + depth, len(stream))] -= 1
-    covered = np.cumsum(covered) > 0
-    out, at = [], 0
-    for t in tokens:
-        kept = [w for w, gone in zip(t, covered[at : at + len(t)]) if not gone]
-        at += len(t)
-        if kept:
-            out.append(" ".join(kept))
+
+def token_anchors(tokens: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of the anchors of a stream of token hashes; every DEPTH tokens hold one."""
+    if len(tokens) < DEPTH:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    h = np.full(len(tokens) - ANCHOR + 1, salt & (1 << 64) - 1, np.uint64)
+    for i in range(ANCHOR):
+        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + tokens[i : i + len(h)])
+    at = minimizers(h, REACH + 1)
+    return h[at].view(np.int64), at
+
+
+def _streams(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(unit, token hashes, host's salt) of each row (unit, host, texts)."""
+    for start in range(0, len(batch), 256):
+        some = batch.iloc[start : start + 256]
+        hashes, counts = word_hashes([" ".join(t).encode("utf-8", "surrogatepass") for t in some["texts"]])
+        ends = np.cumsum(counts)
+        for unit, host, first, end in zip(some["unit"], some["host"], ends - counts, ends):
+            yield unit, hashes[first:end], _long("host", host)
+
+
+def first_starts(tokens: np.ndarray) -> np.ndarray:
+    """For each start of DEPTH tokens: whether the stream has not held them before."""
+    h = np.zeros(max(0, len(tokens) - DEPTH + 1), np.uint64)
+    for i in range(DEPTH):
+        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + tokens[i : i + len(h)])
+    out = np.zeros(len(h), bool)
+    out[np.unique(h, return_index=True)[1]] = True
     return out
 
 
-def extract(df: DataFrame, *, html_col: str = "html", url_col: str = "url", text_name: str = "text", depth: int = DEPTH) -> DataFrame:
-    """df with a column of the main text: blocks in page order, joined by newlines; empty where there is none.
+def repeated_offsets(anchor: np.ndarray, context: np.ndarray, left: np.ndarray, right: np.ndarray, streams: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each distinct context of an anchor, and each o up to REACH: whether at least `least` streams hold the DEPTH tokens that begin o before it.
 
-    Null pages are empty. Pages of one host with equal undecided blocks count as one page, and near copies
-    (under OWN of their strings on no other page) do not count, so that copies do not make each other boilerplate; a null url, or one without a host, is a host of its own. df has to give
-    its rows again unchanged, as a table does.
+    context: rows of REACH tokens before the anchor, the anchor, and REACH after it, of which left and right are
+    in the stream. streams: for each o, how many streams hold those tokens first in this context.
     """
-    parsed, host, windows, page, repeated = fresh(df, "extract_blocks", "extract_host", "extract_windows", "extract_page", "extract_repeated")
+    n = len(anchor)
+    out = np.zeros((n, REACH + 1), bool)
+    if not n:
+        return out
+    suffix = context[:, REACH:]
+    order = np.lexsort([*(suffix[:, i] for i in range(DEPTH - 1, -1, -1)), anchor])
+    anchor, context, suffix, left, right, streams, least = (x[order] for x in (anchor, context, suffix, left, right, streams, least))
+    differs = suffix[1:] != suffix[:-1]
+    common = np.where(differs.any(1), differs.argmax(1), DEPTH)
+    common = np.where(anchor[1:] != anchor[:-1], 0, common)
+    depth, up, first, last = lcp_intervals(common)
+    found = np.zeros((n, REACH + 1), bool)
+    before = np.zeros(n, np.uint64)
+    for o in range(REACH + 1):
+        if o:
+            before = mix(before * np.uint64(0xD6E8FEB86659FD93) + context[:, REACH - o])
+        node = np.arange(n) + len(depth)  # suffixes outside every interval are nodes of their own
+        for k in np.flatnonzero((depth >= DEPTH - o) & (up < DEPTH - o)):
+            node[first[k] : last[k] + 1] = k
+        rows = np.flatnonzero((left >= o) & (right >= REACH - o))
+        if not len(rows):
+            continue
+        # left extensions of a node: its suffixes that agree in the o tokens before
+        key = mix(node[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + before[rows])
+        _, group = np.unique(key, return_inverse=True)
+        found[rows, o] = np.bincount(group, streams[rows, o])[group] >= least[rows]
+    out[order] = found
+    return out
+
+
+def covered_tokens(n: int, at: list[int], masks: list[int]) -> np.ndarray:
+    """Which of n tokens repeats cover, from the anchors' positions and their repeated offsets as bits."""
+    on = np.zeros(n + 1, np.int64)
+    for p, mask in zip(at, masks):
+        for o in range(REACH + 1):
+            if mask >> o & 1:
+                on[p - o] += 1
+                on[p - o + DEPTH] -= 1
+    return np.cumsum(on)[:n] > 0
+
+
+def _masks(occurrences: DataFrame, least: DataFrame | None, near: DataFrame | None) -> DataFrame:
+    """(anchor, c, mask): the offsets of each context whose tokens are on enough streams: the host's least, or 2; units in near do not count."""
+    bit = lambda o: F.shiftright("firsts", o).bitwiseAND(F.lit(1))
+    if near is not None:
+        occurrences = occurrences.join(near.select(F.col("unit").alias("near")), F.col("unit") == F.col("near"), "left")
+        bit = lambda o: F.when(F.col("near").isNull(), F.shiftright("firsts", o).bitwiseAND(F.lit(1))).otherwise(0)
+    sums = F.array(*[F.sum(bit(o)) for o in range(REACH + 1)])
+    sized = occurrences.groupBy("host", "anchor", "c").agg(sums.alias("streams"), *[F.first(x).alias(x) for x in ("context", "left", "right")])
+    if least is None:
+        sized = sized.withColumn("least", F.lit(2).cast("long"))
+    else:
+        sized = sized.join(least.withColumnRenamed("host", "of_host"), F.col("host") == F.col("of_host"), "left").withColumn("least", F.coalesce("least", F.lit(2).cast("long")))
+    buckets = max(1, occurrences.count() // PER_BUCKET)
+
+    def sort(part: pd.DataFrame) -> pd.DataFrame:
+        context = np.frombuffer(b"".join(part["context"]), np.uint64).reshape(len(part), -1)
+        on = repeated_offsets(part["anchor"].to_numpy(), context, part["left"].to_numpy(), part["right"].to_numpy(), np.stack(part["streams"]), part["least"].to_numpy())
+        return pd.DataFrame({"anchor": part["anchor"], "c": part["c"], "mask": on @ (1 << np.arange(REACH + 1))})
+
+    sized = sized.select("anchor", "c", "context", "left", "right", "streams", "least")
+    return sized.groupBy(F.pmod("anchor", F.lit(buckets))).applyInPandas(sort, "anchor long, c long, mask long").where("mask > 0")
+
+
+def extract(df: DataFrame, *, html_col: str = "html", url_col: str = "url", text_name: str = "text") -> DataFrame:
+    """df without its HTML, with a column of the main text: blocks in page order, joined by newlines; empty where there is none.
+
+    Null pages are empty. Regions of one host with equal texts count as one, and near copies (under OWN of their
+    tokens outside repeats) do not count, so that copies do not make each other boilerplate; a null url, or one
+    without a host, is a host of its own. Tokens are told apart by 64-bit hashes, A-Z like a-z.
+    """
+    spark = df.sparkSession
+    bounded(spark)
+    found, host, pid, kept = fresh(df, "extract_regions", "extract_host", "extract_page", "extract_spans")
+
+    @F.pandas_udf("array<struct<kind: string, unit: long, texts: array<string>, weak: array<boolean>>>")
+    @tidy
+    def parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for pages, hosts in batches:
+            yield pd.Series([[{"kind": k, "unit": _long("unit", h, *t), "texts": t, "weak": w} for k, t, w in regions(page)] for page, h in zip(pages, hosts)], dtype=object)
+
+    own_host = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    columns = [F.col(f"`{c}`") for c in df.columns if c != html_col]
+    pages = df.withColumn(host, F.lower(own_host))
+    pages = pages.select(*columns, host, parse(F.col(html_col), F.col(host)).alias(found)).withColumn(pid, F.monotonically_increasing_id())
+    pages = written(pages, "extract-pages")  # which fixes the numbers of pages
+    parts = pages.select(F.col(pid).alias("pid"), F.col(host).alias("host"), F.posexplode(found).alias("nth", "region"))
+    units = parts.select("pid", "nth", "host", "region.unit", "region.texts")
 
-    @F.pandas_udf("texts array<string>, done boolean, windows array<long>, page long")
     @tidy
-    def parse(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in pages:
-            rows = []
-            for text in batch:
-                own, done = decided(blocks(text))
-                stream = [] if done else [w for t in own for w in t.split()]
-                found = np.unique(_windows(stream, depth))
-                digest = int.from_bytes(hashlib.blake2b(" ".join(stream).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                rows.append((own, done, found, digest))
-            yield pd.DataFrame(rows, columns=["texts", "done", "windows", "page"])
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for unit, tokens, salt in _streams(batch):
+                h = np.unique(token_anchors(tokens, salt)[0])
+                if len(h):
+                    yield pd.DataFrame({"anchor": h, "unit": unit})
+
+    each = units.select("unit", "host", "texts").mapInPandas(scan, "anchor long, unit long")
+    several = each.groupBy("anchor").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi")).where("lo <> hi").select("anchor")
+    marked = written(each.join(several, "anchor").distinct(), "extract-anchors")
+    marks = marked.groupBy("unit").agg(F.collect_set("anchor").alias("marks"))
+    streams = units.select("unit", "host", "texts").join(marks, "unit").dropDuplicates(["unit"])
+
+    @tidy
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pad = np.zeros(REACH, np.uint64)
+        for batch in batches:
+            for marks, host, (unit, tokens, salt) in zip(batch["marks"], batch["host"], _streams(batch)):
+                h, at = token_anchors(tokens, salt)
+                on = np.isin(h, np.asarray(marks, np.int64))
+                h, at = h[on], at[on]
+                new = np.concatenate([np.zeros(REACH, bool), first_starts(tokens), np.zeros(REACH, bool)])
+                firsts = sum(new[at + REACH - o].astype(np.int64) << o for o in range(REACH + 1))
+                rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, tokens, pad]), DEPTH + REACH)[at]
+                left, right = np.minimum(at, REACH), np.minimum(len(tokens) - ANCHOR - at, REACH)
+                c = left.astype(np.uint64) * np.uint64(64) + right.astype(np.uint64)
+                for column in rows.T:
+                    c = mix(c * np.uint64(0xD6E8FEB86659FD93) + column)
+                yield pd.DataFrame({"unit": unit, "host": host, "n": len(tokens), "firsts": firsts, "at": at, "anchor": h, "c": c.view(np.int64), "left": left, "right": right, "context": [r.tobytes() for r in rows]})
+
+    made = streams.select("unit", "host", "texts", "marks").mapInPandas(contexts, "unit long, host string, n long, firsts int, at long, anchor long, c long, left int, right int, context binary")
+    occurrences = written(made, "extract-contexts", spread=True)
+
+    @F.pandas_udf("double")
+    def own_share(n: pd.Series, spots: pd.Series) -> pd.Series:
+        return pd.Series([1 - covered_tokens(k, [s["at"] for s in x], [s["mask"] for s in x]).mean() for k, x in zip(n, spots)], dtype="float64")
+
+    spots = lambda masks: occurrences.join(masks, ["anchor", "c"]).groupBy("unit", "n").agg(F.collect_list(F.struct("at", "mask")).alias("spots"))
+    near = written(spots(_masks(occurrences, None, None)).where(own_share("n", "spots") < OWN).select("unit"), "extract-near")
+    counted = units.select("host", "unit").distinct().join(near, "unit", "left_anti").groupBy("host").agg(F.count("*").alias("streams"))
+    least = written(counted.select("host", F.greatest(F.lit(2), F.floor(F.col("streams") * SHARE) + 1).cast("long").alias("least")), "extract-hosts")
+    spans = written(spots(_masks(occurrences, least, near)).select(F.col("unit").alias("of"), "spots"), "extract-spans")
+    of_page = units.select("pid", "nth", "unit").join(spans, F.col("unit") == F.col("of")).groupBy("pid").agg(F.collect_list(F.struct("nth", "spots")).alias(kept))
+    of_page = written(of_page.withColumnRenamed("pid", "of_pid"), "extract-covered")  # of known size: sent to all only if it is small
+    discard(marked, occurrences, near, least, spans)
 
     @F.pandas_udf("string")
-    def joined(texts: pd.Series, marks: pd.Series) -> pd.Series:
-        out = []
-        for own, seen in zip(texts, marks):
-            own = [] if own is None else list(own)
-            out.append("\n".join(own if seen is None or not len(seen) else unique_runs(own, set(seen.tolist()), depth)))
-        return pd.Series(out, dtype=object)
+    @tidy
+    def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for all_regions, all_spots in batches:
+            out = []
+            for own, seen in zip(all_regions, all_spots):
+                own = [] if own is None else [(r["kind"], list(r["texts"]), list(r["weak"])) for r in own]
+                covered: list[np.ndarray | None] = [None] * len(own)
+                for x in [] if seen is None else seen:
+                    covered[x["nth"]] = covered_tokens(sum(len(t.split()) for t in own[x["nth"]][1]), [s["at"] for s in x["spots"]], [s["mask"] for s in x["spots"]])
+                out.append(main_text(own, covered))
+            yield pd.Series(out, dtype=object)
 
-    own_host = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    rows = df.withColumn(parsed, parse(F.col(html_col))).withColumn(host, F.lower(own_host))
-    open_ = rows.where(~F.col(f"{parsed}.done"))
-    each = written(open_.select(host, F.col(f"{parsed}.page").alias(page), F.explode(f"{parsed}.windows").alias(windows)), "extract-windows")
-    # min and max are enough to tell several pages from one, and are summed up before the shuffle
-    repeats = lambda rows: rows.groupBy(host, windows).agg(F.min(page).alias("lo"), F.max(page).alias("hi")).where("lo != hi").select(host, windows)
-    marked = each.join(repeats(each).withColumn("seen", F.lit(1)), [host, windows], "left")
-    own = marked.groupBy(host, page).agg(F.avg(F.col("seen").isNull().cast("int")).alias("own")).where(F.col("own") >= OWN).select(host, page)
-    several = repeats(each.join(written(own, "extract-own"), [host, page]))
-    found = each.join(several, [host, windows]).groupBy(F.col(host).alias("of_host"), F.col(page).alias("of_page")).agg(F.collect_set(windows).alias(repeated))
-    found = written(found, "extract-repeated")  # of known size: the planner sends it to all only if it is small
-    key = F.when(~F.col(f"{parsed}.done"), F.col(f"{parsed}.page"))
-    done = rows.withColumn(page, key).join(found, (F.col(page) == F.col("of_page")) & (F.col(host) == F.col("of_host")), "left")
-    return done.select(*[f"`{c}`" for c in df.columns], joined(F.col(f"{parsed}.texts"), F.col(repeated)).alias(text_name))
+    joined = pages.join(of_page, F.col(pid) == F.col("of_pid"), "left")
+    return joined.select(*columns, text(F.col(found), F.col(kept)).alias(text_name))

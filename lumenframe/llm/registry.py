@@ -182,12 +182,49 @@ FROM documents AS d LEFT JOIN found AS f ON f.doc_id = d.doc_id
 """
 
 
-#: For pages whose article is one element without furniture in it, as all pages of the given tables are.
+#: For pages without weak names and unmarked regions, as all pages of the given tables are: furniture is cut out by its
+#: elements, what is left is the page's one region.
 ORACLES["op2_html_text"] = r"""
-WITH block AS (
-  SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h1|br)>'),
-    lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))),
-    lambda x: x <> '') AS bs FROM pages
+WITH bare AS (
+  SELECT page_id, url, lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<head>.*</head>', '', 'g'), '(?s)<!--.*?-->', '', 'g'),
+      '(?s)<nav>.*?</nav>', '', 'g'), '(?s)<div class="ad">.*?</div>', '', 'g'), '(?s)<footer>.*?</footer>', '', 'g') AS body FROM pages
+), block AS (
+  SELECT page_id, url, host, list_filter(list_transform(regexp_split_to_array(body, '</?(?:html|body|article|p|h1|br)(?: [^>]*)?>'),
+    lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#39;?', '''', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))),
+    lambda x: x <> '') AS bs FROM bare
+), unit AS (
+  SELECT row_number() OVER (ORDER BY host, bs) AS u, host, bs FROM (SELECT DISTINCT host, bs FROM block WHERE len(bs) > 0)
+), stream AS (
+  SELECT u, host, string_split(translate(array_to_string(bs, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ') AS w FROM unit
+), gram AS (
+  SELECT u, host, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT u, host, w, unnest(range(1, len(w) - 6)) AS i FROM stream WHERE len(w) >= 8)
+), token AS (
+  SELECT u, host, unnest(range(1, len(w) + 1)) AS i FROM stream
+), twice AS (
+  SELECT host, g FROM gram GROUP BY host, g HAVING count(DISTINCT u) >= 2
+), hit AS (
+  SELECT gram.u, gram.i FROM gram JOIN twice ON twice.host = gram.host AND twice.g = gram.g
+), own AS (
+  SELECT u, host FROM (SELECT t.u, t.host, t.i - max(h.i) OVER (PARTITION BY t.u ORDER BY t.i) < 8 AS gone FROM token AS t LEFT JOIN hit AS h ON h.u = t.u AND h.i = t.i)
+  GROUP BY u, host HAVING 1 - avg(CASE WHEN gone THEN 1.0 ELSE 0.0 END) >= 0.25
+), least AS (
+  SELECT host, greatest(2, CAST(floor(count(*) * 0.1) AS BIGINT) + 1) AS least FROM own GROUP BY host
+), often AS (
+  SELECT gram.host, gram.g FROM gram JOIN own ON own.u = gram.u JOIN least AS l ON l.host = gram.host
+  GROUP BY gram.host, gram.g, l.least HAVING count(DISTINCT gram.u) >= l.least
+), covered AS (
+  SELECT u, i, coalesce(gone, false) AS gone FROM (
+    SELECT t.u, t.i, t.i - max(h.i) OVER (PARTITION BY t.u ORDER BY t.i) < 8 AS gone
+    FROM token AS t LEFT JOIN (SELECT gram.u, gram.i FROM gram JOIN often ON often.host = gram.host AND often.g = gram.g) AS h ON h.u = t.u AND h.i = t.i)
+), piece AS (
+  SELECT u, nth, b, n, sum(n) OVER (PARTITION BY u ORDER BY nth) AS past
+  FROM (SELECT u, nth, bs[nth] AS b, len(string_split(bs[nth], ' ')) AS n FROM (SELECT u, bs, unnest(range(1, len(bs) + 1)) AS nth FROM unit))
+), whole AS (
+  SELECT p.u, p.nth, p.b, bool_and(c.gone) AS gone FROM piece AS p JOIN covered AS c ON c.u = p.u AND c.i > p.past - p.n AND c.i <= p.past GROUP BY p.u, p.nth, p.b
+), main AS (
+  SELECT u, coalesce(string_agg(b, chr(10) ORDER BY nth) FILTER (WHERE NOT gone), string_agg(b, chr(10) ORDER BY nth)) AS text FROM whole GROUP BY u
 )
-SELECT page_id, url, array_to_string(bs, chr(10)) AS text, CAST(length(array_to_string(bs, chr(10))) AS BIGINT) AS n_chars FROM block
+SELECT b.page_id, b.url, coalesce(m.text, '') AS text, CAST(length(coalesce(m.text, '')) AS BIGINT) AS n_chars
+FROM block AS b LEFT JOIN unit AS u ON u.host = b.host AND u.bs = b.bs LEFT JOIN main AS m ON m.u = u.u
 """

@@ -44,6 +44,13 @@ def _spread(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return f(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+def minimizers(h: np.ndarray, width: int) -> np.ndarray:
+    """Positions of the values that are the least of some window of that width; there is one in every window."""
+    least = _spread(h, width, True)
+    pad = np.zeros(width - 1, np.uint64)
+    return np.flatnonzero(_spread(np.concatenate([pad, least, pad]), width, False)[: len(h)] == h)
+
+
 def anchors(raw: bytes, length: int = LENGTH, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, positions) of the anchors of a text; none if it is shorter than length. size: a power of two."""
     if len(raw) < length:
@@ -53,10 +60,7 @@ def anchors(raw: bytes, length: int = LENGTH, size: int = ANCHOR) -> tuple[np.nd
         h = h[:-s] * np.uint64(pow(_BASE, s, 1 << 64)) + h[s:]
         s *= 2
     h = mix(h)
-    width = length - size + 1
-    least = _spread(h, width, True)
-    pad = np.zeros(width - 1, np.uint64)
-    chosen = np.flatnonzero(_spread(np.concatenate([pad, least, pad]), width, False)[: len(h)] == h)
+    chosen = minimizers(h, length - size + 1)
     return h[chosen], chosen
 
 

@@ -211,17 +211,71 @@ def test_blocks_of_a_page():
     page = """<html><head><title>T</title></head><body class="has-sidebar"><header>H</header><nav>N</nav><div class="cookie-notice">we use</div>
     <main><article><header><h1>T&eacute;&#33;</h1></header><p>a <b>b</b>c&nbsp;d<p>e<br>f<script>var x="</p>";</script><div class="comments"><p>nice</div><form>q</form></article></main>
     <aside>x</aside><footer>f</footer><!-- c --></body>"""
-    assert extract.decided(extract.blocks(page)) == (["Té!", "a bc d", "e", "f"], True)
-    assert extract.decided(extract.blocks("<p>one</p><div>two <i>three</i></div>")) == (["one", "two three"], False)
-    assert extract.blocks(None) == [] and extract.blocks("") == [] and extract.blocks("< < >")[0][1] == "< < >"
-    assert extract.decided(extract.blocks("<article>a" + "<b>x" * 2000)) == (["a" + "x" * 2000], True)
-    assert extract.decided(extract.blocks("<article><script>never closed <p>z"))[0] == []
-
-
-def test_unique_runs_drop_what_repeats():
-    a, b = "home about contact terms privacy imprint help search".split(), "only here words".split()
-    seen = set(extract._windows(a, 8).tolist())
-    assert extract.unique_runs([" ".join(a), " ".join(b)], seen) == [" ".join(b)]
+    only = lambda page: [(k, t) for k, t, _ in extract.regions(page)]
+    assert only(page) == [("article", ["Té!", "a bc d", "e", "f"])]
+    assert only("<p>one</p><div>two <i>three</i></div>") == [("open", ["one", "two three"])]
+    assert only(None) == [] and only("") == [] and only("< < >")[0][1] == ["< < >"]
+    assert only("<article>a" + "<b>x" * 2000) == [("article", ["a" + "x" * 2000])]
+    assert only("<article><script>never closed <p>z") == []
+
+
+def test_names_beside_others_are_weak_evidence():
+    text = lambda page: extract.main_text(found := extract.regions(page), [None] * len(found))
+    assert text('<article><p>Story.</p><p class="share-price">Price rose</p></article>') == "Story.\nPrice rose"
+    assert text('<article><p>Story.</p><div class="related-work">Others did so</div></article>') == "Story.\nOthers did so"
+    assert text('<article><p>Story.</p><div class="site-footer">x</div><div class="ad slot-3">y</div><p id="comments_list">z</p></article>') == "Story."
+    story = "the story goes on and on for many more words than this"
+    assert text(f"<article>a teaser</article><div>{story}</div>") == story
+    assert text(f"<article><p>{story}</p></article><article>another one</article>") == story
+    assert text("") == "" and text(None) == ""
+
+
+def test_covered_blocks_go_and_quotes_stay():
+    words = [f"w{i}" for i in range(20)]
+    article = [("article", [" ".join(words[:4]), " ".join(words[4:])], [False, False])]
+    on = lambda *spots: np.array([i in spots for i in range(20)])
+    assert extract.main_text(article, [on(0, 1, 2, 3, 9)]) == article[0][1][1]
+    assert extract.main_text(article, [on(*range(20))]) == "\n".join(article[0][1])
+    rest = [("open", *article[0][1:])]
+    assert extract.main_text(rest, [on(0, 1, 2, 3, 9)]) == " ".join(words[4:9] + words[10:])
+    weak = [("article", article[0][1], [False, True])]
+    assert extract.main_text(weak, [on(9)]).split() == words[:9] + words[10:]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=40), min_size=1, max_size=6), st.integers(0, 1000), st.integers(2, 3))
+def test_suffix_intervals_find_every_repeat(streams, seed, least):
+    r = random.Random(seed)
+    common = [r.randrange(50) for _ in range(12)]
+    streams = [s if i % 2 else s + common + s[:3] for i, s in enumerate(streams)]
+    hashed = [shingles.mix(np.array(s, np.uint64) + np.uint64(1)) for s in streams]
+    reach, rows, counts = extract.REACH, {}, {}
+    for unit, tokens in enumerate(hashed):
+        padded = np.concatenate([np.zeros(reach, np.uint64), tokens, np.zeros(reach, np.uint64)])
+        new = extract.first_starts(tokens)
+        for h, p in zip(*extract.token_anchors(tokens, 5)):
+            key = (int(h), padded[p : p + extract.DEPTH + reach].tobytes(), min(p, reach), min(len(tokens) - extract.ANCHOR - p, reach))
+            rows.setdefault(key, []).append((unit, int(p)))
+            counts[key] = counts.get(key, 0) + np.array([0 <= p - o < len(new) and new[p - o] for o in range(reach + 1)], int)
+    keys = list(rows)
+    column = lambda f: np.array([f(k) for k in keys], np.int64)
+    contexts = np.array([np.frombuffer(k[1], np.uint64) for k in keys], np.uint64).reshape(len(keys), -1)
+    sums = np.array([counts[k] for k in keys], np.int64).reshape(len(keys), -1)
+    on = extract.repeated_offsets(column(lambda k: k[0]), contexts, column(lambda k: k[2]), column(lambda k: k[3]), sums, np.full(len(keys), least))
+    got = [np.zeros(len(s), bool) for s in streams]
+    for k, mask in zip(keys, on @ (1 << np.arange(extract.REACH + 1))):
+        for unit, p in rows[k]:
+            got[unit] |= extract.covered_tokens(len(streams[unit]), [p], [int(mask)])
+    holds: dict = {}
+    for unit, s in enumerate(streams):
+        for i in range(len(s) - extract.DEPTH + 1):
+            holds.setdefault(tuple(s[i : i + extract.DEPTH]), set()).add(unit)
+    for unit, s in enumerate(streams):
+        want = np.zeros(len(s), bool)
+        for i in range(len(s) - extract.DEPTH + 1):
+            if len(holds[tuple(s[i : i + extract.DEPTH])]) >= least:
+                want[i : i + extract.DEPTH] = True
+        assert (got[unit] == want).all()
 
 
 def test_digests_of_padded_payloads():

@@ -335,6 +335,48 @@ def test_pages_of_a_host_lose_what_they_share(spark):
     assert extract.extract(df.limit(0)).count() == 0
 
 
+def plain_texts(rows):
+    """Plain Python: every string of DEPTH tokens of a host's regions, and the regions that hold it."""
+    pages = [(i, re.sub(r"^[a-z]+://|/.*", "", url) if url and "://" in url else "", extract.regions(page)) for i, url, page, *_ in rows]
+    units = {(h, tuple(t)): [w.lower() for x in t for w in x.split()] for _, h, found in pages for _, t, _ in found}
+    grams = lambda w: [tuple(w[i : i + extract.DEPTH]) for i in range(len(w) - extract.DEPTH + 1)]
+
+    def covers(counted, least):
+        holds = {}
+        for h, t in counted:
+            for g in grams(units[h, t]):
+                holds.setdefault((h, g), set()).add(t)
+        out = {}
+        for (h, t), w in units.items():
+            out[h, t] = on = np.zeros(len(w), bool)
+            for i, g in enumerate(grams(w)):
+                if len(holds.get((h, g), ())) >= least(h):
+                    on[i : i + extract.DEPTH] = True
+        return out
+
+    first = covers(set(units), lambda h: 2)
+    own = {u for u, on in first.items() if 1 - on.mean() >= extract.OWN}
+    of = Counter(h for h, _ in own)
+    second = covers(own, lambda h: max(2, int(of[h] * extract.SHARE) + 1))
+    return {i: extract.main_text(found, [second[h, tuple(t)] for _, t, _ in found]) for i, h, found in pages}
+
+
+def test_texts_equal_plain_python(spark):
+    r = random.Random(31)
+    rows = []
+    for host in ("a.example", "b.example"):
+        chrome, notice, quote, copy = (prose(n, r) for n in (15, 12, 10, 80))
+        for i in range(14):
+            body = f"<p>{prose(r.randrange(3, 60), r)} {quote if i % 4 == 0 else ''} {prose(20, r)}</p><p>{notice}</p>" if i % 5 else f"<p>{copy}</p>"
+            body = [f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>"][i % 3]
+            rows.append((len(rows), f"http://{host}/{i}", f"<nav>x</nav><div>{chrome}</div>{body}<p class='share-box-words'>{notice}</p><footer>f</footer>", "m"))
+    rows += [(90, "http://a.example/z", rows[3][2], "m"), (90, "http://a.example/z", rows[3][2], "m"), (91, None, None, "m"), (92, "", "", None), (93, "http://a.example", f"<p>{prose(30_000, r)}</p>", "m")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, extract_regions string").repartition(5)
+    got = Counter((x.page_id, x.text) for x in extract.extract(df).collect())
+    want = plain_texts(rows)
+    assert got == Counter((i, want[i]) for i, *_ in rows)
+
+
 def test_near_copies_of_a_page_keep_their_text(spark):
     r = random.Random(14)
     chrome, article = prose(12, r), prose(120, r)
