@@ -1,17 +1,22 @@
 """Packing documents into sequences of fixed length by deficit round-robin over source queues.
 
-Each source is a queue of its documents' tokens, served a quantum at a time; a source's deficit grows with its
-weight and the source with the earliest finish of its next quantum is served. The schedule has a closed form:
-quantum j of a source with weight w is served at time (2 j + 1) / w, so the place of any token follows from the
-totals of the sources alone, deficits carry over every window and every partition, and no task has to see the
-queue of another. Windows are cut from that one stream, so only the last sequence can need padding.
+Each source is a queue of its documents' segments: a document of up to `segment` tokens is one, longer ones are cut.
+In every round a source's deficit grows by its share of one window's tokens; it sends segments while the deficit
+covers the next one, and carries what is left of it into the next round. A queue's deficit after R rounds is R times
+its quantum, and what it began with, less what it has sent, so a segment goes out in the first round whose credit
+covers its end in the queue: the round follows from the place in the queue alone, deficits carry over every window
+and every partition, and no task has to see another's queue. Sources begin with different deficits, up to one
+segment, so that small ones do not all send in the same round; the segments that a first deficit covers go last.
+Rounds are put together in groups of about equal token counts; the windows are cut from that one stream, so only the
+last sequence can need padding.
 """
 
 from __future__ import annotations
 
-import base64
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,77 +25,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenframe.llm.shared import tidy, written
+from lumenframe.llm.shared import bounded, tidy, unit_hash, written
 
 WINDOW = 1024
-QUANTUM = 128
-MAX_SOURCES = 10_000
+#: Tokens of a document that are sent together at most.
+SEGMENT = 256
+#: Rounds whose segments one task puts in order: about as many windows of tokens.
+ROUNDS = 512
+NEVER = 1 << 52
 END = 0
+_CACHE = 200_000
+#: Between these places of a text the tokenizer never joins characters: it takes one space into the word after it.
+_SPLIT = re.compile(r"(?= [!-~¡-ɏ])")
 
 
 class Encoder:
     """Token ids of a text as the tokenizer file gives them, followed by the id that ends a document.
 
-    Texts of Latin-1 characters without a special token's string go through `tiktoken` with the same
-    vocabulary, if its file lies beside the tokenizer's: equal ids in a fifth of the time.
+    Words with the space before them are given to the tokenizer once and their ids kept, up to a number of words;
+    then the kept ones are forgotten. That needs a tokenizer that splits texts before a single space.
     """
 
-    def __init__(self, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None):
-        self.tokenizer_path, self.fast, self.slow = tokenizer_path, None, None
-        if ranks_path and pattern:
-            import tiktoken
+    def __init__(self, tokenizer_path: str):
+        from tokenizers import Tokenizer
 
-            with open(ranks_path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.tokenizer, self.known = Tokenizer.from_file(tokenizer_path), {}
 
     def __call__(self, text: str | None) -> np.ndarray:
-        ids = []
-        if text:
-            if self.fast is not None and "<|" not in text and _latin(text):
-                ids = self.fast.encode_ordinary(text)
-            else:
-                if self.slow is None:
-                    from tokenizers import Tokenizer
-
-                    self.slow = Tokenizer.from_file(self.tokenizer_path)
-                ids = self.slow.encode(text, add_special_tokens=False).ids
+        words = _SPLIT.split(text) if text else []
+        if len(self.known) > _CACHE:
+            self.known.clear()
+        ids: list[int] = []
+        for i in range(0, len(words), _CACHE):
+            some = words[i : i + _CACHE]
+            if new := [w for w in dict.fromkeys(some) if w not in self.known]:
+                for w, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                    self.known[w] = found.ids
+            ids += chain.from_iterable(map(self.known.__getitem__, some))
         out = np.empty(len(ids) + 1, np.uint32)
         out[:-1] = ids
         out[-1] = END
         return out
 
 
-def _latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
-def served_before(source: np.ndarray, j: np.ndarray, weights: np.ndarray, totals: np.ndarray, quantum: int) -> np.ndarray:
-    """Tokens that the whole schedule serves before quantum j of the source (arrays of the same length).
-
-    weights are integers under 2 ** 21; ties in time go to the source with the smaller number.
-    """
-    out = np.zeros(len(j), np.int64)
-    time, own = 2 * j.astype(np.int64) + 1, weights[source]
-    for r in range(len(weights)):
-        whole, rest = np.divmod(time * weights[r], own)
-        served = np.where((rest > 0) | (r < source), (whole + 1) // 2, whole // 2)
-        served = np.where(source == r, j, served)
-        out += np.minimum(served * quantum, totals[r])
-    return out
-
-
-def tokenized(df: DataFrame, encoder_args: tuple, *, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def tokenized(df: DataFrame, tokenizer_path: str, *, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(id, source, part, before, n, ids): a document's tokens, and those of its source before it in its partition."""
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
 
     @tidy
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, before, part = Encoder(*encoder_args), {}, TaskContext.get().partitionId()
+        encoder, before, part = Encoder(tokenizer_path), {}, TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, len(batch), 500):
                 some, starts, ids = batch.iloc[at : at + 500], [], []
@@ -100,78 +84,117 @@ def tokenized(df: DataFrame, encoder_args: tuple, *, id_col: str, text_col: str,
                     starts.append(before.get(source, 0))
                     before[source] = starts[-1] + len(got)
                     ids.append(got)
-                yield pd.DataFrame({"id": some["id"], "source": some["source"], "part": part, "before": starts, "n": [len(x) for x in ids], "ids": [x.astype(np.uint16).tobytes() if x.max() < 65536 else b"w" + x.tobytes() for x in ids]})
+                yield pd.DataFrame({"id": some["id"], "source": some["source"], "part": part, "before": starts, "n": [len(x) for x in ids], "ids": [_packed(x) for x in ids]})
 
     kind = dict(rows.dtypes)["id"]
     return rows.mapInPandas(encode, f"id {kind}, source string, part int, before long, n long, ids binary")
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    return ids.astype(np.uint16).tobytes() if ids.max() < 65536 else b"w" + ids.tobytes()
+
+
 def unpacked(ids: bytes) -> np.ndarray:
     return np.frombuffer(ids[1:], np.uint32) if len(ids) % 2 else np.frombuffer(ids, np.uint16).astype(np.uint32)
 
 
-def pack(df: DataFrame, encoder_args: tuple, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict | None = None, window: int = WINDOW, quantum: int = QUANTUM) -> DataFrame:
+def rounds(ends: np.ndarray, quantum: np.ndarray, begun: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The round in which a segment goes out that ends there in its queue: the first whose credit covers it.
+
+    quantum: the source's credit in a round; begun: its first deficit; total: all tokens of its queue. Without a
+    quantum: NEVER, after all others.
+    """
+    due = ends - begun
+    due = np.where(due > 0, due, due + total)
+    return np.where(quantum > 0, np.ceil(due / np.where(quantum > 0, quantum, 1.0)), NEVER).astype(np.int64)
+
+
+def pack(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict | None = None, window: int = WINDOW, segment: int = SEGMENT) -> DataFrame:
     """A row for each piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
-    weights: share of each source in every window as long as its queue lasts (default: its share of all
-    tokens, so that all queues end together; unnamed sources weigh 1). All tokens are packed, each once. A null
-    text is an empty one and gives the end token only; a null source is a queue of its own; equal rows are
-    documents of their own. An empty table gives no pieces.
+    weights: target share of each source in the windows as long as its queue lasts, not negative; unnamed sources
+    weigh 1, and those without weight come after all others. Without weights the target is a source's share of all
+    tokens, so that all queues end together. All tokens are packed, each once. A null text is an empty one and
+    gives the end token only; a null source is a queue of its own; equal rows are documents of their own. An empty
+    table gives no pieces.
     """
     spark = df.sparkSession
-    tokens = written(tokenized(df, encoder_args, id_col=id_col, text_col=text_col, source_col=source_col), "pack-tokens")
-    by_part = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
-    by_part = written(by_part, "pack-parts")
-    found = by_part.groupBy("source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    names, totals = [r["source"] for r in found], np.array([int(r["n"]) for r in found], np.int64)
-    share = totals.astype(float) if weights is None else np.array([float(weights.get(s, 1.0)) for s in names])
-    whole = np.maximum(1, np.round(share / max(share.max(initial=0), 1e-300) * ((1 << 20) - 1))).astype(np.int64)
-    numbers = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "named string, number int")
+    bounded(spark)
+    tokens = written(tokenized(df, tokenizer_path, id_col=id_col, text_col=text_col, source_col=source_col), "pack-tokens")
+    by_part = written(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "pack-parts")
+    totals = by_part.groupBy("source").agg(F.sum("n").alias("n"))
+    if weights is None:
+        totals = totals.withColumn("weight", F.col("n").cast("double"))
+    else:
+        # a map of the caller's own size
+        named = F.create_map(*[F.lit(x) for s, w in weights.items() if s is not None for x in (s, float(w))]) if any(s is not None for s in weights) else None
+        known = F.coalesce(named[F.col("source")], F.lit(1.0)) if named is not None else F.lit(1.0)
+        totals = totals.withColumn("weight", F.when(F.col("source").isNull(), float(weights.get(None, 1.0))).otherwise(known))
+    totals = written(totals, "pack-sources")
+    whole = totals.agg(F.sum("weight")).collect()[0][0] or 1.0
+    quantum = F.col("weight") * float(window) / F.lit(float(whole))
     order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = by_part.select("source", F.col("part").alias("of_part"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
-    bases = bases.join(numbers, bases["source"].eqNullSafe(numbers["named"])).select("number", "named", "of_part", "base")
+    bases = by_part.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    begun = unit_hash("source") * F.least(F.lit(segment), F.col("n"))
+    each = totals.select(F.col("source").alias("of"), quantum.alias("quantum"), begun.alias("begun"), F.col("n").alias("total"))
+    bases = bases.join(each, F.col("source").eqNullSafe(F.col("of"))).select(F.col("source").alias("named"), F.col("part").alias("of_part"), "base", "quantum", "begun", "total")
     bases = written(bases, "pack-bases")  # small, of known size: broadcast by the planner if it fits, else joined by key
     joined = tokens.join(bases, (tokens["part"] == bases["of_part"]) & tokens["source"].eqNullSafe(bases["named"]))
-    rows = joined.select("id", "number", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
+    rows = joined.select("id", "source", (F.col("base") + F.col("before")).alias("at"), "n", "ids", "quantum", "begun", "total")
+    kind = dict(rows.dtypes)["id"]
 
     @tidy
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), 1_000):
-                if out := _pieces(batch.iloc[i : i + 1_000], whole, totals, window, quantum):
-                    yield pd.DataFrame(out)
+                some = batch.iloc[i : i + 1_000]
+                n, at, quantum, begun, total = (some[c].to_numpy() for c in ("n", "at", "quantum", "begun", "total"))
+                many = (n + segment - 1) // segment
+                doc = np.repeat(np.arange(len(some)), many)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * segment
+                length = np.minimum(n[doc] - start, segment)
+                served = rounds((at[doc] + start + length).astype(np.float64), quantum[doc], begun[doc], total[doc])
+                ids = [unpacked(x) for x in some["ids"]]
+                yield pd.DataFrame({"round": served, "source": some["source"].to_numpy()[doc], "queued": at[doc] + start, "id": some["id"].to_numpy()[doc], "start": start, "n": length, "doc_tokens": n[doc], "ids": [_packed(ids[d][s : s + k]) for d, s, k in zip(doc.tolist(), start.tolist(), length.tolist())]})
+
+    dealt = rows.mapInPandas(deal, f"round long, source string, queued long, id {kind}, start long, n long, doc_tokens long, ids binary")
+    # a place in the stream is the tokens of earlier groups of rounds, and those before it in its own
+    dealt = written(dealt.withColumn("group", F.expr(f"if(round = {NEVER}, {NEVER} + queued div {ROUNDS * window}, round div {ROUNDS})")), "pack-segments")
+    groups = dealt.groupBy("group").agg(F.sum("n").alias("n"))
+    first = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)  # a row for each ROUNDS windows of tokens
+    groups = written(groups.select(F.col("group").alias("of_group"), F.coalesce(F.sum("n").over(first), F.lit(0)).alias("first")), "pack-groups")
+    own = Window.partitionBy("group").orderBy("round", F.col("source").asc_nulls_last(), "queued").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("inside", F.coalesce(F.sum("n").over(own), F.lit(0))).join(groups, F.col("group") == F.col("of_group"))
+    placed = placed.select("id", "source", "queued", "start", "n", "doc_tokens", (F.col("first") + F.col("inside")).alias("place"), "ids")
 
-    kind = dict(rows.dtypes)["id"]
-    return rows.mapInPandas(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-
-
-def _pieces(rows: pd.DataFrame, weights: np.ndarray, totals: np.ndarray, window: int, quantum: int) -> dict:
-    """The pieces of some documents: cut where a quantum of their queue ends and where a window ends."""
-    at, n, source = (rows[c].to_numpy(np.int64) for c in ("at", "n", "number"))
-    first = at // quantum
-    many = (at + n - 1) // quantum - first + 1
-    doc = np.repeat(np.arange(len(rows)), many)
-    j = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-    begin = np.maximum(at[doc], j * quantum)
-    length = np.minimum(at[doc] + n[doc], (j + 1) * quantum) - begin
-    place = served_before(source[doc], j, weights, totals, quantum) + begin - j * quantum
-    start = begin - at[doc]
-    # quanta of one document that follow each other in the stream are one piece
-    joins = np.zeros(len(doc), bool)
-    joins[1:] = (doc[1:] == doc[:-1]) & (place[1:] == place[:-1] + length[:-1])
-    heads = np.flatnonzero(~joins)
-    length = np.add.reduceat(length, heads) if len(heads) else length
-    doc, start, place = doc[heads], start[heads], place[heads]
-    many = (place + length - 1) // window - place // window + 1
-    piece = np.repeat(np.arange(len(doc)), many)
-    w = (place // window)[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(many) - many, many)
-    lo = np.maximum(place[piece], w * window)
-    hi = np.minimum((place + length)[piece], (w + 1) * window)
-    start = start[piece] + lo - place[piece]
-    doc, length = doc[piece], hi - lo
+    @tidy
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame(_pieces(batch, window))
+
+    return placed.mapInPandas(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+
+
+def _pieces(rows: pd.DataFrame, window: int) -> dict:
+    """The pieces of some segments: cut where a window ends; neighbours of one document in one window are one."""
+    start, n, place = (rows[c].to_numpy(np.int64) for c in ("start", "n", "place"))
+    many = (place + n - 1) // window - place // window + 1
+    row = np.repeat(np.arange(len(rows)), many)
+    w = (place // window)[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    lo = np.maximum(place[row], w * window)
+    length = np.minimum((place + n)[row], (w + 1) * window) - lo
     ids = [memoryview(unpacked(x)).cast("B") for x in rows["ids"]]
-    crcs = [zlib.crc32(ids[d][4 * s : 4 * (s + k)]) for d, s, k in zip(doc.tolist(), start.tolist(), length.tolist())]
-    return {"id": rows["id"].to_numpy()[doc], "start": start, "length": length, "ids_crc32": crcs, "doc_tokens": n[doc], "sequence_id": w, "offset": lo - w * window}
+    out: list[list] = []
+    begun, queued, source = rows["id"].to_numpy(), rows["queued"].to_numpy(), rows["source"].to_numpy()
+    doc = (queued - start).tolist()  # with the source, this tells documents apart
+    for r, v, first, k in zip(row.tolist(), w.tolist(), lo.tolist(), length.tolist()):
+        skip = first - int(place[r])
+        data = ids[r][4 * skip : 4 * (skip + k)]
+        key = (doc[r], source[r], v)
+        last = out[-1] if out else None
+        if last and last[0] == key and last[2] + last[3] == start[r] + skip and last[6] + last[3] == first - v * window:
+            last[3], last[4] = last[3] + k, zlib.crc32(data, last[4])
+        else:
+            out.append([key, begun[r], int(start[r]) + skip, k, zlib.crc32(data), v, first - v * window, int(rows["doc_tokens"].iat[r])])
+    return {"id": [x[1] for x in out], "start": [x[2] for x in out], "length": [x[3] for x in out], "ids_crc32": [x[4] for x in out], "doc_tokens": [x[7] for x in out], "sequence_id": [x[5] for x in out], "offset": [x[6] for x in out]}

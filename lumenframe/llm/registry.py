@@ -37,17 +37,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def tokenizer_files() -> tuple[str, str, str]:
-    """The tokenizer file of the packing query, its ranks, and the pattern that both share."""
+def tokenizer_file() -> str:
+    """The tokenizer file of the packing query."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 1024 tokens."""
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_files()).withColumnRenamed("id", "doc_id")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file()).withColumnRenamed("id", "doc_id")
 
 
 @query

@@ -9,7 +9,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lumenframe.llm import extract, language, mixing, ogg, packing, repeats, shingles, toxicity
+from lumenframe.llm import extract, language, mixing, ogg, packing, registry, repeats, shingles, toxicity
+
+ENCODE = packing.Encoder(registry.tokenizer_file())
 
 
 def words(text: str) -> list[str]:
@@ -190,21 +192,32 @@ def test_mixing_targets_share_the_excess():
     assert mixing.targets([0, 10], [3, 1]) == [0.0, 15.0] and mixing.targets([], []) == []
 
 
-def test_quanta_are_served_once_each_and_in_proportion():
-    totals, weights = np.array([1000, 300, 77, 0]), np.array([10, 3, 1, 1])
-    spans = []
-    for s, n in enumerate(totals):
-        j = np.arange(-(-n // 10))
-        start = packing.served_before(np.full(len(j), s), j, weights, totals, 10)
-        spans += [(int(a), int(min(10, n - 10 * i)), s) for i, a in zip(j, start)]
-    spans.sort()
-    at = 0
-    for a, n, _ in spans:
-        assert a == at
-        at += n
-    assert at == totals.sum()
-    first = [s for a, _, s in spans if a < 700]
-    assert abs(first.count(0) - 50) <= 1 and abs(first.count(1) - 15) <= 1
+def test_rounds_are_those_of_deficit_round_robin():
+    r = random.Random(3)
+    queues = [[r.randrange(1, 50) for _ in range(n)] for n in (40, 9, 1, 200)]
+    quanta, begun = [30.5, 4.25, 0.7, 61.0], [0.0, 17.5, 0.3, 33.1]
+    for lengths, q, first in zip(queues, quanta, begun):
+        lengths = lengths if first else lengths[::-1]
+        ends = np.cumsum(lengths).astype(float)
+        got = packing.rounds(ends, np.full(len(ends), q), np.full(len(ends), first), np.full(len(ends), ends[-1]))
+        # segments that the first deficit covers go last; the others as a deficit that grows by q covers them
+        early = [i for i in range(len(ends)) if ends[i] <= first]
+        queue, deficit, n, want = [i for i in range(len(ends)) if i not in early] + early, first - sum(lengths[i] for i in early), 0, {}
+        while queue:
+            n += 1
+            deficit += q
+            while queue and lengths[queue[0]] <= deficit + 1e-9:
+                deficit -= lengths[queue[0]]
+                want[queue.pop(0)] = n
+        assert got.tolist() == [want[i] for i in range(len(ends))]
+    assert (packing.rounds(np.array([5.0, 9.0]), np.zeros(2), np.ones(2), np.full(2, 9.0)) == packing.NEVER).all()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", " ", "  ", "\n", "\t", "é", "ß", "1", "'s", "'LL", "!", "<|endoftext|>", "<|", "日本", "🙂", "\x85", "\x1c", "\xa0", "\u3000", "ŉ", "ǆ", "the", " of"]), max_size=30))
+def test_words_with_the_space_before_them_have_the_ids_of_the_whole_text(parts):
+    text = "".join(parts)
+    assert ENCODE(text).tolist() == [*ENCODE.tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
 def test_blocks_of_a_page():
