@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import lines, mixing, near, packing, toxicity
-from lumenframe.llm.registry import tokenizer_files
+from lumenframe.llm.registry import tokenizer_file
 from lumenframe.llm.shared import crc_mod, table, written
 
 
@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 1024 tokens."""
-    return packing.pack(docs, tokenizer_files()).withColumnRenamed("id", "doc_id")
+    return packing.pack(docs, tokenizer_file()).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
