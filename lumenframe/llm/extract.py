@@ -18,13 +18,14 @@ import hashlib
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.repeats import lcp_intervals, minimizers
+from lumenframe.llm.repeats import anchor_ids, lcp_intervals, met_anchors, minimizers, sent_anchors
 from lumenframe.llm.shared import bounded, discard, fresh, tidy, written
 from lumenframe.llm.shingles import mix, word_hashes
 
@@ -37,8 +38,13 @@ OWN = 0.25
 SHARE = 0.1
 #: Uncovered tokens of a marked region count as often as this beside those of the rest of the page.
 MARKED = 2
-#: Contexts of anchors that a task sorts together, about.
+#: Contexts of anchors that a task sorts together, about; bytes of HTML for each bucket of anchors.
 PER_BUCKET = 20_000
+PER_SHARE = 8_000_000
+#: Bytes of anchors, or of places found, that may be sent to all executors; beyond, they are joined by key.
+MAX_SENT = 32_000_000
+#: Pages that are searched together.
+GROUP = 512
 
 #: Elements whose content is no text of the page.
 UNSEEN = {"script", "style", "template", "title", "textarea", "iframe", "svg", "math", "object", "noscript", "head", "canvas", "audio", "video"}
@@ -71,6 +77,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 
+_FACTOR = np.uint64(0xD6E8FEB86659FD93)
+
 #: kind (article, main, open), texts of its blocks, and of each whether its name is weak evidence of furniture.
 Region = tuple[str, list[str], list[bool]]
 
@@ -198,42 +206,71 @@ def _long(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def token_anchors(tokens: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of the anchors of a stream of token hashes; every DEPTH tokens hold one."""
-    if len(tokens) < DEPTH:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    h = np.full(len(tokens) - ANCHOR + 1, salt & (1 << 64) - 1, np.uint64)
-    for i in range(ANCHOR):
-        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + tokens[i : i + len(h)])
-    at = minimizers(h, REACH + 1)
-    return h[at].view(np.int64), at
-
-
-def _streams(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(unit, token hashes, host's salt) of each row (unit, host, texts)."""
-    for start in range(0, len(batch), 256):
-        some = batch.iloc[start : start + 256]
-        hashes, counts = word_hashes([" ".join(t).encode("utf-8", "surrogatepass") for t in some["texts"]])
-        ends = np.cumsum(counts)
-        for unit, host, first, end in zip(some["unit"], some["host"], ends - counts, ends):
-            yield unit, hashes[first:end], _long("host", host)
-
-
-def first_starts(tokens: np.ndarray) -> np.ndarray:
-    """For each start of DEPTH tokens: whether the stream has not held them before."""
-    h = np.zeros(max(0, len(tokens) - DEPTH + 1), np.uint64)
-    for i in range(DEPTH):
-        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + tokens[i : i + len(h)])
-    out = np.zeros(len(h), bool)
-    out[np.unique(h, return_index=True)[1]] = True
-    return out
+@dataclass
+class Streams:
+    """The token hashes of some streams end to end; count and salt (by host) of each."""
+
+    tokens: np.ndarray
+    counts: np.ndarray
+    salts: np.ndarray
+
+    def __post_init__(self):
+        self.owner = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.begins = (np.cumsum(self.counts) - self.counts)[self.owner]
+
+    def whole(self) -> np.ndarray:
+        """Of each DEPTH tokens: whether they lie in one stream."""
+        return self.owner[: len(self.tokens) - DEPTH + 1] == self.owner[DEPTH - 1 :]
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, places) of the anchors; every DEPTH tokens of a stream hold one."""
+        tokens = self.tokens
+        if len(tokens) < DEPTH:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        h = self.salts[self.owner[: len(tokens) - ANCHOR + 1]]
+        for i in range(ANCHOR):
+            h = mix(h * _FACTOR + tokens[i : i + len(h)])
+        at = minimizers(h, REACH + 1, self.whole())
+        return h[at], at
+
+    def first(self) -> np.ndarray:
+        """Of each place: whether DEPTH tokens begin there that their stream has not held before."""
+        out = np.zeros(len(self.tokens), bool)
+        if len(out) >= DEPTH:
+            h = self.owner[: len(out) - DEPTH + 1].astype(np.uint64)
+            for i in range(DEPTH):
+                h = mix(h * _FACTOR + self.tokens[i : i + len(h)])
+            places = np.flatnonzero(self.whole())
+            out[places[np.unique(h[places], return_index=True)[1]]] = True
+        return out
+
+    def contexts(self, at: np.ndarray) -> dict[str, np.ndarray]:
+        """Of anchors at these places: the place in their stream and its length; the tokens around and a hash of
+        them; how many of those before and after are in the stream; and the offsets whose tokens are new, as bits."""
+        spot, n = at - self.begins[at], self.counts[self.owner[at]]
+        left, right = np.minimum(spot, REACH), np.minimum(n - ANCHOR - spot, REACH)
+        pad = np.zeros(REACH, np.uint64)
+        rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, self.tokens, pad]), DEPTH + REACH)[at]
+        column = np.arange(DEPTH + REACH)
+        rows = np.where((column >= REACH - left[:, None]) & (column < REACH + ANCHOR + right[:, None]), rows, np.uint64(0))
+        c = left.astype(np.uint64) * np.uint64(64) + right.astype(np.uint64)
+        for x in rows.T:
+            c = mix(c * _FACTOR + x)
+        new = self.first()
+        firsts = sum(((spot >= o) & new[np.maximum(at - o, 0)]).astype(np.int64) << o for o in range(REACH + 1))
+        return {"at": spot, "n": n, "context": (rows >> np.uint64(32)).astype(np.uint32), "c": c.view(np.int64), "left": left, "right": right, "firsts": firsts}
+
 
+def streams(texts: list[str], hosts: list[str]) -> Streams:
+    hashes, counts = word_hashes([t.encode("utf-8", "surrogatepass") for t in texts])
+    return Streams(hashes, counts, np.array([_long("host", h) for h in hosts], np.int64).view(np.uint64))
 
-def repeated_offsets(anchor: np.ndarray, context: np.ndarray, left: np.ndarray, right: np.ndarray, streams: np.ndarray, least: np.ndarray) -> np.ndarray:
+
+def repeated_offsets(anchor: np.ndarray, context: np.ndarray, left: np.ndarray, right: np.ndarray, held: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For each distinct context of an anchor, and each o up to REACH: whether at least `least` streams hold the DEPTH tokens that begin o before it.
 
     context: rows of REACH tokens before the anchor, the anchor, and REACH after it, of which left and right are
-    in the stream. streams: for each o, how many streams hold those tokens first in this context.
+    in the stream. held: for each o, how many streams hold those tokens first in this context.
     """
     n = len(anchor)
     out = np.zeros((n, REACH + 1), bool)
@@ -241,7 +278,7 @@ def repeated_offsets(anchor: np.ndarray, context: np.ndarray, left: np.ndarray,
         return out
     suffix = context[:, REACH:]
     order = np.lexsort([*(suffix[:, i] for i in range(DEPTH - 1, -1, -1)), anchor])
-    anchor, context, suffix, left, right, streams, least = (x[order] for x in (anchor, context, suffix, left, right, streams, least))
+    anchor, context, suffix, left, right, held, least = (x[order] for x in (anchor, context, suffix, left, right, held, least))
     differs = suffix[1:] != suffix[:-1]
     common = np.where(differs.any(1), differs.argmax(1), DEPTH)
     common = np.where(anchor[1:] != anchor[:-1], 0, common)
@@ -250,7 +287,7 @@ def repeated_offsets(anchor: np.ndarray, context: np.ndarray, left: np.ndarray,
     before = np.zeros(n, np.uint64)
     for o in range(REACH + 1):
         if o:
-            before = mix(before * np.uint64(0xD6E8FEB86659FD93) + context[:, REACH - o])
+            before = mix(before * _FACTOR + context[:, REACH - o].astype(np.uint64))
         node = np.arange(n) + len(depth)  # suffixes outside every interval are nodes of their own
         for k in np.flatnonzero((depth >= DEPTH - o) & (up < DEPTH - o)):
             node[first[k] : last[k] + 1] = k
@@ -260,43 +297,58 @@ def repeated_offsets(anchor: np.ndarray, context: np.ndarray, left: np.ndarray,
         # left extensions of a node: its suffixes that agree in the o tokens before
         key = mix(node[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + before[rows])
         _, group = np.unique(key, return_inverse=True)
-        found[rows, o] = np.bincount(group, streams[rows, o])[group] >= least[rows]
+        found[rows, o] = np.bincount(group, held[rows, o])[group] >= least[rows]
     out[order] = found
     return out
 
 
-def covered_tokens(n: int, at: list[int], masks: list[int]) -> np.ndarray:
-    """Which of n tokens repeats cover, from the anchors' positions and their repeated offsets as bits."""
+def covered_tokens(n: int, at: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Which of n tokens repeats cover, from the anchors' places and their repeated offsets as bits."""
     on = np.zeros(n + 1, np.int64)
-    for p, mask in zip(at, masks):
-        for o in range(REACH + 1):
-            if mask >> o & 1:
-                on[p - o] += 1
-                on[p - o + DEPTH] -= 1
+    for o in range(REACH + 1):
+        begins = at[masks >> o & 1 > 0] - o
+        np.add.at(on, begins, 1)
+        np.add.at(on, begins + DEPTH, -1)
     return np.cumsum(on)[:n] > 0
 
 
-def _masks(occurrences: DataFrame, least: DataFrame | None, near: DataFrame | None) -> DataFrame:
-    """(anchor, c, mask): the offsets of each context whose tokens are on enough streams: the host's least, or 2; units in near do not count."""
-    bit = lambda o: F.shiftright("firsts", o).bitwiseAND(F.lit(1))
-    if near is not None:
-        occurrences = occurrences.join(near.select(F.col("unit").alias("near")), F.col("unit") == F.col("near"), "left")
-        bit = lambda o: F.when(F.col("near").isNull(), F.shiftright("firsts", o).bitwiseAND(F.lit(1))).otherwise(0)
-    sums = F.array(*[F.sum(bit(o)) for o in range(REACH + 1)])
-    sized = occurrences.groupBy("host", "anchor", "c").agg(sums.alias("streams"), *[F.first(x).alias(x) for x in ("context", "left", "right")])
+def _masks(occurrences: DataFrame, contexts: DataFrame, least: DataFrame | None) -> DataFrame:
+    """(of_a, of_c, mask): the offsets of each context whose tokens are in enough streams: the host's least, or 2."""
+    columns = [f"s{o}" for o in range(REACH + 1)]
+    sums = [F.sum(F.shiftright("firsts", o).bitwiseAND(F.lit(1))).alias(c) for o, c in enumerate(columns)]
+    held = occurrences.groupBy(F.col("a").alias("of_a"), F.col("c").alias("of_c")).agg(*sums)
+    # contexts that only streams have which do not count meet the sums of the others
+    sized = contexts.join(held, (F.col("a") == F.col("of_a")) & (F.col("c") == F.col("of_c")), "left")
     if least is None:
         sized = sized.withColumn("least", F.lit(2).cast("long"))
     else:
-        sized = sized.join(least.withColumnRenamed("host", "of_host"), F.col("host") == F.col("of_host"), "left").withColumn("least", F.coalesce("least", F.lit(2).cast("long")))
-    buckets = max(1, occurrences.count() // PER_BUCKET)
+        sized = sized.join(least, F.col("host") == F.col("of_host"), "left").withColumn("least", F.coalesce("least", F.lit(2).cast("long")))
+    sized = sized.select("a", "c", "context", "left", "right", "least", *[F.coalesce(c, F.lit(0)).alias(c) for c in columns])
+    buckets = max(1, contexts.count() // PER_BUCKET)
 
     def sort(part: pd.DataFrame) -> pd.DataFrame:
-        context = np.frombuffer(b"".join(part["context"]), np.uint64).reshape(len(part), -1)
-        on = repeated_offsets(part["anchor"].to_numpy(), context, part["left"].to_numpy(), part["right"].to_numpy(), np.stack(part["streams"]), part["least"].to_numpy())
-        return pd.DataFrame({"anchor": part["anchor"], "c": part["c"], "mask": on @ (1 << np.arange(REACH + 1))})
+        context = np.frombuffer(b"".join(part["context"]), np.uint32).reshape(len(part), -1)
+        on = repeated_offsets(part["a"].to_numpy(), context, part["left"].to_numpy(), part["right"].to_numpy(), part[columns].to_numpy(), part["least"].to_numpy())
+        return pd.DataFrame({"a": part["a"], "c": part["c"], "mask": on @ (1 << np.arange(REACH + 1))})
+
+    found = sized.groupBy(F.pmod("a", F.lit(buckets))).applyInPandas(sort, "a long, c long, mask int").where("mask > 0")
+    return found.withColumnsRenamed({"a": "of_a", "c": "of_c"})
+
+
+def _parsed(batch: pd.DataFrame) -> Iterator[tuple[list[tuple[int, int, int, str, str]], Streams]]:
+    """((page, nth, unit, host, text) of each region, their streams), a group of pages (html, host) at a time."""
+    for i in range(0, len(batch), GROUP):
+        some, units = batch.iloc[i : i + GROUP], []
+        for text, host in zip(some["html"], some["host"]):
+            own = regions(text)
+            page = _page_number(host, own)
+            units += [(page, nth, _long("unit", host, *t), host, " ".join(t)) for nth, (_, t, _) in enumerate(own)]
+        yield units, streams([u[4] for u in units], [u[3] for u in units])
 
-    sized = sized.select("anchor", "c", "context", "left", "right", "streams", "least")
-    return sized.groupBy(F.pmod("anchor", F.lit(buckets))).applyInPandas(sort, "anchor long, c long, mask long").where("mask > 0")
+
+def _page_number(host: str, own: list[Region]) -> int:
+    """A 64-bit number that pages of a host share if they have the same regions."""
+    return _long("page", host, *[x for k, t, _ in own for x in (k, *t)])
 
 
 def extract(df: DataFrame, *, html_col: str = "html", url_col: str = "url", text_name: str = "text") -> DataFrame:
@@ -304,85 +356,99 @@ def extract(df: DataFrame, *, html_col: str = "html", url_col: str = "url", text
 
     Null pages are empty. Regions of one host with equal texts count as one, and near copies (under OWN of their
     tokens outside repeats) do not count, so that copies do not make each other boilerplate; a null url, or one
-    without a host, is a host of its own. Tokens are told apart by 64-bit hashes, A-Z like a-z.
+    without a host, is a host of its own. Tokens are told apart by hashes, A-Z like a-z. df has to give its rows
+    again unchanged, as a table does: pages are parsed in each of three passes, which costs less than to keep them.
     """
     spark = df.sparkSession
     bounded(spark)
-    found, host, pid, kept = fresh(df, "extract_regions", "extract_host", "extract_page", "extract_spans")
-
-    @F.pandas_udf("array<struct<kind: string, unit: long, texts: array<string>, weak: array<boolean>>>")
-    @tidy
-    def parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for pages, hosts in batches:
-            yield pd.Series([[{"kind": k, "unit": _long("unit", h, *t), "texts": t, "weak": w} for k, t, w in regions(page)] for page, h in zip(pages, hosts)], dtype=object)
-
-    own_host = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    columns = [F.col(f"`{c}`") for c in df.columns if c != html_col]
-    pages = df.withColumn(host, F.lower(own_host))
-    pages = pages.select(*columns, host, parse(F.col(html_col), F.col(host)).alias(found)).withColumn(pid, F.monotonically_increasing_id())
-    pages = written(pages, "extract-pages")  # which fixes the numbers of pages
-    parts = pages.select(F.col(pid).alias("pid"), F.col(host).alias("host"), F.posexplode(found).alias("nth", "region"))
-    units = parts.select("pid", "nth", "host", "region.unit", "region.texts")
+    found, host, page, kept = fresh(df, "extract_regions", "extract_host", "extract_page", "extract_places")
+    own_host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    size = df.agg(F.sum(F.octet_length(html_col))).collect()[0][0] or 0
+    shares = max(1, int(size) // PER_SHARE)
+    raw = df.select(F.col(html_col).alias("html"), own_host.alias("host"))
 
     @tidy
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for unit, tokens, salt in _streams(batch):
-                h = np.unique(token_anchors(tokens, salt)[0])
-                if len(h):
-                    yield pd.DataFrame({"anchor": h, "unit": unit})
+            for units, made in _parsed(batch):
+                h, at = made.anchors()
+                yield from sent_anchors(anchor_ids(h, shares), np.array([u[2] for u in units], np.int64)[made.owner[at]])
 
-    each = units.select("unit", "host", "texts").mapInPandas(scan, "anchor long, unit long")
-    several = each.groupBy("anchor").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi")).where("lo <> hi").select("anchor")
-    marked = written(each.join(several, "anchor").distinct(), "extract-anchors")
-    marks = marked.groupBy("unit").agg(F.collect_set("anchor").alias("marks"))
-    streams = units.select("unit", "host", "texts").join(marks, "unit").dropDuplicates(["unit"])
+    met = raw.mapInPandas(scan, "bucket long, known boolean, packed binary").groupBy("bucket").applyInPandas(met_anchors, "key long, anchor long")
+    shared = written(met.select("anchor").distinct(), "extract-anchors")
+    # so many bytes are sent to all executors; beyond, occurrences are joined with the anchors by key
+    sent = np.sort(shared.toPandas()["anchor"].to_numpy()) if 8 * shared.count() <= MAX_SENT else None
+    sent = spark.sparkContext.broadcast(sent)
 
     @tidy
-    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pad = np.zeros(REACH, np.uint64)
+    def occur(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for marks, host, (unit, tokens, salt) in zip(batch["marks"], batch["host"], _streams(batch)):
-                h, at = token_anchors(tokens, salt)
-                on = np.isin(h, np.asarray(marks, np.int64))
-                h, at = h[on], at[on]
-                new = np.concatenate([np.zeros(REACH, bool), first_starts(tokens), np.zeros(REACH, bool)])
-                firsts = sum(new[at + REACH - o].astype(np.int64) << o for o in range(REACH + 1))
-                rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, tokens, pad]), DEPTH + REACH)[at]
-                left, right = np.minimum(at, REACH), np.minimum(len(tokens) - ANCHOR - at, REACH)
-                c = left.astype(np.uint64) * np.uint64(64) + right.astype(np.uint64)
-                for column in rows.T:
-                    c = mix(c * np.uint64(0xD6E8FEB86659FD93) + column)
-                yield pd.DataFrame({"unit": unit, "host": host, "n": len(tokens), "firsts": firsts, "at": at, "anchor": h, "c": c.view(np.int64), "left": left, "right": right, "context": [r.tobytes() for r in rows]})
-
-    made = streams.select("unit", "host", "texts", "marks").mapInPandas(contexts, "unit long, host string, n long, firsts int, at long, anchor long, c long, left int, right int, context binary")
-    occurrences = written(made, "extract-contexts", spread=True)
+            for units, made in _parsed(batch):
+                h, at = made.anchors()
+                a = anchor_ids(h, shares)
+                if sent.value is not None:
+                    on = np.isin(a, sent.value)
+                    a, at = a[on], at[on]
+                names = {k: np.array([u[i] for u in units], object if k == "host" else np.int64) for i, k in enumerate(("page", "nth", "unit", "host"))}
+                blank = dict.fromkeys(("c", "at", "n", "firsts", "left", "right"), 0)
+                yield pd.DataFrame({**names, "a": -1, **blank, "context": None})  # a row for each region
+                if len(at):
+                    x, owner = made.contexts(at), made.owner[at]
+                    # a context that this group holds several times is sent once
+                    _, once = np.unique(np.stack([a, x["c"]]), axis=1, return_index=True)
+                    context = np.full(len(at), None, object)
+                    context[once] = [r.tobytes() for r in x["context"][once]]
+                    yield pd.DataFrame({**{k: v[owner] for k, v in names.items()}, "a": a, **{k: x[k] for k in blank}, "context": context})
+
+    each = raw.mapInPandas(occur, "page long, nth int, unit long, host string, a long, c long, at int, n int, firsts int, left int, right int, context binary")
+    if sent.value is None:
+        each = each.where("a < 0").unionByName(each.join(shared.withColumnRenamed("anchor", "of"), F.col("a") == F.col("of"), "left_semi"))
+    each = written(each, "extract-occurrences")
+    contexts = written(each.where("context is not null").select("host", "a", "c", "left", "right", "context").dropDuplicates(["a", "c"]), "extract-contexts", spread=True)
+    occurrences = each.where("a >= 0").select("unit", "a", "c", "at", "n", "firsts").distinct()  # pages may hold the same unit
 
     @F.pandas_udf("double")
-    def own_share(n: pd.Series, spots: pd.Series) -> pd.Series:
-        return pd.Series([1 - covered_tokens(k, [s["at"] for s in x], [s["mask"] for s in x]).mean() for k, x in zip(n, spots)], dtype="float64")
-
-    spots = lambda masks: occurrences.join(masks, ["anchor", "c"]).groupBy("unit", "n").agg(F.collect_list(F.struct("at", "mask")).alias("spots"))
-    near = written(spots(_masks(occurrences, None, None)).where(own_share("n", "spots") < OWN).select("unit"), "extract-near")
-    counted = units.select("host", "unit").distinct().join(near, "unit", "left_anti").groupBy("host").agg(F.count("*").alias("streams"))
-    least = written(counted.select("host", F.greatest(F.lit(2), F.floor(F.col("streams") * SHARE) + 1).cast("long").alias("least")), "extract-hosts")
-    spans = written(spots(_masks(occurrences, least, near)).select(F.col("unit").alias("of"), "spots"), "extract-spans")
-    of_page = units.select("pid", "nth", "unit").join(spans, F.col("unit") == F.col("of")).groupBy("pid").agg(F.collect_list(F.struct("nth", "spots")).alias(kept))
-    of_page = written(of_page.withColumnRenamed("pid", "of_pid"), "extract-covered")  # of known size: sent to all only if it is small
-    discard(marked, occurrences, near, least, spans)
+    def own_share(n: pd.Series, x: pd.Series) -> pd.Series:
+        share = lambda k, v: 1 - covered_tokens(k, *(np.array([s[f] for s in v], np.int64) for f in ("at", "mask"))).mean()
+        return pd.Series([share(k, v) for k, v in zip(n, x)], dtype="float64")
+
+    of = (F.col("a") == F.col("of_a")) & (F.col("c") == F.col("of_c"))
+    marks = occurrences.join(_masks(occurrences, contexts, None), of).groupBy("unit", "n").agg(F.collect_list(F.struct("at", "mask")).alias("x"))
+    near = written(marks.where(own_share("n", "x") < OWN).select(F.col("unit").alias("near")), "extract-near")
+    own = lambda rows: rows.join(near, F.col("unit") == F.col("near"), "left_anti")
+    regions_of = own(each.where("a < 0").select("host", "unit").distinct()).groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("n"))
+    least = written(regions_of.select("of_host", F.greatest(F.lit(2), F.floor(F.col("n") * SHARE) + 1).cast("long").alias("least")), "extract-hosts")
+    places = each.where("a >= 0").join(_masks(own(occurrences), contexts, least), of).groupBy(F.col("page").alias("of_page"))
+    places = written(places.agg(F.collect_set(F.struct("nth", "at", "mask")).alias(kept)), "extract-places")
+    n_places = places.agg(F.sum(F.size(kept))).collect()[0][0] or 0
+    discard(shared, each, contexts, near, least)
+
+    @F.pandas_udf("page long, regions array<struct<kind: string, texts: array<string>, weak: array<boolean>>>")
+    @tidy
+    def parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for pages, hosts in batches:
+            made = [regions(p) for p in pages]
+            yield pd.DataFrame({"page": [_page_number(h, r) for h, r in zip(hosts, made)], "regions": [[{"kind": k, "texts": t, "weak": w} for k, t, w in r] for r in made]})
 
     @F.pandas_udf("string")
     @tidy
     def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for all_regions, all_spots in batches:
+        for all_regions, all_places in batches:
             out = []
-            for own, seen in zip(all_regions, all_spots):
+            for own, seen in zip(all_regions, all_places):
                 own = [] if own is None else [(r["kind"], list(r["texts"]), list(r["weak"])) for r in own]
                 covered: list[np.ndarray | None] = [None] * len(own)
-                for x in [] if seen is None else seen:
-                    covered[x["nth"]] = covered_tokens(sum(len(t.split()) for t in own[x["nth"]][1]), [s["at"] for s in x["spots"]], [s["mask"] for s in x["spots"]])
+                if seen is not None:
+                    nth, at, mask = (np.array([x[k] for x in seen], np.int64) for k in ("nth", "at", "mask"))
+                    for r in np.unique(nth):
+                        covered[r] = covered_tokens(sum(len(t.split()) for t in own[r][1]), at[nth == r], mask[nth == r])
                 out.append(main_text(own, covered))
             yield pd.Series(out, dtype=object)
 
-    joined = pages.join(of_page, F.col(pid) == F.col("of_pid"), "left")
+    columns = [F.col(f"`{c}`") for c in df.columns if c != html_col]
+    rows = df.withColumn(host, own_host).withColumn(found, parse(F.col(html_col), F.col(host)))
+    rows = rows.select(*columns, F.col(f"{found}.page").alias(page), F.col(f"{found}.regions").alias(found))
+    if 16 * n_places <= MAX_SENT:
+        places = F.broadcast(places)
+    joined = rows.join(places, F.col(page) == F.col("of_page"), "left")
     return joined.select(*columns, text(F.col(found), F.col(kept)).alias(text_name))

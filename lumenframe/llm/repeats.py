@@ -44,9 +44,11 @@ def _spread(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return f(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def minimizers(h: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the values that are the least of some window of that width; there is one in every window."""
+def minimizers(h: np.ndarray, width: int, valid: np.ndarray | None = None) -> np.ndarray:
+    """Positions of the values that are the least of some (valid) window of that width; there is one in every window."""
     least = _spread(h, width, True)
+    if valid is not None:
+        least = np.where(valid, least, np.uint64(0))
     pad = np.zeros(width - 1, np.uint64)
     return np.flatnonzero(_spread(np.concatenate([pad, least, pad]), width, False)[: len(h)] == h)
 
@@ -177,6 +179,72 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
         yield some
 
 
+def anchor_ids(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each anchor's hash in the upper half, and its last 32 bits: the more buckets, the longer."""
+    bucket = (h >> np.uint64(32)) % np.uint64(buckets)
+    return (bucket << np.uint64(32) | h & np.uint64(0xFFFFFFFF)).view(np.int64)
+
+
+def _zipped(*columns: np.ndarray) -> bytes:
+    return zstandard.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns), 3)
+
+
+def sent_anchors(anchor: np.ndarray, key: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Packed rows for `met_anchors` from the ids of anchors and the keys that have them."""
+    order = np.lexsort((key, anchor))
+    anchor, key = anchor[order], key[order]
+    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1])])[: len(anchor)]
+    anchor, key = anchor[new], key[new]
+    if not len(anchor):
+        return
+    heads = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    many = np.diff(np.append(heads, len(anchor)))
+    local = np.repeat(many > 1, many)
+    if local.any():  # known here already: passed on as they are
+        yield pd.DataFrame({"bucket": [int(anchor[local][0] >> 32)], "known": True, "packed": [_zipped(key[local], anchor[local])]})
+    # to the others goes one key of each anchor, with a mark if it has several here; ids as their differences
+    anchor, key, several = anchor[heads], key[heads], many > 1
+    bucket = anchor >> 32
+    names, where = np.unique(key, return_inverse=True)
+    for part in np.split(np.arange(len(anchor)), np.flatnonzero(np.diff(bucket)) + 1):
+        own, short = np.unique(where[part], return_inverse=True)
+        kind = np.uint16 if len(own) <= 1 << 16 else np.uint32
+        steps = np.diff(anchor[part] & 0xFFFFFFFF, prepend=0).astype(np.uint32)
+        packed = _zipped(np.array([len(own), len(part)], np.int64), names[own], steps.view(np.uint8).reshape(-1, 4).T, short.astype(kind), several[part])
+        yield pd.DataFrame({"bucket": [int(bucket[part[0]])], "known": False, "packed": [packed]})
+
+
+def met_anchors(part: pd.DataFrame) -> pd.DataFrame:
+    """(key, anchor) of the anchors of a bucket that several keys have."""
+    ids, keys, marks, out_keys, out_anchors = [], [], [], [], []
+    for bucket, z, known in zip(part["bucket"], part["packed"], part["known"]):
+        data = _unzipped(z)
+        if known:
+            n = len(data) // 16
+            out_keys.append(np.frombuffer(data, np.int64, n))
+            out_anchors.append(np.frombuffer(data, np.int64, n, 8 * n))
+            continue
+        n_keys, n = np.frombuffer(data, np.int64, 2)
+        at = 16 + 8 * n_keys
+        names = np.frombuffer(data, np.int64, n_keys, 16)
+        steps = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view(np.uint32).ravel()
+        ids.append(np.cumsum(steps.astype(np.int64)) | int(bucket) << 32)
+        kind = np.uint16 if n_keys <= 1 << 16 else np.uint32
+        keys.append(names[np.frombuffer(data, kind, n, at + 4 * n)])
+        marks.append(np.frombuffer(data, bool, n, at + (4 + np.dtype(kind).itemsize) * n))
+    if ids:
+        anchor, key, mark = (np.concatenate(x) for x in (ids, keys, marks))
+        order = np.lexsort((key, anchor))
+        anchor, key, mark = anchor[order], key[order], mark[order]
+        heads = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        many = np.diff(np.append(heads, len(anchor)))
+        ends = heads + many - 1
+        on = np.repeat(key[heads] != key[ends], many) & ~mark  # marked ones are known where they are
+        out_keys.append(key[on])
+        out_anchors.append(anchor[on])
+    return pd.DataFrame({"key": np.concatenate(out_keys), "anchor": np.concatenate(out_anchors)})
+
+
 def _shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
     """(key, anchor) of the anchors that several keys have."""
 
@@ -184,59 +252,11 @@ def _shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in _grouped(batches):
             found = [anchors(raw)[0] for _, raw in some]
-            h = np.concatenate(found)
             key = np.repeat(np.array([k for k, _ in some], np.int64), [len(x) for x in found])
-            order = np.lexsort((key, h))
-            h, key = h[order], key[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])])[: len(h)]
-            h, key = h[new], key[new]
-            if not len(h):
-                continue
-            heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            many = np.diff(np.append(heads, len(h)))
-            local = np.repeat(many > 1, many)
-            if local.any():  # known here already: passed on as they are
-                yield pd.DataFrame({"bucket": [int(h[local][0] >> np.uint64(20)) % buckets], "known": True, "packed": [key[local].tobytes() + h[local].tobytes()]})
-            # to the others goes one key of each anchor, with a mark if it has several here
-            h, key, several = h[heads], key[heads], many > 1
-            bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            names, where = np.unique(key, return_inverse=True)
-            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                own, short = np.unique(where[part], return_inverse=True)
-                kind = np.uint16 if len(own) <= 1 << 16 else np.uint32
-                packed = b"".join([np.array([len(own), len(part)], np.int64).tobytes(), names[own].tobytes(), h[part].tobytes(), short.astype(kind).tobytes(), several[part].tobytes()])
-                yield pd.DataFrame({"bucket": [bucket[part[0]]], "known": False, "packed": [packed]})
-
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        hs, keys, marks, out_keys, out_anchors = [], [], [], [], []
-        for data, known in zip(part["packed"], part["known"]):
-            if known:
-                n = len(data) // 16
-                out_keys.append(np.frombuffer(data, np.int64, n))
-                out_anchors.append(np.frombuffer(data, np.int64, n, 8 * n))
-                continue
-            n_keys, n = np.frombuffer(data, np.int64, 2)
-            at = 16 + 8 * n_keys
-            names = np.frombuffer(data, np.int64, n_keys, 16)
-            hs.append(np.frombuffer(data, np.uint64, n, at))
-            kind = np.uint16 if n_keys <= 1 << 16 else np.uint32
-            keys.append(names[np.frombuffer(data, kind, n, at + 8 * n)])
-            marks.append(np.frombuffer(data, bool, n, at + (8 + np.dtype(kind).itemsize) * n))
-        if hs:
-            h, key, mark = (np.concatenate(x) for x in (hs, keys, marks))
-            order = np.lexsort((key, h))
-            h, key, mark = h[order], key[order], mark[order]
-            heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            many = np.diff(np.append(heads, len(h)))
-            ends = heads + many - 1
-            on = np.repeat(key[heads] != key[ends], many) & ~mark  # marked ones are known where they are
-            out_keys.append(key[on])
-            out_anchors.append(h[on].view(np.int64))
-        return pd.DataFrame({"key": np.concatenate(out_keys), "anchor": np.concatenate(out_anchors)})
+            yield from sent_anchors(anchor_ids(np.concatenate(found), buckets), key)
 
     sent = texts.select("key", "z").mapInPandas(scan, "bucket long, known boolean, packed binary")
-    return sent.groupBy("bucket").applyInPandas(meet, "key long, anchor long")
+    return sent.groupBy("bucket").applyInPandas(met_anchors, "key long, anchor long")
 
 
 def _spans(texts: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
@@ -251,7 +271,7 @@ def _spans(texts: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
             hs, owner, at, lefts, rights, mats = [], [], [], [], [], []
             for i, (_, _, marks, raw) in enumerate(some):
                 h, p = anchors(raw)
-                on = np.isin(h, np.asarray(marks, np.int64).view(np.uint64))
+                on = np.isin(anchor_ids(h, buckets), np.asarray(marks, np.int64))
                 h, p = h[on], p[on]
                 if not len(h):
                     continue

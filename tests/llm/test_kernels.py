@@ -261,24 +261,16 @@ def test_suffix_intervals_find_every_repeat(streams, seed, least):
     r = random.Random(seed)
     common = [r.randrange(50) for _ in range(12)]
     streams = [s if i % 2 else s + common + s[:3] for i, s in enumerate(streams)]
-    hashed = [shingles.mix(np.array(s, np.uint64) + np.uint64(1)) for s in streams]
-    reach, rows, counts = extract.REACH, {}, {}
-    for unit, tokens in enumerate(hashed):
-        padded = np.concatenate([np.zeros(reach, np.uint64), tokens, np.zeros(reach, np.uint64)])
-        new = extract.first_starts(tokens)
-        for h, p in zip(*extract.token_anchors(tokens, 5)):
-            key = (int(h), padded[p : p + extract.DEPTH + reach].tobytes(), min(p, reach), min(len(tokens) - extract.ANCHOR - p, reach))
-            rows.setdefault(key, []).append((unit, int(p)))
-            counts[key] = counts.get(key, 0) + np.array([0 <= p - o < len(new) and new[p - o] for o in range(reach + 1)], int)
-    keys = list(rows)
-    column = lambda f: np.array([f(k) for k in keys], np.int64)
-    contexts = np.array([np.frombuffer(k[1], np.uint64) for k in keys], np.uint64).reshape(len(keys), -1)
-    sums = np.array([counts[k] for k in keys], np.int64).reshape(len(keys), -1)
-    on = extract.repeated_offsets(column(lambda k: k[0]), contexts, column(lambda k: k[2]), column(lambda k: k[3]), sums, np.full(len(keys), least))
-    got = [np.zeros(len(s), bool) for s in streams]
-    for k, mask in zip(keys, on @ (1 << np.arange(extract.REACH + 1))):
-        for unit, p in rows[k]:
-            got[unit] |= extract.covered_tokens(len(streams[unit]), [p], [int(mask)])
+    made = extract.Streams(np.concatenate([shingles.mix(np.array(s, np.uint64) + np.uint64(1)) for s in streams]), np.array([len(s) for s in streams]), np.full(len(streams), 5, np.uint64))
+    h, at = made.anchors()
+    x, owner = made.contexts(at), made.owner[at]
+    _, once, which = np.unique(x["c"], return_index=True, return_inverse=True)
+    bits = x["firsts"][:, None] >> np.arange(extract.REACH + 1) & 1
+    held = np.zeros((len(once), extract.REACH + 1), np.int64)
+    np.add.at(held, which, bits)
+    on = extract.repeated_offsets(h[once], *(x[k][once] for k in ("context", "left", "right")), held, np.full(len(once), least))
+    masks = (on @ (1 << np.arange(extract.REACH + 1)))[which] if len(once) else np.empty(0, np.int64)
+    got = [extract.covered_tokens(len(s), x["at"][owner == unit], masks[owner == unit]) for unit, s in enumerate(streams)]
     holds: dict = {}
     for unit, s in enumerate(streams):
         for i in range(len(s) - extract.DEPTH + 1):

@@ -376,7 +376,9 @@ def plain_texts(rows):
     return {i: extract.main_text(found, [second[h, tuple(t)] for _, t, _ in found]) for i, h, found in pages}
 
 
-def test_texts_equal_plain_python(spark):
+@pytest.mark.parametrize("most", [extract.MAX_SENT, -1])
+def test_texts_equal_plain_python(spark, monkeypatch, most):
+    monkeypatch.setattr(extract, "MAX_SENT", most)
     r = random.Random(31)
     rows = []
     for host in ("a.example", "b.example"):
