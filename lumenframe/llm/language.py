@@ -10,6 +10,8 @@ cost over all words of the whole text wins, ties go to the first in alphabetical
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,53 +22,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenframe.llm.shared import tidy, unit_hash, written
+from lumenframe.llm.shared import bounded, discard, tidy, unit_hash, written
 
-#: Labelled documents of each language that a fit uses, about (chosen by a hash of their id).
+#: Labelled documents of each language that a fit uses, about (chosen by a hash of their id), and characters of all of
+#: them together: with many languages each has its equal part of those.
 MAX_FIT = 1_000
-#: Entries of each language and length (0: whole words), the most frequent ones; fewer for many languages, equally
-#: many for each, so that the costs of all stay within MAX_CELLS for each length (met from 23 languages on).
-MAX_ENTRIES = 60_000
-MAX_CELLS = 30_000_000
-MAX_LANGUAGES = 500
-#: Entries seen once are kept in languages with fewer words than this.
-LITTLE = 100_000
+MAX_CHARS = 8_000_000
 LENGTHS = (5, 4, 3, 2, 1)
 PENALTY = 7.0
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 400_000
+#: Costs that a worker keeps for the words it has met.
+_CELLS = 4_000_000
+
+
+def _letters() -> str:
+    """A pattern of runs of letters: characters of words but numbers of any kind and underscores."""
+    numbers = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not unicodedata.category(c).startswith("L")]
+    runs: list[list[int]] = []
+    for c in map(ord, numbers):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return rf"[^\W_{''.join(f'{chr(a)}-{chr(b)}' for a, b in runs)}]+"
+
+
+_WORD = re.compile(_letters())
 
 
 @dataclass
 class Model:
+    """Costs of known entries by language; entries that a language lacks cost PENALTY there."""
+
     languages: list[str]
-    #: length (0: whole words) -> entry -> row of costs
+    #: length (0: whole words) -> entry -> row
     entries: dict[int, dict[str, int]]
-    #: cost of each entry in each language
+    #: the languages and costs of row i are at[i] to at[i + 1]
+    at: np.ndarray
+    of: np.ndarray
     costs: np.ndarray
     cache: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self):
-        self._rows = np.zeros((1024, max(1, len(self.languages))), np.float32)
+        self._most = max(1_000, _CELLS // max(1, len(self.languages)))
+        self._rows = np.zeros((min(1024, self._most), max(1, len(self.languages))), np.float32)
+
+    def cost(self, row: int) -> np.ndarray:
+        out = np.full(len(self.languages), PENALTY, np.float32)
+        span = slice(self.at[row], self.at[row + 1])
+        out[self.of[span]] = self.costs[span]
+        return out
 
     def word_cost(self, word: str) -> np.ndarray:
-        at = self.entries.get(0, {}).get(word)
-        if at is not None:
-            return self.costs[at]
+        known = self.entries.get(0, {}).get(word)
+        if known is not None:
+            return self.cost(known)
         padded = f" {word} "
         for n in LENGTHS:
             get = self.entries.get(n, {}).get
             found = [r for i in range(len(padded) - n + 1) if (r := get(padded[i : i + n])) is not None]
             if found:
-                return self.costs[found].sum(0) / len(found)
+                return sum(self.cost(r) for r in found) / np.float32(len(found))
         return np.full(len(self.languages), PENALTY, np.float32)
 
     def _row(self, word: str) -> int:
         at = len(self.cache)
-        if at >= _CACHE:
-            self.cache.clear()
-            at = 0
         if at >= len(self._rows):
             self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
         self._rows[at] = self.word_cost(word)
@@ -74,23 +94,21 @@ class Model:
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        """The language of the least mean cost, and its probability if the words count as independent."""
         words = Counter(_WORD.findall(text.lower())) if text else None
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        if len(self.cache) + len(words) > _CACHE:
-            self.cache.clear()
-        total, n = np.zeros(len(self.languages)), sum(words.values())
-        items = list(words.items())
-        for i in range(0, len(items), _CACHE // 2):
-            part = items[i : i + _CACHE // 2]
-            if len(self.cache) + len(part) > _CACHE:
+        total, n, items = np.zeros(len(self.languages)), sum(words.values()), list(words.items())
+        for i in range(0, len(items), self._most // 2):
+            part = items[i : i + self._most // 2]
+            if len(self.cache) + len(part) > self._most:
                 self.cache.clear()
             get = self.cache.get
             rows = [r if (r := get(w)) is not None else self._row(w) for w, _ in part]
             total += np.array([c for _, c in part], np.float64) @ self._rows[rows]
         mean = total / n
         best = int(np.argmin(np.round(mean, 9)))
-        odds = np.exp(-(mean - mean[best]) * min(n, 20) * np.log(10))
+        odds = np.exp(-np.maximum(0.0, mean - mean[best]) * n * np.log(10))
         return self.languages[best], float(odds[best] / odds.sum())
 
 
@@ -109,44 +127,49 @@ def count_entries(texts: list[str | None]) -> Counter:
     return out
 
 
-def build(counts: dict[str, dict[str, int]], totals: dict[str, dict[int, int]] | None = None) -> Model:
-    """counts: language -> entry -> count; totals: language -> length -> count of all entries, also of those left out."""
+def build(counts: dict[str, dict[str, int]]) -> Model:
+    """counts: language -> entry -> count; an entry costs -log10 of its share of the language's entries of that length."""
     languages = sorted(counts)
     kind = lambda e: int(e[0]) if e[0] in "12345" else 0
     entries: dict[int, dict[str, int]] = {n: {} for n in (0, *LENGTHS)}
-    for lang in languages:
-        for e in counts[lang]:
-            own = entries[kind(e)]
-            own.setdefault(e[1:] if kind(e) else e, -1)
-    at = 0
-    for own in entries.values():
-        for e in own:
-            own[e] = at
-            at += 1
-    costs = np.full((at, len(languages)), PENALTY, np.float32)
+    rows, of, costs = [], [], []
+    n_rows = 0
     for i, lang in enumerate(languages):
         total: Counter = Counter()
         for e, c in counts[lang].items():
             total[kind(e)] += c
-        total.update({n: c - total[n] for n, c in (totals or {}).get(lang, {}).items()})
         for e, c in counts[lang].items():
-            costs[entries[kind(e)][e[1:] if kind(e) else e], i] = min(PENALTY, -np.log10(c / total[kind(e)]))
-    return Model(languages, entries, costs)
-
-
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_FIT) -> Model:
+            own = entries[kind(e)]
+            name = e[1:] if kind(e) else e
+            if (row := own.get(name)) is None:
+                row = own[name] = n_rows
+                n_rows += 1
+            rows.append(row)
+            of.append(i)
+            costs.append(min(PENALTY, -np.log10(c / total[kind(e)])))
+    order = np.argsort(np.array(rows, np.int64), kind="stable")
+    at = np.concatenate([[0], np.cumsum(np.bincount(np.array(rows, np.int64), minlength=n_rows))]).astype(np.int64)
+    return Model(languages, entries, at, np.array(of, np.int32)[order], np.array(costs, np.float32)[order])
+
+
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_FIT, max_chars: int = MAX_CHARS) -> Model:
     """Fit on the rows with a language: about max_rows of each, chosen by a hash of the id, whole texts.
 
-    Without labelled rows the model knows no language and predicts `und`.
+    Of a language's chosen rows, in the order of that hash, the first is learned from and as many more as stay
+    within max_chars divided by the number of languages. All entries of those rows are the model's, any number of
+    languages can be told apart. Without labelled rows the model knows no language and predicts `und`.
     """
+    bounded(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if not sizes:
-        return Model([], {}, np.zeros((0, 0), np.float32))
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, max_rows / n)])
-    rows = labelled.where(unit_hash(id_col) < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sizes = written(labelled.groupBy(F.col(lang_col).alias("of_lang")).agg(F.count("*").alias("of_n")), "language-sizes")
+    n_languages = sizes.count()
+    if not n_languages:
+        return Model([], {}, np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), unit_hash(id_col).alias("h"))
+    rows = rows.join(sizes, F.col("lang") == F.col("of_lang")).where(F.col("h") * F.col("of_n") < max_rows).drop("of_lang", "of_n")
+    rows = written(rows.withColumn("size", F.length("text").cast("long")), "language-sample")
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = rows.withColumn("before", before).where((F.col("before") == 0) | (F.col("before") + F.col("size") <= max_chars // n_languages))
 
     @tidy
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,33 +178,22 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
                 found = count_entries(list(part["text"]))
                 yield pd.DataFrame({"lang": lang, "entry": list(found), "n": list(found.values())})
 
-    summed = rows.mapInPandas(count, "lang string, entry string, n long").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
-    kind = F.when(F.col("entry").rlike("^[1-5]"), F.substring("entry", 1, 1)).otherwise("0").cast("int")
-    kinds = written(summed.withColumn("kind", kind), "language-entries")
-    totals: dict[str, dict[int, int]] = {lang: {} for lang in sizes}
-    for r in kinds.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect():  # at most 6 rows for each language
-        totals[r["lang"]][r["kind"]] = int(r["n"])
-    little = [lang for lang in sizes if totals[lang].get(0, 0) < LITTLE]
-    kept = kinds.where((F.col("n") >= 2) | F.col("lang").isin(little))
-    most = max(1, min(MAX_ENTRIES, MAX_CELLS // len(sizes) ** 2))
-    first = lambda *keys: F.row_number().over(Window.partitionBy("lang", "kind", *keys).orderBy(F.desc("n"), "entry"))
-    # first inside shares of a language and length, so that no task ranks all of its entries
-    kept = kept.withColumn("share", F.pmod(F.xxhash64("entry"), F.lit(64))).withColumn("nth", first("share")).where(F.col("nth") <= most)
-    kept = written(kept.withColumn("nth", first()).where(F.col("nth") <= most).select("lang", "kind", "entry", "n"), "language-top")
-    counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
-    for n in (0, *LENGTHS):  # each at most `most` rows for each language: the model's bound
-        top = kept.where(F.col("kind") == n).orderBy("lang", F.desc("n"), "entry").select("lang", "entry", "n").toPandas()
-        for lang, entry, c in zip(top["lang"], top["entry"], top["n"]):
-            counts[lang][entry] = int(c)
-    return build(counts, totals)
+    summed = within.select("lang", "text").mapInPandas(count, "lang string, entry string, n long").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
+    summed = written(summed, "language-entries").toPandas()  # at most a few entries for each of max_chars characters
+    discard(sizes, rows)
+    counts: dict[str, dict[str, int]] = {}
+    for lang, entry, c in zip(summed["lang"], summed["entry"], summed["n"]):
+        counts.setdefault(lang, {})[entry] = int(c)
+    return build(counts)
 
 
 def predict(df: DataFrame, model: Model, text: str | Column = "text") -> Column:
-    """Struct column (lang_pred string, score double): the best language and its share of the evidence.
+    """Struct column (lang_pred string, score double): the best language and its probability.
 
-    `und` with score 0 for null texts and texts without a letter.
+    `und` with score 0 for null texts and texts without a letter (a character of a Unicode letter category).
     """
-    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.entries, model.costs))
+    bounded(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.entries, model.at, model.of, model.costs))
 
     @F.pandas_udf("lang_pred string, score double")
     @tidy

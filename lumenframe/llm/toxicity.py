@@ -1,9 +1,10 @@
 """Toxicity: a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 A document is the set of hashed character 3- to 6-grams of its lower-cased text. From labelled
-documents each feature gets the log of the ratio of its smoothed document frequencies in the two classes;
-a logistic regression with an L2 penalty is then fitted on the features scaled by those ratios. Scoring adds
-one table entry for each distinct feature of the whole text.
+documents each feature gets the log of the ratio of its smoothed document frequencies in the two classes, shrunk
+towards 0 by SHRINK of its standard errors, so that features that tell nothing have no scale. A logistic
+regression with an L2 penalty is then fitted on the features scaled by those ratios. Scoring adds one table
+entry for each distinct feature of the whole text.
 """
 
 from __future__ import annotations
@@ -16,16 +17,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.shared import tidy, unit_hash, written
+from lumenframe.llm.shared import bounded, tidy, unit_hash, written
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
 #: Labelled documents that a fit uses at most (those with the smallest hash of their id).
 MAX_FIT = 12_000
-#: Features that the classifier weighs: those with the highest chi-square statistic, from MIN_CHI2 on.
-MAX_FEATURES = 8_192
-MIN_CHI2 = 22.0
-MIN_DF = 2
+#: Standard errors by which a log-count ratio is shrunk.
+SHRINK = 2.0
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(1_000_003)
@@ -64,9 +63,14 @@ class Model:
 
 
 def log_count_ratios(df1: np.ndarray, df0: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """log P(feature | 1) / P(feature | 0) from document frequencies, each smoothed in proportion to its class."""
+    """log P(feature | 1) / P(feature | 0) from document frequencies, each smoothed in proportion to its class.
+
+    Shrunk towards 0 by SHRINK times the standard error of that difference of logs.
+    """
     share = n1 / (n1 + n0)
-    return np.log((df1 + share) / (n1 + share)) - np.log((df0 + 1 - share) / (n0 + 1 - share))
+    ratio = np.log((df1 + share) / (n1 + share)) - np.log((df0 + 1 - share) / (n0 + 1 - share))
+    error = np.sqrt(np.maximum(0.0, 1 / (df1 + share) - 1 / (n1 + share) + 1 / (df0 + 1 - share) - 1 / (n0 + 1 - share)))
+    return np.sign(ratio) * np.maximum(0.0, np.abs(ratio) - SHRINK * error)
 
 
 def logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, n_cols: int, penalty: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -107,23 +111,25 @@ def _top_eigenvalue(rows, cols, values, n, n_cols) -> float:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_FIT) -> Model:
     """Fit on the labelled documents: those of `labels` (id, label 0 or 1; null labels are left out).
 
-    Several labels of one id count as their maximum. With no labelled rows every score is 0, with one class
-    only every score is nearly that class.
+    Several labels of one id count as their maximum, and every document with that id is learned from. Ids of any
+    type are compared as text; null ids have no label. At most max_rows labelled ids are used, those with the
+    smallest hash. With no labelled rows every score is 0, with one class only every score is nearly that class.
     """
     spark = docs.sparkSession
+    bounded(spark)
     sample = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-        .groupBy(F.col(id_col).alias("_id"))
+        .groupBy(F.col(id_col).cast("string").alias("_id"))
         .agg(F.max(F.col(label_col).cast("int")).alias("_y"))
         .orderBy(unit_hash("_id"), "_id")
         .limit(max_rows)
     )
     # at most max_rows pairs of two numbers: a bounded set, sent to all
-    chosen = {int(r["_id"]): int(r["_y"]) for r in sample.collect()}
+    chosen = {r["_id"]: int(r["_y"]) for r in sample.collect()}
     if not chosen:
         return Model(np.zeros(1 << BITS, np.float32), -40.0)
-    pairs = spark.createDataFrame(pd.DataFrame({"_id": list(chosen), "_y": list(chosen.values())}), "_id long, _y int")
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(pairs), "_id")
+    pairs = spark.createDataFrame(pd.DataFrame({"_id": list(chosen), "_y": list(chosen.values())}), "_id string, _y int")
+    rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(pairs), "_id")
 
     @tidy
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,13 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     n0, n1 = (int(total[0]["d0"]), int(total[0]["d1"])) if total else (0, 0)
     if not n0 or not n1:
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((n1 + 0.01) / (n0 + 0.01))))
-    n, both = n0 + n1, F.col("d0") + F.col("d1")
-    gap = F.col("d1").cast("double") * (n0 - F.col("d0")) - F.col("d0").cast("double") * (n1 - F.col("d1"))
-    chi2 = n * gap * gap / F.greatest(F.lit(1.0), both.cast("double") * (n - both) * float(n0 * n1))
-    top = summed.where(f"f >= 0 and d0 + d1 >= {MIN_DF}").withColumn("chi2", chi2).orderBy(F.desc("chi2"), "f").limit(MAX_FEATURES).toPandas()
-    top = top[: max(32, int((top.chi2 >= MIN_CHI2).sum()))]
-    f, d0, d1 = (top[c].to_numpy() for c in ("f", "d0", "d1"))
+    # one row for each hashed feature, at most 2 ** BITS
+    counted = summed.where("f >= 0").toPandas().sort_values("f")
+    f, d0, d1 = (counted[c].to_numpy() for c in ("f", "d0", "d1"))
     ratio = log_count_ratios(d1, d0, n1, n0)
+    f, ratio = f[ratio != 0], ratio[ratio != 0]
     column_of = np.full(1 << BITS, -1, np.int64)
     column_of[f] = np.arange(len(f))
     shared = spark.sparkContext.broadcast(column_of.astype(np.int32))
@@ -160,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             found = [shared.value[np.unique(ngram_buckets(text))] for text in batch["_text"]]
             yield pd.DataFrame({"id": batch["_id"], "y": batch["_y"], "cols": [c[c >= 0].astype(np.int32).tobytes() for c in found]})
 
-    picked = rows.mapInPandas(pick, "id long, y int, cols binary").toPandas().sort_values("id", kind="stable")
+    picked = rows.mapInPandas(pick, "id string, y int, cols binary").toPandas().sort_values("id", kind="stable")
     lists = [np.frombuffer(c, np.int32) for c in picked["cols"]]
     at = np.repeat(np.arange(len(lists)), [len(c) for c in lists])
     cols = np.concatenate(lists).astype(np.int64) if len(lists) else np.empty(0, np.int64)
@@ -172,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def score(df: DataFrame, model: Model, text: str | Column = "text") -> Column:
     """Column with the probability that the text is toxic; null and empty texts get the intercept's."""
+    bounded(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

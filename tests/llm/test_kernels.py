@@ -169,7 +169,10 @@ def test_toxicity_features_and_regression():
     p = 1 / (1 + np.exp(-(x @ w + b)))
     assert np.abs(x.T @ (p - y) + 0.1 * w).max() < 1e-2 and abs((p - y).sum()) < 1e-2
     same = toxicity.log_count_ratios(np.array([10, 0]), np.array([90, 0]), 10, 90)
-    assert abs(same[0]) < 0.2 and abs(same[1]) < 1e-2
+    assert same[0] == 0 and abs(same[1]) < 1e-2
+    told = toxicity.log_count_ratios(np.array([90.0]), np.array([10.0]), 100, 100)[0]
+    plain, error = np.log(90.5 / 100.5) - np.log(10.5 / 100.5), np.sqrt(1 / 90.5 + 1 / 10.5 - 2 / 100.5)
+    assert told == pytest.approx(plain - toxicity.SHRINK * error)
 
 
 def test_language_backs_off_from_words_to_ngrams():
@@ -180,7 +183,9 @@ def test_language_backs_off_from_words_to_ngrams():
     assert model.predict(None) == ("und", 0.0) and model.predict("123 !?")[0] == "und" and model.predict("")[0] == "und"
     lang, score = model.predict("日本")
     assert lang in ("de", "en") and 0 <= score <= 1  # only the padding is known
-    assert language.Model([], {}, np.zeros((0, 0))).predict("abc")[0] == "und"
+    none = language.Model([], {}, np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
+    assert none.predict("abc") == ("und", 0.0)
+    assert all(model.predict(t) == ("und", 0.0) for t in ("½", "² Ⅷ ①", "٣ 12", "_ - _"))
     long = model.predict("the sun " * 300_000)
     assert long[0] == "en"
 

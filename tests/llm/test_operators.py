@@ -1,8 +1,10 @@
 """Corpus operators on small tables with nulls, empty and very long texts, ties, repeated rows, and clashing names."""
 
 import hashlib
+import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -273,18 +275,52 @@ def test_language_over_rows(docs, none):
     assert docs.select(language.predict(docs, empty).alias("p")).where("p.lang_pred <> 'und'").count() == 0
 
 
-def test_a_rare_language_keeps_its_words_beside_a_frequent_one(spark, monkeypatch):
-    monkeypatch.setattr(language, "MAX_ENTRIES", 300)
-    r = random.Random(12)
-    rare = ["".join(r.choice("klmnopqrst") for _ in range(6)) for _ in range(60)]
-    rows = [(i, prose(200, r), "aa") for i in range(60)] + [(100 + i, " ".join(rare[i * 30 : i * 30 + 30]), "zz") for i in range(2)]
+def plain_language(rows, texts):
+    """Plain Python: (language, probability) of each text, learned from rows (text, language)."""
+    letters = lambda t: re.findall(r"\w+", "".join(c if unicodedata.category(c).startswith("L") else " " for c in (t or "").lower()))
+    grams = lambda w, n: [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+    counts: dict = {}
+    for text, lang in rows:
+        for w in letters(text):
+            for n, e in [(0, w), *((n, e) for n in range(1, 6) for e in grams(w, n))]:
+                counts.setdefault((lang, n), Counter())[e] += 1
+    langs = sorted({lang for _, lang in rows})
+    cost = lambda lang, n, e: min(7.0, -math.log10(c / counts[lang, n].total())) if (c := counts[lang, n][e]) else 7.0
+    known = lambda n, e: any(e in counts[lang, n] for lang in langs)
+    out = []
+    for t in texts:
+        sums, words = dict.fromkeys(langs, 0.0), letters(t)
+        for w in words:
+            n, parts = next(((n, p) for n, p in [(0, [w] * known(0, w)), *((n, [e for e in grams(w, n) if known(n, e)]) for n in (5, 4, 3, 2, 1))] if p), (None, []))
+            for lang in langs:
+                sums[lang] += sum(cost(lang, n, e) for e in parts) / len(parts) if parts else 7.0
+        best = min(langs, key=lambda lang: (round(sums[lang] / max(1, len(words)), 9), lang))
+        odds = [10 ** -(max(0.0, sums[lang] - sums[best])) for lang in langs]
+        out.append((best, 1 / sum(odds)) if words else ("und", 0.0))
+    return out
+
+
+def test_language_equals_plain_python(spark):
+    r = random.Random(21)
+    own = {lang: ["".join(r.choice(a) for _ in range(r.randrange(2, 7))) for _ in range(60)] for lang, a in {"aa": "abcdeé", "bb": "abcdfg", "cc": "xyzab"}.items()}
+    rows = [(i, " ".join(r.choice(own[lang]) for _ in range(30)), lang) for i, lang in enumerate(["aa"] * 30 + ["bb"] * 20 + ["cc"] * 2)]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert model.predict(" ".join(rare[10:50]))[0] == "zz" and model.predict(prose(40, r))[0] == "aa"
-    # each seen once among the 60 words of its language, and the words of the other are of all its 12,000
-    assert all(model.costs[model.entries[0][w], 1] == pytest.approx(np.log10(60), abs=1e-5) for w in rare)
-    n = Counter(w for _, text, lang in rows if lang == "aa" for w in text.split())
-    word = n.most_common(1)[0][0]
-    assert model.costs[model.entries[0][word], 0] == pytest.approx(-np.log10(n[word] / 12_000), abs=1e-5)
+    texts = [" ".join("".join(r.choice("abcdeéfgxyz") for _ in range(r.randrange(1, 8))) for _ in range(r.randrange(1, 12))) for _ in range(40)]
+    texts += [" ".join(r.choice(own[lang]) for _ in range(25)) for lang in own] + [None, "", "½ ²", "Ⅷ", "日本", "A_b 7x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {x.i: (x.p.lang_pred, x.p.score) for x in df.select("i", language.predict(df, model, "t").alias("p")).collect()}
+    for i, (lang, p) in enumerate(plain_language([(t, lang) for _, t, lang in rows], texts)):
+        assert got[i][0] == lang and got[i][1] == pytest.approx(p, abs=1e-3)
+
+
+def test_many_languages_share_the_characters_that_are_learned(spark):
+    r = random.Random(5)
+    rows = [(i * 40 + j, " ".join(f"{chr(0x4E00 + i)}{r.choice('abc')}" for _ in range(20)), f"l{i:03d}") for i in range(600) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, max_chars=600 * 60)
+    assert len(model.languages) == 600
+    found = df.select("lang", language.predict(df, model).alias("p"))
+    assert found.where("lang = p.lang_pred").count() == len(rows)
 
 
 def test_toxicity_learns_planted_words(spark, none):
@@ -298,6 +334,28 @@ def test_toxicity_learns_planted_words(spark, none):
     odd = spark.createDataFrame([(None,), ("",), ("x",), ("ab " * 200_000,)], "text string")
     assert odd.withColumn("s", toxicity.score(odd, model)).where("s >= 0 and s <= 1").count() == 4
     assert toxicity.reject_toxic(df, model).columns == df.columns and toxicity.reject_toxic(df, model).count() == 120
+    # plain Python on the same hashed features: document frequencies, shrunk ratios, gradient steps
+    known = {i: y for i, _, y in rows if i < 120}
+    sets = {i: set(toxicity.ngram_buckets(t).tolist()) for i, t, _ in rows}
+    n1, share = sum(known.values()), sum(known.values()) / len(known)
+    df1, df0 = (Counter(f for i, y in known.items() if y == k for f in sets[i]) for k in (1, 0))
+    scale = {}
+    for f in set(df1) | set(df0):
+        a, b, na, nb = df1[f] + share, df0[f] + 1 - share, n1 + share, len(known) - n1 + 1 - share
+        ratio, error = math.log(a / na) - math.log(b / nb), math.sqrt(max(0.0, 1 / a - 1 / na + 1 / b - 1 / nb))
+        if abs(ratio) > toxicity.SHRINK * error:
+            scale[f] = math.copysign(abs(ratio) - toxicity.SHRINK * error, ratio)
+    names, y = sorted(scale), np.array([known[i] for i in sorted(known)])
+    x = np.array([[scale[f] * (f in sets[i]) for f in names] for i in sorted(known)])
+    w, c = np.zeros(len(names)), 0.0
+    step = 1 / (0.25 * np.linalg.norm(np.column_stack([x, np.ones(len(x))]), 2) ** 2 + 1)
+    for _ in range(30_000):
+        e = 1 / (1 + np.exp(-(x @ w + c))) - y
+        w, c = w - step * (x.T @ e + w), c - step * e.sum()
+    weight = dict(zip(names, w))
+    for s in scored.collect():
+        z = c + sum(weight.get(f, 0.0) * scale.get(f, 0.0) for f in sets[s.doc_id])
+        assert s.got == pytest.approx(1 / (1 + math.exp(-z)), abs=2e-3)
     nothing = toxicity.fit(df, labels.limit(0))
     assert df.withColumn("s", toxicity.score(df, nothing)).where("s > 0.01").count() == 0
     assert toxicity.reject_toxic(none, model).count() == 0
