@@ -19,7 +19,7 @@ def decay_to_g(decay_ms: Column, rate_hz: float) -> Column:
 
 
 def g_to_decay(g: Column, rate_hz: float) -> Column:
-    return -1000.0 / (rate_hz * F.log(F.least(F.greatest(g, F.lit(1e-6)), F.lit(0.9999))))
+    return -1000.0 / (rate_hz * F.log(F.least(F.greatest(g, F.lit(1e-6)), F.lit(0.999999))))
 
 
 def lognormal_pdf(x: Column, mu: float, sigma: float) -> Column:

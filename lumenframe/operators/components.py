@@ -142,29 +142,33 @@ def trace_correlations(traces: DataFrame, value: str = "v", pairs: DataFrame | N
     return dealt.groupBy("x", "y").applyInPandas(meet, f"i {kind}, j {kind}, r double")
 
 
-def label_groups(pairs: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
+def label_groups(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(k, label): smallest k that each node (k) reaches over the pairs (i, j), by label spreading.
 
-    Lineage is cut in every round by checkpoint(), in the folder that the session names.
+    In every round a node takes the least label around it, and then that label's own label, until no label
+    moves: long chains halve in each round. Lineage is cut by checkpoint(), in the folder that the session names.
     """
     spark = pairs.sparkSession
     _ensure_checkpoints(spark)
     both = pairs.select("i", "j").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct().checkpoint()
     labels = nodes.select("k", F.col("k").alias("label")).distinct()
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["j"] == labels["k"]).groupBy("i").agg(F.min("label").alias("near"))
-        new = labels.join(near, labels["k"] == near["i"], "left").select("k", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old")).checkpoint()
-        if not new.where("label != old").limit(1).count():
-            break
+        new = labels.join(near, labels["k"] == near["i"], "left").select("k", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old"))
+        far = labels.select(F.col("k").alias("via"), F.col("label").alias("far"))
+        new = new.join(far, new["label"] == far["via"], "left").select("k", "old", F.least("label", F.coalesce("far", "label")).alias("label")).checkpoint()
         labels = new.select("k", "label")
-    return labels.select("k", "label")
+        if not new.where("label != old").limit(1).count():
+            return labels
 
 
 def _ensure_checkpoints(spark) -> None:
-    """Uses the session's checkpoint folder; only where none is set (tests) a temporary one."""
+    """Uses the session's checkpoint folder; where none is set a local session gets a temporary one, a cluster an error."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenframe-"))
 
 
@@ -185,21 +189,32 @@ def merge_pairs(footprints: DataFrame, traces: DataFrame, *, corr: float = 0.85,
     return trace_correlations(traces, value, close).where(F.abs("r") > corr).select("i", "j")
 
 
-def merge(footprints: DataFrame, traces: DataFrame, groups: DataFrame, value: str = "v") -> tuple[DataFrame, DataFrame]:
-    """Footprints summed and traces averaged (not under 0) over the groups (k, label)."""
+def merge(footprints: DataFrame, traces: DataFrame, groups: DataFrame, value: str = "v", shape: tuple[int, int] | None = None, max_share: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """Footprints summed and traces averaged (not under 0) over the groups (k, label).
+
+    With the shape of the field the footprints of groups with several members are trimmed at max_share of their
+    peak, so that they stay compact; others stay as they are.
+    """
     a = footprints.join(groups, "k").groupBy(F.col("label").alias("k"), "p").agg(F.sum("a").alias("a"))
+    if shape is not None:
+        several = groups.groupBy(F.col("label").alias("of")).agg(F.count("*").alias("members")).where("members > 1")
+        again = trimmed(a.join(several, F.col("k") == F.col("of"), "left_semi"), *shape, method="max", max_share=max_share)
+        a = a.join(several, F.col("k") == F.col("of"), "left_anti").select("k", "p", "a").unionByName(again)
     c = traces.join(groups, "k").groupBy(F.col("label").alias("k"), "t").agg(F.greatest(F.lit(0.0), F.avg(value)).alias(value))
     return a, c
 
 
 def yule_walker(traces: DataFrame, value: str = "v", by: Sequence[str] = ("k",), fudge: float = 1.0) -> DataFrame:
-    """(by, g): first-order coefficient from unbiased lag products, clipped to [1e-6, 0.9999]."""
+    """(by, g): first-order coefficient from unbiased lag products, clipped to [1e-6, 0.9999].
+
+    A constant trace has no equation to solve; its coefficient is fudge squared, as for arrays.
+    """
     w = Window.partitionBy(*by)
     x = traces.select(*by, "t", (F.col(value) - F.avg(value).over(w)).alias("x"))
     x = x.withColumn("ahead", F.lead("x").over(w.orderBy("t")))
     sums = x.groupBy(*by).agg(F.sum(F.col("x") * F.col("x")).alias("s0"), F.sum(F.col("x") * F.col("ahead")).alias("s1"), F.count("*").alias("n"))
     g = fudge * (F.col("s1") / (F.col("n") - 1)) / (F.col("s0") / F.col("n"))
-    return sums.select(*by, F.when(F.col("s0") > 0, F.least(F.greatest(g, F.lit(1e-6)), F.lit(0.9999))).otherwise(1e-6).alias("g"))
+    return sums.select(*by, F.when(F.col("s0") > 0, F.least(F.greatest(g, F.lit(1e-6)), F.lit(0.9999))).otherwise(min(fudge * fudge, 0.9999)).alias("g"))
 
 
 def footprint_noise(footprints: DataFrame, noise: DataFrame) -> DataFrame:

@@ -76,6 +76,31 @@ def crop(movie: DataFrame, t0: int, t1: int, y0: int, y1: int, x0: int, x1: int,
     return box.withColumns({"t": F.col("t") - t0, "y": F.col("y") - y0, "x": F.col("x") - x0})
 
 
+def crop_arrays(movie: DataFrame, shape: tuple[int, int], t_range: tuple[int, int], box: tuple[int, int, int, int], mask: np.ndarray | None = None) -> DataFrame:
+    """The box (y0, y1, x0, x1) and time range of frames (t, px) or pixels (p, tr), numbered from its corner.
+
+    Values outside of the mask, an array of the box's shape, become 0. The mask is one frame, and is sent once.
+    """
+    (t0, t1), (y0, y1, x0, x1), width = t_range, box, shape[1]
+    h, w = y1 - y0, x1 - x0
+    if "px" in movie.columns:
+        inside = movie.sparkSession.sparkContext.broadcast(np.ones((h, w)) if mask is None else np.asarray(mask, float).reshape(h, w))
+
+        @F.pandas_udf("array<double>")
+        def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield pd.Series([(np.asarray(px, float).reshape(shape)[y0:y1, x0:x1] * inside.value).ravel() for px in batch], dtype=object)
+
+        return movie.where(f"t >= {t0} and t < {t1}").select((F.col("t") - t0).alias("t"), cut("px").alias("px"))
+    y, x = F.expr(f"p div {width}"), F.expr(f"p % {width}")
+    own = movie.where((y >= y0) & (y < y1) & (x >= x0) & (x < x1)).select(((y - y0) * w + x - x0).cast("int").alias("p"), F.slice("tr", t0 + 1, t1 - t0).alias("tr"))
+    if mask is None:
+        return own
+    kept = movie.sparkSession.createDataFrame(pd.DataFrame({"q": np.flatnonzero(mask)}), "q int")
+    joined = own.join(kept, own["p"] == kept["q"], "left")
+    return joined.select("p", F.when(F.col("q").isNotNull(), F.col("tr")).otherwise(F.transform("tr", lambda v: v * 0.0)).alias("tr"))
+
+
 def place_footprints(footprints: DataFrame, box: tuple[int, int, int, int], width: int) -> DataFrame:
     """Footprints (k, p, a) of a crop (y0, y1, x0, x1) on the full field of that width."""
     y0, _, x0, x1 = box

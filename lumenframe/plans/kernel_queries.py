@@ -93,7 +93,8 @@ def b16_global_background(spark, sf):
 @query
 def a2_spatial_update(spark, sf):
     pixels = _pixels(evt_movie(spark, sf), 12)
-    c = np.stack([np.maximum(np.sin(np.arange(720) / (5.0 + k)), 0) for k in range(4)])
+    n_t = pixels.agg(F.max(F.size("tr"))).collect()[0][0]
+    c = np.stack([np.maximum(np.sin(np.arange(n_t) / (5.0 + k)), 0) for k in range(4)])
     support = pixels.select("p", F.array(*[F.lit(i).cast("long") for i in range(4)]).alias("ks"))
     return components.spatial_update(pixels, c, list(range(4)), support, kernels.noise_of(pixels).select("p", "sn"))
 

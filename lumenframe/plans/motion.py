@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,17 +32,26 @@ def settled(before: float, after: float, tol: float | None) -> bool:
     return tol is not None and (after - before) / max(abs(before), 1e-12) < tol
 
 
+def filtered(stack: np.ndarray, gsig: float | None) -> np.ndarray:
+    """Every frame high-passed."""
+    kernel = arrays.highpass_kernel(gsig) if gsig else None
+    return np.stack([arrays.convolve(f, kernel) for f in stack]) if gsig else stack
+
+
 def template_of(stack: np.ndarray, params: Params, gsig: float | None) -> np.ndarray:
-    """Bin-median of the sample; with sharpening the sample is aligned to it until that gains little."""
-    template = arrays.bin_median(stack)
+    """Bin-median of the high-passed sample; with sharpening the sample is aligned to it until that gains little.
+
+    A median does not commute with the filter, so frames are filtered before it. Registration filters a template
+    once more, whichever it is given, and so does its sharpness.
+    """
+    template = arrays.bin_median(filtered(stack, gsig))
     if not params.mc_sharpen_template:
         return template
-    kernel = arrays.highpass_kernel(gsig) if gsig else None
     level, moved = sharpness(template, gsig), stack
     for _ in range(10):
-        goal = arrays.convolve(template, kernel) if gsig else template
-        moved = np.stack([arrays.translate(f, arrays.phase_shift(goal, arrays.convolve(f, kernel) if gsig else f, params.upsample_factor, params.max_shift)) for f in moved])
-        new = arrays.bin_median(moved)
+        goal = filtered(template[None], gsig)[0]
+        moved = np.stack([arrays.translate(f, arrays.phase_shift(goal, h, params.upsample_factor, params.max_shift)) for f, h in zip(moved, filtered(moved, gsig))])
+        new = arrays.bin_median(filtered(moved, gsig))
         gained = sharpness(new, gsig)
         stop = settled(level, gained, SAMPLE_TOL)
         if gained > level:
@@ -50,15 +61,24 @@ def template_of(stack: np.ndarray, params: Params, gsig: float | None) -> np.nda
     return template
 
 
-def correct(frames: DataFrame, shape: tuple[int, int], params: Params, template: np.ndarray | None = None) -> tuple[DataFrame, DataFrame, np.ndarray]:
+def correct(frames: DataFrame, shape: tuple[int, int], params: Params, template: np.ndarray | None = None, template_window: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """(frames moved, shifts (t, dy, dx) summed over the passes, template).
 
     Each pass registers all frames to a template and is cut off by a checkpoint; passes end early when the
-    template gains little sharpness.
+    template gains little sharpness, unless mc_converge_tol is None. A template that is given holds raw frames'
+    values (registration filters it); with template_window (t0, t1) it is the mean of those frames.
     """
     _ensure_checkpoints(frames.sparkSession)
     n_t = frames.agg(F.max("t") + 1).collect()[0][0]
     gsig = params.mc_gSig_filt or 2 * params.sigma
+    if template_window is not None:
+        t0, t1 = template_window
+        if template is not None:
+            raise ValueError("at most one of template and template_window")
+        if not 0 <= t0 < t1 <= n_t:
+            raise ValueError(f"template_window {template_window} is not within 0 .. {n_t}")
+        mean = frames.where(f"t >= {t0} and t < {t1}").select(F.posexplode("px").alias("p", "v")).groupBy("p").agg(F.avg("v").alias("v")).toPandas()  # one frame
+        template = mean.sort_values("p")["v"].to_numpy().reshape(shape)
     if template is None:
         template = template_of(sample(frames, n_t, params.mc_template_max_frames, shape), params, gsig)
     elif template.shape != tuple(shape):
@@ -69,7 +89,7 @@ def correct(frames: DataFrame, shape: tuple[int, int], params: Params, template:
         step = done.select("t", "dy", "dx")
         total = step if total is None else total.unionByName(step).groupBy("t").agg(F.sum("dy").alias("dy"), F.sum("dx").alias("dx"))
         moved = done.select("t", "px")
-        new = arrays.bin_median(sample(moved, n_t, params.mc_template_max_frames, shape))
+        new = arrays.bin_median(filtered(sample(moved, n_t, params.mc_template_max_frames, shape), gsig))
         gained = sharpness(new, gsig)
         stop = settled(level, gained, params.mc_converge_tol)
         template, level = (new, gained) if gained > level else (template, level)
@@ -82,7 +102,7 @@ def correct_folder(spark, folder: str, params: Params, *, template_files: int =
     """Files of a folder decoded, cropped, binned and registered in one narrow stage, without a table in between.
 
     The template comes from evenly spaced frames of the same plan; passes after the first run on what the one
-    before has left.
+    before has left, and all mc_n_iter of them run, whatever mc_converge_tol says.
     """
     from lumenframe.sources import avi
 
@@ -92,4 +112,4 @@ def correct_folder(spark, folder: str, params: Params, *, template_files: int =
     most = min(params.mc_template_max_frames, template_files * 200)
     n_t = frames.agg(F.max("t") + 1).collect()[0][0]
     template = template_of(sample(frames, n_t, most, (height, width)), small, small.mc_gSig_filt or 2 * small.sigma)
-    return correct(frames.select("t", "px"), (height, width), small, template)
+    return correct(frames.select("t", "px"), (height, width), replace(small, mc_converge_tol=None), template)

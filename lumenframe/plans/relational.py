@@ -510,7 +510,7 @@ def g1_centroids(spark, sf):
 
 _G = """x AS (SELECT k, t, v - avg(v) OVER (PARTITION BY k) AS x FROM evt_traces),
 l AS (SELECT k, x, lead(x) OVER (PARTITION BY k ORDER BY t) AS n FROM x),
-g AS (SELECT k, CASE WHEN sum(x * x) > 0 THEN least(greatest((sum(x * n) / (count(*) - 1)) / (sum(x * x) / count(*)), 1e-6), 0.9999) ELSE 1e-6 END AS g FROM l GROUP BY k)"""
+g AS (SELECT k, CASE WHEN sum(x * x) > 0 THEN least(greatest((sum(x * n) / (count(*) - 1)) / (sum(x * x) / count(*)), 1e-6), 0.9999) ELSE 0.9999 END AS g FROM l GROUP BY k)"""
 
 
 @query(with_views("evt_traces") + f",\n{_G}\nSELECT k, round(g, 6) AS g FROM g")
@@ -524,7 +524,7 @@ def t2_prior_shrinkage(spark, sf):
     return rounded(g.withColumn("g", 0.5 * F.col("g") + 0.5 * F.exp(F.lit(-1000.0 / (20 * 180)))), "g")
 
 
-@query("SELECT p_partkey AS k, round(exp(-1000.0 / (20 * (p_size + 50))), 8) AS g, round(-1000.0 / (20 * ln(exp(-1000.0 / (20 * (p_size + 50))))), 6) AS tau FROM part")
+@query("SELECT p_partkey AS k, round(exp(-1000.0 / (20 * (p_size + 50))), 8) AS g, round(-1000.0 / (20 * ln(least(greatest(exp(-1000.0 / (20 * (p_size + 50))), 1e-6), 0.999999))), 6) AS tau FROM part")
 def t9_decay_time(spark, sf):
     """T9 and T10: coefficient of a decay time, and back."""
     from lumenframe.functions.sql import decay_to_g, g_to_decay
@@ -733,7 +733,7 @@ def h7_percentile_threshold(spark, sf):
     return rounded(tune.threshold_at_percentile(read(spark, sf, "part").select(F.col("p_retailprice").alias("v"))), "thr")
 
 
-@query(with_views("evt_traces") + f",\n{_G}\nSELECT round(median(-1000.0 / (20 * ln(least(greatest(g, 1e-6), 0.9999)))), 4) AS tau FROM g")
+@query(with_views("evt_traces") + f",\n{_G}\nSELECT round(median(-1000.0 / (20 * ln(least(greatest(g, 1e-6), 0.999999)))), 4) AS tau FROM g")
 def h9_decay_time(spark, sf):
     from lumenframe.operators import tune
 

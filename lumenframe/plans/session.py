@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import arrays, solvers
 from lumenframe.operators import background, components, evaluate, kernels, movies, seeding
-from lumenframe.params import Params
+from lumenframe.params import Params, mask_box, mask_of, resolve_crop
 from lumenframe.plans import motion
 
 
@@ -38,6 +38,8 @@ class Model:
     baseline: DataFrame | None = None
     metrics: DataFrame | None = None
     seconds: dict = field(default_factory=dict)
+    #: where the crop lies: orig_dims, orig_T, bbox, t_range, masked; None without one
+    crop: dict | None = None
 
     @property
     def count(self) -> int:
@@ -151,8 +153,15 @@ def _less_global(pixels: DataFrame, spatial: DataFrame, temporal: DataFrame) ->
     return pixels.join(loads, "p").select("p", "tr", "bs").mapInPandas(run, "p int, tr array<double>")
 
 
-def placed(model: Model, box: tuple[int, int, int, int], native: tuple[int, int], t0: int = 0, n_t: int | None = None) -> Model:
-    """The model of a crop (y0, y1, x0, x1) from frame t0 on, on the full field and timeline; zeros elsewhere."""
+def placed(model: Model, box: tuple[int, int, int, int] | None = None, native: tuple[int, int] | None = None, t0: int = 0, n_t: int | None = None) -> Model:
+    """The model of a crop (y0, y1, x0, x1) from frame t0 on, on the full field and timeline; zeros elsewhere.
+
+    Without a box it is the crop that the model was fitted on, if any.
+    """
+    if box is None:
+        if model.crop is None:
+            return model
+        box, native, t0, n_t = model.crop["bbox"], model.crop["orig_dims"], model.crop["t_range"][0], model.crop["orig_T"]
     y0, _, x0, x1 = box
     p = model.footprints["p"].to_numpy()
     moved = model.footprints.assign(p=(p // (x1 - x0) + y0) * native[1] + p % (x1 - x0) + x0)
@@ -162,7 +171,7 @@ def placed(model: Model, box: tuple[int, int, int, int], native: tuple[int, int]
         out[:, t0 : t0 + m.shape[1]] = m
         return out
 
-    return replace(model, shape=native, footprints=moved, traces=whole(model.traces), spikes=whole(model.spikes), rest=whole(model.rest), ring=None, baseline=None)
+    return replace(model, shape=native, footprints=moved, traces=whole(model.traces), spikes=whole(model.spikes), rest=whole(model.rest), ring=None, baseline=None, crop=None)
 
 
 def _numbered(footprints: pd.DataFrame, kept: list[int]) -> pd.DataFrame:
@@ -172,13 +181,14 @@ def _numbered(footprints: pd.DataFrame, kept: list[int]) -> pd.DataFrame:
     return f
 
 
-def _merged(footprints: pd.DataFrame, traces: np.ndarray, width: int, params: Params) -> tuple[pd.DataFrame, list[list[int]]]:
+def _merged(footprints: pd.DataFrame, traces: np.ndarray, shape: tuple[int, int], params: Params) -> tuple[pd.DataFrame, list[list[int]]]:
     """Footprints after merging, and the members of each new component.
 
     The rule of `components.merge_pairs`, on what the driver holds anyway: pairs with |r| over the threshold,
-    and weighted Jaccard or nearness of centroids; connected pairs are one component.
+    and weighted Jaccard or nearness of centroids; connected pairs are one component. Merged footprints are
+    trimmed at a tenth of their peak.
     """
-    k = len(traces)
+    k, width = len(traces), shape[1]
     if k < 2:
         return footprints, [[i] for i in range(k)]
     gram = _gram(footprints, k)
@@ -189,7 +199,7 @@ def _merged(footprints: pd.DataFrame, traces: np.ndarray, width: int, params: Pa
     apart = np.hypot(at[:, None, 0] - at[None, :, 0], at[:, None, 1] - at[None, :, 1])
     z = traces - traces.mean(1, keepdims=True)
     z /= np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-12)
-    near = (jaccard > params.merge_thr_overlap) | (apart <= params.merge_centre_dist_factor * params.sigma)
+    near = (jaccard > params.merge_thr_overlap) | (apart < params.merge_centre_dist_factor * params.sigma)
     link = (np.abs(z @ z.T) > params.merge_thr_corr) & near
     label = np.arange(k)
     while True:  # smallest label around, then the label of that label
@@ -200,11 +210,42 @@ def _merged(footprints: pd.DataFrame, traces: np.ndarray, width: int, params: Pa
         label = new
     groups = [np.flatnonzero(label == m).tolist() for m in np.unique(label)]
     number = {m: n for n, g in enumerate(groups) for m in g}
-    return footprints.assign(k=footprints["k"].map(number)).groupby(["k", "p"], as_index=False)["a"].sum(), groups
+    merged = footprints.assign(k=footprints["k"].map(number)).groupby(["k", "p"], as_index=False)["a"].sum()
+    parts = []
+    for n, part in merged.groupby("k"):
+        if len(groups[n]) > 1:
+            image = np.zeros(shape)
+            image.ravel()[part["p"].to_numpy()] = part["a"]
+            flat = arrays.trim_footprint(image, method="max", max_share=0.1).ravel()
+            part = pd.DataFrame({"k": n, "p": np.flatnonzero(flat), "a": flat[flat != 0]})
+        parts.append(part)
+    return pd.concat(parts, ignore_index=True), groups
 
 
 def fit(movie: DataFrame, shape: tuple[int, int], params: Params = Params(), *, correct_motion: bool = False, evaluate_: bool = True) -> Model:
-    """All steps on a movie of frames (t, px) or pixels (p, tr)."""
+    """All steps on a movie of frames (t, px) or pixels (p, tr).
+
+    Crops and mask of the parameters come first; the model is one of the crop, `placed` puts it on the whole field.
+    """
+    movie, shape, crop = cropped(movie, shape, params)
+    model = _fit(movie, shape, params, correct_motion=correct_motion, evaluate_=evaluate_)
+    return replace(model, crop=crop)
+
+
+def cropped(movie: DataFrame, shape: tuple[int, int], params: Params) -> tuple[DataFrame, tuple[int, int], dict | None]:
+    """(movie, shape, where the crop lies) after the crops and the mask of the parameters, if there are any."""
+    if params.temporal_crop is None and params.spatial_crop is None and params.spatial_mask_path is None:
+        return movie, tuple(shape), None
+    height, width = shape
+    n_t = movie.agg(F.max("t") + 1 if "px" in movie.columns else F.max(F.size("tr"))).collect()[0][0]
+    mask = mask_of(params, height, width)
+    t0, t1, y0, y1, x0, x1 = resolve_crop(params, n_t, height, width, None if mask is None else mask_box(mask))
+    movie = movies.crop_arrays(movie, shape, (t0, t1), (y0, y1, x0, x1), None if mask is None else mask[y0:y1, x0:x1])
+    where = {"orig_dims": (height, width), "orig_T": n_t, "bbox": (y0, y1, x0, x1), "t_range": (t0, t1), "masked": mask is not None}
+    return movie, (y1 - y0, x1 - x0), where
+
+
+def _fit(movie: DataFrame, shape: tuple[int, int], params: Params, *, correct_motion: bool, evaluate_: bool) -> Model:
     spark, (height, width) = movie.sparkSession, shape
     components._ensure_checkpoints(spark)
     clock, marks = time.time(), {}
@@ -239,7 +280,7 @@ def fit(movie: DataFrame, shape: tuple[int, int], params: Params = Params(), *,
     f = pd.DataFrame({"k": np.repeat(found.index, found["ps"].map(len)), "p": np.concatenate(found["ps"].to_list()), "a": np.concatenate(found["as"].to_list())})
     c = np.stack(found["c"].to_list()).astype(float)
     if size < max(shape):  # tiles overlap: components that two of them found become one
-        f, groups = _merged(f, c, width, params)
+        f, groups = _merged(f, c, shape, params)
         c = np.stack([np.maximum(c[g].mean(0), 0) for g in groups])
     if params.max_neurons and len(c) > params.max_neurons:
         energy = (c**2).sum(1) * f.groupby("k")["a"].apply(lambda a: (a**2).sum()).reindex(range(len(c)), fill_value=0).to_numpy()
@@ -286,7 +327,7 @@ def fit(movie: DataFrame, shape: tuple[int, int], params: Params = Params(), *,
         noise_k = _footprint_noise(f, sn, len(c))
         c, spikes = components.temporal_update(_project(clean, f, len(c)), _gram(f, len(c)), c, g, noise_k, rounds=params.n_iter_temporal, deconvolve=not (i == 0 and params.skip_first_deconv))
         mark(f"temporal{i}")
-        f, groups = _merged(f, c, width, params)
+        f, groups = _merged(f, c, shape, params)
         if len(groups) < len(c):
             c, g = np.stack([np.maximum(c[m].mean(0), 0) for m in groups]), np.array([g[m[0]] for m in groups])
         b0 = _residual(pixels, f, c).select("p", "b0").checkpoint()

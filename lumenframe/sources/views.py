@@ -10,6 +10,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _spans(events: DataFrame, seconds: int) -> int:
+    """Time spans of so many seconds from the first event's day on to the last event."""
+    day, last = events.agg(F.unix_timestamp(F.date_trunc("day", F.min("ts"))), F.unix_timestamp(F.max("ts"))).collect()[0]
+    return 0 if day is None else (last - day) // seconds + 1
+
+
 def emb_movie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding is a frame of 8 x 8 pixels: (t, y, x, v)."""
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("t"), F.posexplode("embedding").alias("i", "e"))
@@ -19,22 +25,22 @@ def emb_movie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evt_movie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly event values on 12 x 12 pixels of users, zero-filled: (t, y, x, v)."""
     e = read(spark, sf_dir, "events")
-    first = e.agg(F.date_trunc("day", F.min("ts")).alias("t0"))
-    hours = e.join(F.broadcast(first)).select(F.expr("cast((unix_timestamp(ts) - unix_timestamp(t0)) div 3600 as int)").alias("t"), F.expr("cast(user_id % 144 as int)").alias("p"), "value").where("t < 720")
-    # partial sums first; then a fixed grid of 720 x 144 cells
+    first, n_hours = e.agg(F.date_trunc("day", F.min("ts")).alias("t0")), _spans(e, 3600)
+    hours = e.join(F.broadcast(first)).select(F.expr("cast((unix_timestamp(ts) - unix_timestamp(t0)) div 3600 as int)").alias("t"), F.expr("cast(user_id % 144 as int)").alias("p"), "value")
+    # partial sums first; then a grid of all hours x 144 cells
     summed = hours.groupBy("t", "p").agg(F.sum("value").alias("s"))
-    grid = spark.range(720 * 144).select(F.expr("cast(id div 144 as int)").alias("t"), F.expr("cast(id % 144 as int)").alias("p"))
+    grid = spark.range(n_hours * 144).select(F.expr("cast(id div 144 as int)").alias("t"), F.expr("cast(id % 144 as int)").alias("p"))
     full = grid.join(summed, ["t", "p"], "left")
     return full.select("t", F.expr("cast(p div 12 as int)").alias("y"), F.expr("cast(p % 12 as int)").alias("x"), F.coalesce("s", F.lit(0.0)).alias("v"))
 
 
 def evt_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily event values of each user over 30 days, zero-filled: (k, t, v)."""
+    """Daily event values of each user, zero-filled: (k, t, v)."""
     e = read(spark, sf_dir, "events")
-    first = e.agg(F.date_trunc("day", F.min("ts")).alias("t0"))
+    first, n_days = e.agg(F.date_trunc("day", F.min("ts")).alias("t0")), _spans(e, 86400)
     days = e.join(F.broadcast(first)).select(F.col("user_id").alias("k"), F.expr("cast((unix_timestamp(ts) - unix_timestamp(t0)) div 86400 as int)").alias("t"), "value")
     summed = days.groupBy("k", "t").agg(F.sum("value").alias("s"))
-    grid = e.select(F.col("user_id").alias("k")).distinct().select("k", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("t"))
+    grid = e.select(F.col("user_id").alias("k")).distinct().select("k", F.explode(F.sequence(F.lit(0), F.lit(n_days - 1))).alias("t"))
     return grid.join(summed, ["k", "t"], "left").select("k", "t", F.coalesce("s", F.lit(0.0)).alias("v"))
 
 
@@ -57,12 +63,12 @@ SQL = {
   FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))""",
     "evt_movie": """evt_movie AS (
   SELECT g.t, CAST(g.p // 12 AS INTEGER) AS y, CAST(g.p % 12 AS INTEGER) AS x, coalesce(s.s, 0.0) AS v
-  FROM (SELECT CAST(i // 144 AS INTEGER) AS t, CAST(i % 144 AS INTEGER) AS p FROM (SELECT unnest(range(720 * 144)) AS i)) AS g
+  FROM (SELECT CAST(i // 144 AS INTEGER) AS t, CAST(i % 144 AS INTEGER) AS p FROM (SELECT unnest(range((SELECT 144 * (CAST(floor((epoch(max(ts)) - epoch(date_trunc('day', min(ts)))) / 3600) AS BIGINT) + 1) FROM events))) AS i)) AS g
   LEFT JOIN (SELECT CAST(floor((epoch(ts) - (SELECT epoch(date_trunc('day', min(ts))) FROM events)) / 3600) AS INTEGER) AS t,
       CAST(user_id % 144 AS INTEGER) AS p, sum(value) AS s FROM events GROUP BY 1, 2) AS s ON s.t = g.t AND s.p = g.p)""",
     "evt_traces": """evt_traces AS (
   SELECT g.k, g.t, coalesce(s.s, 0.0) AS v
-  FROM (SELECT k, CAST(unnest(range(30)) AS INTEGER) AS t FROM (SELECT DISTINCT user_id AS k FROM events)) AS g
+  FROM (SELECT k, CAST(unnest(range((SELECT CAST(floor((epoch(max(ts)) - epoch(date_trunc('day', min(ts)))) / 86400) AS BIGINT) + 1 FROM events))) AS INTEGER) AS t FROM (SELECT DISTINCT user_id AS k FROM events)) AS g
   LEFT JOIN (SELECT user_id AS k, CAST(floor((epoch(ts) - (SELECT epoch(date_trunc('day', min(ts))) FROM events)) / 86400) AS INTEGER) AS t,
       sum(value) AS s FROM events GROUP BY 1, 2) AS s ON s.k = g.k AND s.t = g.t)""",
     "li_footprints": """li_footprints AS (

@@ -204,7 +204,7 @@ def test_driver_merge_equals_relational_merge(spark):
         traces.append(base[k % 4] + 0.1 * r.random(60))
     f, c = pd.concat(rows, ignore_index=True), np.stack(traces)
     params = Params(sigma=1.0, merge_thr_corr=0.7)
-    _, groups = session._merged(f, c, 40, params)
+    _, groups = session._merged(f, c, (40, 40), params)
     t = spark.createDataFrame(pd.DataFrame({"k": np.repeat(np.arange(9), 60), "t": np.tile(np.arange(60), 9), "v": c.ravel()}), "k int, t int, v double")
     df = spark.createDataFrame(f, "k int, p int, a double")
     pairs = components.merge_pairs(df, t, corr=0.7, overlap=params.merge_thr_overlap, near=2.0, width=40)
@@ -281,6 +281,99 @@ def test_tuning_finds_settings_and_reports(spark, tmp_path):
     assert "<table>" in (tmp_path / "report.html").read_text() and "| idx |" in (tmp_path / "report.md").read_text()
 
 
+def test_template_is_the_median_of_filtered_frames():
+    stack = np.random.default_rng(2).random((40, 12, 12))
+    kernel = arrays.highpass_kernel(2.0)
+    want = arrays.bin_median(np.stack([arrays.convolve(f, kernel) for f in stack]))
+    got = motion.template_of(stack, Params(mc_sharpen_template=False), 2.0)
+    assert np.allclose(got, want) and not np.allclose(got, arrays.convolve(arrays.bin_median(stack), kernel), atol=1e-3)
+
+
+def test_template_window(spark):
+    stack = np.random.default_rng(3).random((12, 8, 8))
+    frames = spark.createDataFrame([(t, f.ravel().tolist()) for t, f in enumerate(stack)], "t int, px array<double>")
+    params = Params(max_shift=(2, 2), mc_n_iter=1, mc_gSig_filt=1.5)
+    by_window = motion.correct(frames, (8, 8), params, template_window=(2, 6))[1].toPandas().sort_values("t")
+    by_template = motion.correct(frames, (8, 8), params, template=stack[2:6].mean(0))[1].toPandas().sort_values("t")
+    assert np.allclose(by_window[["dy", "dx"]], by_template[["dy", "dx"]])
+    for bad in ({"template_window": (6, 6)}, {"template_window": (0, 13)}, {"template_window": (0, 2), "template": stack[0]}, {"template": stack[0][:4]}):
+        with pytest.raises(ValueError):
+            motion.correct(frames, (8, 8), params, **bad)
+
+
+def test_crops_come_before_the_fit(spark, tmp_path):
+    r = np.random.default_rng(4)
+    movie = r.random((30, 10, 12))
+    frames = spark.createDataFrame([(t, f.ravel().tolist()) for t, f in enumerate(movie)], "t int, px array<double>")
+    pixels = spark.createDataFrame([(p, movie[:, p // 12, p % 12].tolist()) for p in range(120)], "p int, tr array<double>")
+    mask = np.zeros((10, 12), bool)
+    mask[2:9, 3:11] = True
+    mask[4, 5] = False
+    np.save(tmp_path / "m.npy", mask)
+    want = movie[5:25, 3:9, 3:10] * mask[3:9, 3:10]
+    params = Params(temporal_crop=(5, 25), spatial_crop=(3, 99, -4, 10), spatial_mask_path=str(tmp_path / "m.npy"))
+    got, shape, where = session.cropped(frames, (10, 12), params)
+    assert shape == (6, 7) and where == {"orig_dims": (10, 12), "orig_T": 30, "bbox": (3, 9, 3, 10), "t_range": (5, 25), "masked": True}
+    rows = got.toPandas().sort_values("t")
+    assert rows["t"].tolist() == list(range(20)) and np.allclose(np.stack(rows["px"]).reshape(want.shape), want)
+    rows = session.cropped(pixels, (10, 12), params)[0].toPandas().sort_values("p")
+    assert rows["p"].tolist() == list(range(42)) and np.allclose(np.stack(rows["tr"]), want.reshape(20, 42).T)
+    assert session.cropped(frames, (10, 12), Params())[0] is frames
+    for name, bad, message in (("empty", np.zeros((10, 12)), "all-False"), ("bad", np.ones((5, 5)), "match native dims")):
+        np.save(tmp_path / f"{name}.npy", bad)
+        with pytest.raises(ValueError, match=message):
+            session.cropped(frames, (10, 12), Params(spatial_mask_path=str(tmp_path / f"{name}.npy")))
+    with pytest.raises(ValueError, match="empty"):
+        session.cropped(frames, (10, 12), Params(temporal_crop=(8, 8)))
+
+
+def test_fit_of_a_crop_is_placed_on_the_whole_field(spark):
+    r = np.random.default_rng(5)
+    movie = r.normal(0, 0.05, (150, 20, 24))
+    y, x = np.mgrid[:20, :24]
+    trace = np.convolve((r.random(150) < 0.06).astype(float), 0.8 ** np.arange(30))[:150]
+    movie += np.exp(-((y - 11) ** 2 + (x - 14) ** 2) / 8)[None] * trace[:, None, None] * 3
+    frames = spark.createDataFrame([(t, f.ravel().tolist()) for t, f in enumerate(movie)], "t int, px array<double>")
+    params = Params(sigma=2.0, min_corr=0.5, min_pnr=3.0, border_px=1, seed_method="threshold", n_iter_main=1, spatial_crop=(4, 19, 6, 23), temporal_crop=(20, 140))
+    model = session.fit(frames, (20, 24), params, evaluate_=False)
+    assert model.shape == (15, 17) and model.traces.shape[1] == 120 and model.count >= 1
+    whole = session.placed(model)
+    assert whole.shape == (20, 24) and whole.traces.shape[1] == 150 and not whole.traces[:, :20].any() and not whole.traces[:, 140:].any()
+    f = whole.footprints
+    at = [(float((g.a * (g.p // 24)).sum() / g.a.sum()), float((g.a * (g.p % 24)).sum() / g.a.sum())) for _, g in f.groupby("k")]
+    assert min(np.hypot(a - 11, b - 14) for a, b in at) < 1.0
+
+
+def test_labels_reach_the_end_of_a_long_chain(spark):
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(300)], "i long, j long")
+    labels = components.label_groups(pairs, spark.range(303).toDF("k")).toPandas()
+    assert set(labels.loc[labels.k <= 300, "label"]) == {0} and set(labels.loc[labels.k > 300, "label"]) == {301, 302}
+
+
+def test_merged_footprints_are_trimmed(spark):
+    r = np.random.default_rng(6)
+    y, x = np.mgrid[:20, :20]
+    images = [np.exp(-((y - a) ** 2 + (x - b) ** 2) / 6) * (1 + 0.2 * r.random((20, 20))) for a, b in ((9, 9), (10, 10), (3, 15))]
+    f = pd.DataFrame([(k, p, v) for k, im in enumerate(images) for p, v in enumerate(im.ravel()) if v > 1e-4], columns=["k", "p", "a"])
+    groups = spark.createDataFrame([(0, 0), (1, 0), (2, 2)], "k long, label long")
+    traces = spark.createDataFrame([(k, t, float(t)) for k in range(3) for t in range(4)], "k long, t int, v double")
+    merged, _ = components.merge(spark.createDataFrame(f, "k long, p int, a double"), traces, groups, shape=(20, 20))
+    got = {k: g.set_index("p")["a"] for k, g in merged.toPandas().groupby("k")}
+    want = arrays.trim_footprint(images[0] * (images[0] > 1e-4) + images[1] * (images[1] > 1e-4), method="max", max_share=0.1).ravel()
+    image = np.zeros(400)
+    image[got[0].index] = got[0]
+    assert np.allclose(image, want) and len(got[0]) < (images[0] + images[1] > 1e-4).sum()
+    assert len(got[2]) == (images[2] > 1e-4).sum()  # alone: as it was
+
+
+def test_decay_of_constant_traces_and_clips():
+    from lumenframe.functions import solvers
+
+    assert solvers.g_to_decay(2.0, 20.0) == pytest.approx(-50 / np.log(0.999999))
+    assert solvers.ar_coefficients(np.ones(50))[0][0] == pytest.approx(0.96 * 0.96)
+    assert solvers.ar_coefficients(np.ones(50), prior=0.7, prior_weight=5.0)[0][0] == pytest.approx(0.7)
+
+
 def test_batch_keeps_going():
     from lumenframe.plans import tuning
 
@@ -293,6 +386,6 @@ def test_folder_is_registered_in_one_go(spark, tmp_path):
     base = (arrays.gaussian(base, 0.5) * 255).astype(np.uint8)
     for i in range(2):
         (tmp_path / f"{i}.avi").write_bytes(avi.encode(np.stack([np.roll(base, m, 0) for m in (0, 1, -1, 0)])))
-    moved, shifts, _ = motion.correct_folder(spark, str(tmp_path), Params(max_shift=(4, 4), mc_n_iter=1, mc_gSig_filt=3.0, mc_sharpen_template=False))
+    moved, shifts, _ = motion.correct_folder(spark, str(tmp_path), Params(max_shift=(4, 4), mc_n_iter=1, mc_gSig_filt=1.5, mc_sharpen_template=False))
     dy = shifts.toPandas().sort_values("t")["dy"].to_numpy()
     assert moved.count() == 8 and np.allclose(dy[1] - dy[0], -1, atol=0.3) and np.allclose(dy[2] - dy[0], 1, atol=0.3)
