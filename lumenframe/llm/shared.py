@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -91,7 +92,12 @@ def written(df: DataFrame, name: str, codec: str = "zstd", spread: bool = False)
 
 
 def discard(*tables: DataFrame) -> None:
-    """Removes tables that `written` has made and that no plan reads any more; other frames stay as they are."""
+    """Removes tables that `written` has made and that no plan reads any more; other frames stay as they are.
+
+    The session's garbage is collected, upon which Spark removes the shuffle files of steps that have ended.
+    """
+    for spark in {df.sparkSession for df in tables}:
+        sweep(spark)
     for df in tables:
         if path := getattr(df, "_written", None):
             spark = df.sparkSession
@@ -99,6 +105,12 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps that have ended: it does so when their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from lumenframe.llm import extract, language, mixing, ogg, packing, registry, repeats, shingles, toxicity
 
-ENCODE = packing.Encoder(registry.tokenizer_file())
+ENCODE = packing.Encoder(*registry.tokenizer_files())
 
 
 def words(text: str) -> list[str]:
@@ -220,11 +220,18 @@ def test_rounds_are_those_of_deficit_round_robin():
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["a", " ", "  ", "\n", "\t", "é", "ß", "1", "'s", "'LL", "!", "<|endoftext|>", "<|", "日本", "🙂", "\x85", "\x1c", "\xa0", "\u3000", "ŉ", "ǆ", "the", " of"]), max_size=30))
-def test_words_with_the_space_before_them_have_the_ids_of_the_whole_text(parts):
+def test_both_tokenizers_agree(parts):
     text = "".join(parts)
     assert ENCODE(text).tolist() == [*ENCODE.tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_both_tokenizers_agree_on_code_points():
+    assert ENCODE.fast is not None
+    for c in (c for start in range(7) for c in range(start * 11, 0x110000, 1201) if not 0xD800 <= c < 0xE000):
+        text = f"a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)} !{chr(c)}?  {chr(c)}\n{chr(c)} x"
+        assert ENCODE(text).tolist() == [*ENCODE.tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_blocks_of_a_page():
     page = """<html><head><title>T</title></head><body class="has-sidebar"><header>H</header><nav>N</nav><div class="cookie-notice">we use</div>
     <main><article><header><h1>T&eacute;&#33;</h1></header><p>a <b>b</b>c&nbsp;d<p>e<br>f<script>var x="</p>";</script><div class="comments"><p>nice</div><form>q</form></article></main>
@@ -273,7 +280,7 @@ def test_suffix_intervals_find_every_repeat(streams, seed, least):
     bits = x["firsts"][:, None] >> np.arange(extract.REACH + 1) & 1
     held = np.zeros((len(once), extract.REACH + 1), np.int64)
     np.add.at(held, which, bits)
-    on = extract.repeated_offsets(h[once], *(x[k][once] for k in ("context", "left", "right")), held, np.full(len(once), least))
+    on = extract.streams_holding(h[once], *(x[k][once] for k in ("context", "left", "right")), held) >= least
     masks = (on @ (1 << np.arange(extract.REACH + 1)))[which] if len(once) else np.empty(0, np.int64)
     got = [extract.covered_tokens(len(s), x["at"][owner == unit], masks[owner == unit]) for unit, s in enumerate(streams)]
     holds: dict = {}

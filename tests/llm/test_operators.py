@@ -210,11 +210,11 @@ def test_schedule_is_even_everywhere(spark):
 
 
 def test_packs_are_gapless_and_whole(docs, none):
-    args = registry.tokenizer_file()
+    args = registry.tokenizer_files()
     rows = packing.pack(docs, args).collect()
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(args)
+    slow = Tokenizer.from_file(args[0])
     pieces: dict = {}
     for r in rows:
         pieces.setdefault(r.id, []).append(r)
@@ -240,9 +240,9 @@ def test_segments_follow_deficit_round_robin(spark):
     r = random.Random(9)
     rows = [(i, prose(r.randrange(1, 300), r), r.choice("aaaab") if i % 9 else f"s{i}") for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
-    got = packing.pack(df, registry.tokenizer_file(), segment=64).collect()
+    got, encode = packing.pack(df, registry.tokenizer_files(), segment=64).collect(), packing.Encoder(*registry.tokenizer_files())
     u = {x.source: x.u for x in df.select("source").distinct().select("source", unit_hash("source").alias("u")).collect()}
-    lengths = {i: len(packing.Encoder(registry.tokenizer_file())(t)) for i, t, _ in rows}
+    lengths = {i: len(encode(t)) for i, t, _ in rows}
     whole, due = sum(lengths.values()), []
     for source in u:
         mine = [(i, s, min(64, lengths[i] - s)) for i, _, x in rows if x == source for s in range(0, lengths[i], 64)]
@@ -259,7 +259,7 @@ def test_segments_follow_deficit_round_robin(spark):
 
 def test_packing_follows_weights(spark):
     df = spark.createDataFrame([(i, prose(60), "a" if i % 2 else "b") for i in range(80)], "doc_id long, text string, source string")
-    rows = packing.pack(df, registry.tokenizer_file(), weights={"a": 3.0, "b": 1.0}).collect()
+    rows = packing.pack(df, registry.tokenizer_files(), weights={"a": 3.0, "b": 1.0}).collect()
     first = [r for r in rows if r.sequence_id < 4]
     odd = sum(r.length for r in first if r.id % 2)
     assert 0.6 < odd / sum(r.length for r in first) < 0.9
