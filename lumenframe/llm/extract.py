@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.repeats import anchor_ids, lcp_intervals, met_anchors, minimizers, sent_anchors
-from lumenframe.llm.shared import bounded, discard, fresh, tidy, written
+from lumenframe.llm.shared import bounded, discard, fresh, sweep, tidy, written
 from lumenframe.llm.shingles import mix, word_hashes
 
 #: Tokens of the shortest repeat, and of an anchor.
@@ -233,15 +233,13 @@ class Streams:
         at = minimizers(h, REACH + 1, self.whole())
         return h[at], at
 
-    def first(self) -> np.ndarray:
-        """Of each place: whether DEPTH tokens begin there that their stream has not held before."""
-        out = np.zeros(len(self.tokens), bool)
-        if len(out) >= DEPTH:
-            h = self.owner[: len(out) - DEPTH + 1].astype(np.uint64)
-            for i in range(DEPTH):
-                h = mix(h * _FACTOR + self.tokens[i : i + len(h)])
-            places = np.flatnonzero(self.whole())
-            out[places[np.unique(h[places], return_index=True)[1]]] = True
+    def first(self, starts: np.ndarray) -> np.ndarray:
+        """Of each of these places, ascending, DEPTH tokens before their stream's end: whether those tokens are at no earlier one of the same stream."""
+        h = self.owner[starts].astype(np.uint64)
+        for i in range(DEPTH):
+            h = mix(h * _FACTOR + self.tokens[starts + i])
+        out = np.zeros(len(starts), bool)
+        out[np.unique(h, return_index=True)[1]] = True
         return out
 
     def contexts(self, at: np.ndarray) -> dict[str, np.ndarray]:
@@ -256,8 +254,12 @@ class Streams:
         c = left.astype(np.uint64) * np.uint64(64) + right.astype(np.uint64)
         for x in rows.T:
             c = mix(c * _FACTOR + x)
-        new = self.first()
-        firsts = sum(((spot >= o) & new[np.maximum(at - o, 0)]).astype(np.int64) << o for o in range(REACH + 1))
+        # all places of the same tokens are around anchors, and these are all of an anchor or none
+        inside = (spot[:, None] >= np.arange(REACH + 1)) & (right[:, None] >= REACH - np.arange(REACH + 1))
+        starts, where = np.unique((at[:, None] - np.arange(REACH + 1))[inside], return_inverse=True)
+        firsts = np.zeros(inside.shape, np.int64)
+        firsts[inside] = self.first(starts)[where]
+        firsts = firsts @ (1 << np.arange(REACH + 1))
         return {"at": spot, "n": n, "context": (rows >> np.uint64(32)).astype(np.uint32), "c": c.view(np.int64), "left": left, "right": right, "firsts": firsts}
 
 
@@ -266,24 +268,24 @@ def streams(texts: list[str], hosts: list[str]) -> Streams:
     return Streams(hashes, counts, np.array([_long("host", h) for h in hosts], np.int64).view(np.uint64))
 
 
-def repeated_offsets(anchor: np.ndarray, context: np.ndarray, left: np.ndarray, right: np.ndarray, held: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """For each distinct context of an anchor, and each o up to REACH: whether at least `least` streams hold the DEPTH tokens that begin o before it.
+def streams_holding(anchor: np.ndarray, context: np.ndarray, left: np.ndarray, right: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """For each distinct context of an anchor, and each o up to REACH: how many streams hold the DEPTH tokens that begin o before it.
 
     context: rows of REACH tokens before the anchor, the anchor, and REACH after it, of which left and right are
-    in the stream. held: for each o, how many streams hold those tokens first in this context.
+    in the stream; 0 where those tokens are not. held: for each o, how many streams hold them first in this context.
     """
     n = len(anchor)
-    out = np.zeros((n, REACH + 1), bool)
+    out = np.zeros((n, REACH + 1), np.int64)
     if not n:
         return out
     suffix = context[:, REACH:]
     order = np.lexsort([*(suffix[:, i] for i in range(DEPTH - 1, -1, -1)), anchor])
-    anchor, context, suffix, left, right, held, least = (x[order] for x in (anchor, context, suffix, left, right, held, least))
+    anchor, context, suffix, left, right, held = (x[order] for x in (anchor, context, suffix, left, right, held))
     differs = suffix[1:] != suffix[:-1]
     common = np.where(differs.any(1), differs.argmax(1), DEPTH)
     common = np.where(anchor[1:] != anchor[:-1], 0, common)
     depth, up, first, last = lcp_intervals(common)
-    found = np.zeros((n, REACH + 1), bool)
+    found = np.zeros((n, REACH + 1), np.int64)
     before = np.zeros(n, np.uint64)
     for o in range(REACH + 1):
         if o:
@@ -297,7 +299,7 @@ def repeated_offsets(anchor: np.ndarray, context: np.ndarray, left: np.ndarray,
         # left extensions of a node: its suffixes that agree in the o tokens before
         key = mix(node[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + before[rows])
         _, group = np.unique(key, return_inverse=True)
-        found[rows, o] = np.bincount(group, held[rows, o])[group] >= least[rows]
+        found[rows, o] = np.bincount(group, held[rows, o])[group]
     out[order] = found
     return out
 
@@ -313,7 +315,7 @@ def covered_tokens(n: int, at: np.ndarray, masks: np.ndarray) -> np.ndarray:
 
 
 def _masks(occurrences: DataFrame, contexts: DataFrame, least: DataFrame | None) -> DataFrame:
-    """(of_a, of_c, mask): the offsets of each context whose tokens are in enough streams: the host's least, or 2."""
+    """(of_a, of_c, mask, most): the offsets of each context whose tokens are in enough streams, the host's least or 2, and the most streams of any offset."""
     columns = [f"s{o}" for o in range(REACH + 1)]
     sums = [F.sum(F.shiftright("firsts", o).bitwiseAND(F.lit(1))).alias(c) for o, c in enumerate(columns)]
     held = occurrences.groupBy(F.col("a").alias("of_a"), F.col("c").alias("of_c")).agg(*sums)
@@ -328,11 +330,11 @@ def _masks(occurrences: DataFrame, contexts: DataFrame, least: DataFrame | None)
 
     def sort(part: pd.DataFrame) -> pd.DataFrame:
         context = np.frombuffer(b"".join(part["context"]), np.uint32).reshape(len(part), -1)
-        on = repeated_offsets(part["a"].to_numpy(), context, part["left"].to_numpy(), part["right"].to_numpy(), part[columns].to_numpy(), part["least"].to_numpy())
-        return pd.DataFrame({"a": part["a"], "c": part["c"], "mask": on @ (1 << np.arange(REACH + 1))})
+        n = streams_holding(part["a"].to_numpy(), context, part["left"].to_numpy(), part["right"].to_numpy(), part[columns].to_numpy())
+        return pd.DataFrame({"a": part["a"], "c": part["c"], "mask": (n >= part["least"].to_numpy()[:, None]) @ (1 << np.arange(REACH + 1)), "most": n.max(1, initial=0)})
 
-    found = sized.groupBy(F.pmod("a", F.lit(buckets))).applyInPandas(sort, "a long, c long, mask int").where("mask > 0")
-    return found.withColumnsRenamed({"a": "of_a", "c": "of_c"})
+    found = sized.groupBy(F.pmod("a", F.lit(buckets))).applyInPandas(sort, "a long, c long, mask int, most long").where("mask > 0")
+    return written(found.withColumnsRenamed({"a": "of_a", "c": "of_c"}), "extract-masks")
 
 
 def _parsed(batch: pd.DataFrame) -> Iterator[tuple[list[tuple[int, int, int, str, str]], Streams]]:
@@ -379,6 +381,7 @@ def extract(df: DataFrame, *, html_col: str = "html", url_col: str = "url", text
     # so many bytes are sent to all executors; beyond, occurrences are joined with the anchors by key
     sent = np.sort(shared.toPandas()["anchor"].to_numpy()) if 8 * shared.count() <= MAX_SENT else None
     sent = spark.sparkContext.broadcast(sent)
+    sweep(spark)
 
     @tidy
     def occur(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -395,7 +398,7 @@ def extract(df: DataFrame, *, html_col: str = "html", url_col: str = "url", text
                 if len(at):
                     x, owner = made.contexts(at), made.owner[at]
                     # a context that this group holds several times is sent once
-                    _, once = np.unique(np.stack([a, x["c"]]), axis=1, return_index=True)
+                    _, once = np.unique(mix(a.view(np.uint64) * _FACTOR + x["c"].view(np.uint64)), return_index=True)
                     context = np.full(len(at), None, object)
                     context[once] = [r.tobytes() for r in x["context"][once]]
                     yield pd.DataFrame({**{k: v[owner] for k, v in names.items()}, "a": a, **{k: x[k] for k in blank}, "context": context})
@@ -404,8 +407,10 @@ def extract(df: DataFrame, *, html_col: str = "html", url_col: str = "url", text
     if sent.value is None:
         each = each.where("a < 0").unionByName(each.join(shared.withColumnRenamed("anchor", "of"), F.col("a") == F.col("of"), "left_semi"))
     each = written(each, "extract-occurrences")
+    units = written(each.where("a < 0").select("page", "nth", "unit", "host").distinct(), "extract-units")
     contexts = written(each.where("context is not null").select("host", "a", "c", "left", "right", "context").dropDuplicates(["a", "c"]), "extract-contexts", spread=True)
-    occurrences = each.where("a >= 0").select("unit", "a", "c", "at", "n", "firsts").distinct()  # pages may hold the same unit
+    occurrences = written(each.where("a >= 0").select("unit", "a", "c", "at", "n", "firsts").distinct(), "extract-distinct", spread=True)  # pages may hold the same unit
+    discard(each, shared)
 
     @F.pandas_udf("double")
     def own_share(n: pd.Series, x: pd.Series) -> pd.Series:
@@ -413,15 +418,25 @@ def extract(df: DataFrame, *, html_col: str = "html", url_col: str = "url", text
         return pd.Series([share(k, v) for k, v in zip(n, x)], dtype="float64")
 
     of = (F.col("a") == F.col("of_a")) & (F.col("c") == F.col("of_c"))
-    marks = occurrences.join(_masks(occurrences, contexts, None), of).groupBy("unit", "n").agg(F.collect_list(F.struct("at", "mask")).alias("x"))
-    near = written(marks.where(own_share("n", "x") < OWN).select(F.col("unit").alias("near")), "extract-near")
+    sent_if_small = lambda masks: F.broadcast(masks) if 32 * masks.count() <= MAX_SENT else masks
+    marked = lambda masks: occurrences.join(sent_if_small(masks), of).groupBy("unit", "n").agg(F.collect_list(F.struct("at", "mask")).alias("x"))
+    first = _masks(occurrences, contexts, None)
+    near = written(marked(first).where(own_share("n", "x") < OWN).select(F.col("unit").alias("near")), "extract-near")
     own = lambda rows: rows.join(near, F.col("unit") == F.col("near"), "left_anti")
-    regions_of = own(each.where("a < 0").select("host", "unit").distinct()).groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("n"))
-    least = written(regions_of.select("of_host", F.greatest(F.lit(2), F.floor(F.col("n") * SHARE) + 1).cast("long").alias("least")), "extract-hosts")
-    places = each.where("a >= 0").join(_masks(own(occurrences), contexts, least), of).groupBy(F.col("page").alias("of_page"))
-    places = written(places.agg(F.collect_set(F.struct("nth", "at", "mask")).alias(kept)), "extract-places")
-    n_places = places.agg(F.sum(F.size(kept))).collect()[0][0] or 0
-    discard(shared, each, contexts, near, least)
+    n_regions = own(units.select("host", "unit").distinct()).groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("n"))
+    least = written(n_regions.select("of_host", F.greatest(F.lit(2), F.floor(F.col("n") * SHARE) + 1).cast("long").alias("least")), "extract-hosts")
+    # only what enough streams hold, near copies counted, can be in enough of the others: whole groups stay or go
+    some = contexts.join(sent_if_small(first), of).join(least, F.col("host") == F.col("of_host"), "left").where("most >= coalesce(least, 2)")
+    some = written(some.select(*contexts.columns), "extract-some")
+    pairs = some.select(F.col("a").alias("of_a"), F.col("c").alias("of_c"))
+    every, occurrences = occurrences, written(occurrences.join(sent_if_small(pairs), of, "left_semi"), "extract-some-of")
+    second = _masks(own(occurrences), some, least)
+    places = written(marked(second).withColumnsRenamed({"unit": "of_unit"}).drop("n"), "extract-marks")
+    discard(contexts, first, near, least, some, every, occurrences, second)
+    of_page = units.join(places, F.col("unit") == F.col("of_unit")).groupBy(F.col("page").alias("of_page")).agg(F.collect_list(F.struct("nth", "x")).alias(kept))
+    of_page = written(of_page, "extract-places")
+    n_places = of_page.agg(F.sum(F.aggregate(kept, F.lit(0).cast("long"), lambda n, r: n + F.size(r["x"])))).collect()[0][0] or 0
+    discard(units, places)
 
     @F.pandas_udf("page long, regions array<struct<kind: string, texts: array<string>, weak: array<boolean>>>")
     @tidy
@@ -438,10 +453,9 @@ def extract(df: DataFrame, *, html_col: str = "html", url_col: str = "url", text
             for own, seen in zip(all_regions, all_places):
                 own = [] if own is None else [(r["kind"], list(r["texts"]), list(r["weak"])) for r in own]
                 covered: list[np.ndarray | None] = [None] * len(own)
-                if seen is not None:
-                    nth, at, mask = (np.array([x[k] for x in seen], np.int64) for k in ("nth", "at", "mask"))
-                    for r in np.unique(nth):
-                        covered[r] = covered_tokens(sum(len(t.split()) for t in own[r][1]), at[nth == r], mask[nth == r])
+                for r in [] if seen is None else seen:
+                    at, mask = (np.array([x[k] for x in r["x"]], np.int64) for k in ("at", "mask"))
+                    covered[r["nth"]] = covered_tokens(sum(len(t.split()) for t in own[r["nth"]][1]), at, mask)
                 out.append(main_text(own, covered))
             yield pd.Series(out, dtype=object)
 
@@ -449,6 +463,6 @@ def extract(df: DataFrame, *, html_col: str = "html", url_col: str = "url", text
     rows = df.withColumn(host, own_host).withColumn(found, parse(F.col(html_col), F.col(host)))
     rows = rows.select(*columns, F.col(f"{found}.page").alias(page), F.col(f"{found}.regions").alias(found))
     if 16 * n_places <= MAX_SENT:
-        places = F.broadcast(places)
-    joined = rows.join(places, F.col(page) == F.col("of_page"), "left")
+        of_page = F.broadcast(of_page)
+    joined = rows.join(of_page, F.col(page) == F.col("of_page"), "left")
     return joined.select(*columns, text(F.col(found), F.col(kept)).alias(text_name))
