@@ -278,8 +278,11 @@ def residual_traces(projection: np.ndarray, gram: np.ndarray, traces: np.ndarray
     return (projection - (gram @ traces - d * traces)) / d - traces
 
 
-def temporal_update(projection: np.ndarray, gram: np.ndarray, traces: np.ndarray, g: np.ndarray, sn: np.ndarray, *, rounds: int = 2, deconvolve: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(C, S) by Jacobi rounds: all components at once from the same residual."""
+def temporal_update(projection: np.ndarray, gram: np.ndarray, traces: np.ndarray, g: np.ndarray, sn: np.ndarray, *, rounds: int = 2, deconvolve: bool = True, spark=None) -> tuple[np.ndarray, np.ndarray]:
+    """(C, S) by Jacobi rounds: all components at once from the same residual.
+
+    With a session, traces are deconvolved on its executors, each by itself.
+    """
     d = np.maximum(np.diag(gram), 1e-12)[:, None]
     c, s = traces.astype(float), np.zeros_like(traces, dtype=float)
     for _ in range(rounds):
@@ -287,6 +290,23 @@ def temporal_update(projection: np.ndarray, gram: np.ndarray, traces: np.ndarray
         if not deconvolve:
             c, s = np.maximum(y, 0), np.zeros_like(s)
             continue
+        if spark is not None and len(c) > 1:
+            c, s = _deconvolved_rows(spark, y, g, sn)
+            continue
         for k in range(len(c)):
             c[k], s[k], _ = solvers.deconvolve(y[k], float(g[k]), float(sn[k]))
     return c, s
+
+
+def _deconvolved_rows(spark, y: np.ndarray, g: np.ndarray, sn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(C, S) of the rows of y."""
+    rows = pd.DataFrame({"k": np.arange(len(y)), "y": y.tolist(), "g": np.asarray(g, float), "sn": np.asarray(sn, float)})
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = [solvers.deconvolve(np.asarray(v, float), a, b) for v, a, b in zip(batch["y"], batch["g"], batch["sn"])]
+            yield pd.DataFrame({"k": batch["k"], "c": [d[0] for d in done], "s": [d[1] for d in done]})
+
+    parts = max(1, min(len(y), spark.sparkContext.defaultParallelism * 2))
+    found = spark.createDataFrame(rows, "k long, y array<double>, g double, sn double").repartition(parts).mapInPandas(solve, "k long, c array<double>, s array<double>").toPandas().sort_values("k")
+    return np.stack(found["c"].to_list()), np.stack(found["s"].to_list())

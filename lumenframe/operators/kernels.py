@@ -49,34 +49,32 @@ def band_power(movie: DataFrame, low: float = 0.25, high: float = 0.5, by: Seque
     return pixels_of(movie, by).select(*by, "y", "x", F.explode(bins("tr")).alias("b")).select(*by, "y", "x", "b.f", "b.psd")
 
 
-def per_recording(movie: DataFrame, solve, schema: str, by: Sequence[str] = ()) -> DataFrame:
-    """solve(key, movie array (t, y, x)) -> DataFrame, for each recording or tile that one task can hold.
+def corr_pnr(movie: DataFrame, sigma: float | None, stride: int = 1, by: Sequence[str] = (), tile: int = 64) -> DataFrame:
+    """(by, y, x, sn, cn, pnr) of each recording: filter, centre, noise, peak-to-noise, correlation.
 
-    Frames arrive as one row each, so that a movie is gathered as arrays and not as single values.
+    Pixels are dealt to tiles with a halo as wide as the filter and one neighbour, so that a pixel goes to a bounded
+    number of tiles and no task holds a movie; tiles at the edge end where the recording ends.
     """
-    frames = movie if "px" in movie.columns else frames_of(movie, by).join(movie.groupBy(*by).agg((F.max("x") + 1).alias("width")), list(by)) if by else frames_of(movie).crossJoin(F.broadcast(movie.agg((F.max("x") + 1).alias("width"))))
-    keyed = frames if by else frames.withColumn("one", F.lit(0))
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("t")
-        x = _stack(part["px"])
-        return solve(key, x.reshape(len(x), -1, int(part["width"].iloc[0])))
-
-    return keyed.groupBy(*(by or ["one"])).applyInPandas(run, schema)
-
-
-def corr_pnr(movie: DataFrame, sigma: float | None, stride: int = 1, by: Sequence[str] = ()) -> DataFrame:
-    """(by, y, x, sn, cn, pnr) of each recording or tile: filter, centre, noise, peak-to-noise, correlation."""
-
-    def solve(key: tuple, m: np.ndarray) -> pd.DataFrame:
-        cn, pnr, sn, _ = arrays.corr_pnr(m, sigma, stride)
-        y, x = np.indices(cn.shape)
-        out = {"y": y.ravel(), "x": x.ravel(), "sn": sn.ravel(), "cn": cn.ravel(), "pnr": pnr.ravel()}
-        return pd.DataFrame({**dict(zip(by, key)), **out})
-
+    reach = (arrays.surround_kernel(sigma).shape[0] // 2 if sigma else 0) + 1
+    around = lambda c: F.sequence(F.floor(F.greatest(c - reach, F.lit(0)) / tile), F.floor((c + reach) / tile))
+    pixels = pixels_of(movie, by).withColumn("i", F.explode(around(F.col("y")))).withColumn("j", F.explode(around(F.col("x"))))
     types = dict(movie.dtypes)
     head = "".join(f"{c} {types[c]}, " for c in by)
-    return per_recording(movie, solve, f"{head}y int, x int, sn double, cn double, pnr double", by)
+
+    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        i, j = key[-2:]
+        y, x = part["y"].to_numpy(), part["x"].to_numpy()
+        own = (y // tile == i) & (x // tile == j)
+        out = {"y": y[own], "x": x[own], "sn": np.zeros(own.sum()), "cn": np.zeros(own.sum()), "pnr": np.zeros(own.sum())}
+        if own.any():
+            m = np.zeros((len(part["tr"].iloc[0]), np.ptp(y) + 1, np.ptp(x) + 1))
+            at = y - y.min(), x - x.min()
+            m[:, at[0], at[1]] = _stack(part["tr"]).T
+            cn, pnr, sn, _ = arrays.corr_pnr(m, sigma, stride)
+            out |= {"sn": sn[at][own], "cn": cn[at][own], "pnr": pnr[at][own]}
+        return pd.DataFrame({**{c: part[c].to_numpy()[own] for c in by}, **out})
+
+    return pixels.groupBy(*by, "i", "j").applyInPandas(solve, f"{head}y int, x int, sn double, cn double, pnr double")
 
 
 def filter_frames(frames: DataFrame, width: int, kernel: np.ndarray) -> DataFrame:

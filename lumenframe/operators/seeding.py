@@ -18,6 +18,11 @@ def tile_starts(n: int, size: int, overlap: int) -> list[int]:
     return sorted({min(s, n - size) for s in range(0, n - overlap, step)})
 
 
+def tile_spans(n: int, size: int, overlap: int) -> list[tuple[int, int]]:
+    """First and past positions of the tiles."""
+    return [(a, min(n, a + size)) for a in tile_starts(n, size, overlap)]
+
+
 def tile_grid(spark: SparkSession, height: int, width: int, size: int, overlap: int) -> DataFrame:
     """(r0, r1, c0, c1) of the tiles, ends excluded."""
     rows = [(r, min(height, r + size), c, min(width, c + size)) for r in tile_starts(height, size, overlap) for c in tile_starts(width, size, overlap)]
@@ -137,12 +142,15 @@ def greedy(movie: np.ndarray, sigma: float, *, min_corr: float = 0.8, min_pnr: f
 def greedy_tiles(pixels: DataFrame, height: int, width: int, sigma: float, *, size: int | None = None, overlap: int | None = None, **settings) -> DataFrame:
     """(tile, k, cy, cx, ps array, as array, c array): the greedy loop on every overlapping tile at once.
 
-    pixels: (y, x, tr). A pixel is copied to the tiles that cover it, by a range test against a short list.
+    pixels: (y, x, tr). A pixel is copied to the tiles that cover it, row by row and column by column of the grid.
     """
     size = size or max(32, int(12 * sigma))
     overlap = overlap if overlap is not None else max(4, int(4 * sigma))
-    tiles = tile_grid(pixels.sparkSession, height, width, size, overlap).withColumn("tile", F.concat_ws("_", "r0", "c0"))
-    rows = pixels.select("y", "x", "tr").join(F.broadcast(tiles), F.expr("y >= r0 and y < r1 and x >= c0 and x < c1"))
+    spans = lambda n: F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in tile_spans(n, size, overlap)])
+    over = lambda c, n: F.explode(F.filter(spans(n), lambda s: (F.col(c) >= s["lo"]) & (F.col(c) < s["hi"])))
+    rows = pixels.select("y", "x", "tr", over("y", height).alias("r")).withColumn("c", over("x", width))
+    rows = rows.select("y", "x", "tr", F.col("r.lo").alias("r0"), F.col("r.hi").alias("r1"), F.col("c.lo").alias("c0"), F.col("c.hi").alias("c1"))
+    rows = rows.withColumn("tile", F.concat_ws("_", "r0", "c0"))
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         r0, r1, c0, c1 = (int(part[c].iloc[0]) for c in ("r0", "r1", "c0", "c1"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +14,7 @@ from lumenframe.functions import sql
 from lumenframe.operators import background, cells, components, evaluate, kernels, movies, seeding, tune
 from lumenframe.params import Params
 from lumenframe.plans import motion, session, sessions
-from lumenframe.sources.views import emb_movie, evt_movie, evt_traces, li_footprints, part_cells
+from lumenframe.sources.views import CELL_FIELD, cell_frames, emb_movie, evt_movie, evt_traces, li_footprints, part_cells
 
 QUERIES: dict = {}
 
@@ -30,6 +32,14 @@ def _frames(movie: DataFrame) -> DataFrame:
     return movies.frames_of(movie)
 
 
+def _stack(movie: DataFrame) -> np.ndarray:
+    """A small movie as an array (t, y, x)."""
+    rows = movie.toPandas()
+    out = np.zeros(tuple(int(rows[c].max()) + 1 for c in ("t", "y", "x")))
+    out[rows["t"], rows["y"], rows["x"]] = rows["v"]
+    return out
+
+
 def _template(frames: DataFrame, shape) -> np.ndarray:
     row = frames.select(F.posexplode("px").alias("p", "v")).groupBy("p").agg(F.avg("v").alias("v")).toPandas().sort_values("p")
     return row["v"].to_numpy().reshape(shape)
@@ -73,7 +83,8 @@ def h2_max_shift(spark, sf):
 
 @query
 def i8_greedy_tiles(spark, sf):
-    return seeding.greedy_tiles(_pixels(evt_movie(spark, sf), 12), 12, 12, 1.0, size=12, overlap=4, min_corr=0.1, min_pnr=3.0, seed_mode="threshold")
+    pixels = movies.with_coordinates(movies.transposed(cell_frames(spark, sf)), CELL_FIELD)
+    return seeding.greedy_tiles(pixels, CELL_FIELD, CELL_FIELD, 2.0, size=24, overlap=8, min_corr=0.5, min_pnr=5.0, seed_mode="threshold")
 
 
 @query
@@ -147,9 +158,12 @@ def g18_hungarian_match(spark, sf):
 
 @query
 def g12_spatial_model(spark, sf):
-    r = components.trace_correlations(evt_traces(spark, sf)).select("r").toPandas()["r"].to_numpy()
-    rng = np.linspace(0.75, 0.99, 200)
-    model = cells.fit_spatial_model(np.concatenate([r, rng]))
+    """Pairs of one user's trace and its three-day mean, and pairs of different users' traces."""
+    t = evt_traces(spark, sf)
+    mean = F.avg("v").over(Window.partitionBy("k").orderBy("t").rowsBetween(-1, 1))
+    same = evaluate.correlation_by(t.withColumn("w", mean), "v", "w").select("r")
+    r = same.unionByName(components.trace_correlations(t).select("r"))
+    model = cells.fit_spatial_model(r.toPandas()["r"].to_numpy())
     if model is None:
         return spark.createDataFrame([], "x double, p double")
     return model.lookup(spark)
@@ -183,27 +197,42 @@ def g2_register_sessions(spark, sf):
 
 @query
 def t13_fit_extract(spark, sf):
-    """The whole factorisation over the hourly movie."""
-    params = Params(sigma=1.0, min_corr=0.05, min_pnr=3.0, border_px=0, seed_method="threshold", n_iter_main=1, spatial_lambda_scale=0.1)
-    model = session.fit(_frames(evt_movie(spark, sf)), (12, 12), params)
+    """The whole factorisation of a small recording."""
+    params = Params(sigma=2.0, min_corr=0.5, min_pnr=5.0, border_px=1, seed_method="threshold", n_iter_main=1)
+    model = session.fit(cell_frames(spark, sf), (CELL_FIELD, CELL_FIELD), params)
     return model.tables(spark)["footprints"]
 
 
 @query
 def w1_sweep(spark, sf):
-    """Candidates scored in parallel by how well a decay explains the daily traces' mean."""
-    mean = evt_traces(spark, sf).groupBy("t").agg(F.avg("v").alias("v")).toPandas().sort_values("t")["v"].to_numpy()
-    tries = [p for p, _ in tune.candidates(Params(), tune.SweepSpec(sigma=[2.0, 3.0], merge_thr_corr=[0.7, 0.85]))]
+    """Candidates fitted in parallel to a small recording, each in a task; the score is the share of the signal explained."""
+    frames = cell_frames(spark, sf).toPandas().sort_values("t")
+    movie = spark.sparkContext.broadcast(np.stack(frames["px"].to_list()).reshape(-1, CELL_FIELD, CELL_FIELD))
+    tries = [p for p, _ in tune.candidates(Params(), tune.SweepSpec(sigma=[2.0, 3.0], min_corr=[0.5, 0.8]))]
 
     def score(p: Params) -> float:
-        return -float(np.abs(mean - mean.mean() * p.merge_thr_corr).mean()) / p.sigma
+        m = movie.value
+        a, c, _ = seeding.greedy(m, p.sigma, min_corr=p.min_corr, min_pnr=5.0, seed_mode="threshold")
+        rest = m - np.einsum("kyx,kt->tyx", a, c) if len(a) else m
+        return 1 - float((rest**2).sum() / (m**2).sum())
 
     return tune.run_sweep(spark, tries, score)
 
 
 @query
 def w8_motion_search(spark, sf):
-    best, rows = tune.search_motion(lambda g, s, n: (-abs(g - 3) + n, 1.0), 0.0, [2, 3, 4], [(3, 3), (6, 6)], [1, 2])
+    """Filter widths, limits and passes of registration tried on the hourly movie, scored by local correlation."""
+    frames, base = _frames(evt_movie(spark, sf)).persist(), Params(mc_sharpen_template=False, sigma=1.0)
+
+    def quality(f: DataFrame) -> float:
+        long = f.select("t", F.posexplode("px").alias("p", "v")).select("t", F.expr("p div 12").alias("y"), F.expr("p % 12").alias("x"), "v")
+        return kernels.registration_quality(long, 12, 12).collect()[0]["corr_mean"]
+
+    def score(gsig, limit, n_iter):
+        moved, shifts, _ = motion.correct(frames, (12, 12), replace(base, mc_gSig_filt=gsig, max_shift=limit, mc_n_iter=n_iter))
+        return quality(moved), kernels.shift_quality(shifts).collect()[0]["p99"]
+
+    best, rows = tune.search_motion(score, quality(frames), [1.0, 2.0], [(2, 2), (3, 3)], [1])
     return spark.createDataFrame(pd.DataFrame([{**r, "max_shift": str(r["max_shift"]), "error": r["error"] or "", "best": r is best} for r in rows]))
 
 

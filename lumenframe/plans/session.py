@@ -325,7 +325,7 @@ def _fit(movie: DataFrame, shape: tuple[int, int], params: Params, *, correct_mo
         f, c, g = _numbered(a, kept), c[kept], g[kept]
         mark(f"spatial{i}")
         noise_k = _footprint_noise(f, sn, len(c))
-        c, spikes = components.temporal_update(_project(clean, f, len(c)), _gram(f, len(c)), c, g, noise_k, rounds=params.n_iter_temporal, deconvolve=not (i == 0 and params.skip_first_deconv))
+        c, spikes = components.temporal_update(_project(clean, f, len(c)), _gram(f, len(c)), c, g, noise_k, rounds=params.n_iter_temporal, deconvolve=not (i == 0 and params.skip_first_deconv), spark=spark)
         mark(f"temporal{i}")
         f, groups = _merged(f, c, shape, params)
         if len(groups) < len(c):
@@ -334,7 +334,7 @@ def _fit(movie: DataFrame, shape: tuple[int, int], params: Params, *, correct_mo
         clean = without_background()
         mark(f"merge{i}")
     noise_k, gram, projection = _footprint_noise(f, sn, len(c)), _gram(f, len(c)), _project(clean, f, len(c))
-    c, spikes = components.temporal_update(projection, gram, c, g, noise_k, rounds=params.n_iter_temporal)
+    c, spikes = components.temporal_update(projection, gram, c, g, noise_k, rounds=params.n_iter_temporal, spark=spark)
     left = components.residual_traces(projection, gram, c)
     norms = np.sqrt(np.maximum(np.diag(gram), 0))
     scale = np.where(norms > 0, norms, 1)

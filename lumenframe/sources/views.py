@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,36 @@ def part_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.expr("p_size % 3").alias("session"), F.col("p_partkey").alias("k"), F.expr("cast(p_partkey % 100 as double)").alias("cy"), F.expr("cast(cast(p_retailprice as int) % 100 as double)").alias("cx"), F.col("p_retailprice").alias("w"))
 
 
+#: Side of the field of `cell_frames`, and the centres of its cells.
+CELL_FIELD = 36
+CELL_CENTRES = [(y, x) for y in (6, 18, 30) for x in (6, 18, 30)]
+
+
+def cell_signals(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    """Hourly event values of the nine users with the smallest ids, in hundreds, each decaying by a tenth an hour: (9, t)."""
+    e = read(spark, sf_dir, "events")
+    n_hours, users = _spans(e, 3600), e.select("user_id").distinct().orderBy("user_id").limit(len(CELL_CENTRES))
+    first = e.agg(F.date_trunc("day", F.min("ts")).alias("t0"))
+    own = e.join(F.broadcast(users), "user_id").join(F.broadcast(first))
+    own = own.groupBy("user_id", F.expr("cast((unix_timestamp(ts) - unix_timestamp(t0)) div 3600 as int)").alias("t")).agg(F.sum("value").alias("v")).toPandas()  # a row for each user and hour
+    out = np.zeros((len(CELL_CENTRES), n_hours))
+    ids = sorted(own["user_id"].unique())
+    for user, t, v in own.itertuples(index=False):
+        out[ids.index(user), t] = v / 100
+    for t in range(1, n_hours):
+        out[:, t] += 0.9 * out[:, t - 1]
+    return out
+
+
+def cell_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames (t, px) of nine blurred cells that carry `cell_signals`, with noise: a small recording with known contents."""
+    y, x = np.mgrid[:CELL_FIELD, :CELL_FIELD]
+    cells = np.stack([np.exp(-((y - a) ** 2 + (x - b) ** 2) / 8) for a, b in CELL_CENTRES])
+    movie = np.einsum("kt,kyx->tyx", cell_signals(spark, sf_dir), cells)
+    movie += np.random.default_rng(0).normal(0, 0.1, movie.shape)
+    return spark.createDataFrame(pd.DataFrame({"t": np.arange(len(movie)), "px": movie.reshape(len(movie), -1).tolist()}), "t int, px array<double>")
+
+
 #: The same views for the oracle engine, as common table expressions.
 SQL = {
     "emb_movie": """emb_movie AS (
