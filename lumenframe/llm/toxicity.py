@@ -24,7 +24,7 @@ SIZES = (3, 4, 5, 6)
 #: Labelled documents that a fit uses at most (those with the smallest hash of their id).
 MAX_FIT = 12_000
 #: Standard errors by which a log-count ratio is shrunk.
-SHRINK = 2.0
+SHRINK = 2.5
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(1_000_003)
@@ -73,19 +73,46 @@ def log_count_ratios(df1: np.ndarray, df0: np.ndarray, n1: int, n0: int) -> np.n
     return np.sign(ratio) * np.maximum(0.0, np.abs(ratio) - SHRINK * error)
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, n_cols: int, penalty: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression on a sparse matrix (rows ascending), by accelerated gradient steps."""
-    n = len(y)
-    w, b = np.zeros(n_cols), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
-    norms = np.bincount(rows, values**2, n) + 1
-    bound = max(1e-9, 0.25 * _top_eigenvalue(rows, cols, values, n, n_cols) + penalty) if len(rows) else 1.0
-    bound = min(bound, 0.25 * float(norms.sum()) + penalty)
+class Sparse:
+    """A sparse matrix by rows; its products take a bounded number of entries at a time."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n: int, n_cols: int, block: int = 500_000):
+        self.cols, self.values, self.n, self.n_cols = cols.astype(np.int32), values.astype(np.float32), n, n_cols
+        self.ends = np.cumsum(np.bincount(rows, minlength=n)) if n else np.zeros(0, np.int64)
+        # rows in blocks of about that many entries
+        self.blocks, first = [], 0
+        while first < n:
+            begin = int(self.ends[first - 1]) if first else 0
+            past = max(first + 1, int(np.searchsorted(self.ends, begin + block, side="right")))
+            self.blocks.append((first, past, begin, int(self.ends[past - 1])))
+            first = past
+
+    def _parts(self):
+        for first, past, begin, end in self.blocks:
+            counts = np.diff(self.ends[first:past], prepend=begin)
+            yield slice(first, past), np.repeat(np.arange(past - first), counts), self.cols[begin:end], self.values[begin:end]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        for rows, of, cols, values in self._parts():
+            out[rows] = np.bincount(of, values * w[cols], rows.stop - rows.start)
+        return out
+
+    def transposed_times(self, u: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n_cols)
+        for rows, of, cols, values in self._parts():
+            out += np.bincount(cols, values * u[rows][of], self.n_cols)
+        return out
+
+
+def logistic(x: Sparse, y: np.ndarray, penalty: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+    """L2-penalised logistic regression, by accelerated gradient steps: (weights, intercept)."""
+    w, b = np.zeros(x.n_cols), float(np.log((y.sum() + 0.5) / (x.n - y.sum() + 0.5)))
+    bound = 0.25 * _top_eigenvalue(x) + penalty
     at_w, at_b, t = w.copy(), b, 1.0
     for _ in range(steps):
-        z = np.bincount(rows, values * at_w[cols], n) + at_b
-        err = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        grad_w = np.bincount(cols, values * err[rows], n_cols) + penalty * at_w
-        new_w, new_b = at_w - grad_w / bound, at_b - err.sum() / bound
+        err = 1 / (1 + np.exp(-np.clip(x.times(at_w) + at_b, -40, 40))) - y
+        new_w, new_b = at_w - (x.transposed_times(err) + penalty * at_w) / bound, at_b - err.sum() / bound
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         at_w = new_w + (t - 1) / t_new * (new_w - w)
         at_b = new_b + (t - 1) / t_new * (new_b - b)
@@ -96,15 +123,14 @@ def logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarr
     return w, b
 
 
-def _top_eigenvalue(rows, cols, values, n, n_cols) -> float:
+def _top_eigenvalue(x: Sparse) -> float:
     """Of X'X with a column of ones added, by power iteration, with a margin."""
-    v, ones, top = np.ones(n_cols), 1.0, 1.0
+    v, one, top = np.ones(x.n_cols), 1.0, 1.0
     for _ in range(25):
-        norm = np.sqrt(v @ v + ones * ones)
-        v, ones = v / norm, ones / norm
-        u = np.bincount(rows, values * v[cols], n) + ones
-        v, ones = np.bincount(cols, values * u[rows], n_cols), u.sum()
-        top = np.sqrt(v @ v + ones * ones)
+        norm = np.sqrt(v @ v + one * one)
+        u = x.times(v / norm) + one / norm
+        v, one = x.transposed_times(u), u.sum()
+        top = np.sqrt(v @ v + one * one)
     return 1.1 * float(top)
 
 
@@ -149,11 +175,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     n0, n1 = (int(total[0]["d0"]), int(total[0]["d1"])) if total else (0, 0)
     if not n0 or not n1:
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((n1 + 0.01) / (n0 + 0.01))))
-    # one row for each hashed feature, at most 2 ** BITS
-    counted = summed.where("f >= 0").toPandas().sort_values("f")
+    # one row for each hashed feature that tells something, at most 2 ** BITS
+    share = n1 / (n1 + n0)
+    p1, p0 = F.col("d1") + F.lit(share), F.col("d0") + F.lit(1 - share)
+    gap = F.abs(F.log(p1 / (n1 + share)) - F.log(p0 / (n0 + 1 - share)))
+    error = F.sqrt(F.greatest(F.lit(0.0), 1 / p1 - 1 / (n1 + share) + 1 / p0 - 1 / (n0 + 1 - share)))
+    counted = summed.where("f >= 0").where(gap > SHRINK * error).toPandas().sort_values("f")
     f, d0, d1 = (counted[c].to_numpy() for c in ("f", "d0", "d1"))
     ratio = log_count_ratios(d1, d0, n1, n0)
-    f, ratio = f[ratio != 0], ratio[ratio != 0]
     column_of = np.full(1 << BITS, -1, np.int64)
     column_of[f] = np.arange(len(f))
     shared = spark.sparkContext.broadcast(column_of.astype(np.int32))
@@ -167,8 +196,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     picked = rows.mapInPandas(pick, "id string, y int, cols binary").toPandas().sort_values("id", kind="stable")
     lists = [np.frombuffer(c, np.int32) for c in picked["cols"]]
     at = np.repeat(np.arange(len(lists)), [len(c) for c in lists])
-    cols = np.concatenate(lists).astype(np.int64) if len(lists) else np.empty(0, np.int64)
-    w, b = logistic(at, cols, ratio[cols], picked["y"].to_numpy(float), len(f))
+    cols = np.concatenate(lists) if len(lists) else np.empty(0, np.int32)
+    x = Sparse(at, cols, ratio[cols], len(lists), len(f))
+    del at, cols, lists
+    w, b = logistic(x, picked["y"].to_numpy(float))
     weights = np.zeros(1 << BITS, np.float32)
     weights[f] = w * ratio
     return Model(weights, b)

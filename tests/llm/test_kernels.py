@@ -164,7 +164,7 @@ def test_toxicity_features_and_regression():
     x = r.random((200, 5)) < 0.5
     y = (x[:, 0] | x[:, 1]).astype(float)
     rows, cols = np.nonzero(x)
-    w, b = toxicity.logistic(rows, cols, np.ones(len(rows)), y, 5, 0.1, 2000)
+    w, b = toxicity.logistic(toxicity.Sparse(rows, cols, np.ones(len(rows)), 200, 5, block=70), y, 0.1, 2000)
     assert ((x @ w + b > 0) == y).all()
     p = 1 / (1 + np.exp(-(x @ w + b)))
     assert np.abs(x.T @ (p - y) + 0.1 * w).max() < 1e-2 and abs((p - y).sum()) < 1e-2
