@@ -10,8 +10,6 @@ cost over all words of the whole text wins, ties go to the first in alphabetical
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,23 +29,22 @@ MAX_CHARS = 8_000_000
 LENGTHS = (5, 4, 3, 2, 1)
 PENALTY = 7.0
 UNKNOWN = "und"
-#: Costs that a worker keeps for the words it has met.
-_CELLS = 4_000_000
+#: Costs that a worker keeps for the words it has met, and up to which it lays out all entries' costs.
+_CELLS = 1_600_000
+_LAID_OUT = 16_000_000
 
 
-def _letters() -> str:
-    """A pattern of runs of letters: characters of words but numbers of any kind and underscores."""
-    numbers = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not unicodedata.category(c).startswith("L")]
-    runs: list[list[int]] = []
-    for c in map(ord, numbers):
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return rf"[^\W_{''.join(f'{chr(a)}-{chr(b)}' for a, b in runs)}]+"
+_RUNS = re.compile(r"[^\W\d_]+")
 
 
-_WORD = re.compile(_letters())
+def words_of(text: str) -> Counter:
+    """Runs of letters (characters of a Unicode letter category) of the lower-cased text, with their counts."""
+    out = Counter(_RUNS.findall(text.lower()))
+    for run in [w for w in out if not w.isalpha()]:  # the pattern lets numbers pass that are no digits
+        n = out.pop(run)
+        for w in "".join(c if c.isalpha() else " " for c in run).split():
+            out[w] += n
+    return out
 
 
 @dataclass
@@ -66,8 +63,15 @@ class Model:
     def __post_init__(self):
         self._most = max(1_000, _CELLS // max(1, len(self.languages)))
         self._rows = np.zeros((min(1024, self._most), max(1, len(self.languages))), np.float32)
+        n = len(self.at) - 1
+        self._all = None
+        if n * len(self.languages) <= _LAID_OUT:
+            self._all = np.full((n, len(self.languages)), PENALTY, np.float32)
+            self._all[np.repeat(np.arange(n), np.diff(self.at)), self.of] = self.costs
 
     def cost(self, row: int) -> np.ndarray:
+        if self._all is not None:
+            return self._all[row]
         out = np.full(len(self.languages), PENALTY, np.float32)
         span = slice(self.at[row], self.at[row + 1])
         out[self.of[span]] = self.costs[span]
@@ -82,7 +86,8 @@ class Model:
             get = self.entries.get(n, {}).get
             found = [r for i in range(len(padded) - n + 1) if (r := get(padded[i : i + n])) is not None]
             if found:
-                return sum(self.cost(r) for r in found) / np.float32(len(found))
+                every = self._all[found].sum(0) if self._all is not None else sum(self.cost(r) for r in found)
+                return every / np.float32(len(found))
         return np.full(len(self.languages), PENALTY, np.float32)
 
     def _row(self, word: str) -> int:
@@ -95,7 +100,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language of the least mean cost, and its probability if the words count as independent."""
-        words = Counter(_WORD.findall(text.lower())) if text else None
+        words = words_of(text) if text else None
         if not words or not self.languages:
             return UNKNOWN, 0.0
         total, n, items = np.zeros(len(self.languages)), sum(words.values()), list(words.items())
@@ -117,7 +122,7 @@ def count_entries(texts: list[str | None]) -> Counter:
     words: Counter = Counter()
     for text in texts:
         if text:
-            words.update(_WORD.findall(text.lower()))
+            words.update(words_of(text))
     out = Counter(words)
     for word, c in words.items():
         padded = f" {word} "
