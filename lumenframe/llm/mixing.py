@@ -18,7 +18,6 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
 BLOCK = 256
-MAX_SOURCES = 100_000
 #: The golden-ratio step as a fraction of 2 ** 40, odd; and that step 2 ** 21 times.
 _ONE = 1 << 40
 _STEP = 679_572_821_001
@@ -44,51 +43,64 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, cap: f
     return out
 
 
-def _plan(sized: DataFrame, weights, share: float, cap: float, block: int) -> list[tuple]:
-    """A row for each source by code point, null last: (source, number, size, target, words to take, blocks, slots)."""
-    found = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [int(r["size"]) for r in found]
-    each = [float(weights[i % len(weights)]) for i in range(len(found))]
-    out = []
-    for i, (r, size, target) in enumerate(zip(found, sizes, targets(sizes, each, share, cap))):
-        take = min(int(target + 0.5), int(cap * size))
-        blocks = -(-size // block)
-        slots = take // size * blocks + -(-(take % size) // block) if size else 0
-        out.append((r["source"], i, size, target, take, blocks, slots))
-    return out
+def plan(sized: DataFrame, weights, share: float, cap: float, block: int) -> DataFrame:
+    """A row for each source, numbered by code point, null last: (named, number, source_size, target, take, blocks, slots).
 
+    The same targets as `targets` gives. In the order of cap * size / weight the sources that stop come first, so sums
+    over the order tell the first one that does not. Windows over all sources see a row for each.
+    """
+    found = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    number = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
+    each = found.withColumn("number", number).withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("number") % len(weights) + 1).cast("int")))
+    each = written(each.select(F.col("source").alias("named"), "number", "source_size", "w", (F.col("source_size") * float(cap)).alias("most")), "mix-sources")
+    order = Window.orderBy("r", "number")
+    ordered = each.withColumn("r", F.when(F.col("w") > 0, F.col("most") / F.col("w")).otherwise(float("inf")))
+    # of each source: what is left for it and those after it if all before it stop
+    left = F.lit(float(share)) * F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ordered = ordered.withColumns({"left": left, "total": F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))})
+    open_ = ordered.where("total > 0 and left * w <= most * total").orderBy("r", "number").limit(1).collect()  # one row
+    if open_:
+        left, total, r, at = (open_[0][c] for c in ("left", "total", "r", "number"))
+        stops = (F.col("r") < F.lit(r)) | ((F.col("r") == F.lit(r)) & (F.col("number") < at))
+        target = F.when(stops, F.col("most")).otherwise(F.lit(left) * F.col("w") / F.lit(total))
+    else:
+        target = F.when(F.col("w") > 0, F.col("most")).otherwise(0.0)
+    size, take = F.col("source_size"), F.col("take")
+    taken = F.least(F.floor(F.col("target") + 0.5), F.floor(F.col("most")))
+    slots = F.when(size > 0, F.expr(f"take div source_size * blocks + (take % source_size + {block} - 1) div {block}")).otherwise(F.lit(0))
+    out = ordered.withColumn("target", target).withColumn("take", taken.cast("long")).withColumn("blocks", F.expr(f"(source_size + {block} - 1) div {block}"))
+    return written(out.withColumn("slots", slots.cast("long")).select("named", "number", "source_size", "target", "take", "blocks", "slots"), "mix-plan")
 
-def schedule(spark, plan: list[tuple], block: int = BLOCK) -> DataFrame:
+
+def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     """The slots of the mix in any order: (number, rank, slot, block, take).
 
-    number: the source's; rank: among its slots; slot: place in the schedule; take: words of that block,
-    less than the whole one only in a source's last slot.
+    sources: (number, source_size, take, blocks, slots). number: the source's; rank: among its slots; slot: place
+    in the schedule; take: words of that block, less than the whole one only in a source's last slot.
     """
-    needs = [(n, size, take, blocks, slots) for _, n, size, _, take, blocks, slots in plan if slots]
-    total = sum(x[4] for x in needs)
-    schema = "number int, lo long, hi long, of_size long, of_take long, of_blocks long, of_slots long"
-    bounds, at = [], 0
-    for n, size, take, blocks, slots in needs:
-        lo, at = at, at + slots
-        bounds.append((n, lo * _ONE // total, at * _ONE // total, size, take, blocks, slots))
-    width = _ONE // _CELLS
-    by_cell = [(c, *b) for b in bounds for c in range(b[1] // width, (max(b[1], b[2] - 1)) // width + 1)]
-    cells = spark.createDataFrame(by_cell, f"cell int, {schema}")
-    lows = spark.createDataFrame(bounds, schema)
+    spark = sources.sparkSession
+    needs = sources.where("slots > 0").select("number", F.col("source_size").alias("of_size"), F.col("take").alias("of_take"), F.col("blocks").alias("of_blocks"), F.col("slots").alias("of_slots"))
+    n, total = needs.agg(F.count("*"), F.sum("of_slots")).collect()[0]
+    total = int(total or 0)
+    cells = max(_CELLS, 1 << (4 * n).bit_length())
+    width = _ONE // cells
+    past = F.sum("of_slots").over(Window.orderBy("number"))  # a row for each source
+    bound = lambda c: F.expr(f"(cast({c} as decimal(20, 0)) * {_ONE}) div {max(1, total)}")
+    bounds = needs.withColumn("past", past).withColumn("at", F.col("past") - F.col("of_slots")).withColumns({"lo": bound("at"), "hi": bound("past")}).drop("at", "past")
+    bounds = written(bounds, "mix-bounds")
+    by_cell = bounds.select("number", "lo", "hi", F.explode(F.sequence(F.expr(f"lo div {width}"), F.expr(f"greatest(lo, hi - 1) div {width}"))).alias("cell"))
     chunk = 1 << max(8, (total.bit_length() + 1) // 2)
     i = F.col("id")
     point = (F.shiftright(i, 21) * F.lit(_BIG_STEP) + (i % (1 << 21)) * F.lit(_STEP)) % F.lit(_ONE)
-    points = spark.range(total).select("id", point.alias("u")).withColumn("cell", (F.col("u") / width).cast("int"))
-    mapped = points.join(cells, "cell").where("u >= lo and u < hi").select("number", "id", F.expr(f"id div {chunk}").alias("chunk"))
+    points = spark.range(total).select("id", point.alias("u")).withColumn("cell", F.expr(f"u div {width}"))
+    mapped = points.join(written(by_cell, "mix-cells"), "cell").where("u >= lo and u < hi").select("number", "id", F.expr(f"id div {chunk}").alias("chunk"))
     # ranks in two steps, so that no task sees all slots of one source: inside chunks, and over the chunks' counts
     inside = mapped.withColumn("inside", F.row_number().over(Window.partitionBy("chunk", "number").orderBy("id")) - 1)
     counts = mapped.groupBy("number", "chunk").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("number").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = inside.join(counts.withColumn("before", before), ["number", "chunk"]).select("number", (F.col("before") + F.col("inside")).alias("rank"), F.col("id").alias("slot"))
     # a source can get a few slots too many or too few: surplus ones go, missing ones follow at the end
+    lows = bounds.drop("lo", "hi")
     got = lows.join(counts.groupBy("number").agg(F.sum("n").alias("got")), "number", "left").withColumn("got", F.coalesce("got", F.lit(0)))
     missing = got.where("got < of_slots").select("number", F.explode(F.sequence("got", F.col("of_slots") - 1)).alias("rank")).withColumn("slot", F.lit(total) + F.col("rank"))
     all_ = ranked.unionByName(missing).join(lows, "number").where("rank < of_slots")
@@ -105,13 +117,12 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     more than cap * size. Rows that are equal in id, source and size share their places in any order, so their
     taken words may be exchanged, no more. An empty table gives an empty result.
     """
-    spark = df.sparkSession
     sized = written(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_of(text_col).alias("size")), "mix-sizes")
-    plan = _plan(sized, weights, share, cap, block)
-    sources = spark.createDataFrame([p[:4] for p in plan], "named string, number int, source_size long, target double")
+    sources = plan(sized, weights, share, cap, block)
     n = sized.count()
     buckets = max(1, min(1 << 16, n // 2_000))
-    known = sized.join(sources, sized["source"].eqNullSafe(sources["named"])).drop("named")
+    named = sources.select("named", "number", "source_size", "target")
+    known = sized.join(named, sized["source"].eqNullSafe(named["named"])).drop("named")
     known = known.withColumn("h", unit_hash("id", "size")).withColumn("bucket", (F.col("h") * buckets).cast("int"))
     order = Window.partitionBy("number", "bucket").orderBy("h", "id", "size")
     placed = known.withColumn("in_bucket", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("nth", F.row_number().over(order))
@@ -120,11 +131,8 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     placed = placed.join(totals.select("number", "bucket", before.alias("before")), ["number", "bucket"]).withColumn("start", F.col("before") + F.col("in_bucket"))
     last = F.expr(f"(start + size - 1) div {block}")
     parts = placed.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block}"), last)).otherwise(F.array(F.lit(-1).cast("long")))))
-    if any(p[6] for p in plan):
-        slots = schedule(spark, plan, block).select(F.col("number"), F.col("block"), F.col("take"))
-        joined = parts.join(slots, ["number", "block"], "left")
-    else:
-        joined = parts.withColumn("take", F.lit(0).cast("long"))
+    slots = schedule(sources, block).select(F.col("number"), F.col("block"), F.col("take"))
+    joined = parts.join(slots, ["number", "block"], "left")
     overlap = F.expr(f"greatest(0, least(start + size, block * {block} + coalesce(take, 0)) - greatest(start, block * {block}))")
     keys = ["number", "bucket", "nth", "id", "source", "size", "source_size", "target"]
     summed = joined.groupBy(*keys).agg(F.sum(overlap).cast("long").alias("taken"))
@@ -140,12 +148,13 @@ def repeat_taken(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     of, passes, cut, size, spot, copy = fresh(df, "mix_source", "mix_passes", "mix_cut", "mix_size", "mix_spot", "mix_copy")
     mixed = written(mix(df, id_col=id_col, text_col=text_col, source_col=source_col, **settings).where("size > 0"), "mix-taken")
-    whole = mixed.groupBy(F.col("source").alias(of)).agg(F.floor(F.sum("taken") / F.sum("size")).cast("int").alias(passes))
-    each = mixed.join(F.broadcast(whole), F.col("source").eqNullSafe(F.col(of)))  # a row for each source, at most MAX_SOURCES
+    # a row for each source, written: the planner sends it to all if it is small
+    whole = written(mixed.groupBy(F.col("source").alias(of)).agg(F.floor(F.sum("taken") / F.sum("size")).cast("int").alias(passes)), "mix-passes")
+    each = mixed.join(whole, F.col("source").eqNullSafe(F.col(of)))
     more = F.when(F.round(F.col("taken") / F.col("size")) > F.col(passes), unit_hash("id", "size"))
     cuts = written(each.groupBy(of, passes).agg(F.coalesce(F.max(more), F.lit(-1.0)).alias(cut)), "mix-cuts")
     rows = df.withColumn(size, words_of(text_col))
-    rows = rows.join(F.broadcast(cuts), rows[source_col].eqNullSafe(cuts[of])).where(F.col(size) > 0)
+    rows = rows.join(cuts, rows[source_col].eqNullSafe(cuts[of])).where(F.col(size) > 0)
     rows = rows.withColumn(spot, unit_hash(id_col, size))
     times = F.col(passes) + (F.col(spot) <= F.col(cut)).cast("int")
     return rows.where(times > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*[f"`{c}`" for c in df.columns])

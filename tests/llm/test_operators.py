@@ -199,9 +199,63 @@ def test_mix_meets_targets_and_repeats(docs, none):
     assert mixing.mix(none).count() == 0 and mixing.repeat_taken(none).count() == 0
 
 
+def plain_mix(rows, block, weights=(3, 1, 2)):
+    """Plain Python: words taken of each row (id, text, source, place in its source's shuffled order)."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    order = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(size(t) for _, t, s, _ in rows if s == x) for x in order]
+    goals = mixing.targets(sizes, [float(weights[i % len(weights)]) for i in range(len(order))])
+    takes = [min(int(g + 0.5), 2 * n) for g, n in zip(goals, sizes)]
+    blocks = [-(-n // block) for n in sizes]
+    slots = [t // n * b + -(-(t % n) // block) if n else 0 for t, n, b in zip(takes, sizes, blocks)]
+    total, one = sum(slots), 1 << 40
+    edges = [sum(slots[:i]) * one // total for i in range(len(slots) + 1)] if total else [0] * (len(slots) + 1)
+    got = [0] * len(order)
+    for i in range(total):
+        u = i * 679_572_821_001 % one
+        got[next(s for s in range(len(order)) if edges[s] <= u < edges[s + 1])] += 1
+    # the first `slots` ranks of a source are served whether its points were too many or too few
+    out = Counter()
+    for s, source in enumerate(order):
+        taken = Counter()  # words of each block
+        for rank in range(slots[s]):
+            b, lap = rank % blocks[s], rank // blocks[s]
+            taken[b] = max(taken[b], 0) + max(0, min(min(block, sizes[s] - b * block), takes[s] - lap * sizes[s] - b * block))
+        at = 0
+        laps: dict = {}
+        for rank in range(slots[s]):
+            b, lap = rank % blocks[s], rank // blocks[s]
+            laps.setdefault(b, []).append(max(0, min(min(block, sizes[s] - b * block), takes[s] - lap * sizes[s] - b * block)))
+        for d, t, x, _ in sorted((r for r in rows if r[2] == source), key=lambda r: r[3]):
+            n = size(t)
+            words = sum(max(0, min(at + n, b * block + k) - max(at, b * block)) for b in range(at // block, (at + n - 1) // block + 1 if n else 0) for k in laps.get(b, []))
+            out[d, n, sizes[s], round(goals[s], 6), words] += 1
+            at += n
+    assert all(abs(g - n) <= 3 + 0.02 * total for g, n in zip(got, slots))
+    return out
+
+
+def test_mix_equals_plain_python(spark):
+    r = random.Random(17)
+    rows = [(i, prose(r.randrange(0, 60), r) if i % 13 else None, r.choice(["a", "a", "a", "b", "c", "é", None]) if i % 11 else f"s{i}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    places = {x.doc_id: x.h for x in df.select("doc_id", unit_hash("doc_id", mixing.words_of("text")).alias("h")).collect()}
+    got = Counter((x.id, x.size, x.source_size, round(x.target, 6), x.taken) for x in mixing.mix(df, block=16).collect())
+    assert got == plain_mix([(*x, places[x[0]]) for x in rows], 16)
+
+
+def test_targets_in_tables_equal_plain_python(spark):
+    r = random.Random(8)
+    for n in (1, 2, 7, 40):
+        sizes = [r.choice([0, 1, r.randrange(1000), r.randrange(100_000)]) for _ in range(n)]
+        df = spark.createDataFrame([(f"s{i:03d}", s) for i, s in enumerate(sizes)], "source string, size long")
+        got = [x.target for x in mixing.plan(df, mixing.WEIGHTS, 1.5, 2.0, 256).orderBy("number").collect()]
+        assert got == pytest.approx(mixing.targets(sizes, [mixing.WEIGHTS[i % 3] for i in range(n)]), abs=1e-6)
+
+
 def test_schedule_is_even_everywhere(spark):
-    plan = [("a", 0, 6400, 0.0, 6400, 100, 100), ("b", 1, 3200, 0.0, 3200, 50, 50), ("c", 2, 3200, 0.0, 6400, 50, 100), ("d", 3, 0, 0.0, 0, 0, 0)]
-    slots = sorted(mixing.schedule(spark, plan, 64).collect(), key=lambda r: r.slot)
+    plan = spark.createDataFrame([(0, 6400, 6400, 100, 100), (1, 3200, 3200, 50, 50), (2, 3200, 6400, 50, 100), (3, 0, 0, 0, 0)], "number int, source_size long, take long, blocks long, slots long")
+    slots = sorted(mixing.schedule(plan, 64).collect(), key=lambda r: r.slot)
     assert Counter(r.number for r in slots) == {0: 100, 1: 50, 2: 100}
     for n in (25, 50, 125, 200):
         got = Counter(r.number for r in slots[:n])
@@ -305,8 +359,11 @@ def test_language_equals_plain_python(spark):
     own = {lang: ["".join(r.choice(a) for _ in range(r.randrange(2, 7))) for _ in range(60)] for lang, a in {"aa": "abcdeé", "bb": "abcdfg", "cc": "xyzab"}.items()}
     rows = [(i, " ".join(r.choice(own[lang]) for _ in range(30)), lang) for i, lang in enumerate(["aa"] * 30 + ["bb"] * 20 + ["cc"] * 2)]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    bare = language.Model(model.languages, model.entries, model.at, model.of, model.costs)
+    bare._all = None  # as with more entries than are laid out
+    assert all(np.allclose(bare.word_cost(w), model.word_cost(w), atol=1e-5) for w in ("abcde", "zzzz", "é", *own["aa"][:9]))
     texts = [" ".join("".join(r.choice("abcdeéfgxyz") for _ in range(r.randrange(1, 8))) for _ in range(r.randrange(1, 12))) for _ in range(40)]
-    texts += [" ".join(r.choice(own[lang]) for _ in range(25)) for lang in own] + [None, "", "½ ²", "Ⅷ", "日本", "A_b 7x"]
+    texts += [" ".join(r.choice(own[lang]) for _ in range(25)) for lang in own] + [None, "", "½ ²", "Ⅷ", "日本", "A_b 7x", "a½b ab²cd"]
     df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
     got = {x.i: (x.p.lang_pred, x.p.score) for x in df.select("i", language.predict(df, model, "t").alias("p")).collect()}
     for i, (lang, p) in enumerate(plain_language([(t, lang) for _, t, lang in rows], texts)):
