@@ -13,16 +13,20 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.shared import fresh, written
 
-#: Of op 9 and its SQL twin.
-RATIO = 0.1
-MIN_PAGES = 5
-#: Of the pipeline: under the rate of lines that really repeat (1 to 5 % of a source's documents).
-LOW_RATIO = 0.02
-LOW_PAGES = 2
+#: Under the rate of lines that really repeat (1 to 5 % of a site's pages).
+RATIO = 0.02
+MIN_PAGES = 2
 #: Pages of whose characters a smaller share is on no often repeated line are near copies (as similar as op 7 asks).
 OWN = 0.25
 
 
+def host_of(site: str | Column) -> Column:
+    """The host of a URL, in lower case; any other value names a site by itself."""
+    site = F.col(site) if isinstance(site, str) else site
+    host = F.regexp_extract(site, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    return F.when(host != "", F.lower(host)).otherwise(site)
+
+
 def _pair(line: str | Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
@@ -38,13 +42,14 @@ def _lists(each: DataFrame, pages: DataFrame, ratio: float, min_pages: int) -> D
 def boilerplate(df: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = False) -> DataFrame:
     """Columns (host, lines): for each host with any, the pairs of hashes of its boilerplate lines.
 
+    host_col holds URLs, whose hosts group the pages, or names of sites.
     A list has at most (mean lines of the host's pages) / ratio entries, since each entry is on more than
     ratio of the pages. A null host is a host of its own; empty lines never count. With copies, every row is a
     page. Otherwise every text that the host has is one (null texts are one), and what is found so is counted
     again on the pages that are no near copies: those with OWN of their text, by characters, on other lines.
     """
     texts = F.filter(F.array_distinct(F.split(text_col, "\n", -1)), lambda x: x != "")
-    keyed = df.select(F.col(host_col).alias("host"), F.xxhash64(text_col).alias("page"), texts.alias("lines"))
+    keyed = df.select(host_of(host_col).alias("host"), F.xxhash64(text_col).alias("page"), texts.alias("lines"))
     each = keyed.select("host", "page", F.explode("lines").alias("line")).select("host", "page", _pair("line").alias("pair"))
     if copies:
         return _lists(each, keyed, ratio, min_pages)
@@ -66,7 +71,7 @@ def drop_boilerplate(df: DataFrame, *, host_col: str = "source", text_col: str =
     host, flags = fresh(df, "host_of_lines", "boilerplate_lines")
     # written first: the planner then knows its size and broadcasts it only if it is small
     found = written(boilerplate(df, host_col=host_col, text_col=text_col, ratio=ratio, min_pages=min_pages, copies=copies), "line-dedup").toDF(host, flags)
-    joined = df.join(found, df[host_col].eqNullSafe(found[host]), "left")
+    joined = df.join(found, host_of(df[host_col]).eqNullSafe(found[host]), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(lines, lambda x: (x == "") | ~F.array_contains(flags, _pair(x)))
     text = F.when(F.col(flags).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))

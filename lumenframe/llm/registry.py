@@ -58,24 +58,37 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document after its source's boilerplate lines are dropped; every row counts as a page, as in the twin."""
-    kept = lines.drop_boilerplate(table(spark, sf_dir, "documents"), copies=True, count_col="n_dropped")
+    """Every document after its site's boilerplate lines are dropped; documents have no URL, their source is the site."""
+    kept = lines.drop_boilerplate(table(spark, sf_dir, "documents"), count_col="n_dropped")
     return kept.select("doc_id", "n_dropped", F.length("text").cast("long").alias("n_kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
 ORACLES["op9_line_dedup"] = f"""
-WITH each AS (
-  SELECT source, doc_id, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents
+WITH page AS (
+  SELECT row_number() OVER () AS page, source, text FROM (SELECT DISTINCT source, text FROM documents)
+), each AS (
+  SELECT page, source, unnest(list_filter(list_distinct(string_split(text, chr(10))), lambda x: x <> '')) AS line FROM page
+), candidate AS (
+  SELECT l.source, l.line
+  FROM (SELECT source, line, count(*) AS n FROM each GROUP BY source, line) AS l
+  JOIN (SELECT source, count(*) AS pages FROM page GROUP BY source) AS p ON p.source IS NOT DISTINCT FROM l.source
+  WHERE l.n >= {lines.MIN_PAGES} AND l.n > {lines.RATIO} * p.pages
+), sized AS (
+  SELECT e.page, sum(length(e.line)) AS n, sum(CASE WHEN c.line IS NULL THEN length(e.line) ELSE 0 END) AS own
+  FROM each AS e LEFT JOIN candidate AS c ON c.source IS NOT DISTINCT FROM e.source AND c.line = e.line GROUP BY e.page
+), counted AS (
+  SELECT p.page, p.source FROM page AS p LEFT JOIN sized AS s ON s.page = p.page WHERE s.page IS NULL OR s.own >= {lines.OWN} * s.n
 ), often AS (
   SELECT l.source, l.line
-  FROM (SELECT source, line, count(*) AS n FROM each WHERE line <> '' GROUP BY source, line) AS l
-  JOIN (SELECT source, count(*) AS pages FROM documents GROUP BY source) AS p ON p.source IS NOT DISTINCT FROM l.source
+  FROM (SELECT e.source, e.line, count(*) AS n FROM each AS e JOIN counted AS k ON k.page = e.page
+        JOIN candidate AS c ON c.source IS NOT DISTINCT FROM e.source AND c.line = e.line GROUP BY e.source, e.line) AS l
+  JOIN (SELECT source, count(*) AS pages FROM counted GROUP BY source) AS p ON p.source IS NOT DISTINCT FROM l.source
   WHERE l.n >= {lines.MIN_PAGES} AND l.n > {lines.RATIO} * p.pages
 ), split AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS at FROM documents
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS nth FROM documents
 ), kept AS (
   SELECT s.doc_id, count(o.line) AS n_dropped,
-    coalesce(string_agg(s.line, chr(10) ORDER BY s.at) FILTER (WHERE o.line IS NULL), '') AS text
+    coalesce(string_agg(s.line, chr(10) ORDER BY s.nth) FILTER (WHERE o.line IS NULL), '') AS text
   FROM split AS s LEFT JOIN often AS o ON o.source IS NOT DISTINCT FROM s.source AND o.line = s.line
   GROUP BY s.doc_id
 )

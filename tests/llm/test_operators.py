@@ -153,6 +153,13 @@ def test_lines_equal_brute_force(docs, none):
     assert lines.drop_boilerplate(docs).columns == docs.columns and lines.drop_boilerplate(none).count() == 0
 
 
+def test_lines_are_judged_by_host(spark):
+    r = random.Random(12)
+    rows = [(i, f"menu of a\n{prose(30, r)}", f"HTTP://user@A.example:80/{i}") for i in range(6)] + [(10 + i, f"menu of a\n{prose(30, r)}" if not i else prose(30, r), f"https://b.example/{i}") for i in range(6)]
+    got = {x.doc_id: x.text for x in lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i] == t.removeprefix("menu of a\n") for i, t, _ in rows if i < 10) and all(got[i] == t for i, t, _ in rows if i >= 10)
+
+
 def test_copies_of_a_document_do_not_make_its_lines_boilerplate(spark):
     r = random.Random(11)
     copied = f"{prose(30, r)}\n{prose(30, r)}"
