@@ -4,97 +4,136 @@ Codes are cut into segments and indexed by (segment, value). A query searches al
 of its own, then at distance 1, and so on. By the pigeonhole principle all codes within m * a + j bits have been
 met once distance a is done in segments 0 to j of m, so a query stops as soon as its k-th verified distance is
 within that; until then what it meets is verified against the k-th so far. Equal codes are one entry with their
-k smallest ids, so copies cost nothing.
+k smallest ids, so copies cost nothing. Values at a distance are made in the plan, each from one at the distance
+before by a bit further on. The number of segments is that of least work for codes of random bits.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenframe.llm.shared import written
+from lumenframe.llm.shared import discard, written
 
-BITS = 64
+WORD = 64
 K = 10
+#: Bits of a segment at most: values are numbers, and there may be so many at one distance.
+WIDEST = 24
 
 
-def sign_code(embedding: str | Column) -> Column:
-    """64 bits, one for each element: whether it is over 0 (null and NaN elements: no).
+def sign_code(embedding: str | Column, bits: int = WORD) -> Column:
+    """Array of longs with a bit for each element: whether it is over 0 (null and NaN elements: no).
 
-    Null for a null or empty array; missing elements give 0 bits. More than 64 elements are an error.
+    Null for a null or empty array. bits, rounded up to words, is the length of all codes: missing elements give
+    0 bits, more elements than bits are an error.
     """
     x = F.col(embedding) if isinstance(embedding, str) else embedding
+    words = -(-bits // WORD)
     bit = lambda v, i: F.when((v > 0) & ~F.isnan(v), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-    code = F.aggregate(F.transform(F.slice(x, 1, BITS), bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    long = F.raise_error(F.concat(F.lit(f"sign_code: more than {BITS} elements: "), F.size(x).cast("string")))
-    return F.when(F.size(x) > BITS, long.cast("long")).when(F.size(x) > 0, code)
+    word = lambda i: F.aggregate(F.transform(F.slice(x, i * WORD + 1, WORD), bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    long = F.raise_error(F.concat(F.lit(f"sign_code: more than {words * WORD} elements: "), F.size(x).cast("string")))
+    code = F.array(*[word(i) for i in range(words)])
+    return F.when(F.size(x) > words * WORD, F.array(long.cast("long"))).when(F.size(x) > 0, code)
 
 
-def _segments(n: int) -> list[tuple[int, int]]:
-    """(first bit, width) of each segment, each about as wide as it takes to tell n codes apart."""
-    m = max(2, min(8, round(BITS / max(8.0, np.log2(max(n, 2)) + 1))))
-    edges = [BITS * i // m for i in range(m + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def longest(df: DataFrame, embedding: str) -> int:
+    """The most elements of any of the arrays, at least 1."""
+    return max(1, df.agg(F.max(F.size(embedding))).collect()[0][0] or 1)
 
 
-def _value(code: Column, first: int, width: int) -> Column:
-    return F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << width) - 1))
+def segments_for(bits: int, n: int, k: int) -> list[tuple[int, int, int]]:
+    """(word, first bit in it, width) of each segment; none crosses words.
+
+    Of n random codes the k-th nearest is at the distance r where n times the share of all codes within r reaches
+    k. With s segments a word, distance r // m has to be searched; the work is one for each value and each code met.
+    """
+    words = -(-bits // WORD)
+    share, r = 0.0, -1
+    while share * n < k and r < bits // 2:
+        r += 1
+        share += math.exp(math.lgamma(bits + 1) - math.lgamma(r + 1) - math.lgamma(bits - r + 1) - bits * math.log(2))
+
+    def work(s: int) -> float:
+        width, m = math.ceil(WORD / s), s * words
+        values = sum(math.comb(width, i) for i in range(min(width, r // m) + 1))
+        return m * values * (1 + n / 2.0**width)
+
+    s = min(range(math.ceil(WORD / WIDEST), WORD // 4 + 1), key=work)
+    edges = [WORD * i // s for i in range(s + 1)]
+    return [(w, a, b - a) for w in range(words) for a, b in zip(edges, edges[1:])]
+
+
+def _value(code: Column, word: int, first: int, width: int) -> Column:
+    return F.shiftrightunsigned(code[word], first).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _apart(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+
+
+def _at_distance(active: DataFrame, segments: list[tuple[int, int, int]], searched: list[int], distance: int) -> DataFrame:
+    """(query, bound, s, v): the values at that distance of the queries' own in the searched segments."""
+    own = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(segments[i][2]).alias("width"), _value(F.col("query"), *segments[i]).alias("v")) for i in searched])
+    rows = active.select("query", "bound", F.explode(own).alias("o")).select("query", "bound", "o.s", "o.width", "o.v", F.lit(-1).alias("last"))
+    for left in range(distance, 0, -1):
+        # the next bit lies behind the last one, and leaves room for those that are still to come
+        bits = F.expr(f"case when last + 1 <= width - {left} then sequence(last + 1, width - {left}) else array() end")
+        rows = rows.select("query", "bound", "s", "width", "v", F.explode(bits).alias("last"))
+        rows = rows.withColumn("v", F.col("v").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("last"))))
+    return rows.select("query", "bound", "s", "v")
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, id, distance): the k codes nearest to each query, ties by id.
 
-    codes and queries have columns (id, code), 64-bit codes; rows with a null code are neither indexed nor
-    searched. Fewer than k codes in all give fewer rows. Rows that are repeated count each, in any order.
+    codes and queries have columns (id, code), codes as `sign_code` makes them, all of one length. Rows with a null
+    code or a null id are neither indexed nor searched. Fewer than k codes in all give fewer rows. Rows that are
+    repeated count each, in any order.
     """
-    spark = codes.sparkSession
     codes = codes.where("code is not null and id is not null")
+    asked = queries.where("code is not null and id is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query"))
     ranked = codes.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     near = lambda keys: Window.partitionBy(*keys).orderBy("id")
     # the k smallest ids of each code, first inside salted shares of it, so no task holds all copies of one code
     few = ranked.withColumn("r", F.row_number().over(near(["code", "salt"]))).where(F.col("r") <= k)
     few = few.withColumn("r", F.row_number().over(near(["code"]))).where(F.col("r") <= k)
     entries = written(few.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "hamming-entries")
-    n = entries.count()
-    segments = _segments(n)
+    n, words = entries.agg(F.count("*"), F.max(F.size("code"))).collect()[0]
+    if not n:
+        return asked.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("id"), F.lit(0).alias("distance")).limit(0)
+    bits = words * WORD
+    segments = segments_for(bits, n, k)
     m = len(segments)
     index = entries.select("code", F.col("ids")[0].alias("low"), F.posexplode(F.array(*[_value(F.col("code"), *s) for s in segments])).alias("segment", "value"))
     index = written(index, "hamming-index")
-    wanted = queries.where("code is not null and id is not null").select("code").distinct()
-    active = written(wanted.select(F.col("code").alias("query"), F.lit(BITS).alias("bound")), "hamming-queries")
+    active = written(asked.select("query").distinct().select("query", F.lit(bits).alias("bound")), "hamming-queries")
     found = None
     # short distances in all segments at once; later ones segment by segment, since queries end inside them
-    widest = max(width for _, width in segments)
+    widest = max(width for *_, width in segments)
     steps = [(a, list(range(m))) if a < 3 else (a, [j]) for a in range(widest + 1) for j in (range(m) if a >= 3 else [0])]
     for distance, searched in steps:
-        if not n or not active.limit(1).count():
+        if not active.limit(1).count():
             break
-        flips = [(s, int(sum(1 << b for b in bits))) for s in searched for bits in combinations(range(segments[s][1]), distance)]
-        if flips:
-            # a list of bit patterns that depends on the segment widths alone
-            masks = spark.createDataFrame(pd.DataFrame(flips, columns=["of", "mask"]), "of int, mask long").groupBy("of").agg(F.collect_list("mask").alias("masks"))
-            own = active.select("query", "bound", F.posexplode(F.array(*[_value(F.col("query"), *s) for s in segments])).alias("segment", "own"))
-            probes = own.join(F.broadcast(masks), F.col("segment") == F.col("of")).select("query", "bound", "segment", F.explode("masks").alias("mask"), "own")
-            probes = probes.select("query", "bound", F.col("segment").alias("s"), F.col("own").bitwiseXOR(F.col("mask")).alias("v"))
-            apart = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
-            met = probes.join(index, (F.col("s") == F.col("segment")) & (F.col("v") == F.col("value")) & (apart <= F.col("bound")))
-            met = met.select("query", "code", "low", apart.alias("distance"))
-            found = met if found is None else found.unionByName(met)
-            found = found.groupBy("query", "code").agg(F.first("low").alias("low"), F.first("distance").alias("distance"))
+        probes = _at_distance(active, segments, [s for s in searched if segments[s][2] >= distance], distance) if any(segments[s][2] >= distance for s in searched) else None
+        if probes is not None:
+            met = probes.join(index, (F.col("s") == F.col("segment")) & (F.col("v") == F.col("value"))).withColumn("distance", _apart(F.col("query"), F.col("code")))
+            met = met.where("distance <= bound").select("query", "code", "low", "distance")
+            both = met if found is None else found.unionByName(met)
+            both = both.groupBy("query", "code").agg(F.min("low").alias("low"), F.min("distance").alias("distance"))
             # a code with k others before it, by distance and smallest id, holds none of the k nearest ids
             best = Window.partitionBy("query").orderBy("distance", "low")
-            found = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).drop("nth")
-            found = written(found, "hamming-found")
+            kept = written(both.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).drop("nth"), "hamming-found")
+            if found is not None:
+                discard(found)
+            found = kept
         covered = m * distance + searched[-1]
         sizes = found.join(entries, "code").groupBy("query").agg(F.sum(F.when(F.col("distance") <= covered, F.size("ids")).otherwise(0)).alias("near"), F.sum(F.size("ids")).alias("n"), F.max("distance").alias("far"))
         left = active.drop("bound").join(sizes, "query", "left").where(f"near is null or near < {k}")
-        active = written(left.select("query", F.when(F.col("n") >= k, F.col("far")).otherwise(BITS).alias("bound")), "hamming-queries")
-    asked = queries.where("code is not null and id is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query"))
+        active = written(left.select("query", F.when(F.col("n") >= k, F.col("far")).otherwise(bits).alias("bound")), "hamming-queries")
+    discard(index)
     if found is None:
         return asked.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("id"), F.lit(0).alias("distance")).limit(0)
     each = found.join(entries, "code").select("query", "distance", F.explode("ids").alias("id"))

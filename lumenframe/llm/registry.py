@@ -106,7 +106,8 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest sign codes to every twentieth embedding, itself included."""
-    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code("embedding").alias("code"))
+    vectors = table(spark, sf_dir, "embeddings")
+    codes = vectors.select(F.col("vec_id").alias("id"), hamming.sign_code("embedding", hamming.longest(vectors, "embedding")).alias("code"))
     return hamming.top_k(codes, codes.where("id % 20 = 0"), 10)
 
 

@@ -452,12 +452,28 @@ def test_top_k_equals_brute_force(spark):
     assert hamming.top_k(two, two, 5).count() == 4
 
 
-def test_sign_codes_of_longer_vectors_are_an_error(spark):
-    df = spark.createDataFrame([(0, [1.0] * 64 + [-1.0])], "id long, e array<double>")
-    with pytest.raises(Exception, match="more than 64 elements: 65"):
+def test_codes_of_longer_vectors(spark):
+    r = np.random.default_rng(6)
+    centre = r.normal(0, 1, 150)
+    vectors = [(i, (centre + r.normal(0, 0.4 + 0.01 * i, 150)).tolist()) for i in range(120)] + [(200, [1.0, -1.0])]
+    df = spark.createDataFrame(vectors, "id long, e array<double>")
+    assert hamming.longest(df, "e") == 150 and hamming.longest(df.limit(0), "e") == 1
+    codes = df.select("id", hamming.sign_code("e", 150).alias("code"))
+    rows = hamming.top_k(codes, codes.where("id % 20 = 0"), 4).collect()
+    bits = {i: [x > 0 for x in e] + [False] * (192 - len(e)) for i, e in vectors}
+    want = {(q, n + 1, i, d) for q in bits if q % 20 == 0 for n, (d, i) in enumerate(sorted((sum(x != y for x, y in zip(bits[q], b)), i) for i, b in bits.items())[:4])}
+    assert {tuple(x) for x in rows} == want
+    with pytest.raises(Exception, match="more than 64 elements: 150"):
         df.select(hamming.sign_code("e").alias("code")).collect()
 
 
+def test_segments_are_those_of_least_work():
+    for bits, n in ((64, 1), (64, 25_650), (64, 10**7), (64, 10**9), (150, 10**6), (768, 10**9)):
+        found = hamming.segments_for(bits, n, 10)
+        assert sum(w for *_, w in found) == -(-bits // 64) * 64 and all(4 <= w <= hamming.WIDEST and a + w <= 64 for _, a, w in found)
+    assert len(hamming.segments_for(64, 10**9, 10)) < len(hamming.segments_for(64, 10**4, 10))
+
+
 def test_pages_of_a_host_lose_what_they_share(spark):
     r = random.Random(6)
     chrome = prose(14, r)
