@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.shared import tidy, written
+from lumenframe.llm.shared import bounded, discard, shared_dir, tidy, written
 from lumenframe.llm.shingles import mix
 
 LENGTH = 50
@@ -32,6 +32,8 @@ FLUSH = 16_000_000
 PER_BUCKET = 4_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LAST_ID = (1 << 63) - 1
+#: Ids of copies that may be sent to all executors; beyond, they are joined by key.
+MAX_SENT = 1_000_000
 
 
 def _spread(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -350,7 +352,7 @@ def drop_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     each = written(known.join(firsts, "md5").select("id", "key", "tag", "n", "least", (F.col("key") > F.col("least")).alias("copy")), "repeat-rows")
     # copies of a whole text need no text any more: only first ones go on, zipped and bucketed by key once
     copies = each.where("copy").select(F.col("key").alias("copy_key"), F.col("tag").alias("copy_tag")).distinct()
-    if copies.count() <= 1_000_000:
+    if copies.count() <= MAX_SENT:
         copies = F.broadcast(copies)
 
     @F.pandas_udf("binary")
@@ -360,10 +362,14 @@ def drop_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     only = rows.join(copies, (rows["key"] == copies["copy_key"]) & (rows["tag"] == copies["copy_tag"]), "left_anti")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"repeat_texts_{uuid.uuid4().hex}"
-    only.select("key", "tag", zipped("raw").alias("z")).repartition(buckets, "key").write.option("compression", "none").bucketBy(buckets, "key").saveAsTable(name)
+    # a bucketed table in the shared folder, not in the warehouse
+    bounded(spark)
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    only.select("key", "tag", zipped("raw").alias("z")).repartition(buckets, "key").write.option("compression", "none").option("path", path).bucketBy(buckets, "key").saveAsTable(name)
     texts = spark.table(name)
     size = known.agg(F.sum("n")).collect()[0][0] or 0
     shares = max(1, -(-int(size) // PER_BUCKET))
+    discard(known, firsts)
     spans = _spans(texts, _shared_anchors(texts, shares), shares)
     merged = written(spans.groupBy(F.col("key").alias("of"), F.col("tag").alias("of_tag")).agg(F.collect_list(F.struct("first", "past")).alias("spans")), "repeat-spans")
     found = texts.join(merged, (texts["key"] == merged["of"]) & (texts["tag"] == merged["of_tag"]), "left").select("key", "tag", "spans", "z")
@@ -391,10 +397,12 @@ def drop_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_texts(spark) -> None:
-    """Removes the tables that earlier calls have left in the warehouse; results that are not read yet need theirs."""
+    """Removes the bucketed texts that earlier calls have left; results that are not read yet need theirs."""
     for t in spark.catalog.listTables():
         if t.name.startswith("repeat_texts_"):
             spark.sql(f"drop table `{t.name}`")
+            where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{t.name}")
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _cut(data: bytes, spans) -> tuple[bytes, int]:

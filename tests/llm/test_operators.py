@@ -61,7 +61,10 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def test_near_groups_equal_brute_force(docs, none):
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 2, "MAX_SENT": -1, "STAR": 1}, {"BLOCK_BYTES": 400, "STAR": 2}])
+def test_near_groups_equal_brute_force(docs, none, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(near, name, value)
     rows = corpus()
     sets = [shingle_set(t) for _, t, *_ in rows]
     root = list(range(len(rows)))
@@ -90,6 +93,35 @@ def test_near_groups_equal_brute_force(docs, none):
     assert near.keep_one(none).count() == 0
 
 
+def test_groups_that_only_meet_across_stars(spark, monkeypatch):
+    """Chains of edits: buckets hold members of several groups, in blocks of two."""
+    monkeypatch.setattr(near, "BLOCK", 2)
+    monkeypatch.setattr(near, "BLOCK_BYTES", 3_000)
+    r, rows = random.Random(23), []
+    for c in range(6):
+        words = prose(100, r).split()
+        for step in range(14):
+            words = list(words)
+            for at in r.sample(range(100), 2):
+                words[at] = f"new{c}x{step}y{at}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets, root = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert {x.id: x.component_id for x in near.near_groups(df).collect()} == {i: find(i) for i in range(len(rows))}
+
+
 def test_connecting_links_across_blocks():
     r = np.random.default_rng(0)
     base = np.unique(r.integers(0, 1 << 62, 200).astype(np.uint64))
@@ -115,7 +147,9 @@ def test_connecting_links_across_blocks():
                     assert find(i) == find(j)
 
 
-def test_repeats_equal_brute_force(docs, none):
+@pytest.mark.parametrize("most", [repeats.MAX_SENT, -1])
+def test_repeats_equal_brute_force(docs, none, monkeypatch, most):
+    monkeypatch.setattr(repeats, "MAX_SENT", most)
     seen: dict[bytes, int] = {}
     rows = corpus()
     raw = lambda t: (t or "").encode()
