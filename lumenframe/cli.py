@@ -68,7 +68,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif args.stage == "fit":
         params = _params(args.params)
         model = session.fit(store.load_frames(spark, args.src), args.shape, params)
-        store.save_tables(spark, args.out, model.tables(spark), params, shape=list(args.shape), components=model.count)
+        model.save(spark, args.out)
     elif args.stage == "evaluate":
         tables, _, _ = store.load_tables(spark, args.src)
         tables["metrics"].show(100, truncate=False)
@@ -79,7 +79,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             whole = whole.unionByName(p)
         components._ensure_checkpoints(spark)
         found = sessions.register(whole, args.shape)
-        store.save_tables(spark, args.out, {"cell_map": spark.createDataFrame(found.cell_map), "transforms": spark.createDataFrame(found.transforms)}, sessions=len(parts))
+        found.save(spark, args.out)
 
 
 if __name__ == "__main__":

@@ -310,13 +310,15 @@ def neighbour_correlation(movie: np.ndarray) -> np.ndarray:
     return total / np.maximum(count, 1)
 
 
-def corr_pnr(movie: np.ndarray, sigma: float | None = None, stride: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def corr_pnr(movie: np.ndarray, sigma: float | None = None, stride: int = 1, surround: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(correlation image, peak-to-noise image, noise, filtered movie) of a movie (t, y, x).
 
-    The movie is filtered by the zero-sum kernel if sigma is given, and centred over time; values under three
+    The movie is filtered by the zero-sum kernel (without surround: by a Gaussian) if sigma is given, and centred over time; values under three
     times the noise count as 0 for the correlations, which use every stride-th frame.
     """
-    f = convolve(np.asarray(movie, float), surround_kernel(sigma)) if sigma else np.asarray(movie, float)
+    f = np.asarray(movie, float)
+    if sigma:
+        f = convolve(f, surround_kernel(sigma)) if surround else gaussian(f, sigma)
     f = f - f.mean(0)
     sn = noise_level(np.moveaxis(f, 0, -1))
     pnr = np.where(sn > 0, np.maximum(f.max(0), 0) / np.where(sn > 0, sn, 1), 0.0)

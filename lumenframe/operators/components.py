@@ -278,15 +278,18 @@ def residual_traces(projection: np.ndarray, gram: np.ndarray, traces: np.ndarray
     return (projection - (gram @ traces - d * traces)) / d - traces
 
 
-def temporal_update(projection: np.ndarray, gram: np.ndarray, traces: np.ndarray, g: np.ndarray, sn: np.ndarray, *, rounds: int = 2, deconvolve: bool = True, spark=None) -> tuple[np.ndarray, np.ndarray]:
+def temporal_update(projection: np.ndarray, gram: np.ndarray, traces: np.ndarray, g: np.ndarray, sn: np.ndarray, *, rounds: int = 2, deconvolve: bool = True, detrend: int = 0, spark=None) -> tuple[np.ndarray, np.ndarray]:
     """(C, S) by Jacobi rounds: all components at once from the same residual.
 
-    With a session, traces are deconvolved on its executors, each by itself.
+    A trend of order detrend is taken from each trace first. With a session, traces are deconvolved on its
+    executors, each by itself.
     """
     d = np.maximum(np.diag(gram), 1e-12)[:, None]
     c, s = traces.astype(float), np.zeros_like(traces, dtype=float)
     for _ in range(rounds):
         y = (projection - gram @ c) / d + c
+        if detrend > 0:
+            y = np.stack([arrays.polynomial_detrend(v, detrend) for v in y]) if len(y) else y
         if not deconvolve:
             c, s = np.maximum(y, 0), np.zeros_like(s)
             continue

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,8 +50,11 @@ def autocorrelation(traces: DataFrame, value: str = "v") -> DataFrame:
 
 def correlation_by(df: DataFrame, a: str, b: str, key: str = "k", name: str = "r") -> DataFrame:
     """(key, name): Pearson of two columns, 0 where one is constant."""
-    r = F.corr(a, b)
-    return df.groupBy(key).agg(r.alias("r")).select(key, F.when(F.col("r").isNull() | F.isnan("r"), 0.0).otherwise(F.col("r")).alias(name))
+    # not `corr`, which divides by 0 for a constant column
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    sums = df.groupBy(key).agg(F.covar_pop(a, b).alias("ab"), F.stddev_pop(F.when(both, F.col(a))).alias("sa"), F.stddev_pop(F.when(both, F.col(b))).alias("sb"))
+    r = F.when((F.col("sa") > 0) & (F.col("sb") > 0), F.col("ab") / (F.col("sa") * F.col("sb")))
+    return sums.select(key, F.when(r.isNull() | F.isnan(r), 0.0).otherwise(r).alias(name))
 
 
 def boxes(footprints: DataFrame, width: int, pad: int = 4) -> DataFrame:
@@ -87,6 +92,35 @@ def r_values(footprints: DataFrame, traces: DataFrame, movie: DataFrame, height:
     return correlation_by(both, "a", "d", name="r_value")
 
 
+def r_values_of_pixels(footprints: pd.DataFrame, traces: np.ndarray, pixels: DataFrame, height: int, width: int, *, peak: float = 0.95, least: int = 10, pad: int = 4) -> DataFrame:
+    """(k, r_value) as `r_values` gives it, from pixels (p, tr): no value of the movie becomes a row.
+
+    footprints (k, p, a) and traces K x T are what a fit holds in memory; their peak frames and boxes go to all pixels.
+    """
+    high, box = [], []
+    for k, c in enumerate(traces):
+        hit = np.flatnonzero(c >= np.percentile(c, 100 * peak))
+        high.append(hit if len(hit) >= least else np.lexsort((np.arange(len(c)), -c))[:least])
+        p = footprints.loc[(footprints["k"] == k) & (footprints["a"] > 0), "p"].to_numpy()
+        box.append((p // width).min() - pad if len(p) else 0)
+        box[-1] = (box[-1], (p // width).max() + pad, (p % width).min() - pad, (p % width).max() + pad) if len(p) else (1, 0, 1, 0)
+    shared = pixels.sparkSession.sparkContext.broadcast((high, np.array(box).reshape(-1, 4)))
+
+    def change(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        peaks, sides = shared.value
+        for batch in batches:
+            rows = []
+            for p, tr in zip(batch["p"], batch["tr"]):
+                y, x, tr = p // width, p % width, np.asarray(tr, float)
+                for k in np.flatnonzero((sides[:, 0] <= y) & (y <= sides[:, 1]) & (sides[:, 2] <= x) & (x <= sides[:, 3])):
+                    rows.append((int(k), int(p), float(tr[peaks[k]].mean() - tr.mean())))
+            yield pd.DataFrame(rows, columns=["k", "p", "d"])
+
+    moved = pixels.select("p", "tr").mapInPandas(change, "k int, p int, d double")
+    known = pixels.sparkSession.createDataFrame(footprints[["k", "p", "a"]], "k int, p int, a double")
+    return correlation_by(moved.join(known, ["k", "p"], "left").fillna(0.0, ["a"]), "a", "d", name="r_value")
+
+
 def morphology(footprints: DataFrame, width: int) -> DataFrame:
     """(k, eccentricity, solidity, compactness, aspect_ratio) of the largest 8-connected region."""
 

@@ -49,15 +49,16 @@ def band_power(movie: DataFrame, low: float = 0.25, high: float = 0.5, by: Seque
     return pixels_of(movie, by).select(*by, "y", "x", F.explode(bins("tr")).alias("b")).select(*by, "y", "x", "b.f", "b.psd")
 
 
-def corr_pnr(movie: DataFrame, sigma: float | None, stride: int = 1, by: Sequence[str] = (), tile: int = 64) -> DataFrame:
-    """(by, y, x, sn, cn, pnr) of each recording: filter, centre, noise, peak-to-noise, correlation.
+def corr_pnr(movie: DataFrame, sigma: float | None, stride: int = 1, by: Sequence[str] = (), tile: int = 64, surround: bool = True) -> DataFrame:
+    """(by, y, x, sn, cn, pnr) of each recording, (t, y, x, v) or pixels (y, x, tr): filter, centre, noise, peak-to-noise, correlation.
 
     Pixels are dealt to tiles with a halo as wide as the filter and one neighbour, so that a pixel goes to a bounded
     number of tiles and no task holds a movie; tiles at the edge end where the recording ends.
     """
-    reach = (arrays.surround_kernel(sigma).shape[0] // 2 if sigma else 0) + 1
+    reach = (max(arrays.surround_kernel(sigma).shape[0] // 2, int(4 * sigma + 0.5)) if sigma else 0) + 1
     around = lambda c: F.sequence(F.floor(F.greatest(c - reach, F.lit(0)) / tile), F.floor((c + reach) / tile))
-    pixels = pixels_of(movie, by).withColumn("i", F.explode(around(F.col("y")))).withColumn("j", F.explode(around(F.col("x"))))
+    pixels = movie.select(*by, "y", "x", "tr") if "tr" in movie.columns else pixels_of(movie, by)
+    pixels = pixels.withColumn("i", F.explode(around(F.col("y")))).withColumn("j", F.explode(around(F.col("x"))))
     types = dict(movie.dtypes)
     head = "".join(f"{c} {types[c]}, " for c in by)
 
@@ -70,7 +71,7 @@ def corr_pnr(movie: DataFrame, sigma: float | None, stride: int = 1, by: Sequenc
             m = np.zeros((len(part["tr"].iloc[0]), np.ptp(y) + 1, np.ptp(x) + 1))
             at = y - y.min(), x - x.min()
             m[:, at[0], at[1]] = _stack(part["tr"]).T
-            cn, pnr, sn, _ = arrays.corr_pnr(m, sigma, stride)
+            cn, pnr, sn, _ = arrays.corr_pnr(m, sigma, stride, surround)
             out |= {"sn": sn[at][own], "cn": cn[at][own], "pnr": pnr[at][own]}
         return pd.DataFrame({**{c: part[c].to_numpy()[own] for c in by}, **out})
 

@@ -83,7 +83,7 @@ def extract_component(filtered: np.ndarray, raw: np.ndarray, at: tuple[int, int]
     return a, c0 - (np.median(c0[flat]) if flat.any() else np.median(c0))
 
 
-def greedy(movie: np.ndarray, sigma: float, *, min_corr: float = 0.8, min_pnr: float = 10.0, most: int | None = None, min_pixel: int = 3, border: int = 0, seed_mode: str = "mixture", neuron: float = 0.8, back: float = 0.4, circle: float = 2.5, stride: int = 1, suppress: float = 0.5) -> tuple[list[np.ndarray], list[np.ndarray], list[tuple[int, int]]]:
+def greedy(movie: np.ndarray, sigma: float, *, min_corr: float = 0.8, min_pnr: float = 10.0, most: int | None = None, min_pixel: int = 3, border: int = 0, seed_mode: str = "mixture", neuron: float = 0.8, back: float = 0.4, circle: float = 2.5, stride: int = 1, suppress: float = 0.5, surround: bool = True) -> tuple[list[np.ndarray], list[np.ndarray], list[tuple[int, int]]]:
     """(footprints, traces, centres) of a movie (t, y, x), one seed after the other, each subtracted from the rest.
 
     Every accepted component changes the residual that the next one is read from, so this loop is serial; it
@@ -91,7 +91,7 @@ def greedy(movie: np.ndarray, sigma: float, *, min_corr: float = 0.8, min_pnr: f
     """
     raw = np.asarray(movie, float).copy()
     t, h, w = raw.shape
-    cn, pnr, sn, filtered = arrays.corr_pnr(raw, sigma, stride)
+    cn, pnr, sn, filtered = arrays.corr_pnr(raw, sigma, stride, surround)
     kernel = arrays.surround_kernel(sigma)
     tried = np.zeros((h, w), bool)
     inner = np.zeros((h, w), bool)

@@ -80,6 +80,15 @@ def snr_gap(metrics: DataFrame, snr: str = "snr_amp", top: float = 10.0, current
     return best.select(F.coalesce(F.bround((F.col("g.b") - F.col("g.low")) / 2, 1), F.lit(float(current))).alias("thr"))
 
 
+def min_pixel(footprints: list[np.ndarray], peak: float = 0.05, percent: float = 25.0) -> tuple[int, dict]:
+    """(fewest pixels, evidence): a low percentile of the pixels over a share of each footprint's peak; 3 without any."""
+    if not len(footprints):
+        return 3, {"pixel_counts": np.empty(0), "K": 0, "p25": 3, "p50": 3}
+    counts = np.array([int((f > peak * f.max()).sum()) for f in footprints])
+    low, mid = int(np.percentile(counts, percent)), int(np.percentile(counts, 50))
+    return max(1, low), {"pixel_counts": counts, "K": len(counts), "p25": low, "p50": mid}
+
+
 def at_edge(position: int, n: int, share: float = 0.05) -> bool:
     """Whether a maximum lies in the first part of its axis, where the data decide nothing."""
     return position <= int(share * (n - 1))

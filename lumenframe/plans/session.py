@@ -19,6 +19,7 @@ from lumenframe.functions import arrays, solvers
 from lumenframe.operators import background, components, evaluate, kernels, movies, seeding
 from lumenframe.params import Params, mask_box, mask_of, resolve_crop
 from lumenframe.plans import motion
+from lumenframe.sources import store
 
 
 @dataclass
@@ -38,6 +39,10 @@ class Model:
     baseline: DataFrame | None = None
     metrics: DataFrame | None = None
     seconds: dict = field(default_factory=dict)
+    #: noise of each pixel; whether evaluation keeps each component; shifts (t, dy, dx) of motion correction
+    pixel_noise: np.ndarray | None = None
+    accepted: np.ndarray | None = None
+    shifts: DataFrame | None = None
     #: where the crop lies: orig_dims, orig_T, bbox, t_range, masked; None without one
     crop: dict | None = None
 
@@ -48,16 +53,45 @@ class Model:
     def tables(self, spark) -> dict[str, DataFrame | None]:
         k, t = self.traces.shape
         rows = pd.DataFrame({"k": np.repeat(np.arange(k), t), "t": np.tile(np.arange(t), k), "c": self.traces.ravel(), "s": self.spikes.ravel(), "yra": self.rest.ravel()})
-        parts = pd.DataFrame({"k": np.arange(k), "g": self.g, "sn_k": self.noise, "a_norm": self.norms})
+        parts = pd.DataFrame({"k": np.arange(k), "g": self.g, "sn_k": self.noise, "a_norm": self.norms, "accepted": [None] * k if self.accepted is None else self.accepted.tolist()})
+        noise = None if self.pixel_noise is None else spark.createDataFrame(pd.DataFrame({"p": np.arange(self.pixel_noise.size), "sn": self.pixel_noise.ravel()}), "p int, sn double")
         return {
             "footprints": spark.createDataFrame(self.footprints, "k int, p int, a double"),
             "traces": spark.createDataFrame(rows, "k int, t int, c double, s double, yra double"),
-            "components": spark.createDataFrame(parts, "k int, g double, sn_k double, a_norm double"),
+            "components": spark.createDataFrame(parts, "k int, g double, sn_k double, a_norm double, accepted boolean"),
             "ring": self.ring,
             "baseline": self.baseline,
             "metrics": self.metrics,
+            "noise": noise,
+            "shifts": self.shifts,
         }
 
+    def save(self, spark, path: str) -> None:
+        """All tables that the model has, with its parameters, shape, length and crop; `load` gives it back."""
+        store.save_tables(spark, path, self.tables(spark), self.params, dims=list(self.shape), K=self.count, T=int(self.traces.shape[1]), crop=self.crop)
+
+    @classmethod
+    def load(cls, spark, path: str) -> Model:
+        """A model that `save` has written; what it did not have stays None."""
+        tables, params, facts = store.load_tables(spark, path)
+        k, n_t = facts["K"], facts["T"]
+        rows = tables["traces"].toPandas()  # what the model holds in memory anyway
+        grids = {c: np.zeros((k, n_t)) for c in ("c", "s", "yra")}
+        for c, grid in grids.items():
+            grid[rows["k"], rows["t"]] = rows[c]
+        parts = tables["components"].toPandas().sort_values("k")
+        noise = None
+        if "noise" in tables:
+            noise = np.zeros(facts["dims"][0] * facts["dims"][1])
+            own = tables["noise"].toPandas()
+            noise[own["p"]] = own["sn"]
+            noise = noise.reshape(facts["dims"])
+        accepted = parts["accepted"].to_numpy(bool) if len(parts) and parts["accepted"].notna().all() else None
+        crop = facts.get("crop")
+        crop = crop and {n: tuple(v) if isinstance(v, list) else v for n, v in crop.items()}
+        return cls(params, tuple(facts["dims"]), tables["footprints"].toPandas().sort_values(["k", "p"]).reset_index(drop=True), grids["c"], grids["s"], grids["yra"], *(parts[c].to_numpy(float) for c in ("g", "sn_k", "a_norm")),
+                   tables.get("ring"), tables.get("baseline"), tables.get("metrics"), pixel_noise=noise, accepted=accepted, shifts=tables.get("shifts"), crop=crop)
+
 
 def _coo(footprints: pd.DataFrame, k: int, n_pixels: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """pixel -> (components, values)."""
@@ -246,6 +280,8 @@ def cropped(movie: DataFrame, shape: tuple[int, int], params: Params) -> tuple[D
 
 
 def _fit(movie: DataFrame, shape: tuple[int, int], params: Params, *, correct_motion: bool, evaluate_: bool) -> Model:
+    if params.ar_order != 1:
+        raise ValueError(f"traces follow one coefficient: ar_order is 1, not {params.ar_order}")
     spark, (height, width) = movie.sparkSession, shape
     components._ensure_checkpoints(spark)
     clock, marks = time.time(), {}
@@ -254,9 +290,10 @@ def _fit(movie: DataFrame, shape: tuple[int, int], params: Params, *, correct_mo
         nonlocal clock
         marks[name], clock = time.time() - clock, time.time()
 
+    shifts = None
     if "px" in movie.columns:
         if correct_motion:
-            movie, _, _ = motion.correct(movie, shape, params)
+            movie, shifts, _ = motion.correct(movie, shape, params)
             mark("motion")
         movie = movies.transposed(movie)
     pixels = movie.select(F.col("p").cast("int").alias("p"), "tr").checkpoint()
@@ -269,14 +306,14 @@ def _fit(movie: DataFrame, shape: tuple[int, int], params: Params, *, correct_mo
     grid = movies.with_coordinates(pixels, width)
     size = params.init_patch_size or (max(32, int(12 * params.sigma)) if params.init_patches and max(shape) >= params.init_patch_min_fov else max(shape))
     found = seeding.greedy_tiles(grid, height, width, params.sigma, size=size, overlap=params.init_patch_overlap, min_corr=params.min_corr, min_pnr=params.min_pnr, most=params.max_neurons, min_pixel=params.min_pixel, seed_mode=params.seed_method,
-                                 neuron=params.init_min_corr_neuron, back=params.init_max_corr_bg, circle=params.circular_max_dist_factor, stride=params.init_corrpnr_stride or 1).toPandas()
+                                 neuron=params.init_min_corr_neuron, back=params.init_max_corr_bg, circle=params.circular_max_dist_factor, stride=params.init_corrpnr_stride or 1, surround=params.center_psf).toPandas()
     b = params.border_px
     found = found[(found.cy >= b) & (found.cy < height - b) & (found.cx >= b) & (found.cx < width - b)].sort_values(["tile", "k"]).reset_index(drop=True)
     mark("seeds")
     n_t = pixels.select(F.size("tr")).limit(1).collect()[0][0]
     if found.empty:
         none = np.zeros((0, n_t))
-        return Model(params, shape, pd.DataFrame({"k": [], "p": [], "a": []}).astype({"k": int, "p": int, "a": float}), none, none, none, np.zeros(0), np.zeros(0), np.zeros(0), seconds=marks)
+        return Model(params, shape, pd.DataFrame({"k": [], "p": [], "a": []}).astype({"k": int, "p": int, "a": float}), none, none, none, np.zeros(0), np.zeros(0), np.zeros(0), seconds=marks, pixel_noise=sn.reshape(shape), shifts=shifts)
     f = pd.DataFrame({"k": np.repeat(found.index, found["ps"].map(len)), "p": np.concatenate(found["ps"].to_list()), "a": np.concatenate(found["as"].to_list())})
     c = np.stack(found["c"].to_list()).astype(float)
     if size < max(shape):  # tiles overlap: components that two of them found become one
@@ -316,7 +353,9 @@ def _fit(movie: DataFrame, shape: tuple[int, int], params: Params, *, correct_mo
     for i in range(params.n_iter_main):
         k = len(c)
         near = components.support(spark.createDataFrame(f, "k int, p int, a double"), height, width, params.dilation_radius)
-        a = components.spatial_update(clean, c, list(range(k)), near, noise, ridge=params.spatial_ridge, scale=params.spatial_lambda_scale, sweeps=params.spatial_max_iter, tol=params.spatial_tol)
+        n = max(1, params.spatial_tsub)
+        thin = clean if n == 1 else clean.select("p", F.expr(f"filter(tr, (v, i) -> i % {n} = 0)").alias("tr"))
+        a = components.spatial_update(thin, c[:, ::n], list(range(k)), near, noise, ridge=params.spatial_ridge, scale=params.spatial_lambda_scale, sweeps=params.spatial_max_iter, tol=params.spatial_tol)
         cap = params.spatial_max_radius_factor * params.sigma or None
         a = components.trimmed(a, height, width, method=params.spatial_thr_method, max_share=params.spatial_max_thr, energy=params.spatial_nrg_thr, closing=params.spatial_close_radius, circle=params.spatial_circular_max_dist_factor, cap=cap).toPandas()
         kept = sorted(int(x) for x in a["k"].unique())
@@ -325,7 +364,7 @@ def _fit(movie: DataFrame, shape: tuple[int, int], params: Params, *, correct_mo
         f, c, g = _numbered(a, kept), c[kept], g[kept]
         mark(f"spatial{i}")
         noise_k = _footprint_noise(f, sn, len(c))
-        c, spikes = components.temporal_update(_project(clean, f, len(c)), _gram(f, len(c)), c, g, noise_k, rounds=params.n_iter_temporal, deconvolve=not (i == 0 and params.skip_first_deconv), spark=spark)
+        c, spikes = components.temporal_update(_project(clean, f, len(c)), _gram(f, len(c)), c, g, noise_k, rounds=params.n_iter_temporal, deconvolve=not (i == 0 and params.skip_first_deconv), detrend=params.temporal_detrend_order, spark=spark)
         mark(f"temporal{i}")
         f, groups = _merged(f, c, shape, params)
         if len(groups) < len(c):
@@ -334,18 +373,22 @@ def _fit(movie: DataFrame, shape: tuple[int, int], params: Params, *, correct_mo
         clean = without_background()
         mark(f"merge{i}")
     noise_k, gram, projection = _footprint_noise(f, sn, len(c)), _gram(f, len(c)), _project(clean, f, len(c))
-    c, spikes = components.temporal_update(projection, gram, c, g, noise_k, rounds=params.n_iter_temporal, spark=spark)
+    c, spikes = components.temporal_update(projection, gram, c, g, noise_k, rounds=params.n_iter_temporal, detrend=params.temporal_detrend_order, spark=spark)
     left = components.residual_traces(projection, gram, c)
     norms = np.sqrt(np.maximum(np.diag(gram), 0))
     scale = np.where(norms > 0, norms, 1)
     f = f.assign(a=f["a"] / scale[f["k"]])
-    model = Model(params, shape, f.reset_index(drop=True), c * norms[:, None], spikes * norms[:, None], left * norms[:, None], g, noise_k * norms, norms, ring, b0, seconds=marks)
+    model = Model(params, shape, f.reset_index(drop=True), c * norms[:, None], spikes * norms[:, None], left * norms[:, None], g, noise_k * norms, norms, ring, b0, seconds=marks, pixel_noise=sn.reshape(shape), shifts=shifts)
     if evaluate_:
         t = model.tables(spark)
         m = evaluate.component_snr(t["footprints"].join(t["components"], "k").select("k", "p", (F.col("a") * F.col("a_norm")).alias("a")), noise, 1, params.auto_eval_snr_amp_thr)
         shape_ = evaluate.morphology(t["footprints"], width)
         values = t["traces"].withColumn("v", F.col("c") + F.col("yra"))
         model.metrics = m.join(shape_, "k", "left").join(evaluate.peak_snr(t["traces"], "c", "yra"), "k", "left").join(evaluate.trace_moments(values), "k", "left").join(evaluate.autocorrelation(values), "k", "left")
+        image = kernels.corr_pnr(grid, params.sigma, surround=params.center_psf).select(F.expr(f"cast(y * {width} + x as int)").alias("p"), "cn").checkpoint()
+        model.metrics = model.metrics.join(evaluate.spatial_correlation(t["footprints"], image, height, width), "k", "left").join(evaluate.r_values_of_pixels(model.footprints, model.traces, pixels, height, width), "k", "left").checkpoint()
+        kept = model.metrics.select("k", "keep").toPandas().set_index("k")["keep"]  # a row for each component
+        model.accepted = np.array([bool(kept.get(k, False)) for k in range(model.count)])
     mark("final")
     return model
 

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import arrays
-from lumenframe.operators import components, evaluate, kernels, seeding, tune
+from lumenframe.operators import cells, components, evaluate, kernels, movies, seeding, tune
 from lumenframe.params import Params
-from lumenframe.plans import motion, session
+from lumenframe.plans import motion, report, session
+from lumenframe.sources import store
 
 
 @dataclass
@@ -100,6 +101,8 @@ def run_tuning(frames: DataFrame, shape: tuple[int, int], base: Params, *, spec:
         {"min_corr": at("cn", 0.4, tune.SAFE_CORR), "min_pnr": at("pnr", 2.0, tune.SAFE_PNR), "thr_method": "percentile"},
     ]
     evidence["seeds"] = {"sigma": sigma, "edge": (edge_corr, edge_pnr), "thresholds": seeds, "blobs": seeding.product_blobs(cn, pnr, sigma)}
+    sampled = motion.sample(frames, frames.agg(F.max("t") + 1).collect()[0][0], base.sample_frames, shape)
+    pixels, evidence["min_pixel"] = tune.min_pixel(seeding.greedy(sampled, sigma, min_corr=low_corr, min_pnr=low_pnr, most=200, seed_mode="threshold")[0])
     base = replace(base, sigma=sigma, init_patches=False)
     spec = spec or tune.SweepSpec(sigma=tune.offset_grid(None, sigma, 2.0, (-1, 0, 1), whole=True))
     tries = tune.candidates(base, spec, budget, None if base.seed_method == "mixture" else seeds)
@@ -121,7 +124,7 @@ def run_tuning(frames: DataFrame, shape: tuple[int, int], base: Params, *, spec:
         score, quality = score_of(model, image)
         merge = tune.merge_threshold(t["traces"], "c").collect()[0]["thr"]
         snr = tune.snr_gap(model.metrics, current=base.auto_eval_snr_amp_thr).collect()[0]["thr"]
-        chosen = replace(chosen, merge_thr_corr=merge, auto_eval_snr_amp_thr=float(snr), min_pixel=max(1, int(quality["npix_p25"])))
+        chosen = replace(chosen, merge_thr_corr=merge, auto_eval_snr_amp_thr=float(snr), min_pixel=pixels)
         if base.frame_rate_hz:
             g = components.yule_walker(t["traces"], "c")
             tau = tune.decay_time(g, base.frame_rate_hz).collect()[0]["tau"]
@@ -130,17 +133,85 @@ def run_tuning(frames: DataFrame, shape: tuple[int, int], base: Params, *, spec:
     return TuningResult(chosen, evidence, table, quality)
 
 
-def validate(frames: DataFrame, shape: tuple[int, int], params: Params, thresholds: list[tuple[float, float]] | None = None) -> pd.DataFrame:
-    """A fit for each pair of thresholds over one shared movie: (min_corr, min_pnr, K, score, verdict)."""
+def lower_thresholds(params: Params) -> list[tuple[str, float, float]]:
+    """(label, min_corr, min_pnr): the parameters' own thresholds, and a set that finds more cells."""
+    return [("recommended", params.min_corr, params.min_pnr), ("lowthr", max(0.6, round(params.min_corr - 0.1, 2)), max(3.0, params.min_pnr - 4))]
+
+
+def coverage(model: session.Model, cn: np.ndarray, pnr: np.ndarray, radius_factor: float = 1.5) -> tuple[dict, pd.DataFrame, pd.DataFrame]:
+    """(recall and precision with their counts, blobs and peaks with whether each has a partner).
+
+    Blobs are those of the two images over the model's thresholds, peaks those of the accepted footprints; partners
+    lie within radius_factor * sigma.
+    """
+    from pyspark.sql import SparkSession
+
+    spark, p = SparkSession.active(), model.params
+    radius = radius_factor * p.sigma
+    at = seeding.product_blobs(cn, pnr, p.sigma, min_corr=p.min_corr, min_pnr=p.min_pnr)
+    blobs = pd.DataFrame({"k": np.arange(len(at)), "cy": at[:, 0].astype(float), "cx": at[:, 1].astype(float)})
+    kept = np.flatnonzero(model.accepted) if model.accepted is not None else np.arange(model.count)
+    own = model.footprints[model.footprints["k"].isin(kept)]
+    peaks = evaluate.smoothed_peaks(spark.createDataFrame(own, "k int, p int, a double"), *model.shape).toPandas() if len(own) else pd.DataFrame({"k": [], "y": [], "x": []})
+    peaks = pd.DataFrame({"k": peaks["k"].astype(int), "cy": peaks["y"].astype(float), "cx": peaks["x"].astype(float)})
+    pairs = pd.DataFrame({"i": [], "j": []})
+    if len(blobs) and len(peaks):
+        frame = lambda d: spark.createDataFrame(d, "k int, cy double, cx double")
+        pairs = cells.radius_join(frame(blobs), frame(peaks), radius).select("i", "j").toPandas()
+    blobs["matched"], peaks["matched"] = blobs["k"].isin(pairs["i"]), peaks["k"].isin(pairs["j"])
+    share = lambda d: float(d["matched"].mean()) if len(d) else float("nan")
+    found = {"n_blobs": len(blobs), "n_blobs_covered": int(blobs["matched"].sum()), "blob_recall": share(blobs), "n_footprints": len(peaks), "n_footprints_on_blob": int(peaks["matched"].sum()), "footprint_precision": share(peaks), "coverage_radius": radius}
+    return found, blobs, peaks
+
+
+def validate(frames: DataFrame, shape: tuple[int, int], params: Params, thresholds: list[tuple[str, float, float]] | None = None, out: str | None = None) -> pd.DataFrame:
+    """A fit for each (label, min_corr, min_pnr) over one shared movie, with its coverage, score and verdict.
+
+    out: a folder in which each model is saved as run_<label>, beside the shared images and the summary.
+    """
+    spark = frames.sparkSession
     frames = frames.select("t", "px").persist()
+    grid = movies.with_coordinates(movies.transposed(frames), shape[1])
+    summary = kernels.corr_pnr(grid, params.sigma, surround=params.center_psf).toPandas()  # two images
+    cn, pnr = np.zeros(shape), np.zeros(shape)
+    cn[summary["y"], summary["x"]], pnr[summary["y"], summary["x"]] = summary["cn"], summary["pnr"]
+    image = spark.createDataFrame(pd.DataFrame({"p": np.arange(cn.size), "cn": cn.ravel()}), "p int, cn double")
     rows = []
-    for low, pnr in thresholds or [(params.min_corr, params.min_pnr)]:
-        model = session.fit(frames, shape, replace(params, min_corr=low, min_pnr=pnr))
-        score, q = score_of(model, None)
-        row = frames.sparkSession.createDataFrame([(float("nan"), float("nan"), float(q.get("cprojcorr_median") or "nan"), float(q.get("trace_corr_median") or "nan"))], "recall double, precision double, cproj double, trace_corr double")
-        rows.append({"min_corr": low, "min_pnr": pnr, "K": model.count, "score": score, "verdict": evaluate.verdict(row).collect()[0]["verdict"]})
+    for label, low, least in thresholds or lower_thresholds(params):
+        model = session.fit(frames, shape, replace(params, min_corr=float(low), min_pnr=float(least)))
+        score, q = score_of(model, image)
+        met, blobs, peaks = coverage(model, cn, pnr)
+        value = lambda x: float(x) if x is not None else float("nan")
+        checks = spark.createDataFrame([(met["blob_recall"], met["footprint_precision"], value(q.get("cprojcorr_median")), value(q.get("trace_corr_median")))], "recall double, precision double, cproj double, trace_corr double")
+        told = evaluate.verdict(checks).collect()[0]
+        rows.append({"label": label, "min_corr": low, "min_pnr": least, "K": model.count, "score": score, **met, "verdict": told["verdict"], "missed": told["missed"]})
+        if out is not None:
+            model.save(spark, f"{out}/run_{label}")
+            marked = {n: spark.createDataFrame(d, "k int, cy double, cx double, matched boolean") for n, d in (("blobs", blobs), ("peaks", peaks))}
+            store.save_tables(spark, f"{out}/run_{label}/coverage", marked)
     frames.unpersist()
-    return pd.DataFrame(rows)
+    table = pd.DataFrame(rows)
+    if out is not None:
+        store.save_tables(spark, f"{out}/summary", {"runs": spark.createDataFrame(table), "images": spark.createDataFrame(summary)}, params)
+    return table
+
+
+def tune_then_validate(frames: DataFrame, shape: tuple[int, int], base: Params, out: str | None = None, *, spec: tune.SweepSpec | None = None, budget: int = 24, lowthr: bool = True) -> tuple[TuningResult, pd.DataFrame]:
+    """The search, then fits of the whole recording with what it recommends (and with lower thresholds); a report in out."""
+    result = run_tuning(frames, shape, base, spec=spec, budget=budget)
+    rows = validate(frames, shape, result.params, lower_thresholds(result.params)[: 2 if lowthr else 1], out)
+    if out is not None and "://" not in out:
+        report.write(out, "tuning", {"sweep": result.sweep, "validation": rows}, result.params)
+    return result, rows
+
+
+def quick_motion(frames: DataFrame, shape: tuple[int, int], params: Params, n_frames: int = 400) -> tuple[DataFrame, DataFrame]:
+    """(moved frames, shifts) of evenly spaced frames only, in one pass: a preview of a long recording."""
+    n_t = frames.agg(F.max("t") + 1).collect()[0][0]
+    some = frames.where(F.col("t").isin(movies.spaced(n_t, n_frames)))
+    numbered = some.join(F.broadcast(frames.sparkSession.createDataFrame([(int(t), i) for i, t in enumerate(movies.spaced(n_t, n_frames))], "t int, nth int")), "t").select(F.col("nth").alias("t"), "px")
+    moved, shifts, _ = motion.correct(numbered, shape, replace(params, mc_n_iter=1))
+    return moved, shifts
 
 
 def run_batch(names: list[str], one: Callable[[str], object], at_once: int = 2) -> pd.DataFrame:
