@@ -22,7 +22,7 @@ from lumenframe.llm.shared import bounded, tidy, unit_hash, written
 BITS = 20
 SIZES = (3, 4, 5, 6)
 #: Labelled documents that a fit uses at most (those with the smallest hash of their id).
-MAX_FIT = 12_000
+MAX_FIT = 5_000
 #: Standard errors by which a log-count ratio is shrunk.
 SHRINK = 2.5
 
