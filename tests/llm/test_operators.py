@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumenframe.llm import extract, hamming, language, lines, mixing, near, ogg, packing, registry, repeats, toxicity
-from lumenframe.llm.shared import unit_hash
+from lumenframe.llm.shared import unit_hash, written
 
 R = random.Random(0)
 VOCABULARY = ["".join(R.choice("abcdefghij") for _ in range(R.randrange(2, 8))) for _ in range(400)]
@@ -576,6 +576,106 @@ def test_near_copies_of_a_page_keep_their_text(spark):
     assert all(got[10 + i] and chrome not in got[10 + i] for i in range(3))
 
 
+def plain_lines(rows):
+    """Plain Python: rows (id, text, ..., source) without lines on over RATIO of a source's distinct texts, near copies left out."""
+    pages = {(r[-1], r[1]) for r in rows}
+    of = lambda t: {x for x in t.split("\n") if x} if t is not None else set()
+
+    def often(counted):
+        total, on = Counter(s for s, _ in counted), Counter((s, x) for s, t in counted for x in of(t))
+        return {k for k, n in on.items() if n >= lines.MIN_PAGES and n > lines.RATIO * total[k[0]]}
+
+    first = often(pages)
+    length = lambda xs: sum(map(len, xs))
+    own = {(s, t) for s, t in pages if t is None or length(x for x in of(t) if (s, x) not in first) >= lines.OWN * length(of(t))}
+    bad = often(own) & first
+    return [(r[0], None if r[1] is None else "\n".join(x for x in r[1].split("\n") if (r[-1], x) not in bad), *r[2:]) for r in rows]
+
+
+def plain_near(rows):
+    sets, root = [shingle_set(r[1]) for r in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)), key=lambda k: rows[k][0])
+                root[b] = a
+    return [r for i, r in enumerate(rows) if find(i) == i]
+
+
+@pytest.fixture(scope="module")
+def small_corpus(spark, tmp_path_factory):
+    """A folder with documents and labels: toxic words, boilerplate, copies, near copies, null and empty texts."""
+    r, rows, toxic = random.Random(41), [], {}
+    for i in range(90):
+        source = r.choice(["s0", "s0", "s1", None])
+        text = "\n".join(["site menu of " + str(source), prose(r.randrange(15, 60), r), prose(r.randrange(15, 60), r)])
+        if i % 6 == 0:
+            text += " vileword zzqx " + prose(10, r)
+        toxic[i] = int(i % 6 == 0)
+        rows.append((i, text, "en", source))
+    base = rows[1][1].split(" ")
+    base[20] = "edited"
+    rows += [(100, rows[1][1], "en", rows[1][3]), (101, " ".join(base), "en", "s1"), (102, None, "en", "s0"), (103, "", None, None), (104, rows[2][1].upper(), "en", "s1")]
+    sf = tmp_path_factory.mktemp("corpus")
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("n_chars", F.length("text").cast("long")).withColumn("host", F.lit("clash"))
+    docs.repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, y in toxic.items()], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    return str(sf), rows
+
+
+def test_pipeline_equals_plain_python(spark, small_corpus):
+    sf, rows = small_corpus
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    model = toxicity.fit(docs, labels.where(~F.col("doc_id").isin([i for i in range(90) if held(i)])))
+    want, found = [x for x in rows if model.score(x[1]) < 0.5], docs
+    assert {x[0] for x in rows} - {x[0] for x in want} >= {i for i in range(0, 90, 6) if not held(i)}
+    plain = [want]
+    plain.append(plain_lines(plain[-1]))
+    plain.append(plain_near(plain[-1]))
+    assert any(a[1] != b[1] for a, b in zip(plain[0], plain[1])) and len(plain[2]) < len(plain[1])
+    places = {(x.doc_id, x.size): x.h for x in spark.createDataFrame([(x[0], len(re.findall(r"[^\x20\x09-\x0D]+", x[1] or ""))) for x in plain[2]], "doc_id long, size long").select("doc_id", "size", unit_hash("doc_id", "size").alias("h")).collect()}
+    size = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x[1] or ""))
+    taken = {d: n for (d, _, _, _, n), _ in plain_mix([(x[0], x[1], x[3], places[x[0], size(x)]) for x in plain[2]], mixing.BLOCK).items()}
+    mixed = []
+    for source in {x[3] for x in plain[2]}:
+        own = [x for x in plain[2] if x[3] == source and size(x)]
+        passes = sum(taken[x[0]] for x in own) // max(1, sum(map(size, own)))
+        cut = max((places[x[0], size(x)] for x in own if round(taken[x[0]] / size(x)) > passes), default=-1.0)
+        mixed += [x for x in own for _ in range(passes + (places[x[0], size(x)] <= cut))]
+    plain.append(mixed)
+    for (name, stage), rows_ in zip(corpus_pipeline.STAGES[:-1], plain):
+        found = written(stage(spark, found, sf), f"test-{name}")
+        assert sorted(found.columns) == sorted(docs.columns), name
+        assert Counter((x.doc_id, x.text, x.source) for x in found.collect()) == Counter((x[0], x[1], x[3]) for x in rows_), name
+        assert found.where("text is not null and n_chars <> length(text)").count() == 0
+    encode, pieces, spots = packing.Encoder(*registry.tokenizer_files()), Counter(), Counter()
+    copies = Counter(x[0] for x in mixed)
+    ids = {x[0]: encode(x[1]) for x in mixed}
+    last, total = corpus_pipeline.run(spark, sf).collect(), 0
+    for x in last:
+        assert x.ids_crc32 == zlib.crc32(ids[x.doc_id][x.start : x.start + x.length].tobytes()) and x.doc_tokens == len(ids[x.doc_id])
+        pieces.update((x.doc_id, x.start + i) for i in range(x.length))
+        spots.update(x.sequence_id * 1024 + x.offset + i for i in range(x.length))
+        total += x.length
+    assert pieces == Counter({(d, i): n for d, n in copies.items() for i in range(len(ids[d]))})
+    assert spots == Counter(range(total))
+
+
+def test_pipeline_of_empty_tables(spark, small_corpus, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{small_corpus[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_keeps_columns_and_ends_in_sequences(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found, n = docs, [docs.count()]
