@@ -35,7 +35,12 @@ def deconvolve(trace: pd.Series, g: pd.Series, sn: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(T.DoubleType())
 def noise_level(trace: pd.Series) -> pd.Series:
     """Noise deviation of a trace array, from the upper half of its spectrum."""
-    return pd.Series([float(arrays.noise_level(np.asarray(t, float)[None])[0]) for t in trace], dtype="float64")
+    out = np.zeros(len(trace))
+    lengths = trace.map(len).to_numpy() if len(trace) else np.zeros(0, int)
+    for n in np.unique(lengths):  # traces of one length in one transform
+        on = lengths == n
+        out[on] = arrays.noise_level(np.stack(trace[on].to_list()).astype(float))
+    return pd.Series(out)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -45,7 +50,12 @@ def rolling_baseline(trace: pd.Series, window: pd.Series, percentile: pd.Series)
 
 @F.pandas_udf(T.DoubleType())
 def beta_pdf(x: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
-    return pd.Series([float(solvers.beta_pdf(np.array([v]), a, b)[0]) for v, a, b in zip(x, p, q)], dtype="float64")
+    out = np.zeros(len(x))
+    pairs, which = np.unique(np.column_stack([p, q]).astype(float), axis=0, return_inverse=True)
+    for i, (a, b) in enumerate(pairs):  # values with the same parameters at once
+        on = which.ravel() == i
+        out[on] = solvers.beta_pdf(x.to_numpy(float)[on], a, b)
+    return pd.Series(out)
 
 
 @udtf(returnType="dy int, dx int, w double")

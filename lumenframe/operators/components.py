@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -36,20 +36,35 @@ def peak_threshold(footprints: DataFrame, share: float = 0.1) -> DataFrame:
     return footprints.withColumn("top", top).where((F.col("a") > 0) & (F.col("a") >= share * F.col("top"))).select("k", "p", "a")
 
 
+def each_footprint(footprints: DataFrame, solve: Callable[[np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
+    """(k, columns of the schema): solve(pixels ascending, values) of every component gives columns of equal length.
+
+    Components are gathered as arrays in one aggregate, and many of them go to a worker at a time.
+    """
+    cells = F.array_sort(F.collect_list(F.struct(F.col("p").cast("int").alias("p"), F.col("a").cast("double").alias("a"))))
+    rows = footprints.groupBy("k").agg(cells.alias("cells")).select("k", F.col("cells.p").alias("p"), F.col("cells.a").alias("a"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, p, a in zip(batch["k"], batch["p"], batch["a"]):
+                yield pd.DataFrame({"k": k, **solve(np.asarray(p, np.int64), np.asarray(a, float))})
+
+    return rows.mapInPandas(run, f"k {dict(footprints.dtypes)['k']}, {schema}")
+
+
 def trimmed(footprints: DataFrame, height: int, width: int, **settings) -> DataFrame:
     """(k, p, a): every footprint through `arrays.trim_footprint`, on its bounding box with a margin."""
 
-    def trim(part: pd.DataFrame) -> pd.DataFrame:
-        p, k = part["p"].to_numpy(), part["k"].iloc[0]
+    def trim(p: np.ndarray, values: np.ndarray) -> dict:
         y, x = p // width, p % width
         y0, y1, x0, x1 = max(0, y.min() - 4), min(height, y.max() + 5), max(0, x.min() - 4), min(width, x.max() + 5)
         image = np.zeros((y1 - y0, x1 - x0))
-        image[y - y0, x - x0] = part["a"]
+        image[y - y0, x - x0] = values
         a = arrays.trim_footprint(image, **settings)
         yy, xx = np.nonzero(a)
-        return pd.DataFrame({"k": k, "p": (yy + y0) * width + xx + x0, "a": a[yy, xx]})
+        return {"p": (yy + y0) * width + xx + x0, "a": a[yy, xx]}
 
-    return footprints.groupBy("k").applyInPandas(trim, f"k {dict(footprints.dtypes)['k']}, p int, a double")
+    return each_footprint(footprints, trim, "p int, a double")
 
 
 def norms(footprints: DataFrame) -> DataFrame:
@@ -229,14 +244,20 @@ def footprint_noise(footprints: DataFrame, noise: DataFrame) -> DataFrame:
 def deconvolved(traces: DataFrame, *, value: str = "v", g: float | None = None, order: int = 1, prior: float | None = None, prior_weight: float = 0.5) -> DataFrame:
     """(k, g, sn, bl, c array, s array): each trace's autoregression, noise and deconvolution."""
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        y = part.sort_values("t")[value].to_numpy(float)
-        own, sn = solvers.ar_coefficients(y, order, prior=prior, prior_weight=prior_weight)
-        use = float(own[0]) if g is None else g
-        c, s, base = solvers.deconvolve(y, use, sn)
-        return pd.DataFrame({"k": [part["k"].iloc[0]], "g": [use], "sn": [sn], "bl": [base], "c": [c], "s": [s]})
+    rows = traces.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", value))), lambda s: s[value]).alias("tr"))
 
-    return traces.groupBy("k").applyInPandas(solve, f"k {dict(traces.dtypes)['k']}, g double, sn double, bl double, c array<double>, s array<double>")
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for tr in batch["tr"]:
+                y = np.asarray(tr, float)
+                own, sn = solvers.ar_coefficients(y, order, prior=prior, prior_weight=prior_weight)
+                use = float(own[0]) if g is None else g
+                c, s, base = solvers.deconvolve(y, use, sn)
+                out.append((use, sn, base, c, s))
+            yield pd.DataFrame({"k": batch["k"], **dict(zip(("g", "sn", "bl", "c", "s"), map(list, zip(*out)) if out else [[]] * 5))})
+
+    return rows.mapInPandas(solve, f"k {dict(traces.dtypes)['k']}, g double, sn double, bl double, c array<double>, s array<double>")
 
 
 def spatial_update(pixels: DataFrame, traces: np.ndarray, names: list, support_: DataFrame, noise: DataFrame, *, ridge: float = 0.01, scale: float = 1.0, sweeps: int = 1000, tol: float = 1e-4) -> DataFrame:

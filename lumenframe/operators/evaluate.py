@@ -124,15 +124,17 @@ def r_values_of_pixels(footprints: pd.DataFrame, traces: np.ndarray, pixels: Dat
 def morphology(footprints: DataFrame, width: int) -> DataFrame:
     """(k, eccentricity, solidity, compactness, aspect_ratio) of the largest 8-connected region."""
 
-    def measure(part: pd.DataFrame) -> pd.DataFrame:
-        on = part[part["a"] > 0]
-        y, x = on["p"].to_numpy() // width, on["p"].to_numpy() % width
+    from lumenframe.operators.components import each_footprint
+
+    def measure(p: np.ndarray, a: np.ndarray) -> dict:
+        y, x = p[a > 0] // width, p[a > 0] % width
         mask = np.zeros((int(y.max() - y.min()) + 1, int(x.max() - x.min()) + 1) if len(y) else (1, 1), bool)
         if len(y):
             mask[y - y.min(), x - x.min()] = True
-        return pd.DataFrame([{"k": part["k"].iloc[0], **arrays.shape_of(mask)}])
+        found = arrays.shape_of(mask)
+        return {c: [found[c]] for c in ("eccentricity", "solidity", "compactness", "aspect_ratio")}
 
-    return footprints.groupBy("k").applyInPandas(measure, f"k {dict(footprints.dtypes)['k']}, eccentricity double, solidity double, compactness double, aspect_ratio double")
+    return each_footprint(footprints, measure, "eccentricity double, solidity double, compactness double, aspect_ratio double")
 
 
 def ellipse_eccentricity(footprints: DataFrame, width: int) -> DataFrame:
@@ -202,17 +204,18 @@ def verdict(q: DataFrame, recall: float = 0.8, precision: float = 0.8, cproj: fl
 def smoothed_peaks(footprints: DataFrame, height: int, width: int, sigma: float = 1.0) -> DataFrame:
     """(k, y, x): brightest pixel of each footprint after a Gaussian, the first of equals."""
 
-    def peak(part: pd.DataFrame) -> pd.DataFrame:
-        p = part["p"].to_numpy()
+    from lumenframe.operators.components import each_footprint
+
+    def peak(p: np.ndarray, a: np.ndarray) -> dict:
         y, x = p // width, p % width
         m = int(4 * sigma + 1)
         y0, x0 = max(0, y.min() - m), max(0, x.min() - m)
         image = np.zeros((min(height, y.max() + m + 1) - y0, min(width, x.max() + m + 1) - x0))
-        image[y - y0, x - x0] = part["a"]
+        image[y - y0, x - x0] = a
         i, j = np.unravel_index(np.argmax(np.round(arrays.gaussian(image, sigma), 12)), image.shape)
-        return pd.DataFrame({"k": part["k"].iloc[:1], "y": [i + y0], "x": [j + x0]})
+        return {"y": [i + y0], "x": [j + x0]}
 
-    return footprints.groupBy("k").applyInPandas(peak, f"k {dict(footprints.dtypes)['k']}, y int, x int")
+    return each_footprint(footprints, peak, "y int, x int")
 
 
 def blob_coverage(peaks: DataFrame, blobs: DataFrame, radius: float) -> DataFrame:

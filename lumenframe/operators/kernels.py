@@ -131,14 +131,16 @@ def shift_quality(shifts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def upsample_footprints(footprints: DataFrame, shape: tuple[int, int], native: tuple[int, int], order: int = 1) -> DataFrame:
     """(k, p, a): every footprint resized from shape to native with half-pixel centres."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    from lumenframe.operators.components import each_footprint
+
+    def run(own: np.ndarray, values: np.ndarray) -> dict:
         image = np.zeros(shape[0] * shape[1])
-        image[part["p"].to_numpy()] = part["a"]
+        image[own] = values
         a = arrays.upsample_image(image.reshape(shape), native, order).ravel()
         p = np.flatnonzero(a)
-        return pd.DataFrame({"k": part["k"].iloc[0], "p": p, "a": a[p]})
+        return {"p": p, "a": a[p]}
 
-    return footprints.groupBy("k").applyInPandas(run, f"k {dict(footprints.dtypes)['k']}, p int, a double")
+    return each_footprint(footprints, run, "p int, a double")
 
 
 def blobs(image: pd.DataFrame, shape: tuple[int, int], value: str, low: float, high: float, steps: int = 10, threshold: float = 0.05) -> np.ndarray:

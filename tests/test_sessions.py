@@ -102,3 +102,13 @@ def test_lower_thresholds_and_fewest_pixels():
 def test_preview_registers_some_frames(frames):
     moved, shifts = tuning.quick_motion(frames, (FIELD, FIELD), Params(max_shift=(3, 3), mc_gSig_filt=2.0, mc_sharpen_template=False), n_frames=20)
     assert moved.count() == 20 == shifts.count()
+
+
+def test_column_functions_equal_their_kernels(spark):
+    from lumenframe.functions import arrays, solvers, sql
+
+    rows = [(i, [float((7 * i + j * j) % 13) for j in range(20 + 5 * (i % 2))], 0.05 + 0.09 * i, 1.0 + i % 3, 2.0 + i % 2) for i in range(10)]
+    df = spark.createDataFrame(rows, "i int, tr array<double>, x double, p double, q double")
+    for r in df.select("*", sql.noise_level("tr").alias("sn"), sql.beta_pdf("x", "p", "q").alias("b")).collect():
+        assert r.sn == pytest.approx(arrays.noise_level(np.array(r.tr)[None])[0]) and r.b == pytest.approx(solvers.beta_pdf(np.array([r.x]), r.p, r.q)[0])
+    assert df.limit(0).select(sql.noise_level("tr"), sql.beta_pdf("x", "p", "q")).count() == 0
