@@ -112,3 +112,23 @@ def test_column_functions_equal_their_kernels(spark):
     for r in df.select("*", sql.noise_level("tr").alias("sn"), sql.beta_pdf("x", "p", "q").alias("b")).collect():
         assert r.sn == pytest.approx(arrays.noise_level(np.array(r.tr)[None])[0]) and r.b == pytest.approx(solvers.beta_pdf(np.array([r.x]), r.p, r.q)[0])
     assert df.limit(0).select(sql.noise_level("tr"), sql.beta_pdf("x", "p", "q")).count() == 0
+
+
+def test_rows_of_the_subtracted_movie(spark):
+    from lumenframe.operators import background
+
+    r = np.random.default_rng(1)
+    movie, b0 = r.random((36, 40)), r.random(36)
+    edges = [(p, q, float(r.normal())) for p in range(36) for q in r.choice(36, 4, replace=False).tolist() if q != p and p != 7]
+    pixels = spark.createDataFrame([(p, row.tolist()) for p, row in enumerate(movie)], "p int, tr array<double>")
+    ring, level = spark.createDataFrame(edges, "p int, q int, w double"), spark.createDataFrame([(p, float(b)) for p, b in enumerate(b0)], "p int, b0 double")
+    w = np.zeros((36, 36))
+    for p, q, v in edges:
+        w[p, q] += v
+    z = movie - b0[:, None]
+    want = z - w @ z
+    got = {x.p: x.tr for x in background.subtracted_rows(pixels, ring, level).collect()}
+    assert all(np.allclose(got[p], want[p]) for p in range(36))
+    rows = spark.createDataFrame([(3,), (7,), (20,)], "p int")
+    got = {x.p: x.tr for x in background.subtracted_rows(pixels, ring, level, rows, (5, 33), 4).collect()}
+    assert set(got) == {3, 7, 20} and all(np.allclose(got[p], want[p, 5:33:4]) for p in got)
