@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import extract, hamming, language, lines, mixing, near, ogg, packing, repeats, toxicity
-from lumenframe.llm.shared import crc_mod, table
+from lumenframe.llm.shared import bounded, crc_mod, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -129,6 +129,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, id, CAST(distance AS INTEGER) AS
 @query
 def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an Ogg file, read back from its bytes."""
+    bounded(spark)
     files = table(spark, sf_dir, "documents").select("doc_id", ogg.stored("text").alias("media"))
     return files.select("doc_id", ogg.inspected("media").alias("r")).select("doc_id", "r.*")
 
