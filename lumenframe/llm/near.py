@@ -246,75 +246,89 @@ def with_partner(registers: np.ndarray, n: np.ndarray, label: np.ndarray, block:
     """Of each row: whether a row of another label, with two blocks of the other block, may be linked with it.
 
     So many registers of a linked pair are equal but for a chance like that of ESTIMATE: the share of equal ones
-    is about the similarity.
+    is about the similarity. Rows that have a partner are not compared with further ones, so a bucket of near
+    copies costs a few columns and not all pairs.
     """
     out, least = np.zeros(len(n), bool), ESTIMATE * registers.shape[1]
     two = len(np.unique(block)) > 1
-    columns = np.ascontiguousarray(registers.T)
+    by_register = np.ascontiguousarray(registers.T)
+    order = np.random.default_rng(0).permutation(len(n))
     for start in range(0, len(n), 128):
-        rows = slice(start, start + 128)
-        may = label[rows][:, None] != label[None, :]
+        cols, rows = order[start : start + 128], np.flatnonzero(~out)
+        may = label[rows][:, None] != label[cols][None, :]
         if two:
-            may &= block[rows][:, None] != block[None, :]
-        may &= 100 * np.minimum(n[rows][:, None], n[None, :]) >= PERCENT * np.maximum(n[rows][:, None], n[None, :])
-        if not may.any():
-            continue
-        same = np.zeros(may.shape, np.uint16)
-        for c in columns:
-            same += c[rows][:, None] == c[None, :]
-        may &= same >= least
-        out[rows] |= may.any(1)
+            may &= block[rows][:, None] != block[cols][None, :]
+        may &= 100 * np.minimum(n[rows][:, None], n[cols][None, :]) >= PERCENT * np.maximum(n[rows][:, None], n[cols][None, :])
+        if may.any():
+            same = np.zeros(may.shape, np.uint16)
+            for r in by_register:
+                same += r[rows][:, None] == r[cols][None, :]
+            may &= same >= least
+            out[rows] |= may.any(1)
+            out[cols] |= may.any(0)
+        if out.all():
+            break
     return out
 
 
-def connecting_links(sets: list[np.ndarray], label: np.ndarray, block: np.ndarray, columns: int = 2_048) -> tuple[np.ndarray, np.ndarray]:
+def connecting_links(sets: list[np.ndarray], label: np.ndarray, block: np.ndarray, columns: int = 2_048, singly: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs of different labels, as few as connect all labels that any such pair connects.
 
-    With two blocks only pairs between them are looked at. Sizes of intersections are products of incidence
-    matrices over the shingles that several sets have, a bounded number of columns at a time. Members of the
-    most frequent label are not compared among themselves.
+    With two blocks only pairs between them are looked at. One row after the other that is not in the largest
+    group so far meets all others; where rows are still left after `singly` of them, sizes of intersections are
+    products of incidence matrices over the shingles that several sets have, a bounded number of columns at a time.
+    Groups that are dense in links are connected after a few rows.
     """
-    none = np.empty(0, np.int64)
+    n, two = len(sets), len(np.unique(block)) > 1
     size = np.array([len(x) for x in sets], np.int64)
-    most = np.bincount(label).argmax()
-    few, many = np.flatnonzero(label != most), np.arange(len(sets))
+    starts = np.cumsum(size) - size
+    _, where = np.unique(np.concatenate(sets), return_inverse=True)
+    group, a, b = np.unique(label, return_inverse=True)[1], [], []
+
+    def join(row: int, hits: np.ndarray) -> None:
+        while len(hits := hits[group[hits] != group[row]]):
+            a.append(row)
+            b.append(int(hits[0]))
+            group[group == group[hits[0]]] = group[row]
+
+    def left() -> np.ndarray:
+        return np.flatnonzero((group != np.bincount(group).argmax()) & ~done)
+
+    done, flags = np.zeros(n, bool), np.zeros(where.max(initial=-1) + 1, np.int64)
+    for _ in range(singly):
+        rest = left()
+        if not len(rest):
+            return np.array(a, np.int64), np.array(b, np.int64)
+        row = int(rest[0])
+        own = where[starts[row] : starts[row] + size[row]]
+        flags[own] = 1
+        both = np.add.reduceat(flags[where], starts)
+        flags[own] = 0
+        hit = (100 * both >= PERCENT * (size[row] + size - both)) & (label != label[row])
+        if two:
+            hit &= block != block[row]
+        join(row, np.flatnonzero(hit))
+        done[row] = True
+    few = left()
     if not len(few):
-        return none, none
-    owner = np.repeat(many, size)
-    every, where = np.unique(np.concatenate(sets), return_inverse=True)
-    common = np.bincount(where, minlength=len(every)) > 1
+        return np.array(a, np.int64), np.array(b, np.int64)
+    common = np.bincount(where) > 1
     column = np.where(common, np.cumsum(common) - 1, -1)[where]
-    owner, column = owner[column >= 0], column[column >= 0]
+    owner = np.repeat(np.arange(n), size)[column >= 0]
+    column = column[column >= 0]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    both = np.zeros((len(few), len(sets)), np.float32)
+    both = np.zeros((len(few), n), np.float32)
     for start in range(0, int(common.sum()), columns):
         lo, hi = np.searchsorted(column, [start, start + columns])
-        x = np.zeros((len(sets), columns), np.float32)
+        x = np.zeros((n, columns), np.float32)
         x[owner[lo:hi], column[lo:hi] - start] = 1
         both += x[few] @ x.T
-    union = size[few][:, None] + size[None, :] - both
-    hit = (100 * both >= PERCENT * union) & (label[few][:, None] != label[None, :])
-    if len(np.unique(block)) > 1:
+    hit = (100 * both >= PERCENT * (size[few][:, None] + size[None, :] - both)) & (label[few][:, None] != label[None, :])
+    if two:
         hit &= block[few][:, None] != block[None, :]
-    i, j = np.nonzero(hit)
-    i = few[i]
-    _, first = np.unique(np.minimum(label[i], label[j]) * (label.max() + 1) + np.maximum(label[i], label[j]), return_index=True)
-    root = np.arange(label.max() + 1)
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return int(x)
-
-    a, b = [], []
-    for x, y in zip(i[first].tolist(), j[first].tolist()):
-        p, q = find(label[x]), find(label[y])
-        if p != q:
-            root[p] = q
-            a.append(x)
-            b.append(y)
+    for row, hits in zip(few.tolist(), hit):
+        join(row, np.flatnonzero(hits))
     return np.array(a, np.int64), np.array(b, np.int64)
 
 

@@ -93,6 +93,19 @@ def test_near_groups_equal_brute_force(docs, none, monkeypatch, sizes):
     assert near.keep_one(none).count() == 0
 
 
+def test_rows_with_a_partner():
+    r = np.random.default_rng(4)
+    registers = r.integers(0, 60, (400, 144)).astype(np.uint16)
+    for i in range(0, 300, 3):  # pairs and triples that share most registers
+        registers[i + 1] = np.where(r.random(144) < 0.8, registers[i], registers[i + 1])
+        registers[i + 2] = np.where(r.random(144) < 0.57, registers[i], registers[i + 2])
+    n, label = r.integers(80, 120, 400), r.integers(0, 300, 400)
+    for block in (np.zeros(400, int), np.arange(400) % 2):
+        may = lambda i, j: label[i] != label[j] and (not block.any() or block[i] != block[j]) and 100 * min(n[i], n[j]) >= 75 * max(n[i], n[j]) and (registers[i] == registers[j]).sum() >= near.ESTIMATE * 144
+        want = [any(may(i, j) for j in range(400)) for i in range(400)]
+        assert near.with_partner(registers, n, label, block).tolist() == want
+
+
 def test_groups_that_only_meet_across_stars(spark, monkeypatch):
     """Chains of edits: buckets hold members of several groups, in blocks of two."""
     monkeypatch.setattr(near, "BLOCK", 2)
@@ -128,8 +141,8 @@ def test_connecting_links_across_blocks():
     sets = [np.sort(np.concatenate([base[r.random(len(base)) > e], r.integers(0, 1 << 62, int(e * 200)).astype(np.uint64)])) for e in r.uniform(0, 0.3, 40)]
     label, block = np.arange(40), np.arange(40) % 2
     linked = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))
-    for blocks in (np.zeros(40, int), block):
-        a, b = near.connecting_links(sets, label, blocks, columns=64)
+    for blocks, singly in ((np.zeros(40, int), 0), (block, 0), (np.zeros(40, int), 5), (block, 64)):
+        a, b = near.connecting_links(sets, label, blocks, columns=64, singly=singly)
         assert all(linked(i, j) for i, j in zip(a, b))
         root = list(range(40))
 
