@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import arrays
-from lumenframe.operators.movies import frames_of, pixels_of
+from lumenframe.operators.movies import pixels_of
 
 
 def _stack(column: pd.Series) -> np.ndarray:
