@@ -70,8 +70,9 @@ def _value(code: Column, word: int, first: int, width: int) -> Column:
     return F.shiftrightunsigned(code[word], first).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _apart(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+def _apart(a: Column, b: Column, words: int) -> Column:
+    """Bits in which two codes differ, as a plain sum over their words (lambdas are not compiled)."""
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])).cast("int") for i in range(words)), F.lit(0))
 
 
 def _at_distance(active: DataFrame, segments: list[tuple[int, int, int]], searched: list[int], distance: int) -> DataFrame:
@@ -119,7 +120,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             break
         probes = _at_distance(active, segments, [s for s in searched if segments[s][2] >= distance], distance) if any(segments[s][2] >= distance for s in searched) else None
         if probes is not None:
-            met = probes.join(index, (F.col("s") == F.col("segment")) & (F.col("v") == F.col("value"))).withColumn("distance", _apart(F.col("query"), F.col("code")))
+            met = probes.join(index, (F.col("s") == F.col("segment")) & (F.col("v") == F.col("value"))).withColumn("distance", _apart(F.col("query"), F.col("code"), words))
             met = met.where("distance <= bound").select("query", "code", "low", "distance")
             both = met if found is None else found.unionByName(met)
             both = both.groupBy("query", "code").agg(F.min("low").alias("low"), F.min("distance").alias("distance"))
