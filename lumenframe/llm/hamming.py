@@ -22,6 +22,9 @@ WORD = 64
 K = 10
 #: Bits of a segment at most: values are numbers, and there may be so many at one distance.
 WIDEST = 24
+#: A value to search, against a code met: it is a row that is made bit by bit and sent to the index with its query,
+#: while a code met is compared inside the join.
+PROBE = 16
 
 
 def sign_code(embedding: str | Column, bits: int = WORD) -> Column:
@@ -48,7 +51,8 @@ def segments_for(bits: int, n: int, k: int) -> list[tuple[int, int, int]]:
     """(word, first bit in it, width) of each segment; none crosses words.
 
     Of n random codes the k-th nearest is at the distance r where n times the share of all codes within r reaches
-    k. With s segments a word, distance r // m has to be searched; the work is one for each value and each code met.
+    k. With s segments a word, distance r // m has to be searched; the work is one for each code met and PROBE for
+    each value.
     """
     words = -(-bits // WORD)
     share, r = 0.0, -1
@@ -59,7 +63,7 @@ def segments_for(bits: int, n: int, k: int) -> list[tuple[int, int, int]]:
     def work(s: int) -> float:
         width, m = math.ceil(WORD / s), s * words
         values = sum(math.comb(width, i) for i in range(min(width, r // m) + 1))
-        return m * values * (1 + n / 2.0**width)
+        return m * values * (PROBE + n / 2.0**width)
 
     s = min(range(math.ceil(WORD / WIDEST), WORD // 4 + 1), key=work)
     edges = [WORD * i // s for i in range(s + 1)]
