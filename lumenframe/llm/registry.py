@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import extract, hamming, language, lines, mixing, near, ogg, packing, repeats, toxicity
+from lumenframe.llm import divergence, extract, hamming, language, lines, mixing, near, ogg, packing, phrases, repeats, slack, toxicity
 from lumenframe.llm.shared import bounded, crc_mod, table
 
 QUERIES: dict = {}
@@ -147,6 +147,89 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query
+def op11_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into as few sequences of 2048 tokens as possible."""
+    return slack.pack(table(spark, sf_dir, "documents"), tokenizer_files()).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The firmest phrases of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source against the others of its language, and its own terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_phrases"] = r"""
+WITH piece AS (
+  SELECT row_number() OVER () AS p, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), word AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM piece WHERE len(w) > 0
+), f AS (
+  SELECT lang, w[i : i + k - 1] AS g, k, count(*) AS n FROM word, (VALUES (1), (2), (3), (4)) AS v(k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+), total AS (
+  SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang
+), candidate AS (
+  SELECT * FROM f WHERE k >= 2 AND n >= 30
+), piled AS (
+  SELECT c.lang, c.g[j : j + m - 1] AS g, max(c.n) AS most FROM candidate AS c, (VALUES (1), (2), (3)) AS s(j), (VALUES (2), (3)) AS z(m)
+  WHERE m < c.k AND j + m - 1 <= c.k GROUP BY ALL
+), left_over AS (
+  SELECT c.* FROM candidate AS c LEFT JOIN piled AS p ON p.lang = c.lang AND p.g = c.g WHERE p.most IS NULL OR 100 * p.most < 80 * c.n
+), cuts AS (
+  SELECT lang, g, k, n, unnest(range(1, k)) AS j FROM left_over
+), scored AS (
+  SELECT c.lang, c.g, c.n AS a, l.n AS l, r.n AS r, CAST(CAST(2000000 AS HUGEINT) * c.n // (l.n + r.n) AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY c.lang, c.g ORDER BY CAST(2000000 AS HUGEINT) * c.n // (l.n + r.n), j) AS nth
+  FROM cuts AS c JOIN f AS l ON l.lang = c.lang AND l.g = c.g[1 : j] JOIN f AS r ON r.lang = c.lang AND r.g = c.g[j + 1 : c.k]
+), ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM scored WHERE nth = 1
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, CAST(t.n AS BIGINT) AS n, r.score FROM ranked AS r JOIN total AS t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
+
+
+ORACLES["op13_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), each AS (
+  SELECT doc, lang, source, unnest(ts) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM each GROUP BY lang, term HAVING count(DISTINCT doc) >= 10
+), sizes AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), grp AS (
+  SELECT DISTINCT lang, source FROM d
+), n AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM grp AS g JOIN kept AS k ON k.lang = g.lang
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM each GROUP BY ALL) AS c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), p AS (
+  SELECT n.lang, n.source, n.term, n.n, 1 + CAST(1000000000 AS HUGEINT) * (n.n + 2) // (sum(n.n) OVER (PARTITION BY n.lang, n.source) + 2 * s.v) AS p
+  FROM n JOIN sizes AS s ON s.lang = n.lang
+), q AS (
+  SELECT a.lang, a.term, 1 + CAST(1000000000 AS HUGEINT) * (a.n + 2) // (sum(a.n) OVER (PARTITION BY a.lang) + 2 * s.v) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM n GROUP BY lang, term) AS a JOIN sizes AS s ON s.lang = a.lang
+), rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM grp AS a JOIN grp AS b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p AS x JOIN p AS y ON y.lang = x.lang AND y.term = x.term GROUP BY ALL) AS f
+    ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, (p.p - q.q) * (p.p - q.q) // (p.p + q.q) FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 ORACLES["op7_near_dedup"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
