@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
-from lumenframe.functions import arrays, solvers
+from lumenframe.functions import arrays, deconvolution, solvers
 
 
 def decay_to_g(decay_ms: Column, rate_hz: float) -> Column:
@@ -28,8 +28,15 @@ def lognormal_pdf(x: Column, mu: float, sigma: float) -> Column:
 
 @F.pandas_udf(T.StructType([T.StructField("c", T.ArrayType(T.DoubleType())), T.StructField("s", T.ArrayType(T.DoubleType())), T.StructField("bl", T.DoubleType())]))
 def deconvolve(trace: pd.Series, g: pd.Series, sn: pd.Series) -> pd.DataFrame:
-    """Struct (c, s, bl) of a trace array."""
-    return pd.DataFrame([solvers.deconvolve(np.asarray(t, float), a, b) for t, a, b in zip(trace, g, sn)], columns=["c", "s", "bl"])
+    """Struct (c, s, bl) of a trace array; traces of one length are solved together. A null trace has no course."""
+    lengths = trace.map(lambda t: -1 if t is None else len(t)).to_numpy() if len(trace) else np.zeros(0, int)
+    parts: list = [(None, None, None)] * len(trace)
+    for n in np.unique(lengths[lengths >= 0]):
+        on = np.flatnonzero(lengths == n)
+        out = deconvolution.deconvolve_all(np.stack(trace.iloc[on].to_list()).astype(float), g.iloc[on].to_numpy(float)[:, None], sn.iloc[on].to_numpy(float))
+        for i, row in enumerate(on):
+            parts[row] = (out["c"][i], out["s"][i], float(out["bl"][i]))
+    return pd.DataFrame(parts, columns=["c", "s", "bl"])
 
 
 @F.pandas_udf(T.DoubleType())
@@ -74,7 +81,7 @@ class DeconvolveRows:
     """A trace array as rows of calcium and spikes."""
 
     def eval(self, trace, g: float, sn: float):
-        c, s, base = solvers.deconvolve(np.asarray(trace, float), float(g), float(sn))
+        c, s, base = deconvolution.deconvolve(np.asarray(trace, float), float(g), float(sn))
         for t, (a, b) in enumerate(zip(c, s)):
             yield t, float(a), float(b), base
 

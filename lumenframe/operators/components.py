@@ -6,11 +6,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenframe.functions import arrays, solvers
+from lumenframe.functions import arrays, deconvolution, solvers
 
 
 def support(footprints: DataFrame, height: int, width: int, radius: int = 2) -> DataFrame:
@@ -241,28 +241,62 @@ def footprint_noise(footprints: DataFrame, noise: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- factor updates
 
 
-def deconvolved(traces: DataFrame, *, value: str = "v", g: float | None = None, order: int = 1, prior: float | None = None, prior_weight: float = 0.5) -> DataFrame:
-    """(k, g, sn, bl, c array, s array): each trace's autoregression, noise and deconvolution."""
+def own_coefficients(trace: np.ndarray, order: int, **settings) -> tuple[np.ndarray, float]:
+    """(coefficients, noise) of a trace: Yule-Walker for the first order, least squares over more lags for the second."""
+    return deconvolution.second_order(trace) if order == 2 else solvers.ar_coefficients(trace, order, **settings)
 
+
+def deconvolved(traces: DataFrame, *, value: str = "v", g: float | Sequence[float] | None = None, order: int = 1, prior: float | None = None, prior_weight: float = 0.5) -> DataFrame:
+    """(k, g, g2, sn, bl, c array, s array, penalty, rounds, error): each trace's autoregression, noise and deconvolution.
+
+    g: one coefficient or two for all traces; without it each has its own, of the order asked for. A batch's traces of
+    one length are solved together. A trace that cannot be solved is a row of its own as well: its clipped values, no
+    spikes, and the reason as error, which is null for all others; see `failures_within`.
+    """
+    given = None if g is None else np.atleast_1d(np.asarray(g, float))
+    if order not in (1, 2) or (given is not None and len(given) > 2):
+        raise ValueError("traces follow one coefficient or two")
     rows = traces.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", value))), lambda s: s[value]).alias("tr"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for tr in batch["tr"]:
-                y = np.asarray(tr, float)
-                own, sn = solvers.ar_coefficients(y, order, prior=prior, prior_weight=prior_weight)
-                use = float(own[0]) if g is None else g
-                c, s, base = solvers.deconvolve(y, use, sn)
-                out.append((use, sn, base, c, s))
-            yield pd.DataFrame({"k": batch["k"], **dict(zip(("g", "sn", "bl", "c", "s"), map(list, zip(*out)) if out else [[]] * 5))})
+            for _, some in batch.groupby(batch["tr"].map(len)):
+                y = np.stack(some["tr"].to_list()).astype(float)
+                own = [_try_coefficients(v, order, prior, prior_weight) for v in y]
+                use = np.stack([o[0] for o in own]) if given is None else np.tile(given, (len(y), 1))
+                out = deconvolution.deconvolve_all(y, use, np.array([o[1] for o in own]))
+                second = out["g"][:, 1] if out["g"].shape[1] > 1 else [None] * len(y)
+                yield pd.DataFrame({"k": some["k"].to_numpy(), "g": out["g"][:, 0], "g2": second, "sn": [o[1] for o in own], "bl": out["bl"], "c": list(out["c"]), "s": list(out["s"]), "penalty": out["penalty"], "rounds": out["rounds"], "error": out["error"]})
+
+    return rows.mapInPandas(solve, f"k {dict(traces.dtypes)['k']}, g double, g2 double, sn double, bl double, c array<double>, s array<double>, penalty double, rounds int, error string")
+
 
-    return rows.mapInPandas(solve, f"k {dict(traces.dtypes)['k']}, g double, sn double, bl double, c array<double>, s array<double>")
+def _try_coefficients(y: np.ndarray, order: int, prior: float | None, prior_weight: float) -> tuple[np.ndarray, float]:
+    """Coefficients and noise, none of them a number where they cannot be had: one trace does not fail for all."""
+    try:
+        if len(y) > order + 2 and np.isfinite(y).all():
+            return own_coefficients(y, order) if order == 2 else own_coefficients(y, order, prior=prior, prior_weight=prior_weight)
+    except (ValueError, FloatingPointError, np.linalg.LinAlgError):
+        pass
+    return np.full(order, np.nan), np.nan
 
 
-def spatial_update(pixels: DataFrame, traces: np.ndarray, names: list, support_: DataFrame, noise: DataFrame, *, ridge: float = 0.01, scale: float = 1.0, sweeps: int = 1000, tol: float = 1e-4) -> DataFrame:
+def failures_within(solved: DataFrame, share: float = 0.05) -> DataFrame:
+    """solved, unless more than a share of its rows has an error: that is an error of the whole, with the most frequent reasons."""
+    of, bad = solved.agg(F.count("*"), F.count("error")).collect()[0]
+    if bad > share * of:
+        why = solved.where("error IS NOT NULL").groupBy("error").count().orderBy(F.desc("count")).limit(3).collect()
+        raise ValueError(f"{bad} of {of} traces failed: " + "; ".join(f"{r['error']} ({r['count']})" for r in why))
+    return solved
+
+
+def spatial_update(pixels: DataFrame, traces: np.ndarray, names: list, support_: DataFrame, noise: DataFrame, *, ridge: float = 0.01, scale: float = 1.0, sweeps: int = 1000, tol: float = 1e-4, observation: Observation | None = None) -> DataFrame:
     """(k, p, a) by non-negative elastic net of each pixel on the components near it.
 
+    observation, if given, has after the first action what the solver did in that pass: pixels, sets (of components
+    that pixels share), unsettled (pixels still moving after the last sweep), most_sweeps, residual (mean square of what
+    is left of the pixels' traces).
+
     pixels: (p, tr); support_: (p, ks); noise: (p, sn). Pixels without support drop out in the join. The
     traces, K x T, are what the factorisation itself keeps in memory, and are sent once.
     """
@@ -272,7 +306,7 @@ def spatial_update(pixels: DataFrame, traces: np.ndarray, names: list, support_:
     def solve(batches):
         c, number = shared.value
         for batch in batches:
-            p, k, a = [], [], []
+            p, k, a, stats = [], [], [], []
             sets = batch["ks"].map(lambda x: tuple(x))
             for ks, part in batch.groupby(sets):
                 rows_ = [number[i] for i in ks if i in number]
@@ -283,14 +317,26 @@ def spatial_update(pixels: DataFrame, traces: np.ndarray, names: list, support_:
                 target = own @ np.stack(part["tr"].to_list()).astype(float).T
                 top = max(gram.diagonal().max(), 1e-10)
                 alpha = scale * 0.5 * part["sn"].to_numpy(float) * np.sqrt(top)
-                w = solvers.elastic_nonnegative(gram, target, alpha, ridge * top, sweeps, tol)
+                made = {}
+                w = solvers.elastic_nonnegative(gram, target, alpha, ridge * top, sweeps, tol, made)
                 i, j = np.nonzero(w)
                 p += part["p"].to_numpy()[j].tolist()
                 k += [ks[n] for n in i]
                 a += w[i, j].tolist()
-            yield pd.DataFrame({"k": k, "p": p, "a": a})
-
-    return rows.mapInPandas(solve, "k long, p int, a double")
+                if observation is not None:
+                    energy = sum(float(np.square(np.asarray(t, float)).sum()) for t in part["tr"])
+                    stats.append((len(part), made["unsettled"], made["sweeps"], energy - 2 * (w * target).sum() + (w * (gram @ w)).sum(), len(part) * own.shape[1]))
+            found = pd.DataFrame({"k": k, "p": p, "a": a})
+            if observation is not None:  # rows of their own, which the observation counts and the filter takes away
+                figures = pd.DataFrame(stats, columns=["pixels", "unsettled", "sweeps", "left", "values"])
+                found = pd.concat([found.astype({"k": "Int64", "p": "Int64", "a": "Float64"}), figures.astype({"pixels": "Int64", "unsettled": "Int64", "sweeps": "Int64", "left": "Float64", "values": "Int64"})], ignore_index=True)
+            yield found
+
+    if observation is None:
+        return rows.mapInPandas(solve, "k long, p int, a double")
+    every = rows.mapInPandas(solve, "k long, p int, a double, pixels long, unsettled long, sweeps long, left double, values long")
+    figures = [F.sum("pixels").alias("pixels"), F.count("pixels").alias("sets"), F.sum("unsettled").alias("unsettled"), F.max("sweeps").alias("most_sweeps"), (F.sum("left") / F.sum("values")).alias("residual")]
+    return every.observe(observation, *figures).where("k IS NOT NULL").select("k", "p", "a")
 
 
 def residual_traces(projection: np.ndarray, gram: np.ndarray, traces: np.ndarray) -> np.ndarray:
@@ -299,38 +345,43 @@ def residual_traces(projection: np.ndarray, gram: np.ndarray, traces: np.ndarray
     return (projection - (gram @ traces - d * traces)) / d - traces
 
 
-def temporal_update(projection: np.ndarray, gram: np.ndarray, traces: np.ndarray, g: np.ndarray, sn: np.ndarray, *, rounds: int = 2, deconvolve: bool = True, detrend: int = 0, spark=None) -> tuple[np.ndarray, np.ndarray]:
+def temporal_update(projection: np.ndarray, gram: np.ndarray, traces: np.ndarray, g: np.ndarray, sn: np.ndarray, *, rounds: int = 2, deconvolve: bool = True, detrend: int = 0, spark=None, max_failed: float = 0.05, report: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(C, S) by Jacobi rounds: all components at once from the same residual.
 
-    A trend of order detrend is taken from each trace first. With a session, traces are deconvolved on its
-    executors, each by itself.
+    g: (K,) or (K, order). A trend of order detrend is taken from each trace first. With a session, traces are
+    deconvolved on its executors, batch by batch. A trace that cannot be solved is its clipped self; more than a share
+    of max_failed of such is an error. report, if given, gets the solver's figures of the last round.
     """
     d = np.maximum(np.diag(gram), 1e-12)[:, None]
     c, s = traces.astype(float), np.zeros_like(traces, dtype=float)
+    g = np.asarray(g, float).reshape(len(c), -1) if len(c) else np.zeros((0, 1))
     for _ in range(rounds):
         y = (projection - gram @ c) / d + c
         if detrend > 0:
             y = np.stack([arrays.polynomial_detrend(v, detrend) for v in y]) if len(y) else y
-        if not deconvolve:
+        if not deconvolve or not len(y):
             c, s = np.maximum(y, 0), np.zeros_like(s)
             continue
-        if spark is not None and len(c) > 1:
-            c, s = _deconvolved_rows(spark, y, g, sn)
-            continue
-        for k in range(len(c)):
-            c[k], s[k], _ = solvers.deconvolve(y[k], float(g[k]), float(sn[k]))
+        out = _deconvolved_rows(spark, y, g, sn) if spark is not None and len(c) > 1 else deconvolution.deconvolve_all(y, g, np.asarray(sn, float))
+        c, s = out["c"], out["s"]
+        bad = [k for k, e in enumerate(out["error"]) if isinstance(e, str)]
+        if len(bad) > max_failed * len(c):
+            raise ValueError(f"{len(bad)} of {len(c)} traces failed: {out['error'][bad[0]]}")
+        if report is not None:
+            report.update(rounds=int(np.max(out["rounds"])), mean_penalty=float(np.mean(out["penalty"])), failed={k: out["error"][k] for k in bad})
     return c, s
 
 
-def _deconvolved_rows(spark, y: np.ndarray, g: np.ndarray, sn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(C, S) of the rows of y."""
-    rows = pd.DataFrame({"k": np.arange(len(y)), "y": y.tolist(), "g": np.asarray(g, float), "sn": np.asarray(sn, float)})
+def _deconvolved_rows(spark, y: np.ndarray, g: np.ndarray, sn: np.ndarray) -> dict:
+    """The parts of `deconvolve_all` for the rows of y, solved on executors."""
+    rows = pd.DataFrame({"k": np.arange(len(y)), "y": y.tolist(), "g": g.tolist(), "sn": np.asarray(sn, float)})
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done = [solvers.deconvolve(np.asarray(v, float), a, b) for v, a, b in zip(batch["y"], batch["g"], batch["sn"])]
-            yield pd.DataFrame({"k": batch["k"], "c": [d[0] for d in done], "s": [d[1] for d in done]})
+            if len(batch):
+                out = deconvolution.deconvolve_all(np.stack(batch["y"].to_list()), np.stack(batch["g"].to_list()), batch["sn"].to_numpy())
+                yield pd.DataFrame({"k": batch["k"], "c": list(out["c"]), "s": list(out["s"]), "penalty": out["penalty"], "rounds": out["rounds"], "error": out["error"]})
 
     parts = max(1, min(len(y), spark.sparkContext.defaultParallelism * 2))
-    found = spark.createDataFrame(rows, "k long, y array<double>, g double, sn double").repartition(parts).mapInPandas(solve, "k long, c array<double>, s array<double>").toPandas().sort_values("k")
-    return np.stack(found["c"].to_list()), np.stack(found["s"].to_list())
+    found = spark.createDataFrame(rows, "k long, y array<double>, g array<double>, sn double").repartition(parts).mapInPandas(solve, "k long, c array<double>, s array<double>, penalty double, rounds int, error string").toPandas().sort_values("k")
+    return {"c": np.stack(found["c"].to_list()), "s": np.stack(found["s"].to_list()), **{n: found[n].to_numpy() for n in ("penalty", "rounds", "error")}}

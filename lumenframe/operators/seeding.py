@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.functions import arrays, solvers
+from lumenframe.functions import arrays, deconvolution, solvers
 
 
 def tile_starts(n: int, size: int, overlap: int) -> list[int]:
@@ -118,7 +118,7 @@ def greedy(movie: np.ndarray, sigma: float, *, min_corr: float = 0.8, min_pnr: f
                 continue
             a, c = found
             g, noise = solvers.ar_coefficients(c)
-            clean_c, _, _ = solvers.deconvolve(c, float(g[0]), noise)
+            clean_c, _, _ = deconvolution.deconvolve(c, float(g[0]), noise)
             if not clean_c.any():
                 continue
             raw[:, ys, xs] -= clean_c[:, None, None] * a

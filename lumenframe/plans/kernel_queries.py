@@ -101,6 +101,17 @@ def b16_global_background(spark, sf):
     return background.global_background(_pixels(movie.withColumn("v", F.col("v") - mean), 8).select("p", "tr"), 2)[0]
 
 
+@query
+def b15_joint_background(spark, sf):
+    """Ring weights and a global background of rank 2, fitted by turns; the courses come with what is left after each turn."""
+    movie = emb_movie(spark, sf)
+    mean = F.avg("v").over(Window.partitionBy("y", "x"))
+    residual = _pixels(movie.withColumn("v", F.col("v") - mean), 8).select("p", "tr").checkpoint()
+    _, courses, energies = background.joint_background(residual, 8, 8, 2.5, 2, tile=4)
+    rows = pd.DataFrame({"r": range(len(courses)), "f": courses.tolist()})  # rank x T, what the model holds
+    return spark.createDataFrame(rows, "r int, f array<double>").select("r", F.array(*[F.lit(e) for e in energies]).alias("energies"), F.posexplode("f").alias("t", "v"))
+
+
 @query
 def a2_spatial_update(spark, sf):
     pixels = _pixels(evt_movie(spark, sf), 12)
@@ -121,6 +132,21 @@ def t3_deconvolve(spark, sf):
     return d.select("k", "g", "sn", "bl", F.posexplode("c").alias("t", "c"), "s").select("k", "t", "g", "sn", "bl", "c", F.expr("s[t]").alias("s"))
 
 
+@query
+def t3_deconvolve_order2(spark, sf):
+    """Traces that rise and decay: roots 0.8 and 0.3."""
+    d = components.deconvolved(evt_traces(spark, sf), g=(1.1, -0.24))
+    return d.select("k", "g", "g2", "sn", "bl", "penalty", F.posexplode("c").alias("t", "c"), "s").select("k", "t", "g", "g2", "sn", "bl", "penalty", "c", F.expr("s[t]").alias("s"))
+
+
+@query
+def t7_deconvolve_failures(spark, sf):
+    """Every seventh trace holds a value that is not finite: it comes out as its clipped self, with the reason."""
+    broken = evt_traces(spark, sf).withColumn("v", F.when((F.col("k") % 7 == 0) & (F.col("t") == 3), float("nan")).otherwise(F.col("v")))
+    d = components.failures_within(components.deconvolved(broken, g=0.8), 0.25)
+    return d.select("k", "error", "bl", F.aggregate("c", F.lit(0.0), lambda a, b: a + b).alias("total"), F.aggregate("s", F.lit(0.0), lambda a, b: a + b).alias("spikes"))
+
+
 @query
 def t3_deconvolve_udf(spark, sf):
     traces = evt_traces(spark, sf).groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda s: s["v"]).alias("tr"))

@@ -401,7 +401,7 @@ def b2_baseline(spark, sf):
 SELECT m.t, m.p, round(m.v - b0.b0 - coalesce(s.bg, 0), 6) + 0.0 AS v FROM m JOIN b0 USING (p)
 LEFT JOIN (SELECT n.t, w.p, sum(w.w * (n.v - c.b0)) AS bg FROM w JOIN m AS n ON n.p = w.q JOIN b0 AS c ON c.p = w.q GROUP BY 1, 2) AS s ON s.t = m.t AND s.p = m.p""")
 def b7_ring_subtract(spark, sf):
-    return rounded(background.subtract(*_ring_parts(spark, sf)), "v")
+    return rounded(background.subtract(*_ring_parts(spark, sf), (8, 8), 2.5), "v")
 
 
 @query(with_views("emb_movie") + f""",

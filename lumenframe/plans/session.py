@@ -12,7 +12,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lumenframe.functions import arrays, solvers
@@ -45,6 +45,12 @@ class Model:
     shifts: DataFrame | None = None
     #: where the crop lies: orig_dims, orig_T, bbox, t_range, masked; None without one
     crop: dict | None = None
+    #: traces of the seeds as they were found; time courses (rank, T) and loads (r, p, v) of the global background
+    raw: np.ndarray | None = None
+    courses: np.ndarray | None = None
+    loads: DataFrame | None = None
+    #: what the solvers did: sweeps and unsettled pixels of spatial updates, rounds, penalties and failures of temporal ones
+    solver: dict = field(default_factory=dict)
 
     @property
     def count(self) -> int:
@@ -53,22 +59,26 @@ class Model:
     def tables(self, spark) -> dict[str, DataFrame | None]:
         k, t = self.traces.shape
         rows = pd.DataFrame({"k": np.repeat(np.arange(k), t), "t": np.tile(np.arange(t), k), "c": self.traces.ravel(), "s": self.spikes.ravel(), "yra": self.rest.ravel()})
-        parts = pd.DataFrame({"k": np.arange(k), "g": self.g, "sn_k": self.noise, "a_norm": self.norms, "accepted": [None] * k if self.accepted is None else self.accepted.tolist()})
+        g = np.asarray(self.g, float).reshape(k, -1)
+        parts = pd.DataFrame({"k": np.arange(k), "g": g[:, 0], "g2": g[:, 1] if g.shape[1] > 1 else [None] * k, "sn_k": self.noise, "a_norm": self.norms, "accepted": [None] * k if self.accepted is None else self.accepted.tolist()})
         noise = None if self.pixel_noise is None else spark.createDataFrame(pd.DataFrame({"p": np.arange(self.pixel_noise.size), "sn": self.pixel_noise.ravel()}), "p int, sn double")
         return {
             "footprints": spark.createDataFrame(self.footprints, "k int, p int, a double"),
             "traces": spark.createDataFrame(rows, "k int, t int, c double, s double, yra double"),
-            "components": spark.createDataFrame(parts, "k int, g double, sn_k double, a_norm double, accepted boolean"),
+            "components": spark.createDataFrame(parts, "k int, g double, g2 double, sn_k double, a_norm double, accepted boolean"),
             "ring": self.ring,
             "baseline": self.baseline,
             "metrics": self.metrics,
             "noise": noise,
             "shifts": self.shifts,
+            "raw": _table_of(spark, self.raw, "k"),
+            "courses": _table_of(spark, self.courses, "r"),
+            "loads": self.loads,
         }
 
     def save(self, spark, path: str) -> None:
         """All tables that the model has, with its parameters, shape, length and crop; `load` gives it back."""
-        store.save_tables(spark, path, self.tables(spark), self.params, dims=list(self.shape), K=self.count, T=int(self.traces.shape[1]), crop=self.crop)
+        store.save_tables(spark, path, self.tables(spark), self.params, dims=list(self.shape), K=self.count, T=int(self.traces.shape[1]), crop=self.crop, solver=self.solver)
 
     @classmethod
     def load(cls, spark, path: str) -> Model:
@@ -89,8 +99,23 @@ class Model:
         accepted = parts["accepted"].to_numpy(bool) if len(parts) and parts["accepted"].notna().all() else None
         crop = facts.get("crop")
         crop = crop and {n: tuple(v) if isinstance(v, list) else v for n, v in crop.items()}
-        return cls(params, tuple(facts["dims"]), tables["footprints"].toPandas().sort_values(["k", "p"]).reset_index(drop=True), grids["c"], grids["s"], grids["yra"], *(parts[c].to_numpy(float) for c in ("g", "sn_k", "a_norm")),
-                   tables.get("ring"), tables.get("baseline"), tables.get("metrics"), pixel_noise=noise, accepted=accepted, shifts=tables.get("shifts"), crop=crop)
+        if len(parts) and "g2" in parts and parts["g2"].notna().any():
+            parts["g"] = list(parts[["g", "g2"]].to_numpy(float))
+        g = np.stack(parts["g"].to_list()).astype(float) if len(parts) else np.zeros(0)
+        return cls(params, tuple(facts["dims"]), tables["footprints"].toPandas().sort_values(["k", "p"]).reset_index(drop=True), grids["c"], grids["s"], grids["yra"], g, *(parts[c].to_numpy(float) for c in ("sn_k", "a_norm")),
+                   tables.get("ring"), tables.get("baseline"), tables.get("metrics"), pixel_noise=noise, accepted=accepted, shifts=tables.get("shifts"), crop=crop,
+                   raw=_array_of(tables.get("raw"), "k"), courses=_array_of(tables.get("courses"), "r"), loads=tables.get("loads"), solver=facts.get("solver") or {})
+
+
+def _table_of(spark, rows: np.ndarray | None, name: str) -> DataFrame | None:
+    """(name, values array) of a matrix that the model holds, or None."""
+    if rows is None or not len(rows):
+        return None
+    return spark.createDataFrame(pd.DataFrame({name: np.arange(len(rows)), "v": np.asarray(rows, float).tolist()}), f"{name} int, v array<double>")
+
+
+def _array_of(rows: DataFrame | None, name: str) -> np.ndarray | None:
+    return None if rows is None else np.stack(rows.toPandas().sort_values(name)["v"].to_list())
 
 
 def _coo(footprints: pd.DataFrame, k: int, n_pixels: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -118,31 +143,6 @@ def _residual(pixels: DataFrame, footprints: pd.DataFrame, traces: np.ndarray, b
     return pixels.select("p", "tr").mapInPandas(run, "p int, tr array<double>, b0 double")
 
 
-def _ring_apply(pixels: DataFrame, ring: DataFrame, height: int, width: int, radius: float, tile: int = 32) -> DataFrame:
-    """(p, tr): pixels less their ring's weighted sum, tile by tile with a halo; ring goes with its pixel's tile."""
-    reach = int(radius) + 1
-    y, x = F.expr(f"p div {width}"), F.expr(f"p % {width}")
-    span = lambda c, n: F.sequence(F.floor(F.greatest(c - reach, F.lit(0)) / tile), F.floor(F.least(c + reach, F.lit(n - 1)) / tile))
-    dealt = pixels.select("p", "tr", F.explode(span(y, height)).alias("i"), x.alias("x0")).select("p", "tr", "i", F.explode(span(F.col("x0"), width)).alias("j"))
-    edges = ring.select("p", "q", "w", F.floor(y / tile).alias("i"), F.floor(x / tile).alias("j"))
-
-    def run(key: tuple, part: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        ps = part["p"].to_numpy()
-        if not len(ps):
-            return pd.DataFrame({"p": [], "tr": []})
-        row = {int(p): n for n, p in enumerate(ps)}
-        m = np.stack(part["tr"].to_list()).astype(float)
-        own = [n for n, p in enumerate(ps) if (p // width) // tile == i and (p % width) // tile == j]
-        bg = np.zeros((len(ps), len(ps)))
-        if len(w):
-            bg[[row[p] for p in w["p"]], [row[q] for q in w["q"]]] = w["w"]
-        out = m - bg @ m
-        return pd.DataFrame({"p": ps[own], "tr": list(out[own])})
-
-    return dealt.groupBy("i", "j").cogroup(edges.groupBy("i", "j")).applyInPandas(run, "p int, tr array<double>")
-
-
 def _project(pixels: DataFrame, footprints: pd.DataFrame, k: int) -> np.ndarray:
     """A'Y, K x T: partial sums by partition."""
     shared = pixels.sparkSession.sparkContext.broadcast(_coo(footprints, k, 0))
@@ -173,18 +173,17 @@ def _gram(footprints: pd.DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def _less_global(pixels: DataFrame, spatial: DataFrame, temporal: DataFrame) -> DataFrame:
-    """(p, tr) less the global background: its time courses are few, its loads go with their pixels."""
-    rows = temporal.toPandas()
-    f = rows.pivot(index="r", columns="t", values="v").to_numpy()
-    shared = pixels.sparkSession.sparkContext.broadcast(f)
-    loads = spatial.groupBy("p").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda s: s["v"]).alias("bs"))
+def _less_components(pixels: DataFrame, footprints: pd.DataFrame, traces: np.ndarray) -> DataFrame:
+    """(p, tr): pixels less components."""
+    shared = pixels.sparkSession.sparkContext.broadcast((_coo(footprints, len(traces), 0), traces))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, c = shared.value
         for batch in batches:
-            yield pd.DataFrame({"p": batch["p"], "tr": [np.asarray(t, float) - np.asarray(b, float) @ shared.value for t, b in zip(batch["tr"], batch["bs"])]})
+            rows = [np.asarray(tr, float) - parts[p][1] @ c[parts[p][0]] if p in parts else np.asarray(tr, float) for p, tr in zip(batch["p"], batch["tr"])]
+            yield pd.DataFrame({"p": batch["p"], "tr": rows})
 
-    return pixels.join(loads, "p").select("p", "tr", "bs").mapInPandas(run, "p int, tr array<double>")
+    return pixels.select("p", "tr").mapInPandas(run, "p int, tr array<double>")
 
 
 def placed(model: Model, box: tuple[int, int, int, int] | None = None, native: tuple[int, int] | None = None, t0: int = 0, n_t: int | None = None) -> Model:
@@ -280,8 +279,8 @@ def cropped(movie: DataFrame, shape: tuple[int, int], params: Params) -> tuple[D
 
 
 def _fit(movie: DataFrame, shape: tuple[int, int], params: Params, *, correct_motion: bool, evaluate_: bool) -> Model:
-    if params.ar_order != 1:
-        raise ValueError(f"traces follow one coefficient: ar_order is 1, not {params.ar_order}")
+    if params.ar_order not in (1, 2):
+        raise ValueError(f"traces follow one coefficient or two: ar_order is 1 or 2, not {params.ar_order}")
     spark, (height, width) = movie.sparkSession, shape
     components._ensure_checkpoints(spark)
     clock, marks = time.time(), {}
@@ -326,59 +325,70 @@ def _fit(movie: DataFrame, shape: tuple[int, int], params: Params, *, correct_mo
     mark("tiles")
 
     prior = solvers.decay_to_g(params.decay_time_ms, params.frame_rate_hz) if params.decay_time_ms and params.frame_rate_hz else None
-    ar = lambda x: solvers.ar_coefficients(x, params.ar_order, fudge=params.fudge_factor, detrend=params.ar_detrend_order, prior=prior, prior_weight=params.g_prior_weight)
-    shared_g = float(ar(c.ravel())[0][0]) if params.global_ar else None
-    g = np.array([shared_g if shared_g is not None else float(ar(x)[0][0]) for x in c])
+    settings = {} if params.ar_order == 2 else {"fudge": params.fudge_factor, "detrend": params.ar_detrend_order, "prior": prior, "prior_weight": params.g_prior_weight}
+    ar = lambda x: components.own_coefficients(x, params.ar_order, **settings)[0]
+    g = np.tile(ar(c.ravel()), (len(c), 1)) if params.global_ar else np.stack([ar(x) for x in c])
+    raw, solver = c.copy(), {}
 
     rest = _residual(pixels, f, c).checkpoint()
     b0 = rest.select("p", "b0")
     stride = max(1, min(params.bg_tsub, n_t // 200))
-    thin = rest.select("p", F.expr(f"filter(tr, (v, i) -> i % {stride} = 0)").alias("tr"))
-    ring = background.ring_regression(thin, height, width, params.ring_radius, ridge=params.ring_lambda, sum_to_one=params.ring_constrain_sum).checkpoint()
+    courses, ring_settings = None, {"ridge": params.ring_lambda, "sum_to_one": params.ring_constrain_sum}
+    if params.global_bg_rank:
+        ring, courses, solver["background_energy"] = background.joint_background(rest.select("p", "tr"), height, width, params.ring_radius, params.global_bg_rank, step=stride, **ring_settings)
+    else:
+        thin = rest.select("p", F.expr(f"filter(tr, (v, i) -> i % {stride} = 0)").alias("tr"))
+        ring = background.ring_regression(thin, height, width, params.ring_radius, **ring_settings).checkpoint()
     mark("ring")
 
-    def without_background() -> DataFrame:
+    def without_background() -> tuple[DataFrame, np.ndarray | None]:
+        """The movie less baseline, ring and global background, the last fitted again to what components leave."""
         centred = pixels.join(b0, "p").select("p", F.expr("transform(tr, v -> v - b0)").alias("tr"))
-        out = _ring_apply(centred, ring, height, width, params.ring_radius)
-        return (out if slow is None else _less_global(out, *slow)).checkpoint()
-
-    slow = None
-    if params.global_bg_rank:
-        left = _ring_apply(rest.select("p", "tr"), ring, height, width, params.ring_radius).checkpoint()
-        slow = background.global_background(left, params.global_bg_rank)
-        mark("global")
-
-    clean = without_background()
+        out = background.ring_applied(centred, ring, height, width, params.ring_radius).checkpoint()
+        if courses is None or not len(courses):
+            return out, courses
+        again, energy = background.refitted(_less_components(out, f, c), courses)
+        solver.setdefault("global_energy", []).append(energy)
+        return background.less_global(out, again, _coo(f, len(c), 0), c).checkpoint(), again
+
+    clean, courses = without_background()
     spikes = np.zeros_like(c)
     for i in range(params.n_iter_main):
         k = len(c)
         near = components.support(spark.createDataFrame(f, "k int, p int, a double"), height, width, params.dilation_radius)
         n = max(1, params.spatial_tsub)
         thin = clean if n == 1 else clean.select("p", F.expr(f"filter(tr, (v, i) -> i % {n} = 0)").alias("tr"))
-        a = components.spatial_update(thin, c[:, ::n], list(range(k)), near, noise, ridge=params.spatial_ridge, scale=params.spatial_lambda_scale, sweeps=params.spatial_max_iter, tol=params.spatial_tol)
+        a = components.spatial_update(thin, c[:, ::n], list(range(k)), near, noise, ridge=params.spatial_ridge, scale=params.spatial_lambda_scale, sweeps=params.spatial_max_iter, tol=params.spatial_tol, observation=(seen := Observation(f"spatial{i}")))
         cap = params.spatial_max_radius_factor * params.sigma or None
         a = components.trimmed(a, height, width, method=params.spatial_thr_method, max_share=params.spatial_max_thr, energy=params.spatial_nrg_thr, closing=params.spatial_close_radius, circle=params.spatial_circular_max_dist_factor, cap=cap).toPandas()
+        solver[f"spatial{i}"] = seen.get
         kept = sorted(int(x) for x in a["k"].unique())
         if not kept:
             break
         f, c, g = _numbered(a, kept), c[kept], g[kept]
         mark(f"spatial{i}")
         noise_k = _footprint_noise(f, sn, len(c))
-        c, spikes = components.temporal_update(_project(clean, f, len(c)), _gram(f, len(c)), c, g, noise_k, rounds=params.n_iter_temporal, deconvolve=not (i == 0 and params.skip_first_deconv), detrend=params.temporal_detrend_order, spark=spark)
+        c, spikes = components.temporal_update(_project(clean, f, len(c)), _gram(f, len(c)), c, g, noise_k, rounds=params.n_iter_temporal, deconvolve=not (i == 0 and params.skip_first_deconv), detrend=params.temporal_detrend_order, spark=spark, report=solver.setdefault(f"temporal{i}", {}))
         mark(f"temporal{i}")
         f, groups = _merged(f, c, shape, params)
         if len(groups) < len(c):
             c, g = np.stack([np.maximum(c[m].mean(0), 0) for m in groups]), np.array([g[m[0]] for m in groups])
         b0 = _residual(pixels, f, c).select("p", "b0").checkpoint()
-        clean = without_background()
+        clean, courses = without_background()
         mark(f"merge{i}")
     noise_k, gram, projection = _footprint_noise(f, sn, len(c)), _gram(f, len(c)), _project(clean, f, len(c))
-    c, spikes = components.temporal_update(projection, gram, c, g, noise_k, rounds=params.n_iter_temporal, detrend=params.temporal_detrend_order, spark=spark)
+    c, spikes = components.temporal_update(projection, gram, c, g, noise_k, rounds=params.n_iter_temporal, detrend=params.temporal_detrend_order, spark=spark, report=solver.setdefault("temporal", {}))
     left = components.residual_traces(projection, gram, c)
     norms = np.sqrt(np.maximum(np.diag(gram), 0))
     scale = np.where(norms > 0, norms, 1)
     f = f.assign(a=f["a"] / scale[f["k"]])
-    model = Model(params, shape, f.reset_index(drop=True), c * norms[:, None], spikes * norms[:, None], left * norms[:, None], g, noise_k * norms, norms, ring, b0, seconds=marks, pixel_noise=sn.reshape(shape), shifts=shifts)
+    g = g[:, 0] if params.ar_order == 1 else g
+    loads = None
+    if courses is not None and len(courses):
+        centred = pixels.join(b0, "p").select("p", F.expr("transform(tr, v -> v - b0)").alias("tr"))
+        outer = _less_components(background.ring_applied(centred, ring, height, width, params.ring_radius), f.assign(a=f["a"] * norms[f["k"]]), c)
+        loads = background.global_loads(outer, courses).checkpoint()
+    model = Model(params, shape, f.reset_index(drop=True), c * norms[:, None], spikes * norms[:, None], left * norms[:, None], g, noise_k * norms, norms, ring, b0, seconds=marks, pixel_noise=sn.reshape(shape), shifts=shifts, raw=raw, courses=courses, loads=loads, solver=solver)
     if evaluate_:
         t = model.tables(spark)
         m = evaluate.component_snr(t["footprints"].join(t["components"], "k").select("k", "p", (F.col("a") * F.col("a_norm")).alias("a")), noise, 1, params.auto_eval_snr_amp_thr)

@@ -3,6 +3,7 @@ import pytest
 from itertools import permutations
 
 from lumenframe.functions import arrays as A
+from lumenframe.functions import deconvolution as D
 from lumenframe.functions import solvers as S
 
 rng = np.random.default_rng(0)
@@ -146,16 +147,16 @@ def test_deconvolution_recovers_decay():
     noisy = y + rng.normal(0, 0.1, 600)
     g, sn = S.ar_coefficients(noisy)
     assert 0 < g[0] < 1 and abs(sn - 0.1) < 0.1
-    c, s, _ = S.deconvolve(noisy, 0.9, 0.1)
+    c, s, _ = D.deconvolve(noisy, 0.9, 0.1)
     assert np.corrcoef(c, y)[0, 1] > 0.95 and (c >= 0).all() and (s >= 0).all()
     assert (np.diff(c) >= -0.1 * c[:-1] - 1e-6).all()
-    c, s, b = S.deconvolve(np.array([np.nan, 1, -1]), 0.9, 0.1)
+    c, s, b = D.deconvolve(np.array([np.nan, 1, -1]), 0.9, 0.1)
     assert c.tolist() == [0, 1, 0] and not s.any()
 
 
 def test_isotonic_decay_beats_other_feasible_points():
     y = rng.normal(0, 1, 40)
-    c = S.isotonic_decay(y, 0.8)
+    c = D.nearest(y, np.array([[0.8]]))[0][0]
     assert (c[1:] - 0.8 * c[:-1] >= -1e-8).all() and (c >= 0).all()
     best = ((y - c) ** 2).sum()
     for _ in range(200):
@@ -182,8 +183,9 @@ def test_elastic_net_meets_its_conditions():
 
 def test_ring_weights_sum_to_one_when_asked():
     n = rng.normal(0, 1, (6, 80))
-    assert abs(S.ring_weights(n, n.mean(0), sum_to_one=True).sum() - 1) < 1e-9
-    assert np.allclose(S.ring_weights(n, n[2], 1e-9), np.eye(6)[2], atol=1e-4)
+    gram, goals, rings = n @ n.T, np.stack([n.mean(0), n[2]]), np.array([[0, 1, 2, 3, 4, 5], [5, 4, 3, 2, 1, 0]])
+    assert np.allclose(S.ring_weights(gram, goals @ n.T, rings, sum_to_one=True).sum(1), 1)
+    assert np.allclose(S.ring_weights(gram, goals @ n.T, rings, 1e-9)[1], np.eye(6)[3], atol=1e-4)
 
 
 def test_mixtures_split_clear_classes():

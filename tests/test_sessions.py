@@ -119,7 +119,7 @@ def test_rows_of_the_subtracted_movie(spark):
 
     r = np.random.default_rng(1)
     movie, b0 = r.random((36, 40)), r.random(36)
-    edges = [(p, q, float(r.normal())) for p in range(36) for q in r.choice(36, 4, replace=False).tolist() if q != p and p != 7]
+    edges = [(p, q, float(r.normal())) for p in range(36) for q in range(36) if 1 < abs(p // 6 - q // 6) ** 2 + abs(p % 6 - q % 6) ** 2 <= 4 and p != 7]
     pixels = spark.createDataFrame([(p, row.tolist()) for p, row in enumerate(movie)], "p int, tr array<double>")
     ring, level = spark.createDataFrame(edges, "p int, q int, w double"), spark.createDataFrame([(p, float(b)) for p, b in enumerate(b0)], "p int, b0 double")
     w = np.zeros((36, 36))
@@ -127,8 +127,13 @@ def test_rows_of_the_subtracted_movie(spark):
         w[p, q] += v
     z = movie - b0[:, None]
     want = z - w @ z
-    got = {x.p: x.tr for x in background.subtracted_rows(pixels, ring, level).collect()}
+    got = {x.p: x.tr for x in background.subtracted_rows(pixels, ring, level, (6, 6), 1.0).collect()}
     assert all(np.allclose(got[p], want[p]) for p in range(36))
     rows = spark.createDataFrame([(3,), (7,), (20,)], "p int")
-    got = {x.p: x.tr for x in background.subtracted_rows(pixels, ring, level, rows, (5, 33), 4).collect()}
+    got = {x.p: x.tr for x in background.subtracted_rows(pixels, ring, level, (6, 6), 1.0, rows, (5, 33), 4).collect()}
     assert set(got) == {3, 7, 20} and all(np.allclose(got[p], want[p, 5:33:4]) for p in got)
+    tiles = {x.p: x.tr for x in background.ring_applied(spark.createDataFrame([(p, row.tolist()) for p, row in enumerate(z)], "p int, tr array<double>"), ring, 6, 6, 1.0, tile=2).collect()}
+    assert all(np.allclose(tiles[p], want[p]) for p in range(36))
+    f = r.normal(size=(2, 40))
+    got = {x.p: x.tr for x in background.subtracted_rows(pixels, ring, level, (6, 6), 1.0, rows, (5, 33), courses=f).collect()}
+    assert all(np.allclose(got[p], (want[p] - want[p] @ np.linalg.pinv(f) @ f)[5:33]) for p in (3, 7, 20))
