@@ -514,11 +514,40 @@ def test_codes_of_longer_vectors(spark):
         df.select(hamming.sign_code("e").alias("code")).collect()
 
 
-def test_segments_are_those_of_least_work():
-    for bits, n in ((64, 1), (64, 25_650), (64, 10**7), (64, 10**9), (150, 10**6), (768, 10**9)):
-        found = hamming.segments_for(bits, n, 10)
-        assert sum(w for *_, w in found) == -(-bits // 64) * 64 and all(4 <= w <= hamming.WIDEST and a + w <= 64 for _, a, w in found)
-    assert len(hamming.segments_for(64, 10**9, 10)) < len(hamming.segments_for(64, 10**4, 10))
+@pytest.mark.parametrize("n, words", [(1, 1), (40, 1), (3000, 1), (3000, 3)])
+def test_index_meets_each_code_once_and_finds_the_nearest(n, words):
+    r = np.random.default_rng(n + words)
+    codes = np.unique(r.integers(0, 1 << 63, (n, words), dtype=np.uint64) & np.uint64(0x00FFFF00FFFF0FFF), axis=0)
+    index = hamming.Index(codes)
+    queries = np.concatenate([codes[:3], r.integers(0, 1 << 63, (5, words), dtype=np.uint64)])
+    apart = np.bitwise_count(queries[:, None] ^ codes[None]).sum(2, dtype=np.int64)
+    own, seen = [index.values(queries, p) for p in index.parts], []
+    for distance in range(max(map(len, index.parts)) + 1):
+        for segment, part in enumerate(index.parts):
+            if distance <= len(part):
+                for q, c, d in index.met(queries, own[segment], np.arange(len(queries)), segment, distance):
+                    assert (apart[q, c] == d).all()
+                    seen += zip(q.tolist(), c.tolist())
+        if n > 1000 and distance == 3:
+            break
+    assert len(set(seen)) == len(seen) and (n > 1000 or len(seen) == len(queries) * len(codes))
+    low, size = r.permutation(len(codes)).astype(np.int64), r.integers(1, 4, len(codes))
+    q, c, d = index.nearest(queries, np.full(len(queries), 64 * words), low, size, 7)
+    for i in range(len(queries)):
+        best = np.lexsort((low, apart[i]))[:7]
+        enough = int(np.searchsorted(np.cumsum(size[best]), 7)) + 1
+        limit = apart[i][best[min(enough, len(best)) - 1]]
+        want = [x for x in best if apart[i][x] <= limit]
+        assert c[q == i][: len(want)].tolist() == want
+
+
+def test_blocks_and_batches_change_nothing(spark):
+    r = np.random.default_rng(8)
+    vectors = [(i, r.normal(0, 1, 64).tolist()) for i in range(400)] + [(1000 + i, [1.0] * 64) for i in range(60)]
+    df = spark.createDataFrame(vectors, "id long, e array<double>").select("id", hamming.sign_code("e").alias("code")).cache()
+    asked = df.where("id % 20 = 0")
+    whole = {tuple(x) for x in hamming.top_k(df, asked, 6).collect()}
+    assert {tuple(x) for x in hamming.top_k(df, asked, 6, block=64, batch=8).collect()} == whole and len(whole) == 6 * asked.count()
 
 
 def test_pages_of_a_host_lose_what_they_share(spark):
