@@ -27,7 +27,7 @@ TOP = 10
 CHUNK = 16_384
 BLOCK = 64
 #: Entries that a counting task holds before it sends them on.
-HELD = 200_000
+HELD = 600_000
 #: Bytes of a text that are split into terms at a time.
 STRETCH = 1 << 20
 ONE = 1_000_000_000
