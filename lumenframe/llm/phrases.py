@@ -32,6 +32,8 @@ KEYS = 4_000_000
 #: Entries that a counting task holds before it sends them on.
 HELD = 300_000
 POSITIONS = 4_000_000
+#: Shares of a language, at least, in which its best phrases are found first.
+PARTS = 32
 
 #: Pieces end at these.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -264,7 +266,7 @@ def collocations(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang
     every = written(every, "phrase-scored")
     discard(*levels)
     # first the best of each part of a language, so that no task sorts all of one
-    parts = max(1, every.count() // 100_000)
+    parts = max(PARTS, every.count() // 100_000)
     order = [F.desc("score"), F.desc("a"), "phrase"]
     first = every.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
     first = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
