@@ -32,13 +32,19 @@ class TuningResult:
 def motion_seeds(frames: DataFrame, shape: tuple[int, int], sample_frames: int = 400) -> tuple[float, tuple[int, int], dict]:
     """(cell radius, max shift, evidence) from a sample: blobs of its deviation, and the shifts that it shows."""
     n_t = frames.agg(F.max("t") + 1).collect()[0][0]
-    stack = motion.sample(frames, n_t, sample_frames, shape)
-    sd = stack.std(0)
+    some, n = motion.sampled(frames, n_t, sample_frames)
+    sd = motion.by_tile(some, n, shape, lambda x: x.std(0))
     sharp = sd - arrays.gaussian(sd, 8.0)
     radius = tune.neuron_radius(sharp)
-    kernel, goal = arrays.highpass_kernel(radius), np.median(stack, axis=0)
-    goal = arrays.convolve(goal, kernel)
-    shifts = np.array([arrays.phase_shift(goal, arrays.convolve(f, kernel), 10, (50, 50)) for f in stack[:200]])
+    kernel = arrays.highpass_kernel(radius)
+    goal = arrays.convolve(motion.by_tile(some, n, shape, lambda x: np.median(x, axis=0)), kernel)
+
+    def shift(batches):
+        for batch in batches:
+            found = [arrays.phase_shift(goal, arrays.convolve(np.asarray(v, float).reshape(shape), kernel), 10, (50, 50)) for v in batch["px"]]
+            yield pd.DataFrame({"dy": [f[0] for f in found], "dx": [f[1] for f in found]})
+
+    shifts = some.where("i < 200").mapInPandas(shift, "dy double, dx double").toPandas().to_numpy()
     limit = tuple(int(np.ceil(np.percentile(np.abs(shifts[:, i]), 99))) + 2 for i in (0, 1))
     return radius, limit, {"radius": radius, "shifts": shifts}
 
@@ -74,10 +80,10 @@ def score_of(model: session.Model, image: DataFrame | None) -> tuple[float, dict
     return row["score"], row
 
 
-def run_tuning(frames: DataFrame, shape: tuple[int, int], base: Params, *, spec: tune.SweepSpec | None = None, budget: int = 24) -> TuningResult:
+def run_tuning(frames: DataFrame, shape: tuple[int, int], base: Params, *, spec: tune.SweepSpec | None = None, budget: int = 24, at_once: int = 2) -> TuningResult:
     """The whole search on a registered movie of frames (t, px); candidates that fail become rows.
 
-    Each candidate is a distributed fit, so candidates run one after the other and each has the cluster.
+    Each candidate is a distributed fit; at_once of them run side by side, each in its scheduler pool.
     """
     spark, evidence = frames.sparkSession, {}
     radius, _, seen = motion_seeds(frames, shape)
@@ -101,20 +107,32 @@ def run_tuning(frames: DataFrame, shape: tuple[int, int], base: Params, *, spec:
         {"min_corr": at("cn", 0.4, tune.SAFE_CORR), "min_pnr": at("pnr", 2.0, tune.SAFE_PNR), "thr_method": "percentile"},
     ]
     evidence["seeds"] = {"sigma": sigma, "edge": (edge_corr, edge_pnr), "thresholds": seeds, "blobs": seeding.product_blobs(cn, pnr, sigma)}
-    sampled = motion.sample(frames, frames.agg(F.max("t") + 1).collect()[0][0], base.sample_frames, shape)
-    pixels, evidence["min_pixel"] = tune.min_pixel(seeding.greedy(sampled, sigma, min_corr=low_corr, min_pnr=low_pnr, most=200, seed_mode="threshold")[0])
-    base = replace(base, sigma=sigma, init_patches=False)
+    some, _ = motion.sampled(frames, frames.agg(F.max("t") + 1).collect()[0][0], base.sample_frames)
+    tiles = movies.with_coordinates(movies.transposed(some.withColumnRenamed("i", "t")), shape[1])
+    size = max(32, int(12 * sigma))
+    cells_ = seeding.greedy_tiles(tiles, *shape, sigma, size=size, overlap=base.init_patch_overlap, min_corr=low_corr, min_pnr=low_pnr, most=200, seed_mode="threshold").select("ps", "as").toPandas()
+    pixels, evidence["min_pixel"] = tune.min_pixel([np.asarray(a, float) for a in cells_["as"]])
+    base = replace(base, sigma=sigma)
     spec = spec or tune.SweepSpec(sigma=tune.offset_grid(None, sigma, 2.0, (-1, 0, 1), whole=True))
     tries = tune.candidates(base, spec, budget, None if base.seed_method == "mixture" else seeds)
     image = spark.createDataFrame(pd.DataFrame({"p": np.arange(cn.size), "cn": cn.ravel()}), "p int, cn double")
-    rows, fits = [], {}
-    for i, (p, name) in enumerate(tries):
+
+    def attempt(i: int) -> tuple[dict, session.Model | None]:
+        p, name = tries[i]
+        row = {"idx": i, "score": float("-inf"), "error": None, "thr_method": name, "sigma": p.sigma, "min_corr": p.min_corr, "min_pnr": p.min_pnr, "K": 0}
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"candidate-{i}")
         try:
-            fits[i] = session.fit(frames, shape, p)
-            score, quality = score_of(fits[i], image)
-            rows.append({"idx": i, "score": score, "error": None, "thr_method": name, "sigma": p.sigma, "min_corr": p.min_corr, "min_pnr": p.min_pnr, "K": quality["K"]})
+            model = session.fit(frames, shape, p)
+            score, quality = score_of(model, image)
+            return row | {"score": score, "K": quality["K"]}, model
         except Exception as e:
-            rows.append({"idx": i, "score": float("-inf"), "error": "".join(traceback.format_exception_only(e)).strip(), "thr_method": name, "sigma": p.sigma, "min_corr": p.min_corr, "min_pnr": p.min_pnr, "K": 0})
+            return row | {"error": "".join(traceback.format_exception_only(e)).strip()}, None
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:  # each candidate in a pool of its own, so that none waits for another's stages
+        done = list(pool.map(attempt, range(len(tries))))
+    rows, fits = [r for r, _ in done], {i: m for i, (_, m) in enumerate(done) if m is not None}
     table = pd.DataFrame(rows).sort_values(["score", "idx"], ascending=[False, True]).reset_index(drop=True)
     top = int(table["idx"].iloc[0])
     chosen, quality = tries[top][0], {}

@@ -60,7 +60,8 @@ def concat_offsets(frames: DataFrame, by: str = "file_no", local: str = "local_t
 
 def evenly(n: int, most: int) -> list[int]:
     """At most that many numbers of 0 .. n - 1, evenly spaced, both ends included."""
-    return sorted({i * (n - 1) // max(1, most - 1) for i in range(min(n, most))})
+    most = min(n, most)
+    return sorted({i * (n - 1) // max(1, most - 1) for i in range(most)})
 
 
 def strided_sample(frames: DataFrame, n_files: int, files: int, stride: int) -> DataFrame:

@@ -281,12 +281,23 @@ def test_tuning_finds_settings_and_reports(spark, tmp_path):
     assert "<table>" in (tmp_path / "report.html").read_text() and "| idx |" in (tmp_path / "report.md").read_text()
 
 
-def test_template_is_the_median_of_filtered_frames():
-    stack = np.random.default_rng(2).random((40, 12, 12))
+def test_template_is_the_median_of_filtered_frames(spark, monkeypatch):
+    monkeypatch.setattr(motion, "TILE_VALUES", 40 * 64)  # several tiles
+    stack = np.random.default_rng(2).random((45, 12, 12))
     kernel = arrays.highpass_kernel(2.0)
-    want = arrays.bin_median(np.stack([arrays.convolve(f, kernel) for f in stack]))
-    got = motion.template_of(stack, Params(mc_sharpen_template=False), 2.0)
-    assert np.allclose(got, want) and not np.allclose(got, arrays.convolve(arrays.bin_median(stack), kernel), atol=1e-3)
+    want = arrays.bin_median(np.stack([arrays.convolve(f, kernel) for f in stack[:40]]))
+    some, n = motion.sampled(frames_of(spark, np.concatenate([stack, stack])).where("t < 40"), 40, 1000)
+    got = motion.template_of(some, n, (12, 12), Params(mc_sharpen_template=False), 2.0)
+    assert n == 40 and np.allclose(got, want) and not np.allclose(got, arrays.convolve(arrays.bin_median(stack[:40]), kernel), atol=1e-3)
+    some, n = motion.sampled(frames_of(spark, stack), 45, 7)
+    at = np.unique(np.linspace(0, 44, 7).astype(int))
+    assert n == 7 and np.allclose(motion.by_tile(some, n, (12, 12), lambda x: x.std(0)), stack[at].std(0))
+
+
+def test_template_frames_come_from_few_files():
+    found = motion.template_frames([100, 0, 50, 100, 80], 3, 20)
+    assert len(found) == 20 and found == sorted(set(found)) and {0 if t < 100 else 2 if t < 150 else 4 for t in found} <= {0, 2, 4} and max(found) == 329
+    assert motion.template_frames([3], 10, 200) == [0, 1, 2] and motion.template_frames([], 10, 200) == []
 
 
 def test_template_window(spark):
@@ -389,3 +400,5 @@ def test_folder_is_registered_in_one_go(spark, tmp_path):
     moved, shifts, _ = motion.correct_folder(spark, str(tmp_path), Params(max_shift=(4, 4), mc_n_iter=1, mc_gSig_filt=1.5, mc_sharpen_template=False))
     dy = shifts.toPandas().sort_values("t")["dy"].to_numpy()
     assert moved.count() == 8 and np.allclose(dy[1] - dy[0], -1, atol=0.3) and np.allclose(dy[2] - dy[0], 1, atol=0.3)
+    again = motion.correct_folder(spark, str(tmp_path), Params(max_shift=(4, 4), mc_n_iter=1, mc_gSig_filt=1.5, mc_sharpen_template=False), spark_only=True)[1].toPandas().sort_values("t")
+    assert np.allclose(again["dy"], dy)
