@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lumenframe.operators import evaluate, tune
+from lumenframe.functions import arrays
+from lumenframe.operators import cells, evaluate, tune
 from lumenframe.params import Params
 from lumenframe.plans import session, sessions, tuning
 from lumenframe.sources import store, views
@@ -59,7 +60,7 @@ def test_metrics_hold_fidelity_in_space(model, frames):
 
 def test_settings_that_are_not_known_are_errors(frames):
     with pytest.raises(ValueError, match="ar_order"):
-        session.fit(frames, (FIELD, FIELD), Params(ar_order=2))
+        session.fit(frames, (FIELD, FIELD), Params(ar_order=3))
 
 
 def test_registration_comes_back_as_it_was_saved(spark, model, tmp_path):
@@ -137,3 +138,95 @@ def test_rows_of_the_subtracted_movie(spark):
     f = r.normal(size=(2, 40))
     got = {x.p: x.tr for x in background.subtracted_rows(pixels, ring, level, (6, 6), 1.0, rows, (5, 33), courses=f).collect()}
     assert all(np.allclose(got[p], (want[p] - want[p] @ np.linalg.pinv(f) @ f)[5:33]) for p in (3, 7, 20))
+
+
+def plain_refinement(cells_, at, owner, p, reach, p_thr=0.5):
+    """The card's rules, cell by cell, without a grid."""
+    groups = {}
+    for c, g in enumerate(owner):
+        groups.setdefault(g, set()).add(c)
+    owner, fresh = list(owner), 10_000
+    for _ in range(10):
+        centre = {g: at[sorted(m)].mean(0) for g, m in groups.items() if m}
+        changes = 0
+        for c in range(len(cells_)):
+            def like(g):
+                found = [p[c][m] for m in groups[g] if cells_[m][0] != cells_[c][0]]
+                return np.mean(found) if found else -1.0
+
+            best, score = owner[c], like(owner[c])
+            for g in sorted(centre):
+                if g != owner[c] and np.hypot(*(at[c] - centre[g])) <= reach and all(cells_[m][0] != cells_[c][0] for m in groups[g]) and like(g) > score + 1e-9:
+                    best, score = g, like(g)
+            if score < p_thr:
+                if len(groups[owner[c]]) == 1:
+                    continue
+                best, fresh = fresh, fresh + 1
+            if best != owner[c]:
+                groups[owner[c]].discard(c)
+                groups.setdefault(best, set()).add(c)
+                owner[c] = best
+                changes += 1
+        if changes < 10:
+            break
+    return owner
+
+
+def parts_of(owner):
+    found = {}
+    for c, g in enumerate(owner):
+        found.setdefault(g, []).append(c)
+    return sorted(found.values())
+
+
+def test_refined_clusters_equal_plain_rules():
+    r = np.random.default_rng(7)
+    moved_ = 0
+    for turn in range(8):
+        at = np.concatenate([r.uniform(0, 60, (25, 2)) + r.normal(0, 1.5, (25, 2)) for _ in range(4)]) if turn % 2 else np.tile(r.uniform(0, 60, (25, 2)), (4, 1)) + r.normal(0, 2, (100, 2))
+        names = [(s, k) for s in range(4) for k in range(25)]
+        owner = [25 * s + k if r.random() < 0.3 else k for s, k in names] if turn else list(range(100))
+        dist = np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1))
+        p = np.exp(-dist / 4) * r.uniform(0.7, 1, (100, 100))
+        p = (p + p.T) / 2
+        got = cells.refine_clusters(names, at, owner, lambda a, b: p[a][b], 9.0)
+        assert parts_of(got) == parts_of(plain_refinement(names, at, owner, p, 9.0))
+        assert all(len({names[c][0] for c in m}) == len(m) for m in parts_of(got))
+        moved_ += parts_of(got) != parts_of(owner)
+    assert moved_ >= 6
+
+
+def test_moved_footprints_equal_whole_images(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for k, (y, x) in enumerate([(0, 0), (5, 20), (17, 29), (10, 11)]):
+        for dy in range(4):
+            for dx in range(3):
+                if y + dy < 20 and x + dx < 30 and r.random() < 0.8:
+                    rows += [(s, k, (y + dy) * 30 + x + dx, float(r.random())) for s in (0, 1, 2)]
+    f = spark.createDataFrame(rows, "session int, k int, p int, a double")
+    moves = {0: (0.0, 0.0, 0.0), 1: (2.3, -1.6, 0.0), 2: (-0.5, 1.25, 7.0)}
+    got = {}
+    for x in sessions.moved(f, moves, (20, 30)).collect():
+        got.setdefault((x.session, x.k), np.zeros(600))[x.p] = x.a
+    for s, move in moves.items():
+        for k in range(4):
+            image = np.zeros(600)
+            for s_, k_, p, a in rows:
+                if (s_, k_) == (s, k):
+                    image[p] = a
+            want = arrays.warp_image(image.reshape(20, 30), arrays.rigid_matrix((20, 30), *move)).ravel()
+            assert np.allclose(got.get((s, k), np.zeros(600)), want, atol=1e-8)
+
+
+def test_models_of_counted_pairs_equal_those_of_all(spark):
+    r = np.random.default_rng(9)
+    corr = np.concatenate([np.clip(r.normal(0.8, 0.08, 400), -1, 1), np.clip(r.normal(0.1, 0.2, 400), -1, 1)])
+    dist = np.concatenate([r.lognormal(0, 0.4, 400), 12 * np.sqrt(r.random(400))]).clip(0, 12)
+    pairs = spark.createDataFrame(pd.DataFrame({"corr": corr, "dist": dist})).repartition(3)
+    for feature, whole in (("spatial", cells.fit_spatial_model(corr)), ("centroid", cells.fit_centroid_model(dist, 12.0))):
+        model = cells.fit_model(pairs, 12.0, feature)
+        assert model.feature == feature and np.abs(model.p_same - whole.p_same).max() < 0.02
+        got = cells.with_probability(pairs, model).toPandas()
+        assert np.allclose(got["p"], model.probability(got["dist"], got["corr"]))
+    assert cells.fit_model(pairs.limit(0), 12.0) is None
