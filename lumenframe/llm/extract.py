@@ -1,15 +1,16 @@
 """Main text of HTML pages: a host's suffix array finds what its pages repeat, and unique runs are the text.
 
 A page is cut into blocks of text; structure marks them. Blocks of page furniture (menus, forms, adverts,
-comments and the like, told by elements, roles and class names) go; the others belong to regions: each article,
-the main element, and the rest. The token streams of the regions of a host's pages are laid end to end, and
+comments and the like, told by elements, roles and class names) go; the others belong to regions: what the main element
+and articles hold, nested or side by side, in page order, and the rest. The token streams of the regions of a host's pages are laid end to end, and
 their suffixes sorted, in buckets of equal first tokens: common prefixes of neighbours form intervals, and an
 interval of DEPTH tokens or more whose occurrences lie in distinct streams is a repeat. Only suffixes at
 anchors are sorted (positions that every string of DEPTH tokens holds one of, chosen by content), and intervals
 are told apart by the tokens before the anchor, so all repeats are found. Streams with under OWN of their tokens
-outside repeats are near copies of others and make nothing boilerplate. What over SHARE of a host's remaining
-streams hold (and two at least) is boilerplate: its tokens are covered, the region with most uncovered tokens
-holds the text, and covered boilerplate goes from it.
+outside repeats are near copies of others and make nothing boilerplate. What over a share of a host's remaining
+streams of the same kind hold is boilerplate: SHARE of those of the rest of pages (and two at least), MOST of those of
+marked regions (and three at least), where text is meant to be. Its tokens are covered, the region with most
+uncovered tokens holds the text, and covered boilerplate goes from it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.repeats import anchor_ids, lcp_intervals, met_anchors, minimizers, sent_anchors
@@ -34,8 +35,9 @@ DEPTH, ANCHOR = 8, 4
 REACH = DEPTH - ANCHOR
 #: Streams with a smaller share of tokens outside repeats are near copies.
 OWN = 0.25
-#: Repeats are boilerplate if a larger share of a host's streams holds them.
-SHARE = 0.1
+#: Repeats are boilerplate if a larger share of a host's streams holds them, and so many at least: outside marked regions, and in them.
+SHARE, FEW = 0.1, 2
+MOST, MANY = 0.5, 3
 #: Uncovered tokens of a marked region count as often as this beside those of the rest of the page.
 MARKED = 2
 #: Contexts of anchors that a task sorts together, about; bytes of HTML for each bucket of anchors.
@@ -79,13 +81,13 @@ _NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
-#: kind (article, main, open), texts of its blocks, and of each whether its name is weak evidence of furniture.
+#: kind (main: in the main element or an article; open: the rest), texts of its blocks, and of each whether its name is weak evidence of furniture.
 Region = tuple[str, list[str], list[bool]]
 
 
-def _furniture(name: str, attributes: dict[str, str], in_article: bool) -> bool | None:
+def _furniture(name: str, attributes: dict[str, str], in_main: bool) -> bool | None:
     """True: page furniture; None: a name that holds such a word beside others, as in `share-price`."""
-    if name in FURNITURE or (name == "header" and not in_article):
+    if name in FURNITURE or (name == "header" and not in_main):
         return True
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in ROLES:
         return True
@@ -96,7 +98,7 @@ def _furniture(name: str, attributes: dict[str, str], in_article: bool) -> bool
     weak = False
     for compound in (c for key in ("class", "id") for c in attributes.get(key, "").split()):
         words = {w.lower() for w in _NAME_PARTS.findall(compound)}
-        if words & NAMES or ("header" in words and not in_article):
+        if words & NAMES or ("header" in words and not in_main):
             if all(w in NAMES or w in PLAIN or w.isdigit() for w in words):
                 return True
             weak = True
@@ -104,8 +106,11 @@ def _furniture(name: str, attributes: dict[str, str], in_article: bool) -> bool
 
 
 def regions(page: str | None) -> list[Region]:
-    """The page's regions with text, in the order of their beginnings; blocks of furniture are left out."""
-    found: list[Region] = [("open", [], [])]
+    """The page's regions with text: the rest, and what all articles and main elements hold, each in page order.
+
+    Blocks of furniture are left out.
+    """
+    found: list[Region] = [("open", [], []), ("main", [], [])]
     stack: list[tuple[str, int, bool]] = []  # element, region of what it holds (-1: furniture), weak name
     parts: list[str] = []
 
@@ -151,16 +156,11 @@ def regions(page: str | None) -> list[Region]:
         _, region, weak = stack[-1] if stack else ("", 0, False)
         if region >= 0:
             attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m["rest"])} if m["rest"].strip(" /\n\t") else {}
-            seen = _furniture(name, attributes, found[region][0] == "article")
-            if name == "article" or (attributes.get("itemprop", "").lower() == "articlebody" and found[region][0] != "article"):
-                kind = "article"
-            else:
-                kind = "main" if found[region][0] == "open" and (name == "main" or attributes.get("role", "").lower() == "main") else None
+            seen = _furniture(name, attributes, region == 1)
             if seen:
                 region = -1
-            elif kind:
-                region = len(found)
-                found.append((kind, [], []))
+            elif name in ("article", "main") or attributes.get("role", "").lower() == "main" or attributes.get("itemprop", "").lower() == "articlebody":
+                region = 1
             weak = weak or seen is None
         if not m["rest"].endswith("/") or name in BLOCKS:
             stack.append((name, region, weak))
@@ -172,7 +172,7 @@ def main_text(found: list[Region], covered: list[np.ndarray | None]) -> str:
     """The text of a page from its regions, and of each the tokens that boilerplate covers (None: none).
 
     The region with the most uncovered tokens, those of articles and the main element counted MARKED times, is
-    the text; the first marked one in a tie. In it a block that is covered as a whole goes; of blocks of the rest
+    the text; the marked one in a tie. In it a block that is covered as a whole goes; of blocks of the rest
     and of those with a weak name all covered tokens go. A marked region that would be left empty stays as it is,
     since something else repeats it. Empty without regions.
     """
@@ -344,10 +344,17 @@ def _parsed(batch: pd.DataFrame) -> Iterator[tuple[list[tuple[int, int, int, str
         for text, host in zip(some["html"], some["host"]):
             own = regions(text)
             page = _page_number(host, own)
-            units += [(page, nth, _long("unit", host, *t), host, " ".join(t)) for nth, (_, t, _) in enumerate(own)]
+            for nth, (kind, t, _) in enumerate(own):
+                group = f"{kind}:{host}"  # streams of one kind count among themselves
+                units.append((page, nth, _long("unit", group, *t), group, " ".join(t)))
         yield units, streams([u[4] for u in units], [u[3] for u in units])
 
 
+def _least(share: float, few: int) -> Column:
+    """How many of n streams make a repeat boilerplate."""
+    return F.greatest(F.lit(few), F.floor(F.col("n") * share) + 1)
+
+
 def _page_number(host: str, own: list[Region]) -> int:
     """A 64-bit number that pages of a host share if they have the same regions."""
     return _long("page", host, *[x for k, t, _ in own for x in (k, *t)])
@@ -424,7 +431,7 @@ def extract(df: DataFrame, *, html_col: str = "html", url_col: str = "url", text
     near = written(marked(first).where(own_share("n", "x") < OWN).select(F.col("unit").alias("near")), "extract-near")
     own = lambda rows: rows.join(near, F.col("unit") == F.col("near"), "left_anti")
     n_regions = own(units.select("host", "unit").distinct()).groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("n"))
-    least = written(n_regions.select("of_host", F.greatest(F.lit(2), F.floor(F.col("n") * SHARE) + 1).cast("long").alias("least")), "extract-hosts")
+    least = written(n_regions.select("of_host", F.when(F.col("of_host").startswith("main:"), _least(MOST, MANY)).otherwise(_least(SHARE, FEW)).cast("long").alias("least")), "extract-hosts")
     # only what enough streams hold, near copies counted, can be in enough of the others: whole groups stay or go
     some = contexts.join(sent_if_small(first), of).join(least, F.col("host") == F.col("of_host"), "left").where("most >= coalesce(least, 2)")
     some = written(some.select(*contexts.columns), "extract-some")

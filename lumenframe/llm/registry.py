@@ -307,7 +307,7 @@ WITH bare AS (
   SELECT u, host FROM (SELECT t.u, t.host, t.i - max(h.i) OVER (PARTITION BY t.u ORDER BY t.i) < 8 AS gone FROM token AS t LEFT JOIN hit AS h ON h.u = t.u AND h.i = t.i)
   GROUP BY u, host HAVING 1 - avg(CASE WHEN gone THEN 1.0 ELSE 0.0 END) >= 0.25
 ), least AS (
-  SELECT host, greatest(2, CAST(floor(count(*) * 0.1) AS BIGINT) + 1) AS least FROM own GROUP BY host
+  SELECT host, greatest(3, CAST(floor(count(*) * 0.5) AS BIGINT) + 1) AS least FROM own GROUP BY host
 ), often AS (
   SELECT gram.host, gram.g FROM gram JOIN own ON own.u = gram.u JOIN least AS l ON l.host = gram.host
   GROUP BY gram.host, gram.g, l.least HAVING count(DISTINCT gram.u) >= l.least

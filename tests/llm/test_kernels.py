@@ -237,10 +237,10 @@ def test_blocks_of_a_page():
     <main><article><header><h1>T&eacute;&#33;</h1></header><p>a <b>b</b>c&nbsp;d<p>e<br>f<script>var x="</p>";</script><div class="comments"><p>nice</div><form>q</form></article></main>
     <aside>x</aside><footer>f</footer><!-- c --></body>"""
     only = lambda page: [(k, t) for k, t, _ in extract.regions(page)]
-    assert only(page) == [("article", ["Té!", "a bc d", "e", "f"])]
+    assert only(page) == [("main", ["Té!", "a bc d", "e", "f"])]
     assert only("<p>one</p><div>two <i>three</i></div>") == [("open", ["one", "two three"])]
     assert only(None) == [] and only("") == [] and only("< < >")[0][1] == ["< < >"]
-    assert only("<article>a" + "<b>x" * 2000) == [("article", ["a" + "x" * 2000])]
+    assert only("<article>a" + "<b>x" * 2000) == [("main", ["a" + "x" * 2000])]
     assert only("<article><script>never closed <p>z") == []
 
 
@@ -251,19 +251,21 @@ def test_names_beside_others_are_weak_evidence():
     assert text('<article><p>Story.</p><div class="site-footer">x</div><div class="ad slot-3">y</div><p id="comments_list">z</p></article>') == "Story."
     story = "the story goes on and on for many more words than this"
     assert text(f"<article>a teaser</article><div>{story}</div>") == story
-    assert text(f"<article><p>{story}</p></article><article>another one</article>") == story
+    assert text(f"<article><p>{story}</p></article><article>another one</article>") == f"{story}\nanother one"
+    assert text("<main><h1>Title of story</h1><article><p>Body…</p></article></main>") == "Title of story\nBody…"
+    assert text("<article><p>Intro…</p><article><p>Second update…</p></article><p>End.</p></article>") == "Intro…\nSecond update…\nEnd."
     assert text("") == "" and text(None) == ""
 
 
 def test_covered_blocks_go_and_quotes_stay():
     words = [f"w{i}" for i in range(20)]
-    article = [("article", [" ".join(words[:4]), " ".join(words[4:])], [False, False])]
+    article = [("main", [" ".join(words[:4]), " ".join(words[4:])], [False, False])]
     on = lambda *spots: np.array([i in spots for i in range(20)])
     assert extract.main_text(article, [on(0, 1, 2, 3, 9)]) == article[0][1][1]
     assert extract.main_text(article, [on(*range(20))]) == "\n".join(article[0][1])
     rest = [("open", *article[0][1:])]
     assert extract.main_text(rest, [on(0, 1, 2, 3, 9)]) == " ".join(words[4:9] + words[10:])
-    weak = [("article", article[0][1], [False, True])]
+    weak = [("main", article[0][1], [False, True])]
     assert extract.main_text(weak, [on(9)]).split() == words[:9] + words[10:]
 
 

@@ -567,7 +567,7 @@ def test_pages_of_a_host_lose_what_they_share(spark):
 def plain_texts(rows):
     """Plain Python: every string of DEPTH tokens of a host's regions, and the regions that hold it."""
     pages = [(i, re.sub(r"^[a-z]+://|/.*", "", url) if url and "://" in url else "", extract.regions(page)) for i, url, page, *_ in rows]
-    units = {(h, tuple(t)): [w.lower() for x in t for w in x.split()] for _, h, found in pages for _, t, _ in found}
+    units = {((h, kind), tuple(t)): [w.lower() for x in t for w in x.split()] for _, h, found in pages for kind, t, _ in found}
     grams = lambda w: [tuple(w[i : i + extract.DEPTH]) for i in range(len(w) - extract.DEPTH + 1)]
 
     def covers(counted, least):
@@ -586,8 +586,8 @@ def plain_texts(rows):
     first = covers(set(units), lambda h: 2)
     own = {u for u, on in first.items() if 1 - on.mean() >= extract.OWN}
     of = Counter(h for h, _ in own)
-    second = covers(own, lambda h: max(2, int(of[h] * extract.SHARE) + 1))
-    return {i: extract.main_text(found, [second[h, tuple(t)] for _, t, _ in found]) for i, h, found in pages}
+    second = covers(own, lambda h: max(3, of[h] // 2 + 1) if h[1] == "main" else max(2, int(of[h] * 0.1) + 1))
+    return {i: extract.main_text(found, [second[(h, kind), tuple(t)] for kind, t, _ in found]) for i, h, found in pages}
 
 
 @pytest.mark.parametrize("most", [extract.MAX_SENT, -1])
@@ -608,6 +608,26 @@ def test_texts_equal_plain_python(spark, monkeypatch, most):
     assert got == Counter((i, want[i]) for i, *_ in rows)
 
 
+def test_sentences_that_articles_share_stay(spark):
+    """On under half of a host's articles, or on two of few, a repeated sentence is text; on most it is none."""
+    r = random.Random(17)
+    saying, line = prose(12, r), prose(10, r)
+    for n, with_saying in ((30, 12), (4, 2), (3, 2)):
+        rows = [(i, "http://a.example/x", f"<main><h1>Title {i}</h1><article><p>{prose(30, r)}</p>{f'<p>{saying}</p>' if i < with_saying else ''}<article><p>inner {prose(9, r)}</p></article><p>end {i}</p></article><article>side {i}</article><p>{line}</p></main>") for i in range(n)]
+        got = {x.page_id: x.text.split("\n") for x in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        for i in range(n):
+            assert got[i][0] == f"Title {i}" and (saying in got[i]) == (i < with_saying) and [x for x in got[i] if x.startswith("inner")] and f"end {i}" in got[i] and f"side {i}" in got[i]
+            assert line not in got[i]
+
+
+def test_pages_of_megabytes(spark):
+    r = random.Random(18)
+    long = "".join(f"<p>{prose(40, r)}</p>" for _ in range(8_000))
+    rows = [(1, "http://a.example/1", f"<nav>menu</nav><article>{long}</article>"), (2, "http://a.example/2", "<div>" * 20_000 + "deep")]
+    got = {x.page_id: x.text for x in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "\n".join(re.findall(r"<p>(.*?)</p>", long)) and got[2] == "deep"
+
+
 def test_near_copies_of_a_page_keep_their_text(spark):
     r = random.Random(14)
     chrome, article = prose(12, r), prose(120, r)
