@@ -197,25 +197,42 @@ def test_mixing_targets_share_the_excess():
     assert mixing.targets([0, 10], [3, 1]) == [0.0, 15.0] and mixing.targets([], []) == []
 
 
-def test_rounds_are_those_of_deficit_round_robin():
+def plain_round_robin(quanta, totals):
+    """(queue, first, past) of what queues send, one round after the other: a credit of at least LEAST is spent in whole."""
+    credit = [0.0 if q >= packing.LEAST else packing.LEAST * ((i + 1) * 0.6180339887498949 % 1) for i, q in enumerate(quanta)]
+    at, out = [0] * len(quanta), []
+    while any(a < t for a, t, q in zip(at, totals, quanta) if q > 0):
+        for i, q in enumerate(quanta):
+            if q > 0 and at[i] < totals[i]:
+                credit[i] += q
+                unit = 1 if q >= packing.LEAST else packing.LEAST
+                n = min(int((credit[i] + 1e-9) // unit) * unit, totals[i] - at[i])
+                credit[i] -= n
+                if n:
+                    out.append((i, at[i], at[i] + n))
+                    at[i] += n
+    return out + [(i, 0, t) for i, (q, t) in enumerate(zip(quanta, totals)) if q == 0 and t]
+
+
+def test_schedule_is_that_of_deficit_round_robin():
     r = random.Random(3)
-    queues = [[r.randrange(1, 50) for _ in range(n)] for n in (40, 9, 1, 200)]
-    quanta, begun = [30.5, 4.25, 0.7, 61.0], [0.0, 17.5, 0.3, 33.1]
-    for lengths, q, first in zip(queues, quanta, begun):
-        lengths = lengths if first else lengths[::-1]
-        ends = np.cumsum(lengths).astype(float)
-        got = packing.rounds(ends, np.full(len(ends), q), np.full(len(ends), first), np.full(len(ends), ends[-1]))
-        # segments that the first deficit covers go last; the others as a deficit that grows by q covers them
-        early = [i for i in range(len(ends)) if ends[i] <= first]
-        queue, deficit, n, want = [i for i in range(len(ends)) if i not in early] + early, first - sum(lengths[i] for i in early), 0, {}
-        while queue:
-            n += 1
-            deficit += q
-            while queue and lengths[queue[0]] <= deficit + 1e-9:
-                deficit -= lengths[queue[0]]
-                want[queue.pop(0)] = n
-        assert got.tolist() == [want[i] for i in range(len(ends))]
-    assert (packing.rounds(np.array([5.0, 9.0]), np.zeros(2), np.ones(2), np.full(2, 9.0)) == packing.NEVER).all()
+    for turn in range(12):
+        quanta = [r.choice([0.0, 0.25, 1.5, 31.5, 32.0, 50.25, 300.75]) for _ in range(r.randrange(1, 9))]
+        totals = [r.randrange(1, 900) for _ in quanta]
+        stream = [(i, x) for i, a, b in plain_round_robin(quanta, totals) for x in range(a, b)]
+        plan, got = packing.Schedule(np.array(quanta), np.array(totals)), {}
+        queue, spot, n = [], [], []
+        for i, t in enumerate(totals):
+            at = 0
+            while at < t:
+                size = min(t - at, r.randrange(1, 200))
+                queue, spot, n, at = [*queue, i], [*spot, at], [*n, size], at + size
+        doc, first, length, place = plan.pieces(*(np.array(x) for x in (queue, spot, n)))
+        for d, a, k, p in zip(doc, first, length, place):
+            for j in range(k):
+                assert p + j not in got
+                got[p + j] = (queue[d], spot[d] + a + j)
+        assert [got[i] for i in range(len(stream))] == stream
 
 
 @settings(max_examples=150, deadline=None)

@@ -344,33 +344,48 @@ def test_packs_are_gapless_and_whole(docs, none):
     assert packing.pack(none, args).count() == 0
 
 
-def test_segments_follow_deficit_round_robin(spark):
+def shares_of_windows(rows, source_of):
+    """Of each full window the share of tokens of each source."""
+    out = {}
+    for p in rows:
+        out.setdefault(p.sequence_id, Counter())[source_of(p.id)] += p.length
+    return [{s: n / 1024 for s, n in c.items()} for _, c in sorted(out.items()) if sum(c.values()) == 1024]
+
+
+def test_every_window_holds_the_mixture(spark):
     r = random.Random(9)
-    rows = [(i, prose(r.randrange(1, 300), r), r.choice("aaaab") if i % 9 else f"s{i}") for i in range(120)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
-    got, encode = packing.pack(df, registry.tokenizer_files(), segment=64).collect(), packing.Encoder(*registry.tokenizer_files())
-    u = {x.source: x.u for x in df.select("source").distinct().select("source", unit_hash("source").alias("u")).collect()}
-    lengths = {i: len(encode(t)) for i, t, _ in rows}
-    whole, due = sum(lengths.values()), []
-    for source in u:
-        mine = [(i, s, min(64, lengths[i] - s)) for i, _, x in rows if x == source for s in range(0, lengths[i], 64)]
-        total, end = sum(n for *_, n in mine), 0
-        for i, s, n in mine:
-            end += n
-            at = end - u[source] * min(64, total)
-            due.append((-(-(at if at > 0 else at + total) // (total * 1024 / whole)), source, end, i, s, n))
-    stream = [(i, s + k) for *_, i, s, n in sorted(due) for k in range(n)]
-    want = [(i, s) for p in sorted(got, key=lambda p: (p.sequence_id, p.offset)) for i, s in [(p.id, p.start + k) for k in range(p.length)]]
-    assert stream == want
-    assert len(got) <= len(due) + whole // 1024 + 1
+    rows = [(i, prose(r.randrange(1, 600), r), f"s{i % 20}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = packing.pack(df, registry.tokenizer_files()).collect()
+    tokens = Counter()
+    for p in got:
+        tokens[p.id % 20] += p.length
+    target = {s: n / sum(tokens.values()) for s, n in tokens.items()}
+    for shares in shares_of_windows(got, lambda i: i % 20):
+        assert sum(abs(shares.get(s, 0) - t) for s, t in target.items()) / 2 < 0.1
 
 
 def test_packing_follows_weights(spark):
     df = spark.createDataFrame([(i, prose(60), "a" if i % 2 else "b") for i in range(80)], "doc_id long, text string, source string")
     rows = packing.pack(df, registry.tokenizer_files(), weights={"a": 3.0, "b": 1.0}).collect()
-    first = [r for r in rows if r.sequence_id < 4]
-    odd = sum(r.length for r in first if r.id % 2)
-    assert 0.6 < odd / sum(r.length for r in first) < 0.9
+    for shares in shares_of_windows(rows, lambda i: i % 2)[:6]:
+        assert shares[1] == pytest.approx(0.75, abs=0.01)
+    none_of_b = packing.pack(df, registry.tokenizer_files(), weights={"b": 0.0}).collect()
+    last_a, first_b = (f((p.sequence_id, p.offset) for p in none_of_b if p.id % 2 == odd) for f, odd in ((max, 1), (min, 0)))
+    assert last_a < first_b
+
+
+def test_many_sources_share_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "QUEUES", 8)
+    monkeypatch.setattr(packing, "RUN", 2)
+    r = random.Random(2)
+    rows = [(i, prose(r.randrange(1, 60), r), f"s{i % 90}" if i % 7 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(9)
+    got, encode = packing.pack(df, registry.tokenizer_files()).collect(), packing.Encoder(*registry.tokenizer_files())
+    seen = Counter((p.id, p.start + k) for p in got for k in range(p.length))
+    assert seen == Counter({(i, k): 1 for i, t, _ in rows for k in range(len(encode(t)))})
+    spots = sorted(p.sequence_id * 1024 + p.offset + k for p in got for k in range(p.length))
+    assert spots == list(range(len(seen)))
 
 
 def test_language_over_rows(docs, none):
