@@ -113,3 +113,24 @@ def movie_stats(movie: DataFrame, n_t: int) -> DataFrame:
     v = movie.agg(F.percentile("v", F.array(F.lit(0.01), F.lit(0.99))).alias("q"), F.max("v").alias("top"), F.avg((F.col("v") <= 0).cast("double")).alias("at_zero"), F.avg((F.col("v") >= 255).cast("double")).alias("at_top"),
                   F.avg(F.when(F.col("t") < tenth, F.col("v"))).alias("first"), F.avg(F.when(F.col("t") >= n_t - tenth, F.col("v"))).alias("last"))
     return v.select(F.col("q")[0].alias("p1"), F.col("q")[1].alias("p99"), "top", "at_zero", "at_top", ((F.col("first") - F.col("last")) / F.col("first")).alias("bleach"))
+
+
+def recording_stats(movie: DataFrame, sigma: float, *, min_corr: float = 0.8, min_pnr: float = 10.0, distance: int = 5) -> DataFrame:
+    """One row on how well a recording's cells can be found: `movie_stats`, quantiles of local correlation and peak-to-noise
+    ratio, shares of the variance that one and five components explain, and seeds in 10,000 pixels.
+
+    movie: (t, y, x, v), whose length is its last frame's.
+    """
+    from lumenframe.operators import background, kernels, movies
+
+    spark = movie.sparkSession
+    n_t = movie.agg(F.max("t") + 1).collect()[0][0] or 0
+    image = kernels.corr_pnr(movie, sigma).persist()
+    q = lambda c: F.percentile(c, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
+    found = image.agg(q("cn").alias("cn"), q("pnr").alias("pnr"), F.count("*").alias("pixels"))
+    found = found.select(*[F.col(c)[i].alias(f"{c}_{n}") for c in ("cn", "pnr") for i, n in enumerate(("med", "p90", "p99"))], "pixels")
+    peaks = local_maxima(image.where((F.col("cn") >= min_corr) & (F.col("pnr") >= min_pnr)), distance).agg(F.count("*").alias("seeds"))
+    shares = background.variance_shares(movies.pixels_of(movie).select("tr"))
+    spectrum_ = spark.createDataFrame([(shares[0], float(sum(shares)))], "pc1 double, top5 double")
+    rows = movie_stats(movie, n_t).join(found).join(peaks).join(spectrum_)  # four tables of one row
+    return rows.withColumn("seed_density", F.col("seeds") / F.col("pixels") * 10_000).drop("seeds", "pixels")

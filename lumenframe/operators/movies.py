@@ -254,3 +254,27 @@ def densest_box(image: DataFrame, height: int, width: int, value: str = "cn") ->
     rows = image.select("y", "x", F.sum(value).over(row).alias("s"), F.count(value).over(row).alias("n")).where(F.col("n") == width)
     boxes = rows.select("y", "x", F.sum("s").over(col).alias("total"), F.count("s").over(col).alias("n")).where(F.col("n") == height)
     return boxes.orderBy(F.desc(F.round("total", 9)), "y", "x").limit(1).select("y", "x", "total")
+
+
+def busiest_window(movie: DataFrame, n_frames: int, by: Sequence[str] = ("y", "x")) -> DataFrame:
+    """(t0, t1, centre, activity): the window of n_frames around the most active frame of a movie, inside it.
+
+    A frame's activity is the mean squared distance of its values from their pixels' medians; of equals the first
+    counts. A movie of fewer frames is the window itself. An empty one gives nulls.
+    """
+    level = movie.groupBy(*by).agg(F.median("v").alias("level"))
+    frames = movie.join(level, list(by)).groupBy("t").agg(F.avg((F.col("v") - F.col("level")) ** 2).alias("activity"))
+    best = frames.agg(F.max(F.struct(F.round("activity", 9).alias("activity"), (-F.col("t")).alias("before"))).alias("best"), (F.max("t") + 1).alias("n_t"))
+    start = F.greatest(F.lit(0), F.least(-F.col("best.before") - n_frames // 2, F.col("n_t") - n_frames)).cast("int")
+    return best.select(start.alias("t0"), F.least(start + n_frames, F.col("n_t")).cast("int").alias("t1"), (-F.col("best.before")).cast("int").alias("centre"), F.col("best.activity").alias("activity"))
+
+
+def preview_box(image: DataFrame, movie: DataFrame, shape: tuple[int, int], size: tuple[int, int], n_frames: int, value: str = "cn") -> dict:
+    """{"box": (y0, y1, x0, x1), "t_range": (t0, t1)} to try settings on: the densest box of an image, and the busiest window.
+
+    Both are cut to what the field and the movie have.
+    """
+    height, width = min(size[0], shape[0]), min(size[1], shape[1])
+    row, span = densest_box(image, height, width, value).collect(), busiest_window(movie, n_frames).collect()[0]
+    y, x = (row[0]["y"], row[0]["x"]) if row else (0, 0)
+    return {"box": (y, y + height, x, x + width), "t_range": (span["t0"] or 0, span["t1"] or 0)}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenframe.functions import sql
-from lumenframe.operators import background, cells, components, evaluate, kernels, movies, seeding, tune
+from lumenframe.operators import background, cells, components, evaluate, images, kernels, movies, seeding, tune
 from lumenframe.params import Params
 from lumenframe.plans import motion, session, sessions
 from lumenframe.sources.views import CELL_FIELD, cell_frames, emb_movie, evt_movie, evt_traces, li_footprints, part_cells
@@ -112,6 +112,11 @@ def b15_joint_background(spark, sf):
     return spark.createDataFrame(rows, "r int, f array<double>").select("r", F.array(*[F.lit(e) for e in energies]).alias("energies"), F.posexplode("f").alias("t", "v"))
 
 
+@query
+def e17_recording_stats(spark, sf):
+    return images.recording_stats(evt_movie(spark, sf), 1.0, min_corr=0.1, min_pnr=1.0, distance=2)
+
+
 @query
 def a2_spatial_update(spark, sf):
     pixels = _pixels(evt_movie(spark, sf), 12)

@@ -131,10 +131,10 @@ def m13_sharpness(spark, sf):
 
 @query(with_views("evt_movie") + """,
 s AS (SELECT quantile_cont(v, [0.01, 0.99]) AS q, max(v) AS top, avg(CASE WHEN v <= 0 THEN 1.0 ELSE 0 END) AS at_zero, avg(CASE WHEN v >= 255 THEN 1.0 ELSE 0 END) AS at_top,
-  avg(CASE WHEN t < 72 THEN v END) AS a, avg(CASE WHEN t >= 648 THEN v END) AS b FROM evt_movie)
+  avg(CASE WHEN t < greatest(1, n_t // 10) THEN v END) AS a, avg(CASE WHEN t >= n_t - greatest(1, n_t // 10) THEN v END) AS b FROM evt_movie, (SELECT max(t) + 1 AS n_t FROM evt_movie))
 SELECT round(q[1], 6) AS p1, round(q[2], 6) AS p99, round(top, 6) AS top, round(at_zero, 6) AS at_zero, round(at_top, 6) AS at_top, round((a - b) / a, 6) AS bleach FROM s""")
 def e17_movie_stats(spark, sf):
-    return rounded(images.movie_stats(evt_movie(spark, sf), 720), "p1", "p99", "top", "at_zero", "at_top", "bleach")
+    return rounded(images.movie_stats(evt_movie(spark, sf), _n_t(evt_movie(spark, sf))), "p1", "p99", "top", "at_zero", "at_top", "bleach")
 
 
 @query(with_views("evt_movie") + """,
@@ -153,6 +153,15 @@ def p12_densest_box(spark, sf):
     return rounded(movies.densest_box(image, 4, 3), "total")
 
 
+@query(with_views("evt_movie") + """,
+lv AS (SELECT y, x, median(v) AS level FROM evt_movie GROUP BY y, x),
+f AS (SELECT m.t, round(avg((m.v - lv.level) * (m.v - lv.level)), 9) AS activity FROM evt_movie AS m JOIN lv USING (y, x) GROUP BY m.t),
+b AS (SELECT t AS centre, activity, (SELECT max(t) + 1 FROM f) AS n_t FROM f ORDER BY activity DESC, t LIMIT 1)
+SELECT CAST(greatest(0, least(centre - 30, n_t - 60)) AS INTEGER) AS t0, CAST(least(greatest(0, least(centre - 30, n_t - 60)) + 60, n_t) AS INTEGER) AS t1, centre, round(activity, 6) AS activity FROM b""")
+def p12_busiest_window(spark, sf):
+    return rounded(movies.busiest_window(evt_movie(spark, sf), 60), "activity")
+
+
 # ---------------------------------------------------------------- movies
 
 

@@ -158,7 +158,7 @@ def _project(pixels: DataFrame, footprints: pd.DataFrame, k: int) -> np.ndarray:
         if sums:
             yield pd.DataFrame({"k": list(sums), "v": list(sums.values())})
 
-    rows = pixels.select("p", "tr").mapInPandas(run, "k int, v array<double>").toPandas()
+    rows = background.summed(pixels.select("p", "tr").mapInPandas(run, "k int, v array<double>"), "k", "v").toPandas()
     t = len(rows["v"].iloc[0]) if len(rows) else 0
     out = np.zeros((k, t))
     for c, v in zip(rows["k"], rows["v"]):

@@ -110,3 +110,28 @@ def test_refitted_courses_of_planted_ranks(spark):
         assert np.allclose(products, np.diag(np.diag(products)), atol=1e-8 * products.max())
         loads = background.global_loads(rows, got).groupBy("r").agg(F.count("*").alias("n")).collect()
         assert {x.n for x in loads} == {60} and len(loads) == rank
+
+
+def test_variance_shares_of_planted_components(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(300, 6)) * (9, 6, 4, 3, 2, 1.5) @ np.linalg.qr(r.normal(size=(400, 6)))[0].T * 20 + r.normal(0, 1, (300, 400)) + 50
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "tr array<double>").repartition(5)
+    z = x - x.mean(1, keepdims=True)
+    var = np.linalg.svd(z, compute_uv=False) ** 2
+    assert np.allclose(background.variance_shares(rows), var[:5] / var.sum(), rtol=0.01)
+    assert background.variance_shares(spark.createDataFrame([([1.0, 1.0],)], "tr array<double>")) == [0.0] * 5
+    assert background.variance_shares(rows.limit(0)) == [0.0] * 5
+
+
+def test_preview_box(spark):
+    from lumenframe.operators import movies
+
+    r = np.random.default_rng(7)
+    movie, image = r.random((50, 6, 7)), r.random((6, 7))
+    movie[44] += 1
+    long = spark.createDataFrame([(t, y, x, float(v)) for (t, y, x), v in np.ndenumerate(movie)], "t int, y int, x int, v double")
+    cn = spark.createDataFrame([(y, x, float(v)) for (y, x), v in np.ndenumerate(image)], "y int, x int, cn double")
+    sums = {(y, x): image[y : y + 3, x : x + 4].sum() for y in range(4) for x in range(4)}
+    y, x = max(sums, key=sums.get)
+    assert movies.preview_box(cn, long, (6, 7), (3, 4), 20) == {"box": (y, y + 3, x, x + 4), "t_range": (30, 50)}
+    assert movies.preview_box(cn, long, (6, 7), (30, 40), 200) == {"box": (0, 6, 0, 7), "t_range": (0, 50)}

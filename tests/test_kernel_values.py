@@ -404,6 +404,19 @@ def test_t7_deconvolve_failures(got, traces):
     assert rows["error"].notna().sum() == sum(k % 7 == 0 for k in traces) > 0
 
 
+def test_e17_recording_stats(got, evt):
+    row = got("e17_recording_stats").iloc[0]
+    z = (evt - evt.mean(0)).reshape(len(evt), -1)
+    var = np.linalg.svd(z, compute_uv=False) ** 2
+    assert row["pc1"] == pytest.approx(var[0] / var.sum(), rel=0.01) and row["top5"] == pytest.approx(var[:5].sum() / var.sum(), rel=0.01)
+    image = got("n5_corr_pnr")
+    for c in ("cn", "pnr"):
+        assert [row[f"{c}_{n}"] for n in ("med", "p90", "p99")] == pytest.approx(np.percentile(image[c], [50, 90, 99]).tolist(), rel=1e-6)
+    tenth = len(evt) // 10
+    assert row["bleach"] == pytest.approx(1 - evt[-tenth:].mean() / evt[:tenth].mean()) and row["top"] == evt.max()
+    assert 0 <= row["seed_density"] <= 10_000
+
+
 def test_b15_joint_background(got, emb):
     z = (emb - emb.mean(0)).reshape(len(emb), 64).T
     rows = got("b15_joint_background")
