@@ -49,16 +49,25 @@ def band_power(movie: DataFrame, low: float = 0.25, high: float = 0.5, by: Seque
     return pixels_of(movie, by).select(*by, "y", "x", F.explode(bins("tr")).alias("b")).select(*by, "y", "x", "b.f", "b.psd")
 
 
+def corr_pnr_reach(sigma: float | None) -> int:
+    """How far `corr_pnr` looks around a pixel."""
+    return (max(arrays.surround_kernel(sigma).shape[0] // 2, int(4 * sigma + 0.5)) if sigma else 0) + 1
+
+
 def corr_pnr(movie: DataFrame, sigma: float | None, stride: int = 1, by: Sequence[str] = (), tile: int = 64, surround: bool = True) -> DataFrame:
     """(by, y, x, sn, cn, pnr) of each recording, (t, y, x, v) or pixels (y, x, tr): filter, centre, noise, peak-to-noise, correlation.
 
     Pixels are dealt to tiles with a halo as wide as the filter and one neighbour, so that a pixel goes to a bounded
-    number of tiles and no task holds a movie; tiles at the edge end where the recording ends.
+    number of tiles and no task holds a movie; tiles at the edge end where the recording ends. With columns i and j
+    pixels are dealt already, to tiles of that size with at least that halo (see `corr_pnr_reach`).
     """
-    reach = (max(arrays.surround_kernel(sigma).shape[0] // 2, int(4 * sigma + 0.5)) if sigma else 0) + 1
+    reach = corr_pnr_reach(sigma)
     around = lambda c: F.sequence(F.floor(F.greatest(c - reach, F.lit(0)) / tile), F.floor((c + reach) / tile))
-    pixels = movie.select(*by, "y", "x", "tr") if "tr" in movie.columns else pixels_of(movie, by)
-    pixels = pixels.withColumn("i", F.explode(around(F.col("y")))).withColumn("j", F.explode(around(F.col("x"))))
+    if {"i", "j", "tr"} <= set(movie.columns):  # dealt already, as stored tiles are
+        pixels = movie.select(*by, "y", "x", "tr", "i", "j")
+    else:
+        pixels = movie.select(*by, "y", "x", "tr") if "tr" in movie.columns else pixels_of(movie, by)
+        pixels = pixels.withColumn("i", F.explode(around(F.col("y")))).withColumn("j", F.explode(around(F.col("x"))))
     types = dict(movie.dtypes)
     head = "".join(f"{c} {types[c]}, " for c in by)
 

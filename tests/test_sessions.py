@@ -230,3 +230,42 @@ def test_models_of_counted_pairs_equal_those_of_all(spark):
         got = cells.with_probability(pairs, model).toPandas()
         assert np.allclose(got["p"], model.probability(got["dist"], got["corr"]))
     assert cells.fit_model(pairs.limit(0), 12.0) is None
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_tiles_are_read_without_a_shuffle(spark, tmp_path):
+    from lumenframe.operators import background, kernels, movies
+
+    r = np.random.default_rng(3)
+    movie = r.random((40, 24, 30))
+    pixels = spark.createDataFrame([(p, row.tolist()) for p, row in enumerate(movie.reshape(40, -1).T)], "p int, tr array<double>")
+    path = str(tmp_path / "tiles")
+    store.save_tiles(pixels, path, (24, 30), tile=8, halo=7, ssub=2, orig_dims=[48, 60])
+    tiles = store.load_tiles(spark, path)
+    assert tiles.facts["T"] == 40 and tiles.facts["ssub"] == 2 and tiles.facts["orig_dims"] == [48, 60]
+    own = {x.p: x.tr for x in tiles.own().collect()}
+    assert len(own) == 720 and all(np.allclose(own[p], movie.reshape(40, -1)[:, p]) for p in own)
+    reach = kernels.corr_pnr_reach(1.0)
+    got, want = kernels.corr_pnr(tiles.reaching(reach), 1.0, tile=8), kernels.corr_pnr(movies.with_coordinates(pixels, 30), 1.0, tile=8)
+    assert "Exchange" not in plan_of(got) and "Exchange" in plan_of(want)
+    got, want = (d.toPandas().sort_values(["y", "x"]).to_numpy() for d in (got, want))
+    assert got.shape == want.shape and np.allclose(got, want, equal_nan=True)
+    ring = background.ring_regression(tiles.reaching(4), 24, 30, 3.0, tile=8)
+    assert "Exchange" not in plan_of(ring)
+    whole = background.ring_regression(pixels, 24, 30, 3.0, tile=8)
+    a, b = (d.toPandas().sort_values(["p", "q"]).to_numpy() for d in (ring, whole))
+    assert np.allclose(a, b)
+    # a crop reads the bands that it meets
+    files = lambda t: t.pixels.select("_metadata.file_path").distinct().count()
+    part = store.load_tiles(spark, path, (9, 15, 0, 30))
+    assert 0 < files(part) < files(tiles) and {x.i for x in part.pixels.select("i").distinct().collect()} == {1}
+    with pytest.raises(ValueError, match="reaches 9 pixels"):
+        tiles.reaching(9)
+    store.save_pixels(pixels, str(tmp_path / "p"))
+    with pytest.raises(ValueError, match="by tile"):
+        store.load_tiles(spark, str(tmp_path / "p"))
+    with pytest.raises(ValueError, match="by pixel"):
+        store.load_pixels(spark, path)
