@@ -37,10 +37,20 @@ def page(title: str, tables: dict[str, pd.DataFrame], params: Params | None = No
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{''.join(body)}</body></html>"
 
 
-def write(folder: str, title: str, tables: dict[str, pd.DataFrame], params: Params | None = None, **facts) -> None:
-    """report.md, report.html and result.json in a folder of the driver."""
-    to = Path(folder)
-    to.mkdir(parents=True, exist_ok=True)
-    (to / "report.md").write_text(markdown(title, tables, params))
-    (to / "report.html").write_text(page(title, tables, params))
-    (to / "result.json").write_text(json.dumps({"title": title, "tables": {k: json.loads(v.to_json(orient="records")) for k, v in tables.items()}, **facts}, indent=2))
+def write(folder: str, title: str, tables: dict[str, pd.DataFrame], params: Params | None = None, *, spark=None, **facts) -> None:
+    """report.md, report.html and result.json in a folder; with a session in one that Spark's file systems reach, such as a shared store."""
+    result = json.dumps({"title": title, "tables": {k: json.loads(v.to_json(orient="records")) for k, v in tables.items()}, **facts}, indent=2)
+    texts = {"report.md": markdown(title, tables, params), "report.html": page(title, tables, params), "result.json": result}
+    if spark is None:
+        to = Path(folder)
+        to.mkdir(parents=True, exist_ok=True)
+        for name, text in texts.items():
+            (to / name).write_text(text)
+        return
+    for name, text in texts.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()

@@ -58,7 +58,8 @@ class Model:
 
     def tables(self, spark) -> dict[str, DataFrame | None]:
         k, t = self.traces.shape
-        rows = pd.DataFrame({"k": np.repeat(np.arange(k), t), "t": np.tile(np.arange(t), k), "c": self.traces.ravel(), "s": self.spikes.ravel(), "yra": self.rest.ravel()})
+        slow = None if self.spikes.shape == self.traces.shape else self.spikes  # spikes of an upsampled model keep their rate
+        rows = pd.DataFrame({"k": np.repeat(np.arange(k), t), "t": np.tile(np.arange(t), k), "c": self.traces.ravel(), "s": self.spikes.ravel() if slow is None else 0.0, "yra": self.rest.ravel()})
         g = np.asarray(self.g, float).reshape(k, -1)
         parts = pd.DataFrame({"k": np.arange(k), "g": g[:, 0], "g2": g[:, 1] if g.shape[1] > 1 else [None] * k, "sn_k": self.noise, "a_norm": self.norms, "accepted": [None] * k if self.accepted is None else self.accepted.tolist()})
         noise = None if self.pixel_noise is None else spark.createDataFrame(pd.DataFrame({"p": np.arange(self.pixel_noise.size), "sn": self.pixel_noise.ravel()}), "p int, sn double")
@@ -71,6 +72,7 @@ class Model:
             "metrics": self.metrics,
             "noise": noise,
             "shifts": self.shifts,
+            "spikes": _table_of(spark, slow, "k"),
             "raw": _table_of(spark, self.raw, "k"),
             "courses": _table_of(spark, self.courses, "r"),
             "loads": self.loads,
@@ -89,6 +91,8 @@ class Model:
         grids = {c: np.zeros((k, n_t)) for c in ("c", "s", "yra")}
         for c, grid in grids.items():
             grid[rows["k"], rows["t"]] = rows[c]
+        if "spikes" in tables:
+            grids["s"] = _array_of(tables["spikes"], "k")
         parts = tables["components"].toPandas().sort_values("k")
         noise = None
         if "noise" in tables:

@@ -218,8 +218,8 @@ def tune_then_validate(frames: DataFrame, shape: tuple[int, int], base: Params,
     """The search, then fits of the whole recording with what it recommends (and with lower thresholds); a report in out."""
     result = run_tuning(frames, shape, base, spec=spec, budget=budget)
     rows = validate(frames, shape, result.params, lower_thresholds(result.params)[: 2 if lowthr else 1], out)
-    if out is not None and "://" not in out:
-        report.write(out, "tuning", {"sweep": result.sweep, "validation": rows}, result.params)
+    if out is not None:
+        report.write(out, "tuning", {"sweep": result.sweep, "validation": rows}, result.params, spark=frames.sparkSession)
     return result, rows
 
 
