@@ -34,6 +34,12 @@ def downsampling(spark: SparkSession, sigma: float, rate_hz: float, decay_ms: fl
     return s.crossJoin(t).select(F.coalesce("s", F.lit(1)).cast("int").alias("ssub"), F.coalesce("t", F.lit(1)).cast("int").alias("tsub"))  # one row each
 
 
+def downsampling_of(cells: DataFrame, rate_hz: float, min_fwhm: float = 4.0, max_ssub: int = 4, max_tsub: int = 5) -> DataFrame:
+    """cells (sigma, decay_ms, ...) with ssub and tsub by the rule of `downsampling`, each row by itself."""
+    bins = lambda most, c: F.greatest(F.lit(1), F.least(F.lit(most), F.floor(c))).cast("int")
+    return cells.withColumns({"ssub": bins(max_ssub, 2.355 * F.col("sigma") / min_fwhm), "tsub": bins(max_tsub, F.col("decay_ms") * rate_hz / 2000.0)})
+
+
 def youden(values: DataFrame, grid: list[float]) -> DataFrame:
     """(thr, j): the threshold of the grid with the largest share of cells kept less share of background kept.
 

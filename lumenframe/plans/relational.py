@@ -263,9 +263,9 @@ def p4_place_footprints(spark, sf):
 
 
 @query(with_views("evt_traces") + """
-SELECT d.k, CAST(g.t AS INTEGER) AS t, round(coalesce(e.v, 0.0), 6) AS c FROM (SELECT DISTINCT k FROM evt_traces) AS d JOIN (SELECT unnest(range(50)) AS t) AS g ON true LEFT JOIN evt_traces AS e ON e.k = d.k AND e.t = g.t - 10""")
+SELECT d.k, CAST(g.t AS INTEGER) AS t, round(coalesce(e.v, 0.0), 6) AS c FROM (SELECT DISTINCT k FROM evt_traces) AS d JOIN (SELECT unnest(range((SELECT max(t) + 21 FROM evt_traces))) AS t) AS g ON true LEFT JOIN evt_traces AS e ON e.k = d.k AND e.t = g.t - 10""")
 def p5_place_traces(spark, sf):
-    return rounded(movies.place_traces(evt_traces(spark, sf).withColumnRenamed("v", "c"), 10, 50), "c")
+    return rounded(movies.place_traces(evt_traces(spark, sf).withColumnRenamed("v", "c"), 10, _n_t(evt_traces(spark, sf)) + 20), "c")
 
 
 @query("SELECT CAST(vec_id AS INTEGER) AS t, round(CAST(list_sum(embedding) AS DOUBLE), 4) + 0.0 AS total, len(embedding) AS n FROM embeddings")
@@ -289,20 +289,30 @@ def p9_sample_frames(spark, sf):
     return rounded(movies.frame_means(movies.sample_frames(emb_movie(spark, sf), _n_t(emb_movie(spark, sf)), 20)), "m")
 
 
-@query("""WITH s AS (SELECT unnest([0, 24, 48, 72, 96, 100]) AS r0), c AS (SELECT unnest([0, 24, 48, 72, 96, 120, 128]) AS c0)
-SELECT r0, r0 + 32 AS r1, c0, c0 + 32 AS c1 FROM s, c WHERE r0 <= 100 AND c0 <= 128""")
+@query(with_views("li_footprints") + """,
+s AS (SELECT unnest([0, 8, 16, 20]) AS r0), c AS (SELECT unnest([0, 8, 16, 20]) AS c0)
+SELECT r0, r0 + 12 AS r1, c0, c0 + 12 AS c1, count(*) AS n, round(sum(a), 4) AS total FROM s, c, li_footprints
+WHERE p // 32 >= r0 AND p // 32 < r0 + 12 AND p % 32 >= c0 AND p % 32 < c0 + 12 GROUP BY 1, 2, 3, 4""")
 def p11_tile_grid(spark, sf):
+    """Tiles of 12 pixels that overlap by four, with the footprints' pixels in each."""
     from lumenframe.operators.seeding import tile_grid
 
-    return tile_grid(spark, 132, 160, 32, 8)
+    grid = tile_grid(spark, 32, 32, 12, 4)
+    # a pixel's tiles by its row and column, as equi-joins
+    rows = grid.select("r0", "r1", F.explode(F.sequence("r0", F.col("r1") - 1)).alias("y")).distinct()
+    columns = grid.select("c0", "c1", F.explode(F.sequence("c0", F.col("c1") - 1)).alias("x")).distinct()
+    f = li_footprints(spark, sf).select(F.expr("cast(p div 32 as int)").alias("y"), F.expr("cast(p % 32 as int)").alias("x"), "a")
+    return rounded(f.join(F.broadcast(rows), "y").join(F.broadcast(columns), "x").groupBy("r0", "r1", "c0", "c1").agg(F.count("*").alias("n"), F.sum("a").alias("total")), "total", digits=4)
 
 
 @query(with_views("evt_traces") + """,
-u AS (SELECT k, u.u, u.u * 29.0 / 99 AS pos FROM (SELECT DISTINCT k FROM evt_traces) AS d JOIN (SELECT unnest(range(100)) AS u) AS u ON true)
+n AS (SELECT max(t) + 1 AS n FROM evt_traces),
+u AS (SELECT k, u.u, u.u * (n - 1) * 1.0 / (3 * n - 1) AS pos FROM n, (SELECT DISTINCT k FROM evt_traces) AS d JOIN (SELECT unnest(range((SELECT 3 * n FROM n))) AS u) AS u ON true)
 SELECT u.k, CAST(u.u AS INTEGER) AS t, round(a.v + (u.pos - floor(u.pos)) * (coalesce(b.v, a.v) - a.v), 5) AS v FROM u
 JOIN evt_traces AS a ON a.k = u.k AND a.t = floor(u.pos) LEFT JOIN evt_traces AS b ON b.k = u.k AND b.t = floor(u.pos) + 1""")
 def u2_upsample_traces(spark, sf):
-    return rounded(movies.upsample_traces(evt_traces(spark, sf), 30, 100), "v", digits=5)
+    n = _n_t(evt_traces(spark, sf))
+    return rounded(movies.upsample_traces(evt_traces(spark, sf), n, 3 * n), "v", digits=5)
 
 
 # ---------------------------------------------------------------- sources
@@ -395,9 +405,16 @@ def _ring_parts(spark, sf):
     return movie, ring, background.baseline(movie)
 
 
-@query("WITH " + _RING.split(",\nw AS")[0] + "\nSELECT p, q FROM ring")
+@query(with_views("li_footprints") + """,
+d AS (SELECT dy, dx FROM (SELECT unnest(range(-3, 4)) AS dy) AS a, (SELECT unnest(range(-3, 4)) AS dx) AS b WHERE dy * dy + dx * dx > 4 AND dy * dy + dx * dx <= 9)
+SELECT f.k, count(*) AS n, round(sum(f.a * g.a), 4) AS total FROM li_footprints AS f, d JOIN li_footprints AS g
+  ON g.k = f.k AND f.p // 32 + d.dy BETWEEN 0 AND 31 AND f.p % 32 + d.dx BETWEEN 0 AND 31 AND g.p = f.p + 32 * d.dy + d.dx GROUP BY f.k""")
 def b1_ring_edges(spark, sf):
-    return background.ring_edges(spark, 8, 8, 2.5)
+    """Of each footprint the pairs of its pixels of which one lies on the other's ring."""
+    f = li_footprints(spark, sf)
+    edges = background.ring_edges(spark, 32, 32, 2.5)
+    both = f.join(edges, "p").join(f.select("k", F.col("p").alias("q"), F.col("a").alias("b")), ["k", "q"])
+    return rounded(both.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.col("a") * F.col("b")).alias("total")), "total", digits=4)
 
 
 @query(with_views("emb_movie") + f",\n{_RING}\nSELECT p, round(b0, 6) + 0.0 AS b0 FROM b0")
@@ -718,11 +735,14 @@ def g23_lognormal_density(spark, sf):
 # ---------------------------------------------------------------- suggestions and grids
 
 
-@query("SELECT CAST(3 AS INTEGER) AS ssub, CAST(1 AS INTEGER) AS tsub UNION ALL SELECT CAST(1 AS INTEGER), CAST(1 AS INTEGER) WHERE (SELECT count(*) FROM region) < 0")
+@query("""SELECT k, CAST(greatest(1, least(4, floor(2.355 * size / 8 / 4.0))) AS INTEGER) AS ssub, CAST(greatest(1, least(5, floor(price / 10 * 20.0 / 2000.0))) AS INTEGER) AS tsub
+FROM (SELECT p_partkey AS k, CAST(p_size AS DOUBLE) AS size, CAST(p_retailprice AS DOUBLE) AS price FROM part)""")
 def h3_downsample(spark, sf):
+    """Parts as cells: their size is an eighth of a deviation in pixels, their price a tenth of a decay in ms."""
     from lumenframe.operators import tune
 
-    return tune.downsampling(spark, 6.0, 20.0, 180.0)
+    cells_ = read(spark, sf, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size").cast("double") / 8).alias("sigma"), (F.col("p_retailprice").cast("double") / 10).alias("decay_ms"))
+    return tune.downsampling_of(cells_, 20.0).select("k", "ssub", "tsub")
 
 
 @query("""WITH g AS (SELECT unnest(range(0, 21)) * 100.0 AS thr), v AS (SELECT p_retailprice AS v, p_size > 25 AS is_cell FROM part),
@@ -771,11 +791,14 @@ def h12_snr_gap(spark, sf):
     return tune.snr_gap(read(spark, sf, "supplier").select((F.col("s_acctbal") / 1000.0).alias("snr_amp")))
 
 
-@query("SELECT CAST(i AS INTEGER) AS idx, [2.0, 3.0, 4.0][i // 4 % 3 + 1] AS sigma, [0.7, 0.85][i // 2 % 2 + 1] AS merge_thr_corr, CAST([0, 1][i % 2 + 1] AS INTEGER) AS global_bg_rank FROM (SELECT unnest(range(12)) AS i)")
+@query("""WITH s AS (SELECT list_sort([min(p_size), median(p_size), max(p_size)]) AS sizes FROM part)
+SELECT CAST(i AS INTEGER) AS idx, CAST(sizes[i // 4 % 3 + 1] AS DOUBLE) AS sigma, CAST([0.7, 0.85][i // 2 % 2 + 1] AS DOUBLE) AS merge_thr_corr, CAST([0, 1][i % 2 + 1] AS INTEGER) AS global_bg_rank FROM s, (SELECT unnest(range(12)) AS i)""")
 def w2_candidate_grid(spark, sf):
+    """A grid around the sizes of parts: the smallest, the median and the largest."""
     from lumenframe.operators import tune
 
-    return tune.candidate_grid(spark, {"sigma": [2.0, 3.0, 4.0], "merge_thr_corr": [0.7, 0.85], "global_bg_rank": [0, 1]})
+    low, mid, high = (float(x) for x in read(spark, sf, "part").agg(F.min("p_size"), F.median("p_size"), F.max("p_size")).collect()[0])
+    return tune.candidate_grid(spark, {"sigma": [low, mid, high], "merge_thr_corr": [0.7, 0.85], "global_bg_rank": [0, 1]})
 
 
 @query("SELECT k, CAST(string_agg(CAST(CAST(v AS INTEGER) AS VARCHAR), ',' ORDER BY v) AS VARCHAR) AS grid FROM (SELECT DISTINCT p_partkey AS k, least(greatest(greatest(p_size, 5) + o, 5), 45) AS v FROM part, (SELECT unnest([-3, 0, 3, 10]) AS o)) GROUP BY k")

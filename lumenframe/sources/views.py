@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,29 +66,38 @@ CELL_FIELD = 36
 CELL_CENTRES = [(y, x) for y in (6, 18, 30) for x in (6, 18, 30)]
 
 
-def cell_signals(spark: SparkSession, sf_dir: str) -> np.ndarray:
-    """Hourly event values of the nine users with the smallest ids, in hundreds, each decaying by a tenth an hour: (9, t)."""
+def cell_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, t, c): hourly event values of the nine users with the smallest ids, in hundreds, each decaying by a tenth an hour."""
     e = read(spark, sf_dir, "events")
-    n_hours, users = _spans(e, 3600), e.select("user_id").distinct().orderBy("user_id").limit(len(CELL_CENTRES))
+    n_hours = _spans(e, 3600)
+    users = e.select("user_id").distinct().orderBy("user_id").limit(len(CELL_CENTRES))
+    users = users.select("user_id", (F.row_number().over(Window.orderBy("user_id")) - 1).alias("k"))  # nine rows
     first = e.agg(F.date_trunc("day", F.min("ts")).alias("t0"))
     own = e.join(F.broadcast(users), "user_id").join(F.broadcast(first))
-    own = own.groupBy("user_id", F.expr("cast((unix_timestamp(ts) - unix_timestamp(t0)) div 3600 as int)").alias("t")).agg(F.sum("value").alias("v")).toPandas()  # a row for each user and hour
-    out = np.zeros((len(CELL_CENTRES), n_hours))
-    ids = sorted(own["user_id"].unique())
-    for user, t, v in own.itertuples(index=False):
-        out[ids.index(user), t] = v / 100
-    for t in range(1, n_hours):
-        out[:, t] += 0.9 * out[:, t - 1]
-    return out
+    own = own.groupBy("k", F.expr("cast((unix_timestamp(ts) - unix_timestamp(t0)) div 3600 as int)").alias("t")).agg(F.sum("value").alias("v"))
+
+    def decaying(part: pd.DataFrame) -> pd.DataFrame:
+        c = np.zeros(n_hours)
+        c[part["t"].to_numpy()] = part["v"] / 100
+        for t in range(1, n_hours):
+            c[t] += 0.9 * c[t - 1]
+        return pd.DataFrame({"k": part["k"].iloc[0], "t": np.arange(n_hours), "c": c})
+
+    return own.groupBy("k").applyInPandas(decaying, "k int, t int, c double")
 
 
 def cell_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames (t, px) of nine blurred cells that carry `cell_signals`, with noise: a small recording with known contents."""
-    y, x = np.mgrid[:CELL_FIELD, :CELL_FIELD]
-    cells = np.stack([np.exp(-((y - a) ** 2 + (x - b) ** 2) / 8) for a, b in CELL_CENTRES])
-    movie = np.einsum("kt,kyx->tyx", cell_signals(spark, sf_dir), cells)
-    movie += np.random.default_rng(0).normal(0, 0.1, movie.shape)
-    return spark.createDataFrame(pd.DataFrame({"t": np.arange(len(movie)), "px": movie.reshape(len(movie), -1).tolist()}), "t int, px array<double>")
+    """Frames (t, px) of nine blurred cells that carry `cell_signals`, with noise that each frame draws by its number."""
+    signals = cell_signals(spark, sf_dir).groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda s: s["c"]).alias("c"))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        y, x = np.mgrid[:CELL_FIELD, :CELL_FIELD]
+        cells = np.stack([np.exp(-((y - a) ** 2 + (x - b) ** 2) / 8).ravel() for a, b in CELL_CENTRES])
+        for batch in batches:
+            px = [np.asarray(c, float) @ cells[: len(c)] + np.random.default_rng(int(t)).normal(0, 0.1, cells.shape[1]) for t, c in zip(batch["t"], batch["c"])]
+            yield pd.DataFrame({"t": batch["t"], "px": px})
+
+    return signals.mapInPandas(draw, "t int, px array<double>")
 
 
 #: The same views for the oracle engine, as common table expressions.

@@ -211,7 +211,7 @@ def test_h6_cells_and_background(got, evt):
 @pytest.fixture(scope="module")
 def recording(spark, sf):
     rows = views.cell_frames(spark, sf).toPandas().sort_values("t")
-    return np.stack(rows["px"].to_list()).reshape(-1, views.CELL_FIELD, views.CELL_FIELD), views.cell_signals(spark, sf)
+    return np.stack(rows["px"].to_list()).reshape(-1, views.CELL_FIELD, views.CELL_FIELD), views.cell_signals(spark, sf).toPandas().pivot(index="k", columns="t", values="c").to_numpy()
 
 
 def found_cells(images, traces, signals):
