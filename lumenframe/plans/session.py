@@ -60,7 +60,7 @@ class Model:
         k, t = self.traces.shape
         slow = None if self.spikes.shape == self.traces.shape else self.spikes  # spikes of an upsampled model keep their rate
         rows = pd.DataFrame({"k": np.repeat(np.arange(k), t), "t": np.tile(np.arange(t), k), "c": self.traces.ravel(), "s": self.spikes.ravel() if slow is None else 0.0, "yra": self.rest.ravel()})
-        g = np.asarray(self.g, float).reshape(k, -1)
+        g = np.asarray(self.g, float).reshape(k, -1) if k else np.zeros((0, 1))
         parts = pd.DataFrame({"k": np.arange(k), "g": g[:, 0], "g2": g[:, 1] if g.shape[1] > 1 else [None] * k, "sn_k": self.noise, "a_norm": self.norms, "accepted": [None] * k if self.accepted is None else self.accepted.tolist()})
         noise = None if self.pixel_noise is None else spark.createDataFrame(pd.DataFrame({"p": np.arange(self.pixel_noise.size), "sn": self.pixel_noise.ravel()}), "p int, sn double")
         return {
