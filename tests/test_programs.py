@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -402,3 +404,36 @@ def test_folder_is_registered_in_one_go(spark, tmp_path):
     assert moved.count() == 8 and np.allclose(dy[1] - dy[0], -1, atol=0.3) and np.allclose(dy[2] - dy[0], 1, atol=0.3)
     again = motion.correct_folder(spark, str(tmp_path), Params(max_shift=(4, 4), mc_n_iter=1, mc_gSig_filt=1.5, mc_sharpen_template=False), spark_only=True)[1].toPandas().sort_values("t")
     assert np.allclose(again["dy"], dy)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_are_made_whole_in_the_task_where_their_blocks_meet(spark):
+    """Nothing is joined to pairs or grouped by them; blocks of seven components give what plain Python gives."""
+    rng = np.random.default_rng(3)
+    feet = {int(k): {int(p): float(a) for p, a in zip(rng.choice(40, n, replace=False), rng.integers(0, 5, n))} for k, n in zip(rng.permutation(60), rng.integers(1, 12, 60))}
+    f = spark.createDataFrame([(k, p, a) for k, own in feet.items() for p, a in own.items()], "k long, p int, a double")
+    full, want = {}, {}
+    for i, j in itertools.combinations(sorted(feet), 2):
+        a, b = feet[i], feet[j]
+        if any(a[p] * b[p] for p in a.keys() & b.keys()):
+            dot = sum(a[p] * b[p] for p in a.keys() & b.keys())
+            want[i, j] = dot / (sum(v * v for v in a.values()) + sum(v * v for v in b.values()) - dot)
+            u, w = np.array([[x.get(p, 0.0) for p in sorted(a.keys() | b.keys())] for x in (a, b)])
+            full[i, j] = np.corrcoef(u, w)[0, 1] if u.std() > 0 and w.std() > 0 else 0.0
+    got = components.tanimoto(f, 7)
+    assert {(r.i, r.j): pytest.approx(r.jaccard) for r in got.collect()} == want
+    assert {(r.i, r.j): pytest.approx(r.corr, abs=1e-9) for r in components.overlap_correlations(f, 7).collect()} == full
+    for df in (got, components.binary_jaccard(f, 7), components.overlaps(f, 7)):
+        above = plan_of(df).split("FlatMapGroupsInPandas")[0]
+        assert "Join" not in above and "Aggregate" not in above
+    labels = {k: k for k in feet}
+    for _ in feet:
+        for (i, j), v in want.items():
+            if v > 0.3:
+                labels[i] = labels[j] = min(labels[i], labels[j])
+    few = components.similar_pairs(f, 0.3, 7)
+    assert {r.k: r.label for r in components.label_groups(few, f.select("k")).collect()} == labels
+    assert few.count() <= 13 * sum(1 for _ in itertools.combinations_with_replacement(range(9), 2))
