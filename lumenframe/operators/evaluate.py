@@ -155,16 +155,29 @@ def centre_drift(footprints: DataFrame, width: int) -> DataFrame:
 
 def multipeak_share(footprints: DataFrame, width: int, distance: int, rel: float = 0.3) -> DataFrame:
     """(share): part of the components with two or more separated peaks over rel of the highest."""
-    from lumenframe.operators.images import stencil
+    from lumenframe.operators.components import each_footprint
 
-    d = distance
-    f = footprints.where("a > 0").select("k", F.expr(f"p div {width}").alias("y"), F.expr(f"p % {width}").alias("x"), "a", F.max("a").over(Window.partitionBy("k")).alias("top"))
-    near = stencil(f, [(dy, dx) for dy in range(-d, d + 1) for dx in range(-d, d + 1) if (dy, dx) != (0, 0)])
-    other = f.select("k", F.col("y").alias("qy"), F.col("x").alias("qx"), F.col("a").alias("b"))
-    beaten = near.join(other, ["k", "qy", "qx"]).where((F.col("b") > F.col("a")) | ((F.col("b") == F.col("a")) & (F.struct("qy", "qx") < F.struct("y", "x")))).select("k", "y", "x").distinct()
-    peaks = f.where(F.col("a") > rel * F.col("top")).join(beaten, ["k", "y", "x"], "left_anti").groupBy("k").agg(F.count("*").alias("n"))
-    every = footprints.select("k").distinct().join(peaks, "k", "left")
-    return every.agg(F.avg((F.coalesce("n", F.lit(0)) >= 2).cast("double")).alias("share"))
+    def peaks(p: np.ndarray, a: np.ndarray) -> dict:
+        p, a = p[a > 0], a[a > 0]
+        if not len(p):
+            return {"several": [False]}
+        y, x, high = p // width, p % width, np.flatnonzero(a > rel * a.max())
+        # ranks by value, then against the order of pixels: a pixel is a peak where no rank around is higher
+        rank = np.empty(len(p), np.int64)
+        rank[np.lexsort((-p, a))] = np.arange(1, len(p) + 1)
+        d = distance
+        if (y.max() - y.min() + 1) * (x.max() - x.min() + 1) <= 64 * len(p) + 4_096:
+            box = np.zeros((y.max() - y.min() + 1 + 2 * d, x.max() - x.min() + 1 + 2 * d), np.int64)
+            box[y - y.min() + d, x - x.min() + d] = rank
+            top = np.lib.stride_tricks.sliding_window_view(box, 2 * d + 1, 0).max(-1)
+            top = np.lib.stride_tricks.sliding_window_view(top, 2 * d + 1, 1).max(-1)
+            n = int((top[y[high] - y.min(), x[high] - x.min()] == rank[high]).sum())
+        else:  # far apart: no image of the whole box
+            at = dict(zip(zip(y.tolist(), x.tolist()), rank.tolist()))
+            n = sum(all(at.get((i + dy, j + dx), 0) <= r for dy in range(-d, d + 1) for dx in range(-d, d + 1)) for i, j, r in zip(y[high].tolist(), x[high].tolist(), rank[high].tolist()))
+        return {"several": [n >= 2]}
+
+    return each_footprint(footprints, peaks, "several boolean").agg(F.avg(F.col("several").cast("double")).alias("share"))
 
 
 def two_way_matches(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
@@ -230,14 +243,14 @@ def model_quality(footprints: DataFrame, traces: DataFrame, metrics: DataFrame,
 
     traces: (k, t, c, yra); metrics: (k, snr_amp, keep); image: (p, cn) or None.
     """
-    from lumenframe.operators.components import trace_correlations
+    from lumenframe.operators.components import correlation_quantiles
 
     three = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     nan = F.lit(float("nan"))
     k = metrics.agg(F.count("*").alias("K"), F.sum(F.col("keep").cast("int")).alias("K_accepted"), F.avg("snr_amp").alias("snr_mean"), F.median("snr_amp").alias("snr_median"))
     proj = correlation_by(traces.withColumn("cy", F.col("c") + F.col("yra")), "c", "cy").agg(F.avg("r").alias("cprojcorr_mean"), F.median("r").alias("cprojcorr_median"))
     kept = traces.join(metrics.where("keep").select("k"), "k", "left_semi")
-    pair = trace_correlations(kept, "c").agg(F.median(F.abs("r")).alias("trace_corr_median"))
+    pair = traces.sparkSession.createDataFrame([tuple(correlation_quantiles(kept, [0.5], "c", absolute=True))], "trace_corr_median double")
     size = footprints.where("a > 0").groupBy("k").agg(F.count("*").alias("npix")).agg(three("npix").alias("q"))
     size = size.select(F.col("q")[1].alias("npix_median"), (F.col("q")[2] - F.col("q")[0]).alias("npix_iqr"), F.col("q")[0].alias("npix_p25"))
     own = footprints.join(metrics.where("keep").select("k"), "k", "left_semi")

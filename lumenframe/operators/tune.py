@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenframe.functions import arrays
-from lumenframe.operators.components import trace_correlations
+from lumenframe.operators.components import correlation_quantiles
 from lumenframe.params import Params
 
 #: Thresholds used where the data decide nothing.
@@ -74,7 +74,8 @@ def decay_time(g: DataFrame, rate_hz: float) -> DataFrame:
 
 def merge_threshold(traces: DataFrame, value: str = "v") -> DataFrame:
     """(p99, thr): the 99th percentile of pair correlations, kept within 0.7 and 0.85."""
-    r = trace_correlations(traces, value).agg(F.percentile("r", F.lit(0.99)).alias("p99"))
+    p99 = correlation_quantiles(traces, [0.99], value)
+    r = traces.sparkSession.createDataFrame([tuple(p99)], "p99 double")
     return r.withColumn("thr", F.coalesce(F.least(F.lit(0.85), F.greatest("p99", F.lit(0.7))), F.lit(0.85)))
 
 

@@ -437,3 +437,38 @@ def test_pairs_are_made_whole_in_the_task_where_their_blocks_meet(spark):
     few = components.similar_pairs(f, 0.3, 7)
     assert {r.k: r.label for r in components.label_groups(few, f.select("k")).collect()} == labels
     assert few.count() <= 13 * sum(1 for _ in itertools.combinations_with_replacement(range(9), 2))
+
+
+def test_quantiles_of_correlations_are_exact_and_only_counts_are_shuffled(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(40, 9)), 1)
+    x = np.concatenate([x, x[:12], np.zeros((3, 9))])  # equal traces and constant ones
+    t = spark.createDataFrame([(int(k), int(i), float(v)) for k, row in enumerate(x) for i, v in enumerate(row)], "k long, t int, v double")
+    r = np.array([row.r for row in components.trace_correlations(t).collect()])
+    assert len(r) == 55 * 54 // 2
+    got = components.correlation_quantiles(t, [0.0, 0.5, 0.99, 1.0])
+    assert got == pytest.approx(np.percentile(r, [0, 50, 99, 100]), abs=1e-12)
+    assert components.correlation_quantiles(t, [0.5], absolute=True) == pytest.approx([np.median(np.abs(r))], abs=1e-12)
+    assert components.correlation_quantiles(t.where("k = 1"), [0.5]) == [None]
+    assert tune.merge_threshold(t).collect()[0]["p99"] == pytest.approx(np.percentile(r, 99), abs=1e-12)
+    assert "FlatMapGroups" not in plan_of(tune.merge_threshold(t))
+    counts = components.correlation_counts(t).toPandas()
+    assert counts["n"].sum() == len(r) and counts["v"].sum() == pytest.approx(r.sum()) and "Join" not in plan_of(components.correlation_counts(t)).split("FlatMapGroupsInPandas")[0]
+
+
+def test_peaks_of_footprints_are_found_without_a_join(spark):
+    from lumenframe.operators import evaluate
+
+    rng = np.random.default_rng(6)
+    feet = {k: {int(p): float(a) for p, a in zip(rng.choice(400, 30, replace=False), rng.integers(0, 4, 30))} for k in range(30)}
+    feet[30], feet[31] = {0: 2.0, 39_999_999: 2.0}, {5: 0.0}  # far apart; nothing over 0
+    for width, d in ((20, 1), (20, 3), (4_000, 2)):
+        n = []
+        for own in feet.values():
+            own = {(p // width, p % width): a for p, a in own.items() if a > 0}
+            top = max(own.values(), default=0)
+            n.append(sum(a > 0.3 * top and not any((y, x) != (i, j) and abs(y - i) <= d and abs(x - j) <= d and (b > a or (b == a and (i, j) < (y, x))) for (i, j), b in own.items()) for (y, x), a in own.items()))
+        f = spark.createDataFrame([(k, p, a) for k, own in feet.items() for p, a in own.items()], "k long, p int, a double")
+        share = evaluate.multipeak_share(f, width, d)
+        assert share.collect()[0]["share"] == pytest.approx(np.mean([v >= 2 for v in n]))
+        assert "Join" not in plan_of(share)
