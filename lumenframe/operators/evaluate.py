@@ -182,11 +182,10 @@ def multipeak_share(footprints: DataFrame, width: int, distance: int, rel: float
 
 def two_way_matches(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     """(n_a, n_b, a_hit, b_hit): points (k, cy, cx) with one of the other set within the radius."""
-    from lumenframe.operators.cells import radius_join
+    from lumenframe.operators.cells import with_near
 
-    pairs = radius_join(a, b, radius)
-    hits = pairs.agg(F.countDistinct("i").alias("a_hit"), F.countDistinct("j").alias("b_hit"))
-    return a.agg(F.count("*").alias("n_a")).crossJoin(b.agg(F.count("*").alias("n_b"))).crossJoin(hits)  # one row each
+    hits = [with_near(x, y, radius).agg(F.countDistinct("k").alias(n)) for x, y, n in ((a, b, "a_hit"), (b, a, "b_hit"))]
+    return a.agg(F.count("*").alias("n_a")).crossJoin(b.agg(F.count("*").alias("n_b"))).crossJoin(hits[0]).crossJoin(hits[1])  # one row each
 
 
 def quality(metrics: DataFrame, values: list[str]) -> DataFrame:

@@ -270,3 +270,30 @@ def test_stored_tiles_are_read_without_a_shuffle(spark, tmp_path):
         store.load_tiles(spark, str(tmp_path / "p"))
     with pytest.raises(ValueError, match="by pixel"):
         store.load_pixels(spark, path)
+
+
+def test_places_meet_in_place_of_cells(spark):
+    """Cells of one place are dealt together: pairs, ranks and hits are those of plain Python, and no side is broadcast."""
+    import itertools
+    import math
+
+    from lumenframe.operators import cells, evaluate
+
+    rng = np.random.default_rng(8)
+    rows = [(int(s), k, float(y), float(x)) for k, (s, y, x) in enumerate(zip(rng.integers(0, 3, 90), rng.integers(-6, 6, 90), rng.integers(0, 6, 90)))]
+    c = spark.createDataFrame(rows, "session int, k long, cy double, cx double")
+    want = {(a[0], a[1], b[0], b[1]): math.hypot(a[2] - b[2], a[3] - b[3]) for a, b in itertools.permutations(rows, 2) if a[0] < b[0] and math.hypot(a[2] - b[2], a[3] - b[3]) <= 3}
+    got = cells.session_pairs(c, 3.0)
+    assert {(r.sa, r.i, r.sb, r.j): r.dist for r in got.collect()} == pytest.approx(want) and got.count() == len(want)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    ranked = {}
+    for (sa, i, sb, j), d in sorted(want.items(), key=lambda e: (e[0][:3], round(e[1], 9), e[0][3])):
+        ranked[sa, i, sb, j] = 1 + sum(k[:3] == (sa, i, sb) for k in ranked)
+    near = cells.nearest_within(c, 3.0).collect()
+    assert {(r.sa, r.i, r.sb, r.j): r["rank"] for r in near} == ranked and len(near) == len(want) and all(r.is_nn == (r["rank"] == 1) for r in near)
+    counts = cells.distance_counts(c, 3.0)
+    values, n = np.unique(np.array(list(want.values())), return_counts=True)
+    assert counts["dist"].to_numpy() == pytest.approx(values) and (counts["n"] == n).all()
+    two = evaluate.two_way_matches(c.where("session = 0"), c.where("session = 1"), 1.0)
+    hit = [k for k, d in want.items() if k[0] == 0 and k[2] == 1 and d <= 1]
+    assert tuple(two.collect()[0]) == (sum(r[0] == 0 for r in rows), sum(r[0] == 1 for r in rows), len({k[1] for k in hit}), len({k[3] for k in hit}))
