@@ -172,17 +172,28 @@ def outlier_runs(flags: DataFrame, longest: int = 10, by: Sequence[str] = ()) ->
     return only.join(runs, [*by, "island"]).select(*by, "t", "run_id", "run_length", (F.col("run_length") <= longest).alias("interp_ok"))
 
 
-def repair_plan(flags: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+#: Frames of a span that a window runs over.
+SPAN = 1 << 16
+
+
+def repair_plan(flags: DataFrame, by: Sequence[str] = (), span: int = SPAN) -> DataFrame:
     """(by, t, left, right, alpha) of each flagged frame: nearest good frames and the weight of the right one.
 
-    One side alone stands for both; without any good frame both are null. One row for each frame goes through
-    the window, so it is small beside the movie.
+    One side alone stands for both; without any good frame both are null. Windows run over spans of frames, in which a flagged
+    frame looks back and, in descending order, ahead. What lies beyond a
+    span comes from a row for each span.
     """
-    base = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     good = F.when(~F.col("outlier"), F.col("t"))
-    left = F.last(good, True).over(base.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(good, True).over(base.orderBy("t").rowsBetween(0, Window.unboundedFollowing))
-    found = flags.select(*by, "t", "outlier", left.alias("l"), right.alias("r")).where("outlier")
+    dealt = flags.select(*by, "t", "outlier", F.floor(F.col("t") / span).alias("span"))
+    inner, outer = Window.partitionBy(*by, "span"), Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    # running values only: a frame that reaches to the end of its window is made anew for every row
+    back, ahead = outer.orderBy("span").rowsBetween(Window.unboundedPreceding, -1), outer.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = dealt.groupBy(*by, "span").agg(F.min(good).alias("first"), F.max(good).alias("last"))
+    ends = ends.select(*by, "span", F.max("last").over(back).alias("before"), F.min("first").over(ahead).alias("after"))
+    left = F.max(good).over(inner.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    right = F.min(good).over(inner.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0))
+    found = dealt.select(*by, "span", "t", "outlier", left.alias("l"), right.alias("r")).where("outlier").join(ends, [*by, "span"])
+    found = found.withColumns({"l": F.coalesce("l", "before"), "r": F.coalesce("r", "after")})
     alpha = F.when(F.col("l").isNull() | F.col("r").isNull(), 0.0).otherwise((F.col("t") - F.col("l")) / (F.col("r") - F.col("l")))
     return found.select(*by, "t", F.coalesce("l", "r").alias("left"), F.coalesce("r", "l").alias("right"), alpha.cast("double").alias("alpha"))
 

@@ -472,3 +472,32 @@ def test_peaks_of_footprints_are_found_without_a_join(spark):
         share = evaluate.multipeak_share(f, width, d)
         assert share.collect()[0]["share"] == pytest.approx(np.mean([v >= 2 for v in n]))
         assert "Join" not in plan_of(share)
+
+
+def test_repairs_look_over_spans_and_never_to_the_end_of_a_window(spark):
+    rng = np.random.default_rng(9)
+    for share in (0.3, 0.9, 1.0):
+        bad = rng.random(60) < share
+        plan = movies.repair_plan(spark.createDataFrame([(int(t), bool(x)) for t, x in enumerate(bad)], "t int, outlier boolean"), span=8)
+        good = np.flatnonzero(~bad)
+        want = {}
+        for t in np.flatnonzero(bad):
+            low, high = good[good < t], good[good > t]
+            l, r = (low[-1] if len(low) else None), (high[0] if len(high) else None)
+            want[int(t)] = (r if l is None else l, l if r is None else r, 0.0 if l is None or r is None else (t - l) / (r - l))
+        assert {x.t: (x.left, x.right, x.alpha) for x in plan.collect()} == want
+        assert "unboundedfollowing" not in plan_of(plan).lower()
+
+
+def test_products_of_movies_and_components_are_made_in_blocks(spark):
+    from lumenframe.operators import background
+
+    rng = np.random.default_rng(10)
+    y, w = rng.normal(size=(30, 20)), rng.normal(size=(9, 20)) * (rng.random((9, 20)) < 0.4)
+    w[:, 0] = 1
+    movie = spark.createDataFrame([(int(t), int(p), float(y[t, p])) for t in range(30) for p in range(20)], "t int, p int, v double")
+    b = spark.createDataFrame([(int(k), int(p), float(w[k, p])) for k in range(9) for p in range(20) if w[k, p]], "k long, p int, b double")
+    for frames, pixels, ks in ((7, 6, 4), (7, 64, 4), (1_024, 4_096, 2_048)):
+        rows = background.times_sparse(movie, b, frames, pixels, ks)
+        got = {(r.k, r.t): r.v for r in rows.collect()}
+        assert got == pytest.approx({(k, t): w[k] @ y[t] for k in range(9) for t in range(30)}) and rows.count() == 270
