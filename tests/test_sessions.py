@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lumenframe.functions import arrays
 from lumenframe.operators import cells, evaluate, tune
@@ -297,3 +298,40 @@ def test_places_meet_in_place_of_cells(spark):
     two = evaluate.two_way_matches(c.where("session = 0"), c.where("session = 1"), 1.0)
     hit = [k for k, d in want.items() if k[0] == 0 and k[2] == 1 and d <= 1]
     assert tuple(two.collect()[0]) == (sum(r[0] == 0 for r in rows), sum(r[0] == 1 for r in rows), len({k[1] for k in hit}), len({k[3] for k in hit}))
+
+
+def test_flows_equal_matchings_of_single_items():
+    from lumenframe.functions import solvers
+
+    r = np.random.default_rng(1)
+    for turn in range(60):
+        n, m = r.integers(1, 9, 2)
+        supply, demand = r.integers(0, 5, n), r.integers(0, 5, m)
+        ok = r.random((n, m)) < r.choice([0.2, 0.5, 1.0])
+        score = r.random((n, m)) if turn % 2 else r.integers(0, 3, (n, m)) / 2
+        order = r.permutation(int(ok.sum()))
+        rows, cols = (x[order] for x in np.nonzero(ok))
+        flow = solvers.transport(rows, cols, -score[rows, cols], supply, demand)
+        assert (flow >= 0).all() and (np.bincount(rows, flow, n) <= supply).all() and (np.bincount(cols, flow, m) <= demand).all()
+        cost = np.where(ok, -score, 1e6).repeat(supply, 0).repeat(demand, 1)
+        want = [cost[a, b] for a, b in solvers.assign(cost) if cost[a, b] < 1e6]
+        assert flow.sum() == len(want) and (flow * score[rows, cols]).sum() == pytest.approx(-sum(want))
+
+
+def test_crowded_places_are_matched_as_one(spark):
+    """A task gets pairs of places, not of cells: 3,000 cells of each session on three places, and a chain of 3,000 cells."""
+    rows = [(s, 10_000 * s + k, 10.0 * (k % 3 == 2) + 1.0 * (k % 3), float(s)) for s in (0, 1) for k in range(3_000 + 500 * s)]
+    c = spark.createDataFrame(rows, "session int, k long, cy double, cx double")
+    at = {k: (y, x) for _, k, y, x in rows}
+    seen = []
+    keep, cells._dealt = cells._dealt, lambda scored: seen.append(scored.count()) or keep(scored)
+    try:
+        got = cells.match_places(c, 4.0, F.exp(-F.col("dist") / 8), 4.0, dist_thr=4.0, corr_thr=0.5).collect()
+    finally:
+        cells._dealt = keep
+    assert seen == [5]
+    assert len(got) == 3_000 == len({r.i for r in got}) == len({r.j for r in got})
+    assert all(r.score == pytest.approx(0.5 * math.exp(-1 / 8) + 0.5 * 0.75) and at[r.i][0] == at[r.j][0] for r in got)
+    chain = spark.createDataFrame([(0, k, 1, k + d, 1.0, 0.9 if d else 0.8) for k in range(3_000) for d in (0, 1)], "sa int, i long, sb int, j long, dist double, corr double")
+    got = cells.match_sessions(chain, 4.0, dist_thr=4.0, corr_thr=0.5).collect()
+    assert {(r.i, r.j) for r in got} == {(k, k + 1) for k in range(3_000)}
