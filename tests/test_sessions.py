@@ -335,3 +335,41 @@ def test_crowded_places_are_matched_as_one(spark):
     chain = spark.createDataFrame([(0, k, 1, k + d, 1.0, 0.9 if d else 0.8) for k in range(3_000) for d in (0, 1)], "sa int, i long, sb int, j long, dist double, corr double")
     got = cells.match_sessions(chain, 4.0, dist_thr=4.0, corr_thr=0.5).collect()
     assert {(r.i, r.j) for r in got} == {(k, k + 1) for k in range(3_000)}
+
+
+def test_pairs_made_in_squares_equal_joined_ones(spark):
+    """Metrics made where squares meet are those of joins by pixel, in several shares and parts; groups of squares hold all that pairs connect."""
+    r = np.random.default_rng(4)
+    rows = []
+    for s in range(3):
+        for k in range(40):
+            y, x, n = int(r.integers(0, 28)), int(r.choice([0, 1, 2, 3, 4, 20, 21, 22])), int(r.integers(1, 4))
+            rows += [(s, k, 32 * (y + i // 2) + x + i % 2, float(r.choice([0.5, 0.9, 1.0]))) for i in range(n)]
+    f = spark.createDataFrame(rows, "session int, k long, p int, a double")
+    y, x = F.expr("p div 32"), F.expr("p % 32")
+    centres = f.groupBy("session", "k").agg((F.sum(F.col("a") * y) / F.sum("a")).alias("cy"), (F.sum(F.col("a") * x) / F.sum("a")).alias("cx"))
+    keyed = cells.session_pairs(centres, 4.0).select("sa", "sb", "dist", F.struct(F.col("sa").alias("s"), F.col("i").alias("k")).alias("i"), F.struct(F.col("sb").alias("s"), F.col("j").alias("k")).alias("j"))
+    prints = f.select(F.struct(F.col("session").alias("s"), "k").alias("k"), "p", "a")
+    want = {(r.sa, r.i.k, r.sb, r.j.k): (r.dist, r.corr) for r in cells.footprint_correlation(keyed, prints, prints).collect()}
+    keep = cells.SHARE, cells.AT_ONCE
+    cells.SHARE, cells.AT_ONCE = 50, 7
+    try:
+        got = cells.footprint_pairs(cells.cell_rows(f, centres), 4.0).collect()
+    finally:
+        cells.SHARE, cells.AT_ONCE = keep
+    assert len(got) == len(want) > 100
+    assert all((g.dist, g.corr) == pytest.approx(want[g.sa, g.i, g.sb, g.j], abs=1e-9) for g in got)
+    label = {(r.session, r.k): r.label for r in cells.square_groups(centres, 4.0).collect()}
+    assert len(label) == 120 and len(set(label.values())) == 2 and all(label[a, i] == label[b, j] for a, i, b, j in want)
+
+
+def test_cells_that_stayed_look_at_what_has_changed():
+    for seed in range(4):
+        r = np.random.default_rng(seed)
+        at = np.tile(r.uniform(0, 25, (60, 2)), (3, 1)) + r.normal(0, 2, (180, 2))
+        names = [(s, k) for s in range(3) for k in range(60)]
+        p = np.minimum(np.exp(-np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1)) / 8) * r.uniform(0.7, 2, (180, 180)), 1)
+        p = np.round((p + p.T) / 2, 1 if seed % 2 else 9)
+        asked = []
+        got = cells.refine_clusters(names, at, list(range(180)), None, 9.0, p_row=lambda c, m: asked.append(len(m)) or p[c][m], p_most=float(p.max()))
+        assert parts_of(got) == parts_of(plain_refinement(names, at, list(range(180)), p, 9.0)) and sum(asked) > 0
