@@ -439,6 +439,20 @@ def test_pairs_are_made_whole_in_the_task_where_their_blocks_meet(spark):
     assert few.count() <= 13 * sum(1 for _ in itertools.combinations_with_replacement(range(9), 2))
 
 
+def test_blocks_meet_without_a_shuffle_and_round_as_sql_does(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(30, 9)), 1)
+    t = spark.createDataFrame([(int(k), int(i), float(v)) for k, row in enumerate(x) for i, v in enumerate(row)], "k long, t int, v double")
+    f = spark.createDataFrame([(int(k), int(p), float(a)) for k in range(30) for p, a in zip(rng.choice(20, 8, replace=False), rng.integers(1, 5, 8))], "k long, p int, a double")
+    for df in (components.trace_correlations(t), components.tanimoto(f, 7), components.binary_jaccard(f, 7), components.overlap_correlations(f, 7), components.similar_pairs(f, 0.3, 7)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    r = {(i, j): np.corrcoef(x[i], x[j])[0, 1] for i, j in itertools.combinations(range(30), 2)}
+    got = {(row.i, row.j): row.r for row in components.trace_correlations(t, digits=3).collect()}
+    assert got.keys() == r.keys() and all(abs(got[q] - r[q]) <= 0.0005 + 1e-12 and got[q] == round(got[q], 3) for q in r)
+    assert components.rounded_off(np.array([1 / 128, -1 / 128, -1e-9, 0.3]), 6).tolist() == [0.007813, -0.007813, 0.0, 0.3]
+    assert not np.signbit(components.rounded_off(np.array([-1e-9]), 6)).any()
+
+
 def test_quantiles_of_correlations_are_exact_and_only_counts_are_shuffled(spark):
     rng = np.random.default_rng(5)
     x = np.round(rng.normal(size=(40, 9)), 1)
