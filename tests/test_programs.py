@@ -515,3 +515,18 @@ def test_products_of_movies_and_components_are_made_in_blocks(spark):
         rows = background.times_sparse(movie, b, frames, pixels, ks)
         got = {(r.k, r.t): r.v for r in rows.collect()}
         assert got == pytest.approx({(k, t): w[k] @ y[t] for k in range(9) for t in range(30)}) and rows.count() == 270
+
+
+def test_blocks_of_products_are_shuffled_once(spark):
+    from lumenframe.operators import background
+
+    rng = np.random.default_rng(12)
+    y, w = rng.normal(size=(40, 20)), rng.normal(size=(9, 20))
+    movie = spark.createDataFrame([(int(t), int(p), float(y[t, p])) for t in range(40) for p in range(20)], "t int, p int, v double")
+    b = spark.createDataFrame([(int(k), int(p), float(w[k, p])) for k in range(9) for p in range(20)], "k long, p int, b double")
+    for pixels in (6, 64):
+        rows = background.times_sparse(movie, b, 7, pixels, 4, digits=4)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "CoGroups" not in plan and "Join" not in plan and ("Exchange" in plan) == (pixels == 6)  # sums over blocks of pixels only
+        got = {(r.k, r.t): r.v for r in rows.collect()}
+        assert got == pytest.approx({(k, t): w[k] @ y[t] for k in range(9) for t in range(40)}, abs=5.1e-5) and all(v == round(v, 4) for v in got.values())
