@@ -234,6 +234,30 @@ def test_models_of_counted_pairs_equal_those_of_all(spark):
     assert cells.fit_model(pairs.limit(0), 12.0) is None
 
 
+def test_what_follows_from_a_distance_is_made_for_places_only(spark):
+    from pyspark.sql import functions as F
+
+    assert cells.TOGETHER <= 128  # a task holds the pairs of two rows of cells
+    c = spark.createDataFrame([(k % 3, k, float(k % 4), 0.0) for k in range(1_200)], "session int, k int, cy double, cx double")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(dist):
+        seen.add(1)
+        return round(dist / 3, 3)
+
+    got = cells.session_pairs(c, 1.0, lambda met: met.withColumn("p", counted("dist")).drop("dist"))
+    rows = got.collect()
+    assert got.columns == ["sa", "i", "sb", "j", "p"] and len(rows) == 3 * 400 * 100 + 3 * 6 * 100 * 100
+    assert seen.value < 100 and all(r.p == (0.0 if r.i % 4 == r.j % 4 else 0.333) for r in rows)
+    # a crowded cell of the grid is dealt to several tasks
+    one = spark.createDataFrame([(k % 2, k, float(k % 50) / 60, 0.0) for k in range(400)], "session int, k int, cy double, cx double")
+    pairs = cells.session_pairs(one, 1.0)
+    assert pairs.select(F.spark_partition_id().alias("x")).distinct().count() > 1 and pairs.count() == 200 * 200
+    near = cells.nearest_within(c, 1.0, shown=1)
+    assert near.columns == ["sa", "i", "sb", "j", "dist", "rank", "is_nn"] and near.count() == len(rows)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
