@@ -235,8 +235,6 @@ def test_models_of_counted_pairs_equal_those_of_all(spark):
 
 
 def test_what_follows_from_a_distance_is_made_for_places_only(spark):
-    from pyspark.sql import functions as F
-
     assert cells.TOGETHER <= 128  # a task holds the pairs of two rows of cells
     c = spark.createDataFrame([(k % 3, k, float(k % 4), 0.0) for k in range(1_200)], "session int, k int, cy double, cx double")
     seen = spark.sparkContext.accumulator(0)
@@ -258,6 +256,32 @@ def test_what_follows_from_a_distance_is_made_for_places_only(spark):
     assert near.columns == ["sa", "i", "sb", "j", "dist", "rank", "is_nn"] and near.count() == len(rows)
 
 
+def test_a_group_is_matched_from_batches_of_its_pairs(spark):
+    from pyspark.util import PythonEvalType
+
+    from lumenframe.functions import solvers
+
+    rng = np.random.default_rng(15)
+    score = np.where(rng.random((20, 25)) < 0.6, rng.random((20, 25)), -1e6)
+    rows = [(0, int(i), 1, 100 + int(j), 1.0, float(score[i, j])) for i, j in zip(*np.nonzero(score > 0))]
+    pairs = spark.createDataFrame(rows, "sa int, i int, sb int, j int, dist double, p double")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    keep = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        made = cells.match_sessions(pairs, 4.0, dist_thr=4.0, probability="p", p_thr=0.0)
+        plan = made._jdf.queryExecution().optimizedPlan()
+        while "FlatMapGroupsInPandas" not in plan.nodeName():
+            plan = plan.children().apply(0)
+        assert plan.functionExpr().evalType() == PythonEvalType.SQL_GROUPED_MAP_PANDAS_ITER_UDF
+        got = made.collect()
+    finally:
+        spark.conf.set(name, keep)
+    best = solvers.assign(-score)
+    assert len(got) == 20 == len({r.i for r in got}) == len({r.j for r in got})
+    assert sum(r.score for r in got) == pytest.approx(sum(score[i, j] for i, j in best)) and all(r.score == score[r.i, r.j - 100] for r in got)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
